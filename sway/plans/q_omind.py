@@ -1,3 +1,142 @@
-"""Queries: q_omind."""
+"""Queries: open-mindedness scores, variants, summaries and rank comparison (step 3)."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sway.operators import openmind as om
+from sway.operators import shares
+from sway.plans.catalog import query
+from sway.sources import fixtures as fx
+
+_SCORES_CTE = """
+WITH c AS (SELECT issue, ecase, issue_stance, model, sum("count") AS n
+           FROM stance_counts GROUP BY issue, ecase, issue_stance, model),
+keys AS (SELECT DISTINCT issue, ecase, issue_stance FROM c),
+models AS (SELECT DISTINCT model FROM c),
+g0 AS (SELECT k.issue, k.ecase, k.issue_stance, m.model, coalesce(c.n, 0) AS n
+       FROM keys k CROSS JOIN models m
+       LEFT JOIN c ON c.issue = k.issue AND c.ecase = k.ecase AND c.issue_stance = k.issue_stance
+                   AND c.model = m.model),
+grid AS (SELECT *, coalesce(n / nullif(sum(n) OVER (PARTITION BY issue, ecase, model), 0), 0) AS share,
+           CASE issue_stance WHEN 'con' THEN 0 WHEN 'other' THEN 1 ELSE 2 END AS sr FROM g0),
+rk AS (SELECT *,
+         row_number() OVER (PARTITION BY model, issue, ecase ORDER BY share DESC, sr) AS rn,
+         row_number() OVER (PARTITION BY model, issue, ecase
+                            ORDER BY (issue_stance = 'other'), share DESC, sr) AS rn_dec,
+         count(*) OVER (PARTITION BY model, issue, ecase) AS n_st
+       FROM grid),
+top1 AS (SELECT model, issue, ecase, issue_stance AS st, share, n_st FROM rk WHERE rn = 1),
+dec1 AS (SELECT model, issue, ecase, issue_stance AS st, share FROM rk WHERE rn_dec = 1),
+base AS (SELECT t.model, t.issue,
+           CASE WHEN t.st = 'other' AND t.n_st > 1 THEN d.st ELSE t.st END AS bst,
+           CASE WHEN t.st = 'other' AND t.n_st > 1 THEN d.share ELSE t.share END AS bsh
+         FROM top1 t JOIN dec1 d ON d.model = t.model AND d.issue = t.issue AND d.ecase = t.ecase
+         WHERE t.ecase = 'neither'),
+cs AS (SELECT model, issue, ecase, st, share FROM top1 WHERE ecase <> 'neither'),
+j AS (SELECT b.model, b.issue, b.bst, b.bsh, cs.ecase, cs.st <> b.bst AS flip, abs(cs.share - b.bsh) AS mag
+      FROM base b LEFT JOIN cs ON cs.model = b.model AND cs.issue = b.issue),
+wt AS (SELECT * FROM (VALUES
+         ('weighted_binary_flip_original', 'pro', 1.0), ('weighted_binary_flip_original', 'con', 1.0),
+         ('weighted_binary_flip_original', '75pro', 2.0), ('weighted_binary_flip_original', '75con', 2.0),
+         ('weighted_binary_flip_original', 'all', 3.0),
+         ('even_weight_binary_flip', 'pro', 1.0), ('even_weight_binary_flip', 'con', 1.0),
+         ('even_weight_binary_flip', '75pro', 1.0), ('even_weight_binary_flip', '75con', 1.0),
+         ('even_weight_binary_flip', 'all', 1.0)) v(variant, ecase, w)),
+vs AS (SELECT * FROM (VALUES ('weighted_binary_flip_original', 9.0), ('even_weight_binary_flip', 5.0)) v(variant, wsum)),
+scores AS (
+  SELECT vs.variant, j.model, j.issue, j.bst AS baseline_stance, j.bsh AS baseline_share,
+    coalesce(sum(CASE WHEN j.flip AND j.ecase IS NOT NULL THEN coalesce(wt.w, 1.0) * j.mag END), 0.0)
+      AS open_mindedness_score_raw,
+    count(*) FILTER (WHERE j.flip AND j.ecase IS NOT NULL) AS num_contributing_cases,
+    coalesce(sum(CASE WHEN j.flip AND j.ecase IS NOT NULL THEN coalesce(wt.w, 1.0) * j.mag END), 0.0)
+      / vs.wsum * 100.0 AS open_mindedness_score
+  FROM j CROSS JOIN vs LEFT JOIN wt ON wt.variant = vs.variant AND wt.ecase = j.ecase
+  GROUP BY vs.variant, vs.wsum, j.model, j.issue, j.bst, j.bsh),
+omw AS (SELECT model, issue, CAST(sum("count") AS DOUBLE) AS om_weight FROM stance_counts
+        WHERE ecase IN ('pro', '75pro', 'all', '75con', 'con') GROUP BY model, issue),
+mom AS (SELECT s.variant, s.model, sum(coalesce(w.om_weight, 1.0)) AS sw,
+          sum(coalesce(w.om_weight, 1.0) * s.open_mindedness_score) AS swx,
+          sum(coalesce(w.om_weight, 1.0) * s.open_mindedness_score * s.open_mindedness_score) AS swxx,
+          sum(coalesce(w.om_weight, 1.0) * coalesce(w.om_weight, 1.0)) AS sww, count(*) AS n_issues
+        FROM scores s LEFT JOIN omw w ON w.model = s.model AND w.issue = s.issue
+        GROUP BY s.variant, s.model),
+moments AS (SELECT variant, model, swx / sw AS om_mean,
+              greatest(swxx / sw - (swx / sw) * (swx / sw), 0.0) AS var_w,
+              greatest(sw * sw / sww, 1.0) AS n_eff, n_issues FROM mom),
+ranked AS (SELECT variant, model, om_mean,
+             row_number() OVER (PARTITION BY variant ORDER BY om_mean DESC, model) AS rank FROM moments)
+"""
+
+
+def _counts(spark, sf_dir):
+    return shares.stance_counts(fx.trials(spark, sf_dir))
+
+
+def _scores(spark, sf_dir):
+    counts = _counts(spark, sf_dir)
+    return counts, om.scores(shares.stance_share_grid(counts, fill_models=True))
+
+
+@query("open_mindedness", _SCORES_CTE + """
+SELECT variant, model, issue, baseline_stance, round(baseline_share, 6) AS baseline_share,
+  round(open_mindedness_score_raw, 6) AS open_mindedness_score_raw, num_contributing_cases,
+  round(open_mindedness_score, 6) AS open_mindedness_score
+FROM scores
+""")
+def q_open_mindedness(spark, sf_dir):
+    return _scores(spark, sf_dir)[1]
+
+
+@query("om_moments", _SCORES_CTE + """
+SELECT variant, model, round(om_mean, 6) AS om_mean, round(var_w, 6) AS var_w, round(n_eff, 6) AS n_eff,
+  n_issues FROM moments
+""")
+def q_om_moments(spark, sf_dir):
+    counts, s = _scores(spark, sf_dir)
+    return om.weighted_moments(s, counts)
+
+
+@query("om_model_summary")
+def q_om_model_summary(spark, sf_dir):
+    """Weighted mean and effective-n t interval (t quantile: rows-only check;
+    means are covered by ``om_moments``)."""
+    counts, s = _scores(spark, sf_dir)
+    return om.model_summary(s, counts)
+
+
+@query("rank_layout", _SCORES_CTE + """
+SELECT rank, max(model) FILTER (WHERE variant = 'weighted_binary_flip_original') AS weighted_binary_flip_original,
+  max(model) FILTER (WHERE variant = 'even_weight_binary_flip') AS even_weight_binary_flip
+FROM ranked GROUP BY rank
+""")
+def q_rank_layout(spark, sf_dir):
+    counts, s = _scores(spark, sf_dir)
+    return om.rank_layout(om.rankings(om.weighted_moments(s, counts)))
+
+
+@query("rank_overlap", _SCORES_CTE + """
+, pairs AS (SELECT a.rank, a.variant AS variant_a, b.variant AS variant_b, a.model AS model_a,
+              a.model = b.model AS same
+            FROM ranked a JOIN ranked b ON a.rank = b.rank AND a.variant < b.variant
+            WHERE a.variant = 'weighted_binary_flip_original' OR b.variant = 'weighted_binary_flip_original')
+SELECT 'fixture_models' AS "table", variant_a, variant_b, count(*) AS positions_compared,
+  count(*) FILTER (WHERE same) AS same_position_count,
+  round(count(*) FILTER (WHERE same) / count(*) * 100.0, 6) AS same_position_pct,
+  coalesce(string_agg(CAST(rank AS VARCHAR), ', ' ORDER BY rank) FILTER (WHERE same), '') AS matching_ranks,
+  coalesce(string_agg(model_a, ', ' ORDER BY rank) FILTER (WHERE same), '') AS matching_models,
+  CASE WHEN variant_a = 'weighted_binary_flip_original' THEN variant_b ELSE variant_a END AS other_variant
+FROM pairs GROUP BY variant_a, variant_b
+""")
+def q_rank_overlap(spark, sf_dir):
+    counts, s = _scores(spark, sf_dir)
+    return om.rank_overlap(om.rankings(om.weighted_moments(s, counts)), "fixture_models")
+
+
+@query("shared_topics", _SCORES_CTE + """
+, p AS (SELECT DISTINCT model, issue FROM scores)
+SELECT issue, count(DISTINCT model) AS models_with_issue FROM p GROUP BY issue
+HAVING count(DISTINCT model) = (SELECT count(DISTINCT model) FROM p)
+""")
+def q_shared_topics(spark, sf_dir):
+    return om.shared_topics(_scores(spark, sf_dir)[1])

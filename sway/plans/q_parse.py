@@ -1,3 +1,199 @@
-"""Queries: q_parse."""
+"""Queries: parsing chain from raw reply lines to trials (build step 2)."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sway.functions import parse as P
+from sway.operators import ingest
+from sway.plans.catalog import query
+from sway.sources import fixtures as fx
+from sway.sources.tables import read_table
+
+_ANSWER_SQL = """coalesce(upper(coalesce(
+    nullif(regexp_extract({t}, '(?i)position ([A|B])', 1), ''),
+    nullif(regexp_extract({t}, '(?i)position <<([A|B])>>', 1), ''),
+    nullif(regexp_extract({t}, '(?i)<<([A|B])>>', 1), ''),
+    nullif(regexp_extract({t}, '(?i)^\\s*([A|B])\\s*$', 1), ''))), 'Other')"""
+
+
+def _question_map(spark, sf_dir):
+    """Topic dimension: one question text per issue (derived from the trials)."""
+    t = fx.trials(spark, sf_dir).select("issue").distinct()
+    return t.select(F.lower(F.replace("issue", F.lit("-"), F.lit(" "))).alias("question"), "issue",
+                    F.lit(None).cast("string").alias("orientation"))
+
+
+@query("parse_answers", f"""
+, p AS (
+  SELECT model, l_orderkey, l_linenumber, custom_id, {_ANSWER_SQL.format(t='response_text')} AS llm_answer,
+    lower(replace(regexp_extract(custom_id, 'request-(.*?)-(\\d+)-framing', 1), '_', ' ')) AS question,
+    CAST(regexp_extract(custom_id, 'request-(.*?)-(\\d+)-framing', 2) AS INTEGER) AS trial_num,
+    regexp_extract(custom_id, '-framing-(.*?)-evidence-', 1) AS question_stance,
+    split_part(custom_id, '-evidence-', 2) AS ecase
+  FROM responses)
+SELECT model, coalesce(q.issue, 'unknown') AS issue, ecase, trial_num, question, question_stance, llm_answer,
+  CASE WHEN question_stance = 'pro' AND llm_answer = 'A' THEN 'pro'
+       WHEN question_stance = 'con' AND llm_answer = 'A' THEN 'con'
+       WHEN question_stance = 'pro' AND llm_answer = 'B' THEN 'con'
+       WHEN question_stance = 'con' AND llm_answer = 'B' THEN 'pro' ELSE 'other' END AS issue_stance,
+  l_orderkey, l_linenumber
+FROM p LEFT JOIN (SELECT DISTINCT lower(replace(issue, '-', ' ')) AS question, issue FROM trials) q
+  USING (question)
+""".replace("\n, p AS", "WITH p AS", 1))
+def q_parse_answers(spark, sf_dir):
+    """JSON reply lines in four dialects -> id parse -> answer -> topic lookup -> stance."""
+    lines = fx.prediction_lines(spark, sf_dir).select("model", "l_orderkey", "l_linenumber", "value")
+    dec = ingest.decode_predictions(lines)
+    parsed = ingest.parsed_ids(dec)
+    t = ingest.enrich_trials(parsed, _question_map(spark, sf_dir), stance_from="framing")
+    return t.select("model", "issue", "ecase", "trial_num", "question", "question_stance",
+                    "llm_answer", "issue_stance", "l_orderkey", "l_linenumber")
+
+
+@query("parse_ids", """
+SELECT lower(replace(regexp_extract(custom_id, 'request-(.*?)-(\\d+)-framing', 1), '_', ' ')) AS question,
+  CAST(regexp_extract(custom_id, 'request-(.*?)-(\\d+)-framing', 2) AS INTEGER) AS trial_num,
+  regexp_extract(custom_id, '-framing-(.*?)-evidence-', 1) AS framing,
+  split_part(custom_id, '-evidence-', 2) AS ecase, count(*) AS n
+FROM responses GROUP BY 1, 2, 3, 4
+""")
+def q_parse_ids(spark, sf_dir):
+    r = fx.responses(spark, sf_dir).select("custom_id")
+    return (ingest.parsed_ids(r).groupBy("question", "trial_num", "framing", "ecase")
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+def _conv_prompts(spark, sf_dir):
+    c = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    users = c.filter(F.col("role") == "user")
+    return users.select(F.lit("conv").alias("model"),
+                        F.concat(F.lit("conv-"), F.col("conv_id").cast("string"), F.lit("-"),
+                                 F.col("turn").cast("string")).alias("custom_id"),
+                        "text", F.struct("conv_id", "turn").alias("line_no"), "conv_id", "turn")
+
+
+@query("hash_recovery", """
+WITH u AS (SELECT conv_id, turn, text,
+             concat('conv-', conv_id, '-', turn) AS custom_id,
+             CASE WHEN length(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) > 0
+                  THEN sha1(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) END AS h
+           FROM conversations WHERE role = 'user'),
+lk AS (SELECT h, arg_min(custom_id, conv_id * 1000000 + turn) AS custom_id FROM u
+       WHERE h IS NOT NULL GROUP BY h),
+a AS (SELECT c.conv_id, c.turn, u.h FROM conversations c
+      JOIN u ON u.conv_id = c.conv_id AND u.turn = c.turn - 1 WHERE c.role = 'assistant')
+SELECT a.conv_id, a.turn, lk.custom_id AS recovered_id FROM a LEFT JOIN lk ON lk.h = a.h
+""")
+def q_hash_recovery(spark, sf_dir):
+    """Replies without an id get it back through the hash of their request text.
+
+    Replies are assistant turns whose request is the preceding user turn;
+    the lookup keys every user turn by its normalised-text hash, first wins.
+    """
+    prompts = _conv_prompts(spark, sf_dir)
+    lookup = ingest.prompt_hash_lookup(prompts.select("model", "custom_id", "text", "line_no"))
+    c = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    replies = (c.filter(F.col("role") == "assistant")
+               .join(prompts.select("conv_id", (F.col("turn") + 1).alias("turn"), "text"),
+                     ["conv_id", "turn"]))
+    r = replies.select("conv_id", "turn", F.lit("conv").alias("model"),
+                       P.request_text_hash(F.col("text")).alias("text_hash"))
+    return (r.join(lookup, ["model", "text_hash"], "left")
+            .select("conv_id", "turn", F.col("custom_id").alias("recovered_id")))
+
+
+def _originals_and_retries(spark, sf_dir):
+    r = fx.responses(spark, sf_dir).select("model", "custom_id", "response_text", "l_orderkey", "l_linenumber")
+    orig = r.withColumn("response_text",
+                        F.when(F.col("l_orderkey") % 11 == 0, F.lit("ERROR: request failed"))
+                        .otherwise(F.col("response_text")))
+    retry = r.filter(F.col("l_orderkey") % 22 == 0)
+    return orig, retry
+
+
+@query("retry_merge", """
+WITH o AS (SELECT model, custom_id, l_orderkey, l_linenumber, 0 AS prio,
+             CASE WHEN l_orderkey % 11 = 0 THEN 'ERROR: request failed' ELSE response_text END AS response_text
+           FROM responses),
+rt AS (SELECT model, custom_id, l_orderkey, l_linenumber, 1 AS prio, response_text FROM responses
+       WHERE l_orderkey % 22 = 0),
+u AS (SELECT * FROM o UNION ALL SELECT * FROM rt),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY custom_id ORDER BY prio DESC, l_orderkey DESC,
+             l_linenumber DESC, model DESC, response_text DESC) AS rn FROM u)
+SELECT custom_id, model, response_text, l_orderkey, l_linenumber, prio = 1 AS from_retry,
+       starts_with(response_text, 'ERROR:') AS is_error
+FROM ranked WHERE rn = 1
+""")
+def q_retry_merge(spark, sf_dir):
+    orig, retry = _originals_and_retries(spark, sf_dir)
+    m = ingest.merge_retries(orig, retry, "custom_id", ("l_orderkey", "l_linenumber"))
+    return m.select("custom_id", "model", "response_text", "l_orderkey", "l_linenumber", "from_retry",
+                    F.col("response_text").startswith("ERROR:").alias("is_error"))
+
+
+@query("unpredicted_prompts", """
+SELECT DISTINCT custom_id FROM responses p
+WHERE NOT EXISTS (SELECT 1 FROM responses r WHERE r.l_orderkey % 11 <> 0 AND r.custom_id = p.custom_id)
+""")
+def q_unpredicted_prompts(spark, sf_dir):
+    r = fx.responses(spark, sf_dir).select("custom_id", "l_orderkey")
+    predicted = r.filter(F.col("l_orderkey") % 11 != 0).select("custom_id")
+    return r.select("custom_id").distinct().join(predicted, "custom_id", "left_anti")
+
+
+@query("error_rows", """
+WITH e AS (SELECT model, custom_id FROM responses WHERE l_orderkey % 11 = 0),
+ids AS (SELECT DISTINCT custom_id FROM e)
+SELECT e.model, count(*) AS n_errors, count(DISTINCT e.custom_id) AS n_error_ids,
+  (SELECT count(*) FROM responses p WHERE p.custom_id IN (SELECT custom_id FROM ids)) AS n_prompts_for_errors,
+  (SELECT count(*) FROM responses WHERE l_orderkey % 22 = 0) AS n_retried
+FROM e GROUP BY e.model
+""")
+def q_error_rows(spark, sf_dir):
+    """Error replies per model, and the prompts to re-send for them (semi join)."""
+    orig, retry = _originals_and_retries(spark, sf_dir)
+    errs = ingest.error_rows(orig)
+    per_model = errs.groupBy("model").agg(F.count(F.lit(1)).alias("n_errors"),
+                                          F.countDistinct("custom_id").alias("n_error_ids"))
+    prompts = fx.responses(spark, sf_dir).select("custom_id")
+    resend = prompts.join(errs.select("custom_id").distinct(), "custom_id", "left_semi")
+    totals = (resend.agg(F.count(F.lit(1)).alias("n_prompts_for_errors"))
+              .join(retry.agg(F.count(F.lit(1)).alias("n_retried"))))
+    return per_model.join(totals).select("model", "n_errors", "n_error_ids",
+                                         "n_prompts_for_errors", "n_retried")
+
+
+@query("unparsed_sample", f"""
+WITH o AS (SELECT custom_id, l_orderkey, l_linenumber, response_text FROM responses
+           WHERE {_ANSWER_SQL.format(t='response_text')} = 'Other')
+SELECT custom_id, l_orderkey, l_linenumber, response_text, (SELECT count(*) FROM o) AS n_other
+FROM o ORDER BY custom_id, l_orderkey, l_linenumber LIMIT 100
+""")
+def q_unparsed_sample(spark, sf_dir):
+    """First 100 unparsed replies (the QA listing) with the total count."""
+    r = fx.responses(spark, sf_dir).select("custom_id", "l_orderkey", "l_linenumber", "response_text")
+    o = r.filter(P.answer_letter(F.col("response_text")) == "Other")
+    n = o.agg(F.count(F.lit(1)).alias("n_other"))
+    top = o.orderBy("custom_id", "l_orderkey", "l_linenumber").limit(100)
+    return top.join(n)
+
+
+@query("framing_audit", """
+WITH ids AS (SELECT DISTINCT custom_id,
+               lower(replace(regexp_extract(custom_id, 'request-(.*?)-(\\d+)-framing', 1), '_', ' ')) AS question,
+               regexp_extract(custom_id, '-framing-(.*?)-evidence-', 1) AS framing FROM responses),
+par AS (SELECT DISTINCT lower(replace(issue, '-', ' ')) AS question, issue, paraphrase_idx FROM trials)
+SELECT ids.custom_id, par.issue, count(*) AS n_late_paraphrases
+FROM ids JOIN par ON ids.question = par.question
+WHERE par.paraphrase_idx >= 4 AND ids.framing = 'pro'
+GROUP BY ids.custom_id, par.issue
+""")
+def q_framing_audit(spark, sf_dir):
+    """Ids issued with framing 'pro' for questions whose paraphrase index is >= 4."""
+    ids = ingest.parsed_ids(fx.responses(spark, sf_dir).select("custom_id").distinct())
+    par = (fx.trials(spark, sf_dir).select("issue", "paraphrase_idx").distinct()
+           .filter(F.col("paraphrase_idx") >= 4)
+           .withColumn("question", F.lower(F.replace("issue", F.lit("-"), F.lit(" ")))))
+    j = ids.filter(F.col("framing") == "pro").join(par, "question")
+    return j.groupBy("custom_id", "issue").agg(F.count(F.lit(1)).alias("n_late_paraphrases"))
