@@ -31,7 +31,7 @@ def decode_predictions(lines: DataFrame, prompt_lookup: DataFrame | None = None)
     request-text hash (first prompt line wins, see ``prompt_hash_lookup``).
     """
     j = P.parse_prediction(F.col("value"))
-    d = lines.select("*", j.alias("j")).filter(F.col("j").isNotNull())
+    d = lines.select("*", j.alias("j"))
     d = d.select(
         "*",
         P.custom_id_of(F.col("j")).alias("custom_id0"),
