@@ -32,3 +32,273 @@ def q_shift_statistics(spark, sf_dir):
     """Paired t p-value and t interval need the t distribution: rows-only check,
     values unit-tested against the published summary."""
     return shift.shift_statistics(_shares(spark, sf_dir))
+
+
+# ---- shift family (step 4) over per-(model, issue, case) cells ----
+
+from sway.operators import shiftfam as SF  # noqa: E402
+
+_CELLS = """
+WITH cells AS (
+  SELECT model, issue, ecase, count(*) FILTER (WHERE issue_stance = 'pro') AS pro,
+    count(*) FILTER (WHERE issue_stance = 'con') AS con,
+    count(*) FILTER (WHERE issue_stance NOT IN ('pro', 'con')) AS other, count(*) AS total,
+    count(*) FILTER (WHERE issue_stance = 'pro') / count(*) AS pro_share,
+    count(*) FILTER (WHERE issue_stance = 'con') / count(*) AS con_share,
+    count(*) FILTER (WHERE issue_stance NOT IN ('pro', 'con')) / count(*) AS other_share
+  FROM trials WHERE issue <> 'unknown' GROUP BY model, issue, ecase),
+sh AS (
+  SELECT c.model, c.issue, c.ecase, c.pro_share, c.con_share, c.other_share, b.pro_share AS base_pro,
+    b.con_share AS base_con, c.pro_share - b.pro_share AS shift
+  FROM cells c JOIN cells b ON c.model = b.model AND c.issue = b.issue AND b.ecase = 'neither'
+  WHERE c.ecase <> 'neither')
+"""
+
+
+def _cells(spark, sf_dir):
+    return shares.share_pivot(fx.trials(spark, sf_dir))
+
+
+def _sh(spark, sf_dir):
+    return SF.shifts(_cells(spark, sf_dir))
+
+
+@query("pro_shift", _CELLS + """
+SELECT model, issue, ecase, round(pro_share, 6) AS pro_share, round(con_share, 6) AS con_share,
+  round(other_share, 6) AS other_share, round(base_pro, 6) AS base_pro, round(base_con, 6) AS base_con,
+  round(shift, 6) AS shift FROM sh
+""")
+def q_pro_shift(spark, sf_dir):
+    return _sh(spark, sf_dir)
+
+
+@query("mean_shift", _CELLS + """
+SELECT model, ecase, round(coalesce(avg(shift), 0.0), 6) AS mean_shift, count(*) AS n_issues FROM sh
+GROUP BY model, ecase
+""")
+def q_mean_shift(spark, sf_dir):
+    return SF.mean_shift(_sh(spark, sf_dir))
+
+
+@query("bucket_shift", _CELLS + """
+SELECT model, CASE WHEN base_pro > 0.75 THEN 'Positive (pro > 0.75)' WHEN base_con > 0.75
+  THEN 'Negative (con > 0.75)' ELSE 'Middle' END AS bucket, ecase, round(avg(shift), 6) AS mean_shift,
+  count(*) AS n_issues FROM sh GROUP BY 1, 2, 3
+""")
+def q_bucket_shift(spark, sf_dir):
+    return SF.bucket_shift(_sh(spark, sf_dir))
+
+
+@query("contradiction_effect", _CELLS + """
+, g AS (SELECT model, issue, max(shift) FILTER (WHERE ecase = 'pro') AS s_pro,
+          max(shift) FILTER (WHERE ecase = '75pro') AS s_75pro, max(shift) FILTER (WHERE ecase = 'con') AS s_con,
+          max(shift) FILTER (WHERE ecase = '75con') AS s_75con FROM sh GROUP BY model, issue),
+r AS (SELECT model, issue, 'pro' AS track, s_pro AS one_sided, s_75pro AS mixed FROM g
+      UNION ALL SELECT model, issue, 'con', s_con, s_75con FROM g)
+SELECT model, track, round(avg(one_sided), 6) AS mean_one_sided_shift, round(avg(mixed), 6) AS mean_75_shift,
+  round(avg(mixed - one_sided), 6) AS contradiction_effect, count(*) AS n_issues
+FROM r WHERE one_sided IS NOT NULL AND mixed IS NOT NULL GROUP BY model, track
+""")
+def q_contradiction_effect(spark, sf_dir):
+    return SF.contradiction_effect(_sh(spark, sf_dir))
+
+
+_COUNTER = """
+, ctr AS (SELECT * FROM sh WHERE (ecase IN ('pro', '75pro') AND shift < 0) OR (ecase IN ('con', '75con') AND shift > 0))
+"""
+
+
+@query("counter_shifts", _CELLS + _COUNTER + """
+SELECT model, count(*) AS n_counter, round(avg(abs(shift)), 6) AS mean_abs_counter_shift FROM ctr GROUP BY model
+""")
+def q_counter_shifts(spark, sf_dir):
+    return SF.counter_shifts(_sh(spark, sf_dir))
+
+
+@query("top_counter_shifts", _CELLS + _COUNTER + """
+, r AS (SELECT model, issue, ecase, shift, row_number() OVER (PARTITION BY model ORDER BY abs(shift) DESC, issue, ecase)
+          AS rank FROM ctr)
+SELECT model, issue, ecase, round(shift, 6) AS shift, rank FROM r WHERE rank <= 2
+""")
+def q_top_counter_shifts(spark, sf_dir):
+    """Two largest counter-directional shifts per model (top-k report)."""
+    rows = SF.counter_shift_rows(_sh(spark, sf_dir)).select("model", "issue", "ecase", "shift")
+    return SF.top_n(rows, ["model"], [F.abs("shift").desc(), F.col("issue"), F.col("ecase")], 2)
+
+
+@query("rigid_issues", _CELLS + """
+SELECT issue, round(max(abs(shift)), 6) AS max_abs_shift FROM sh GROUP BY issue HAVING max(abs(shift)) < 0.3
+""")
+def q_rigid_issues(spark, sf_dir):
+    return SF.rigid_issues(_sh(spark, sf_dir))
+
+
+@query("movable_issues", _CELLS + """
+, g AS (SELECT model, issue, avg(abs(shift)) AS mean_abs_shift FROM sh GROUP BY model, issue),
+r AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY mean_abs_shift DESC, issue) AS rank FROM g)
+SELECT model, issue, round(mean_abs_shift, 6) AS mean_abs_shift, rank FROM r WHERE rank <= 5
+""")
+def q_movable_issues(spark, sf_dir):
+    """Five issues with the largest mean absolute shift per model (top-k report)."""
+    return SF.movable_issues(_sh(spark, sf_dir), 5)
+
+
+@query("model_disagreement", _CELLS + """
+, long AS (SELECT model, issue, ecase, 'con' AS issue_stance, con_share AS share FROM cells
+           UNION ALL SELECT model, issue, ecase, 'other', other_share FROM cells
+           UNION ALL SELECT model, issue, ecase, 'pro', pro_share FROM cells),
+pr AS (SELECT a.issue, a.ecase, a.issue_stance, avg(abs(a.share - b.share)) AS avg_d,
+         var_pop(abs(a.share - b.share)) AS var_d
+       FROM long a JOIN long b ON a.issue = b.issue AND a.ecase = b.ecase AND a.issue_stance = b.issue_stance
+         AND a.model < b.model GROUP BY 1, 2, 3),
+g AS (SELECT issue, ecase, issue_stance, count(*) AS n_models, max(share) - min(share) AS rng,
+        arg_min(model, (-share, model)) AS amax, arg_min(model, (share, model)) AS amin
+      FROM long GROUP BY 1, 2, 3)
+SELECT g.issue, g.ecase, g.issue_stance, g.n_models,
+  round(CASE WHEN n_models >= 2 THEN rng END, 6) AS max_diff,
+  CASE WHEN n_models >= 2 THEN amax END AS diff_models_max, CASE WHEN n_models >= 2 THEN amin END AS diff_models_min,
+  round(CASE WHEN n_models >= 3 THEN avg_d END, 6) AS average_model_diff,
+  round(CASE WHEN n_models >= 3 THEN var_d END, 6) AS variance_model_diff
+FROM g LEFT JOIN pr USING (issue, ecase, issue_stance)
+""")
+def q_model_disagreement(spark, sf_dir):
+    """Closed-form pairwise statistics; the oracle enumerates model pairs."""
+    return SF.model_disagreement(_cells(spark, sf_dir))
+
+
+_CASE_SETS = {"baseline": ("neither",), "one_sided": ("pro", "con"), "mixed": ("75pro", "75con", "all")}
+
+
+@query("pair_agreement", _CELLS + """
+, sets AS (SELECT * FROM (VALUES ('baseline', 'neither'), ('one_sided', 'pro'), ('one_sided', 'con'),
+             ('mixed', '75pro'), ('mixed', '75con'), ('mixed', 'all')) v(case_set, ecase)),
+x AS (SELECT s.case_set, c.ecase, c.issue, c.model, c.pro_share FROM cells c JOIN sets s USING (ecase))
+SELECT a.case_set, a.model AS model_a, b.model AS model_b, round(corr(a.pro_share, b.pro_share), 6) AS pearson_r,
+  count(*) AS n
+FROM x a JOIN x b ON a.case_set = b.case_set AND a.ecase = b.ecase AND a.issue = b.issue AND a.model < b.model
+GROUP BY 1, 2, 3
+""")
+def q_pair_agreement(spark, sf_dir):
+    """Model-pair pro-share correlation on three case sets."""
+    return SF.pair_agreement(_cells(spark, sf_dir), _CASE_SETS)
+
+
+@query("low_disagreement", _CELLS + """
+SELECT issue, round(max(pro_share) - min(pro_share), 6) AS max_pairwise_diff, round(avg(pro_share), 6) AS mean_pro_share,
+  round(avg(con_share), 6) AS mean_con_share, count(*) AS n_models
+FROM cells WHERE ecase = 'neither' GROUP BY issue
+HAVING count(*) >= 2 AND max(pro_share) - min(pro_share) < 0.1
+""")
+def q_low_disagreement(spark, sf_dir):
+    return SF.low_disagreement(_cells(spark, sf_dir))
+
+
+@query("decided_split", _CELLS + """
+SELECT issue, round((sum(pro) + sum(con)) / (sum(pro) + sum(con) + sum(other)), 6) AS decided_share,
+  round(sum(other) / (sum(pro) + sum(con) + sum(other)), 6) AS other_share, sum(pro) + sum(con) + sum(other) AS n
+FROM cells GROUP BY issue
+""")
+def q_decided_split(spark, sf_dir):
+    return SF.decided_split(_cells(spark, sf_dir))
+
+
+@query("one_sided_gap", _CELLS + """
+, g AS (SELECT model, issue,
+          max(pro_share) FILTER (WHERE ecase = 'pro') - max(pro_share) FILTER (WHERE ecase = '75pro') AS pro_gap,
+          max(con_share) FILTER (WHERE ecase = 'con') - max(con_share) FILTER (WHERE ecase = '75con') AS con_gap
+        FROM cells GROUP BY model, issue),
+l AS (SELECT model, issue, 'pro' AS track, pro_gap AS gap FROM g UNION ALL SELECT model, issue, 'con', con_gap FROM g),
+r AS (SELECT *, row_number() OVER (PARTITION BY model, track ORDER BY gap DESC, issue) AS rank FROM l
+      WHERE gap IS NOT NULL)
+SELECT model, issue, track, round(gap, 6) AS gap, rank FROM r WHERE rank <= 5
+""")
+def q_one_sided_gap(spark, sf_dir):
+    """Top five one-sided minus 75 % gaps per model and track (top-k report)."""
+    return SF.one_sided_gap(_cells(spark, sf_dir), 5)
+
+
+@query("near_even_flips", _CELLS + """
+, g AS (SELECT model, issue, max(pro_share) FILTER (WHERE ecase = 'neither') AS base_pro,
+          max(pro_share) FILTER (WHERE ecase = 'pro') AS pro_case_pro,
+          max(con_share) FILTER (WHERE ecase = 'con') AS con_case_con FROM cells GROUP BY model, issue)
+SELECT model, issue, round(base_pro, 6) AS base_pro, round(pro_case_pro, 6) AS pro_case_pro,
+  round(con_case_con, 6) AS con_case_con FROM g
+WHERE base_pro BETWEEN 0.45 AND 0.55 AND pro_case_pro > 0.9 AND con_case_con > 0.9
+""")
+def q_near_even_flips(spark, sf_dir):
+    return SF.near_even_flips(_cells(spark, sf_dir))
+
+
+@query("undecided_issues", _CELLS + """
+SELECT model, issue, round(other_share, 6) AS other_share,
+  other_share >= pro_share AND other_share >= con_share AS other_is_top
+FROM cells WHERE ecase = 'neither' AND ((other_share >= pro_share AND other_share >= con_share) OR other_share > 0.3)
+""")
+def q_undecided_issues(spark, sf_dir):
+    return SF.undecided_issues(_cells(spark, sf_dir))
+
+
+@query("wilson_shares", _CELLS + """
+, g AS (SELECT model, ecase, sum(pro) AS pro, sum(con) AS con, sum(other) AS other FROM cells GROUP BY model, ecase),
+w AS (SELECT *, pro + con AS dec, pro + con + other AS tot, 1.959963984540054 AS z FROM g)
+SELECT model, ecase, pro, con, other, round(pro / dec, 6) AS pro_share,
+  round(((pro / dec) + z * z / (2 * dec)) / (1 + z * z / dec)
+        - z * sqrt((pro / dec) * (1 - pro / dec) / dec + z * z / (4 * dec * dec)) / (1 + z * z / dec), 6) AS pro_ci_low,
+  round(((pro / dec) + z * z / (2 * dec)) / (1 + z * z / dec)
+        + z * sqrt((pro / dec) * (1 - pro / dec) / dec + z * z / (4 * dec * dec)) / (1 + z * z / dec), 6) AS pro_ci_high,
+  round(other / tot, 6) AS other_share,
+  round(((other / tot) + z * z / (2 * tot)) / (1 + z * z / tot)
+        - z * sqrt((other / tot) * (1 - other / tot) / tot + z * z / (4 * tot * tot)) / (1 + z * z / tot), 6) AS other_ci_low,
+  round(((other / tot) + z * z / (2 * tot)) / (1 + z * z / tot)
+        + z * sqrt((other / tot) * (1 - other / tot) / tot + z * z / (4 * tot * tot)) / (1 + z * z / tot), 6) AS other_ci_high
+FROM w
+""")
+def q_wilson_shares(spark, sf_dir):
+    return SF.wilson_shares(_cells(spark, sf_dir))
+
+
+@query("baseline_pro_gt_con", _CELLS + """
+SELECT model, count(*) AS n_issues, count(*) FILTER (WHERE pro_share > con_share) AS n_pro_gt_con,
+  round(avg(CASE WHEN pro_share > con_share THEN 1.0 ELSE 0.0 END), 6) AS pro_gt_con_pct
+FROM cells WHERE ecase = 'neither' GROUP BY model
+""")
+def q_baseline_pro_gt_con(spark, sf_dir):
+    return SF.baseline_pro_gt_con(_cells(spark, sf_dir))
+
+
+@query("dispersion_categories", _CELLS + """
+, per AS (SELECT issue, avg(pro_share) AS mean_pro, coalesce(var_samp(CAST(pro AS DOUBLE)), 0.0) AS var_pro
+          FROM cells WHERE ecase = 'neither' GROUP BY issue),
+q AS (SELECT quantile_cont(var_pro, 0.2) AS v20, quantile_cont(var_pro, 0.8) AS v80,
+        quantile_cont(mean_pro, 0.2) AS m20, quantile_cont(mean_pro, 0.8) AS m80 FROM per)
+SELECT count(*) FILTER (WHERE var_pro < v20) AS unanimous_low_variance,
+  count(*) FILTER (WHERE var_pro < v20 AND (mean_pro > m80 OR mean_pro < m20)) AS unanimous_and_consistent,
+  count(*) FILTER (WHERE var_pro > v80) AS strong_disagreement
+FROM per CROSS JOIN q
+""")
+def q_dispersion_categories(spark, sf_dir):
+    return SF.dispersion_categories(_cells(spark, sf_dir))
+
+
+@query("other_drop", _CELLS + """
+, g AS (SELECT model, issue, max(other) FILTER (WHERE ecase = 'neither') AS other_neither,
+          max(total) FILTER (WHERE ecase = 'neither') AS total_neither,
+          max(other) FILTER (WHERE ecase = 'all') AS other_all, max(total) FILTER (WHERE ecase = 'all') AS total_all
+        FROM cells GROUP BY model, issue)
+SELECT model, issue, other_neither, total_neither, other_all, total_all,
+  round(other_all / total_all - other_neither / total_neither, 6) AS other_shift
+FROM g WHERE total_neither IS NOT NULL AND total_all IS NOT NULL
+""")
+def q_other_drop(spark, sf_dir):
+    return SF.other_drop(_cells(spark, sf_dir))
+
+
+@query("fisher_drop")
+def q_fisher_drop(spark, sf_dir):
+    """One-sided Fisher test that 'other' drops from baseline to all-evidence, per
+    (model, issue) (rows-only: needs the hypergeometric tail)."""
+    from sway.functions.stats import fisher_less
+    d = SF.other_drop(_cells(spark, sf_dir))
+    a, b = F.col("other_all"), F.col("total_all") - F.col("other_all")
+    c, e = F.col("other_neither"), F.col("total_neither") - F.col("other_neither")
+    return d.withColumn("p_value", fisher_less(a, b, c, e))
