@@ -1,3 +1,27 @@
-"""Queries: q_stream."""
+"""Queries: streaming ingest of prediction shards (build step 12)."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sway.plans.catalog import query
+from sway.plans.q_parse import _question_map
+from sway.sources import fixtures as fx
+from sway.streaming.stance_stream import run_stance_stream
+
+
+@query("stream_stance_counts", """
+SELECT issue, issue_stance, "count", ecase, model FROM stance_counts
+""")
+def q_stream_stance_counts(spark, sf_dir):
+    """Prediction lines (with their model and a line id) are written as four JSON shards,
+    ingested with ``availableNow``; the result equals the batch ``stance_counts``."""
+    lines = fx.prediction_lines(spark, sf_dir)
+    line_id = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")],
+                          F.sha1(F.col("value")))
+    # add the line id and model to each JSON object
+    value = F.concat(F.lit('{"line_id":"'), line_id, F.lit('","model":"'), F.col("model"), F.lit('",'),
+                     F.expr("substring(value, 2)"))
+    shards = lines.select(value.alias("value"), (F.col("trial_num") % 4).alias("shard"))
+    return run_stance_stream(spark, shards, _question_map(spark, sf_dir)).select(
+        "issue", "issue_stance", "count", "ecase", "model")

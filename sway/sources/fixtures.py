@@ -48,7 +48,7 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
          .otherwise("con").alias("issue_stance"),
         F.when(F.col("l_returnflag") == "A", "pro")
          .when(F.col("l_returnflag") == "R", "con").alias("last_argument"),
-        "l_orderkey", "l_linenumber",
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
     )
 
 
@@ -126,7 +126,7 @@ def prediction_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.struct(F.array(F.struct(F.struct(txt.alias("content")).alias("message")))
                      .alias("choices")).alias("response"))))
     )
-    return r.select("model", "l_orderkey", "l_linenumber", "trial_num", "question_stance",
+    return r.select("model", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "trial_num", "question_stance",
                     "issue", "ecase", line.alias("value"))
 
 
