@@ -77,3 +77,14 @@ def wilson(k: Column, n: Column, z: float = Z975) -> tuple[Column, Column]:
     centre = (p + z * z / (2 * nd)) / denom
     half = z * F.sqrt(p * (1 - p) / nd + z * z / (4 * nd * nd)) / denom
     return centre - half, centre + half
+
+
+def pearson(x: Column, y: Column) -> Column:
+    """Pearson correlation as an aggregate; NULL (not an ANSI error) when a side is constant."""
+    both = x.isNotNull() & y.isNotNull()
+    xx, yy = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
+    n = F.count(xx)
+    sxy = F.sum(xx * yy) - F.sum(xx) * F.sum(yy) / n
+    sxx = F.sum(xx * xx) - F.sum(xx) * F.sum(xx) / n
+    syy = F.sum(yy * yy) - F.sum(yy) * F.sum(yy) / n
+    return F.try_divide(sxy, F.sqrt(sxx * syy))

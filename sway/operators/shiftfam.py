@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from sway.functions.stats import wilson
+from sway.functions.stats import pearson, wilson
 
 PRO_SIDE = ("pro", "75pro")
 CON_SIDE = ("con", "75con")
@@ -137,7 +137,7 @@ def pair_agreement(cells: DataFrame, case_sets: dict[str, tuple[str, ...]]) -> D
         aggs, names = [], []
         for i, a in enumerate(models):
             for b in models[i + 1:]:
-                aggs += [F.corr(F.col(f"`{a}`"), F.col(f"`{b}`")), F.count(F.when(
+                aggs += [pearson(F.col(f"`{a}`"), F.col(f"`{b}`")), F.count(F.when(
                     F.col(f"`{a}`").isNotNull() & F.col(f"`{b}`").isNotNull(), 1))]
                 names.append((a, b))
         row = sub.agg(*[x.alias(f"c{k}") for k, x in enumerate(aggs)])
@@ -226,12 +226,9 @@ def dispersion_categories(cells: DataFrame) -> DataFrame:
     b = cells.filter(F.col("ecase") == "neither")
     per = b.groupBy("issue").agg(F.avg("pro_share").alias("mean_pro"),
                                  F.coalesce(F.var_samp(F.col("pro").cast("double")), F.lit(0.0)).alias("var_pro"))
-    # one row per issue: the quantile window spans a table bounded by the issue count
-    whole = W.partitionBy()
-    j = per.select("*", F.percentile("var_pro", 0.2).over(whole).alias("v20"),
-                   F.percentile("var_pro", 0.8).over(whole).alias("v80"),
-                   F.percentile("mean_pro", 0.2).over(whole).alias("m20"),
-                   F.percentile("mean_pro", 0.8).over(whole).alias("m80"))
+    # global quantiles as scalar subqueries (no join, no single-partition window)
+    j = per.select("*", *[per.select(F.percentile(c, q)).scalar().alias(a) for c, q, a in (
+        ("var_pro", 0.2, "v20"), ("var_pro", 0.8, "v80"), ("mean_pro", 0.2, "m20"), ("mean_pro", 0.8, "m80"))])
     low = F.col("var_pro") < F.col("v20")
     consistent = low & ((F.col("mean_pro") > F.col("m80")) | (F.col("mean_pro") < F.col("m20")))
     return j.agg(F.count_if(low).alias("unanimous_low_variance"),

@@ -1,3 +1,127 @@
-"""Queries: q_evidence."""
+"""Queries: per-argument evidence effects and their cross-model patterns (build step 7)."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sway.functions import features as FT
+from sway.operators import evidence as EV
+from sway.plans.catalog import query
+from sway.sources import fixtures as fx
+from sway.sources.tables import read_table
+
+_EFFECTS = """
+WITH ev AS (SELECT doc_id AS evidence_id, sha256(text) AS evidence_hash FROM documents),
+t AS (SELECT tr.model, tr.issue, tr.paraphrase_idx AS question, tr.ecase, tr.issue_stance,
+        CASE WHEN tr.ecase <> 'neither' THEN ev.evidence_hash END AS evidence_hash
+      FROM trials tr LEFT JOIN ev ON ev.evidence_id = tr.evidence_id),
+base AS (SELECT model, issue, question, count(*) FILTER (WHERE issue_stance = 'pro') / 15 AS proportion
+         FROM t WHERE evidence_hash IS NULL GROUP BY model, issue, question),
+we AS (SELECT model, issue, question, evidence_hash, count(*) FILTER (WHERE issue_stance = 'pro') AS pro_n,
+         count(*) AS tot FROM t WHERE evidence_hash IS NOT NULL GROUP BY model, issue, question, evidence_hash),
+m AS (SELECT we.*, pro_n / tot - b.proportion AS shift FROM we LEFT JOIN base b USING (model, issue, question)),
+effects AS (SELECT model, evidence_hash, sum(shift * tot) / sum(tot) AS average_proportion_shift,
+              sum(tot) AS n_trials FROM m GROUP BY model, evidence_hash),
+summary AS (SELECT evidence_hash, count(average_proportion_shift) AS n_models,
+              median(average_proportion_shift) AS median_shift, avg(average_proportion_shift) AS mean_shift,
+              median(abs(average_proportion_shift)) AS median_abs_shift,
+              avg(abs(average_proportion_shift)) AS mean_abs_shift,
+              CASE WHEN count(average_proportion_shift) > 0 THEN
+                greatest(count(*) FILTER (WHERE average_proportion_shift > 0),
+                         count(*) FILTER (WHERE average_proportion_shift < 0)) / count(average_proportion_shift) END
+                AS sign_agreement_rate,
+              stddev_samp(average_proportion_shift) AS between_model_std
+            FROM effects GROUP BY evidence_hash),
+a AS (SELECT * FROM summary WHERE n_models >= 3),
+labels AS (SELECT a.*, CASE WHEN between_model_std IS NULL THEN 'insufficient-variance-info'
+             WHEN sign_agreement_rate >= 0.9 AND between_model_std <= (SELECT median(between_model_std) FROM a)
+               THEN 'consensus-effective'
+             WHEN sign_agreement_rate < 0.9 AND between_model_std > (SELECT median(between_model_std) FROM a)
+               THEN 'polarizing-effective'
+             WHEN sign_agreement_rate >= 0.9 THEN 'agreement-with-variable-strength'
+             ELSE 'mixed-direction-moderate-variance' END AS evidence_effect_pattern FROM a)
+"""
+
+
+def _evidence(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return d.select(F.col("doc_id").alias("evidence_id"), F.sha2("text", 256).alias("evidence_hash"))
+
+
+def _effects(spark, sf_dir):
+    t = fx.trials(spark, sf_dir).select("model", "issue", F.col("paraphrase_idx").alias("question"), "ecase",
+                                        "evidence_id", "issue_stance")
+    return EV.evidence_effect(t, _evidence(spark, sf_dir))
+
+
+@query("evidence_effect", _EFFECTS + """
+SELECT model, evidence_hash, round(average_proportion_shift, 6) AS average_proportion_shift, n_trials FROM effects
+""")
+def q_evidence_effect(spark, sf_dir):
+    return _effects(spark, sf_dir)
+
+
+@query("evidence_summary", _EFFECTS + """
+SELECT evidence_hash, n_models, round(median_shift, 6) AS median_shift, round(mean_shift, 6) AS mean_shift,
+  round(median_abs_shift, 6) AS median_abs_shift, round(mean_abs_shift, 6) AS mean_abs_shift,
+  round(sign_agreement_rate, 6) AS sign_agreement_rate, round(between_model_std, 6) AS between_model_std
+FROM summary
+""")
+def q_evidence_summary(spark, sf_dir):
+    return EV.evidence_summary(_effects(spark, sf_dir))
+
+
+@query("pattern_labels", _EFFECTS + """
+SELECT evidence_hash, n_models, round(median_abs_shift, 6) AS median_abs_shift,
+  round(sign_agreement_rate, 6) AS sign_agreement_rate, round(between_model_std, 6) AS between_model_std,
+  evidence_effect_pattern FROM labels
+""")
+def q_pattern_labels(spark, sf_dir):
+    lab = EV.pattern_labels(EV.evidence_summary(_effects(spark, sf_dir)))
+    return lab.select("evidence_hash", "n_models", "median_abs_shift", "sign_agreement_rate",
+                      "between_model_std", "evidence_effect_pattern")
+
+
+@query("pattern_counts", _EFFECTS + """
+SELECT evidence_effect_pattern, count(*) AS n_items FROM labels GROUP BY evidence_effect_pattern
+""")
+def q_pattern_counts(spark, sf_dir):
+    lab = EV.pattern_labels(EV.evidence_summary(_effects(spark, sf_dir)))
+    return lab.groupBy("evidence_effect_pattern").agg(F.count(F.lit(1)).alias("n_items"))
+
+
+# The twelve features of the pattern and multivariate tables.
+PATTERN_FEATURES = ("has_percent", "has_normative_language", "has_source_cue", "has_strict_source",
+                    "has_strict_statistics", "avg_word_length", "flesch_kincaid_grade_est",
+                    "percent_count_per_100_words", "source_cue_count_per_100_words",
+                    "normative_cue_count_per_100_words", "stats_cue_count_per_100_words",
+                    "citation_count_per_100_words")
+
+
+def _item_features(spark, sf_dir):
+    """Text features per evidence item (one row per distinct evidence hash)."""
+    d = read_table(spark, sf_dir, "documents").select("text").dropDuplicates(["text"])
+    f = d.select(F.sha2("text", 256).alias("evidence_hash"), *FT.text_features(F.col("text")))
+    return f.select("evidence_hash", *[F.col(c).cast("double").alias(c) for c in PATTERN_FEATURES])
+
+
+@query("pattern_means")
+def q_pattern_means(spark, sf_dir):
+    """Mean of each feature per pattern with the group size (rows-only: features use
+    Unicode-aware regex counters, checked by brute force in tests/test_text.py)."""
+    lab = EV.pattern_labels(EV.evidence_summary(_effects(spark, sf_dir)))
+    j = lab.join(_item_features(spark, sf_dir), "evidence_hash")
+    return j.groupBy("evidence_effect_pattern").agg(
+        F.count(F.lit(1)).alias("n_items"), *[F.avg(c).alias(c) for c in PATTERN_FEATURES])
+
+
+@query("spearman_features")
+def q_spearman_features(spark, sf_dir):
+    """Spearman rho between each feature and the median absolute shift over items seen by
+    at least three models (ranks by window; rows-only)."""
+    lab = EV.pattern_labels(EV.evidence_summary(_effects(spark, sf_dir)))
+    j = lab.join(_item_features(spark, sf_dir), "evidence_hash")
+    stack = ", ".join(f"'{c}', {c}" for c in PATTERN_FEATURES)
+    long = j.selectExpr("evidence_hash", "median_abs_shift",
+                        f"stack({len(PATTERN_FEATURES)}, {stack}) AS (feature, value)")
+    return EV.spearman_by_feature(long, "median_abs_shift")

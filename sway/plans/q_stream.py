@@ -17,8 +17,7 @@ def q_stream_stance_counts(spark, sf_dir):
     """Prediction lines (with their model and a line id) are written as four JSON shards,
     ingested with ``availableNow``; the result equals the batch ``stance_counts``."""
     lines = fx.prediction_lines(spark, sf_dir)
-    line_id = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")],
-                          F.sha1(F.col("value")))
+    line_id = F.col("line_id")
     # add the line id and model to each JSON object
     value = F.concat(F.lit('{"line_id":"'), line_id, F.lit('","model":"'), F.col("model"), F.lit('",'),
                      F.expr("substring(value, 2)"))
