@@ -1,3 +1,29 @@
-"""Queries: q_pages."""
+"""Queries: stored pages -> sections and link graph (build step 11)."""
 
 from __future__ import annotations
+
+from sway.operators import pages as PG
+from sway.plans.catalog import query
+from sway.sources.tables import read_table
+
+
+@query("page_sections")
+def q_page_sections(spark, sf_dir):
+    """Title, heading, article paragraphs, quotes, footnotes and link counts per page
+    (HTML parsed in ``mapInPandas``; rows-only check)."""
+    return PG.page_sections(read_table(spark, sf_dir, "pages").select("page_id", "html"))
+
+
+@query("page_links", """
+WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages),
+r AS (SELECT page_id, href,
+        CASE WHEN regexp_matches(href, '^https?://') THEN href
+             WHEN starts_with(href, '/') THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || href
+             ELSE regexp_extract(url, '^(https?://[^?#]*/)', 1) || href END AS target_url FROM l)
+SELECT r.page_id, r.href, r.target_url, coalesce(p.page_id, r.page_id) AS target_page_id,
+  p.page_id IS NOT NULL AS found
+FROM r LEFT JOIN pages p ON p.url = r.target_url
+""")
+def q_page_links(spark, sf_dir):
+    """Links of each page resolved against its URL and joined to the stored pages."""
+    return PG.page_links(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
