@@ -64,10 +64,14 @@ def pattern_labels(summary: DataFrame, min_models: int = MIN_MODELS) -> DataFram
     return a.withColumn("evidence_effect_pattern", label)
 
 
-def average_rank(df: DataFrame, part: list[str], value: str, out: str) -> DataFrame:
-    """Average (mid) rank of ``value`` within ``part``, ties share the mean rank."""
-    w = W.partitionBy(*part).orderBy(value)
-    ties = W.partitionBy(*part, value)
+def average_rank(df: DataFrame, part: list[str], value: str, out: str, digits: int = 12) -> DataFrame:
+    """Average (mid) rank of ``value`` within ``part``, ties share the mean rank.
+
+    Values are compared after rounding to ``digits`` decimals so that equal
+    quantities reached through different summation orders still tie."""
+    key = F.round(F.col(value), digits)
+    w = W.partitionBy(*part).orderBy(key)
+    ties = W.partitionBy(*part, key)
     return df.withColumn(out, F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2.0)
 
 

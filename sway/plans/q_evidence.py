@@ -125,3 +125,35 @@ def q_spearman_features(spark, sf_dir):
     long = j.selectExpr("evidence_hash", "median_abs_shift",
                         f"stack({len(PATTERN_FEATURES)}, {stack}) AS (feature, value)")
     return EV.spearman_by_feature(long, "median_abs_shift")
+
+
+@query("pair_alignment", _EFFECTS + """
+, rk AS (SELECT model, evidence_hash, average_proportion_shift AS s,
+           rank() OVER (PARTITION BY model ORDER BY round(average_proportion_shift, 12))
+           + (count(*) OVER (PARTITION BY model, round(average_proportion_shift, 12)) - 1) / 2.0 AS r
+         FROM effects WHERE average_proportion_shift IS NOT NULL)
+SELECT a.model AS model_a, b.model AS model_b, count(*) AS n, round(corr(a.s, b.s), 6) AS pearson_r,
+  round(corr(a.r, b.r), 6) AS spearman_rho
+FROM rk a JOIN rk b ON a.evidence_hash = b.evidence_hash AND a.model < b.model
+GROUP BY a.model, b.model
+""")
+def q_pair_alignment(spark, sf_dir):
+    """Agreement of two models' per-item effects: Pearson and Spearman (average ranks) for
+    every model pair, computed column-wise after one pivot of items x models.  Ranks are
+    taken per model over its items (every model covers every item here)."""
+    from sway.functions.stats import pearson
+
+    e = _effects(spark, sf_dir).filter(F.col("average_proportion_shift").isNotNull())
+    r = EV.average_rank(e, ["model"], "average_proportion_shift", "r")
+    models = sorted(x[0] for x in r.select("model").distinct().collect())
+    wide = r.groupBy("evidence_hash").pivot("model", models).agg(
+        F.first("average_proportion_shift").alias("s"), F.first("r").alias("r"))
+    aggs, names = [], []
+    for i, a in enumerate(models):
+        for b in models[i + 1:]:
+            sa, sb, ra, rb = (F.col(f"`{m}_{k}`") for m, k in ((a, "s"), (b, "s"), (a, "r"), (b, "r")))
+            aggs += [F.count(F.when(sa.isNotNull() & sb.isNotNull(), 1)), pearson(sa, sb), pearson(ra, rb)]
+            names.append((a, b))
+    row = wide.agg(*[x.alias(f"c{k}") for k, x in enumerate(aggs)])
+    stack = ", ".join(f"'{a}', '{b}', c{3 * k}, c{3 * k + 1}, c{3 * k + 2}" for k, (a, b) in enumerate(names))
+    return row.selectExpr(f"stack({len(names)}, {stack}) AS (model_a, model_b, n, pearson_r, spearman_rho)")

@@ -175,3 +175,16 @@ def q_judge_resume(spark, sf_dir):
     j = fx.judgments(spark, sf_dir)
     par = j.select("topic", "paraphrase_idx").distinct()
     return J.pending_judgments(par, ["j0", "j1", "j2", "j3"], j)
+
+
+@query("non_neutral_topics", """
+SELECT topic, count(DISTINCT CASE WHEN label <> 'neutral' THEN paraphrase_idx END) AS non_neutral_paraphrases,
+  count(DISTINCT paraphrase_idx) AS paraphrases
+FROM judgments GROUP BY topic
+""")
+def q_non_neutral_topics(spark, sf_dir):
+    """Per topic: paraphrases that at least one judge found non-neutral."""
+    j = fx.judgments(spark, sf_dir)
+    return j.groupBy("topic").agg(
+        F.countDistinct(F.when(F.col("label") != "neutral", F.col("paraphrase_idx"))).alias("non_neutral_paraphrases"),
+        F.countDistinct("paraphrase_idx").alias("paraphrases"))
