@@ -135,29 +135,36 @@ def rank_layout(ranked: DataFrame, variants=VARIANTS) -> DataFrame:
 
 
 def rank_overlap(ranked: DataFrame, table: str, anchor: str = VARIANTS[0].name) -> DataFrame:
-    """Positions where two variants rank the same model, for pairs with the anchor."""
-    a = ranked.select("rank", F.col("variant").alias("variant_a"), F.col("model").alias("model_a"))
-    b = ranked.select("rank", F.col("variant").alias("variant_b"), F.col("model").alias("model_b"))
-    j = a.join(b, "rank").filter(F.col("variant_a") < F.col("variant_b"))
-    j = j.filter((F.col("variant_a") == anchor) | (F.col("variant_b") == anchor))
-    same = F.col("model_a") == F.col("model_b")
-    g = j.groupBy("variant_a", "variant_b").agg(
-        F.count(F.lit(1)).alias("positions_compared"),
-        F.count_if(same).alias("same_position_count"),
-        F.sort_array(F.collect_list(F.when(same, F.struct("rank", "model_a")))).alias("_m"))
-    return g.select(
-        F.lit(table).alias("table"), "variant_a", "variant_b", "positions_compared", "same_position_count",
-        (F.col("same_position_count") / F.col("positions_compared") * 100.0).alias("same_position_pct"),
-        F.array_join(F.transform("_m", lambda s: s["rank"].cast("string")), ", ").alias("matching_ranks"),
-        F.array_join(F.transform("_m", lambda s: s["model_a"]), ", ").alias("matching_models"),
-        F.when(F.col("variant_a") == anchor, F.col("variant_b")).otherwise(F.col("variant_a"))
-         .alias("other_variant"))
+    """Positions where the anchor variant and each other variant rank the same model.
+
+    One pivot (rank x variant -> model) and a comparison of columns; no
+    row-level pairing of variants."""
+    names = sorted(r[0] for r in ranked.select("variant").distinct().collect())
+    others = [v for v in names if v != anchor]
+    wide = ranked.groupBy("rank").pivot("variant", names).agg(F.first("model"))
+    parts = []
+    for o in others:
+        a, b = (anchor, o) if anchor < o else (o, anchor)
+        both = F.col(f"`{a}`").isNotNull() & F.col(f"`{b}`").isNotNull()
+        same = both & (F.col(f"`{a}`") == F.col(f"`{b}`"))
+        g = wide.agg(F.count_if(both).alias("positions_compared"), F.count_if(same).alias("same_position_count"),
+                     F.sort_array(F.collect_list(F.when(same, F.struct("rank", F.col(f"`{a}`").alias("m")))))
+                     .alias("_m"))
+        parts.append(g.select(
+            F.lit(table).alias("table"), F.lit(a).alias("variant_a"), F.lit(b).alias("variant_b"),
+            "positions_compared", "same_position_count",
+            (F.col("same_position_count") / F.col("positions_compared") * 100.0).alias("same_position_pct"),
+            F.array_join(F.transform("_m", lambda s: s["rank"].cast("string")), ", ").alias("matching_ranks"),
+            F.array_join(F.transform("_m", lambda s: s["m"]), ", ").alias("matching_models"),
+            F.lit(o).alias("other_variant")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def shared_topics(score_rows: DataFrame) -> DataFrame:
     """Issues scored for every model (relational division by distinct count)."""
     pairs = score_rows.select("model", "issue").distinct()
-    n_models = pairs.agg(F.countDistinct("model").alias("n_models"))
     per = pairs.groupBy("issue").agg(F.countDistinct("model").alias("models_with_issue"))
-    return per.join(n_models, per["models_with_issue"] == n_models["n_models"]).select(
-        "issue", "models_with_issue")
+    return per.filter(F.col("models_with_issue") == pairs.select(F.countDistinct("model")).scalar())

@@ -224,8 +224,10 @@ def dispersion_categories(cells: DataFrame) -> DataFrame:
     models; categories by the 0.2/0.8 quantiles over issues (the per-issue table has one
     row per issue, so the quantiles are taken over a bounded table)."""
     b = cells.filter(F.col("ecase") == "neither")
-    per = b.groupBy("issue").agg(F.avg("pro_share").alias("mean_pro"),
-                                 F.coalesce(F.var_samp(F.col("pro").cast("double")), F.lit(0.0)).alias("var_pro"))
+    # statistics rounded to 9 decimals so threshold comparisons do not hinge on summation order
+    per = b.groupBy("issue").agg(
+        F.round(F.avg("pro_share"), 9).alias("mean_pro"),
+        F.round(F.coalesce(F.var_samp(F.col("pro").cast("double")), F.lit(0.0)), 9).alias("var_pro"))
     # global quantiles as scalar subqueries (no join, no single-partition window)
     j = per.select("*", *[per.select(F.percentile(c, q)).scalar().alias(a) for c, q, a in (
         ("var_pro", 0.2, "v20"), ("var_pro", 0.8, "v80"), ("mean_pro", 0.2, "m20"), ("mean_pro", 0.8, "m80"))])

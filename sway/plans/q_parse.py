@@ -158,10 +158,10 @@ def q_error_rows(spark, sf_dir):
                                           F.countDistinct("custom_id").alias("n_error_ids"))
     prompts = fx.responses(spark, sf_dir).select("custom_id")
     resend = prompts.join(errs.select("custom_id").distinct(), "custom_id", "left_semi")
-    totals = (resend.agg(F.count(F.lit(1)).alias("n_prompts_for_errors"))
-              .join(retry.agg(F.count(F.lit(1)).alias("n_retried"))))
-    return per_model.join(totals).select("model", "n_errors", "n_error_ids",
-                                         "n_prompts_for_errors", "n_retried")
+    # whole-table totals as scalar subqueries (no join against a one-row table)
+    return per_model.select("model", "n_errors", "n_error_ids",
+                            resend.select(F.count(F.lit(1))).scalar().alias("n_prompts_for_errors"),
+                            retry.select(F.count(F.lit(1))).scalar().alias("n_retried"))
 
 
 @query("unparsed_sample", f"""
@@ -174,9 +174,8 @@ def q_unparsed_sample(spark, sf_dir):
     """First 100 unparsed replies (the QA listing) with the total count."""
     r = fx.responses(spark, sf_dir).select("custom_id", "l_orderkey", "l_linenumber", "response_text")
     o = r.filter(P.answer_letter(F.col("response_text")) == "Other")
-    n = o.agg(F.count(F.lit(1)).alias("n_other"))
     top = o.orderBy("custom_id", "l_orderkey", "l_linenumber").limit(100)
-    return top.join(n)
+    return top.select("*", o.select(F.count(F.lit(1))).scalar().alias("n_other"))
 
 
 @query("framing_audit", """

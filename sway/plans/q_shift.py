@@ -267,7 +267,7 @@ def q_baseline_pro_gt_con(spark, sf_dir):
 
 
 @query("dispersion_categories", _CELLS + """
-, per AS (SELECT issue, avg(pro_share) AS mean_pro, coalesce(var_samp(CAST(pro AS DOUBLE)), 0.0) AS var_pro
+, per AS (SELECT issue, round(avg(pro_share), 9) AS mean_pro, round(coalesce(var_samp(CAST(pro AS DOUBLE)), 0.0), 9) AS var_pro
           FROM cells WHERE ecase = 'neither' GROUP BY issue),
 q AS (SELECT quantile_cont(var_pro, 0.2) AS v20, quantile_cont(var_pro, 0.8) AS v80,
         quantile_cont(mean_pro, 0.2) AS m20, quantile_cont(mean_pro, 0.8) AS m80 FROM per)
