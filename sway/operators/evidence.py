@@ -30,8 +30,9 @@ def evidence_effect(trials: DataFrame, evidence: DataFrame, per_question: int =
              .agg(pro.alias("pro_n"), F.count(F.lit(1)).alias("total_with_evidence")))
     m = withe.join(base, ["model", "issue", "question"], "left").withColumn(
         "shift", F.col("pro_n") / F.col("total_with_evidence") - F.col("proportion"))
+    # rounded to 12 decimals: a mathematically zero shift must not get a sign from float noise
     return m.groupBy("model", "evidence_hash").agg(
-        (F.sum(F.col("shift") * F.col("total_with_evidence")) / F.sum("total_with_evidence"))
+        F.round(F.sum(F.col("shift") * F.col("total_with_evidence")) / F.sum("total_with_evidence"), 12)
         .alias("average_proportion_shift"),
         F.sum("total_with_evidence").alias("n_trials"))
 
