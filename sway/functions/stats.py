@@ -88,3 +88,9 @@ def pearson(x: Column, y: Column) -> Column:
     sxx = F.sum(xx * xx) - F.sum(xx) * F.sum(xx) / n
     syy = F.sum(yy * yy) - F.sum(yy) * F.sum(yy) / n
     return F.try_divide(sxy, F.sqrt(sxx * syy))
+
+
+def p_marker(p: Column, alpha: float = 0.05, ns: str = "ns") -> Column:
+    """Star marker of a p-value; NULL/NaN -> '' ; ``ns`` for not significant ('' in one variant)."""
+    return (F.when(p.isNull() | F.isnan(p), "").when(p < 0.001, "***").when(p < 0.01, "**")
+            .when(p < alpha, "*").otherwise(ns))

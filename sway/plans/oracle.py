@@ -58,7 +58,7 @@ WITH trials AS (
     count(*) FILTER (WHERE issue_stance = 'con') / count(*) AS con_share
   FROM trials WHERE issue <> 'unknown' GROUP BY model, ecase, issue, trial_num
 ), arguments AS (
-  SELECT source AS topic, CASE WHEN doc_id % 2 = 0 THEN 'pro' ELSE 'con' END AS side, doc_id, text
+  SELECT source AS topic, CASE WHEN substr(md5(CAST(doc_id AS VARCHAR)), 1, 1) < '8' THEN 'pro' ELSE 'con' END AS side, doc_id, text
   FROM documents
 )
 """

@@ -188,3 +188,32 @@ def q_non_neutral_topics(spark, sf_dir):
     return j.groupBy("topic").agg(
         F.countDistinct(F.when(F.col("label") != "neutral", F.col("paraphrase_idx"))).alias("non_neutral_paraphrases"),
         F.countDistinct("paraphrase_idx").alias("paraphrases"))
+
+
+# Judge instruction text before and after the paraphrase.
+JUDGE_HEAD = ("You are evaluating whether wording is neutral.\n"
+              "Assess ONLY the language framing of this prompt, not whether the issue position is true.\n\n"
+              "Prompt to evaluate:\n")
+JUDGE_TAIL = ("\n\nClassify with exactly one label:\n- neutral\n- leans_pro\n- leans_con\n\n"
+              "Rubric:\n- 'neutral' means wording is balanced and non-loaded.\n"
+              "- 'leans_pro' means wording subtly favors the pro position.\n"
+              "- 'leans_con' means wording subtly favors the con position.\n"
+              "- Forced binary choice alone does not imply non-neutrality.\n\n"
+              "Return strict JSON only in this exact schema:\n"
+              '{"label":"neutral|leans_pro|leans_con","confidence":0.0,"rationale":"short"}')
+
+
+def judge_prompt(text):
+    """The neutrality-judge instruction around a paraphrase (fixed wording of the study)."""
+    return F.concat(F.lit(JUDGE_HEAD), text, F.lit(JUDGE_TAIL))
+
+
+@query("judge_prompts", """
+SELECT DISTINCT topic, paraphrase_idx, length(concat(replace(topic, '-', ' '), ' v', paraphrase_idx)) + {n} AS prompt_chars
+FROM judgments
+""".replace("{n}", str(len(JUDGE_HEAD) + len(JUDGE_TAIL))))
+def q_judge_prompts(spark, sf_dir):
+    """Judge prompts for every judged paraphrase (length reported for the cross-check)."""
+    j = fx.judgments(spark, sf_dir).select("topic", "paraphrase_idx").distinct()
+    q = F.concat(F.replace("topic", F.lit("-"), F.lit(" ")), F.lit(" v"), F.col("paraphrase_idx").cast("string"))
+    return j.select("topic", "paraphrase_idx", F.length(judge_prompt(q)).alias("prompt_chars"))

@@ -78,7 +78,7 @@ c AS (SELECT prompt_id, topic, pos, regexp_replace(line, '^\\s+|\\s+$', '', 'g')
 cand AS (SELECT prompt_id, topic, pos, substr(line, 1, 50) AS prefix,
            CASE WHEN length(line) >= 50 THEN substr(line, CAST(floor(length(line) / 2) AS BIGINT) + 1, 50) END AS mid
          FROM c WHERE length(line) >= 20),
-args AS (SELECT source AS topic, CASE WHEN doc_id % 2 = 0 THEN 'pro' ELSE 'con' END AS side,
+args AS (SELECT source AS topic, CASE WHEN substr(md5(CAST(doc_id AS VARCHAR)), 1, 1) < '8' THEN 'pro' ELSE 'con' END AS side,
            regexp_replace(regexp_replace(text, '\\[\\d+\\]', '', 'g'), '^\\s+|\\s+$', '', 'g') AS clean
          FROM documents),
 probes AS (SELECT prompt_id, topic, pos, 0 AS kind, prefix AS probe FROM cand

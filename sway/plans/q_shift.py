@@ -302,3 +302,77 @@ def q_fisher_drop(spark, sf_dir):
     a, b = F.col("other_all"), F.col("total_all") - F.col("other_all")
     c, e = F.col("other_neither"), F.col("total_neither") - F.col("other_neither")
     return d.withColumn("p_value", fisher_less(a, b, c, e))
+
+
+# ---- smaller shift-family items ----
+
+@query("balanced_baseline", _CELLS + """
+SELECT issue, count(DISTINCT model) AS n_models, min(pro_share) AS _mn FROM cells WHERE ecase = 'neither'
+GROUP BY issue HAVING bool_and(pro_share BETWEEN 0.3 AND 0.7)
+""".replace(", min(pro_share) AS _mn", ""))
+def q_balanced_baseline(spark, sf_dir):
+    """Issues where every model's baseline pro share lies in [0.3, 0.7]."""
+    b = _cells(spark, sf_dir).filter(F.col("ecase") == "neither")
+    g = b.groupBy("issue").agg(F.countDistinct("model").alias("n_models"),
+                               F.bool_and(F.col("pro_share").between(0.3, 0.7)).alias("_all"))
+    return g.filter("_all").drop("_all")
+
+
+@query("nonsignificant_shifts")
+def q_nonsignificant_shifts(spark, sf_dir):
+    """Shift tests with p >= 0.05, with star markers (rows-only: t distribution)."""
+    from sway.functions.stats import p_marker
+    st = shift.shift_statistics(_shares(spark, sf_dir))
+    st = st.withColumn("significant", F.col("p_value") < 0.05).withColumn("sig", p_marker(F.col("p_value")))
+    return st.filter(~F.col("significant") | F.col("p_value").isNull())
+
+
+@query("shift_vs_recency", """
+WITH d AS (
+  SELECT c.model, c.ecase, c.pro_share - b.pro_share AS pro_shift
+  FROM trial_shares c JOIN trial_shares b
+    ON c.model = b.model AND c.issue = b.issue AND c.trial_num = b.trial_num
+  WHERE c.ecase <> 'neither' AND b.ecase = 'neither'),
+s AS (SELECT model, ecase, avg(pro_shift) AS mean_pro_shift, count(*) AS n_trials FROM d GROUP BY model, ecase),
+oc AS (SELECT model, ecase, count(*) AS n, count(*) FILTER (WHERE issue_stance = last_argument) AS agreed
+       FROM trials WHERE ecase IN ('all', '75/25', '75pro', '75con', 'con', 'pro') AND last_argument IS NOT NULL
+         AND issue <> 'unknown' GROUP BY model, ecase)
+SELECT s.model, s.ecase, round(mean_pro_shift, 6) AS mean_pro_shift, n_trials, round(agreed / n, 6) AS recency_rate
+FROM s JOIN oc USING (model, ecase)
+""")
+def q_shift_vs_recency(spark, sf_dir):
+    """Paired shift statistics joined with the recency rate on (model, case)."""
+    from sway.operators import order
+    t = fx.trials(spark, sf_dir)
+    s = shift.paired_shift(shares.trial_shares(t)).select("model", "ecase", "mean_pro_shift", "n_trials")
+    r = order.recency_rate(order.order_counts(t)).select("model", "ecase", "recency_rate")
+    return s.join(r, ["model", "ecase"])
+
+
+@query("other_shift_summary", _CELLS + """
+, p AS (SELECT a.model, a.other_share - n.other_share AS d FROM cells a JOIN cells n
+        ON a.model = n.model AND a.issue = n.issue AND a.ecase = 'all' AND n.ecase = 'neither')
+SELECT model, round(avg(d), 6) AS mean_other_shift, round(stddev_samp(d), 6) AS sd_other_shift, count(*) AS n_issues
+FROM p GROUP BY model
+""")
+def q_other_shift_summary(spark, sf_dir):
+    """Per model, over issues: mean and sd of the 'other' share change all-evidence vs baseline."""
+    c = _cells(spark, sf_dir)
+    a = c.filter(F.col("ecase") == "all").select("model", "issue", F.col("other_share").alias("oa"))
+    n = c.filter(F.col("ecase") == "neither").select("model", "issue", F.col("other_share").alias("on"))
+    d = a.join(n, ["model", "issue"]).withColumn("d", F.col("oa") - F.col("on"))
+    return d.groupBy("model").agg(F.avg("d").alias("mean_other_shift"), F.stddev_samp("d").alias("sd_other_shift"),
+                                  F.count(F.lit(1)).alias("n_issues"))
+
+
+@query("other_shift_ttest")
+def q_other_shift_ttest(spark, sf_dir):
+    """Paired t test over issues of the 'other' share, all vs neither, with the 95 % interval
+    and marker (rows-only; mean/sd/n oracled in ``other_shift_summary``)."""
+    from sway.functions.stats import p_marker, paired_t_p, t_margin
+    s = q_other_shift_summary(spark, sf_dir)
+    m, sd, n = F.col("mean_other_shift"), F.col("sd_other_shift"), F.col("n_issues")
+    half = F.coalesce(t_margin(sd, n), F.lit(0.0))
+    p = paired_t_p(m, sd, n)
+    return s.select("model", "mean_other_shift", "n_issues", p.alias("p_value"), (m - half).alias("ci_low"),
+                    (m + half).alias("ci_high"), p_marker(p).alias("marker"))

@@ -103,17 +103,18 @@ def q_token_cost(spark, sf_dir):
 
 
 @query("corpus_totals", """
-SELECT count(DISTINCT source) AS topics, count(*) FILTER (WHERE doc_id % 2 = 0) AS pro_arguments,
-  count(*) FILTER (WHERE doc_id % 2 = 1) AS con_arguments,
-  count(*) FILTER (WHERE doc_id % 2 = 0 AND contains(text, '"')) AS pro_quotes,
-  count(*) FILTER (WHERE doc_id % 2 = 1 AND contains(text, '"')) AS con_quotes
-FROM documents
+SELECT count(DISTINCT topic) AS topics, count(*) FILTER (WHERE side = 'pro') AS pro_arguments,
+  count(*) FILTER (WHERE side = 'con') AS con_arguments,
+  count(*) FILTER (WHERE side = 'pro' AND contains(text, '"')) AS pro_quotes,
+  count(*) FILTER (WHERE side = 'con' AND contains(text, '"')) AS con_quotes
+FROM arguments
 """)
 def q_corpus_totals(spark, sf_dir):
     """Topics, pro/con arguments and quoted arguments (arguments of a topic = its documents)."""
-    d = _docs(spark, sf_dir)
-    pro, quoted = F.col("doc_id") % 2 == 0, F.instr("text", '"') > 0
-    return d.agg(F.countDistinct("source").alias("topics"), F.count_if(pro).alias("pro_arguments"),
+    from sway.sources import fixtures as fx
+    d = fx.arguments(spark, sf_dir)
+    pro, quoted = F.col("side") == "pro", F.instr("text", '"') > 0
+    return d.agg(F.countDistinct("topic").alias("topics"), F.count_if(pro).alias("pro_arguments"),
                  F.count_if(~pro).alias("con_arguments"), F.count_if(pro & quoted).alias("pro_quotes"),
                  F.count_if(~pro & quoted).alias("con_quotes"))
 

@@ -132,9 +132,13 @@ def prediction_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Arguments of a topic: topic = ``source``, side = ``doc_id % 2`` (0 pro, 1 con)."""
+    """Arguments of a topic: topic = ``source``; side by the first hex digit of md5(doc_id)
+    (< 8 pro, else con), which splits every topic into both sides (the document
+    generator assigns sources by doc_id residue, so a parity rule would make each
+    topic one-sided)."""
     d = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return d.select(
         F.col("source").alias("topic"),
-        F.when(F.col("doc_id") % 2 == 0, "pro").otherwise("con").alias("side"),
+        F.when(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1) < "8", "pro")
+         .otherwise("con").alias("side"),
         "doc_id", "text")
