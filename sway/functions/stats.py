@@ -38,12 +38,12 @@ def binom_p_half(k: pd.Series, n: pd.Series) -> pd.Series:
 
 @pandas_udf(DoubleType())
 def fisher_two_sided(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-    return _nan_to_none(dist.fisher_exact(a.to_numpy(), b.to_numpy(), c.to_numpy(), d.to_numpy()))
+    return _nan_to_none(dist.fisher_exact(*(x.to_numpy(dtype=float, na_value=np.nan) for x in (a, b, c, d))))
 
 
 @pandas_udf(DoubleType())
 def fisher_less(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-    return _nan_to_none(dist.fisher_exact(a.to_numpy(), b.to_numpy(), c.to_numpy(), d.to_numpy(),
+    return _nan_to_none(dist.fisher_exact(*(x.to_numpy(dtype=float, na_value=np.nan) for x in (a, b, c, d)),
                                           alternative="less"))
 
 

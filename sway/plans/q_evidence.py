@@ -157,3 +157,116 @@ def q_pair_alignment(spark, sf_dir):
     row = wide.agg(*[x.alias(f"c{k}") for k, x in enumerate(aggs)])
     stack = ", ".join(f"'{a}', '{b}', c{3 * k}, c{3 * k + 1}, c{3 * k + 2}" for k, (a, b) in enumerate(names))
     return row.selectExpr(f"stack({len(names)}, {stack}) AS (model_a, model_b, n, pearson_r, spearman_rho)")
+
+
+# ---- feature associations, pattern tests, family gaps ----
+
+from sway.operators import evstats as ES  # noqa: E402
+
+BINARY_FEATURES = PATTERN_FEATURES[:5]
+NUMERIC_FEATURES = PATTERN_FEATURES[5:]
+
+
+def _analysis_items(spark, sf_dir):
+    lab = EV.pattern_labels(EV.evidence_summary(_effects(spark, sf_dir)))
+    return lab.join(_item_features(spark, sf_dir), "evidence_hash")
+
+
+def _gaps_sql() -> str:
+    from sway.plans.q_text import _duck_flag
+    flag_cols = {
+        "has_percent": _duck_flag(FT.PERCENT, False),
+        "has_normative_language": _duck_flag(FT.NORMATIVE, True),
+        "has_source_cue": _duck_flag(FT.SOURCE_CUES, True),
+        "has_strict_source": _duck_flag(FT.CITATION_MARKER, False),
+        "has_strict_statistics": "(regexp_matches(t, '" + FT.PERCENT + "') OR " + _duck_flag(FT.STRICT_STATS, True) + ")",
+    }
+    flags = ", ".join(f"{v} AS {k}" for k, v in flag_cols.items())
+    unions = " UNION ALL ".join(f"SELECT evidence_hash, median_abs_shift AS y, '{k}' AS feature, {k} AS flag FROM it"
+                                for k in flag_cols)
+    return _EFFECTS + f"""
+, docs AS (SELECT DISTINCT text FROM documents),
+ft AS (SELECT sha256(text) AS evidence_hash, {flags} FROM (SELECT text, coalesce(text, '') AS t FROM docs)),
+it AS (SELECT labels.evidence_hash, labels.median_abs_shift, ft.* EXCLUDE (evidence_hash) FROM labels
+       JOIN ft USING (evidence_hash)),
+long AS ({unions}),
+obs AS (SELECT feature, count(*) FILTER (WHERE flag) AS n_true, count(*) FILTER (WHERE NOT flag) AS n_false,
+          median(y) FILTER (WHERE flag) - median(y) FILTER (WHERE NOT flag) AS gap FROM long GROUP BY feature),
+ok AS (SELECT feature FROM obs WHERE n_true >= 5 AND n_false >= 5),
+v AS (SELECT l.*, row_number() OVER (PARTITION BY l.feature, l.flag ORDER BY l.evidence_hash) - 1 AS idx
+      FROM long l JOIN ok USING (feature)),
+sz AS (SELECT feature, flag, count(*) AS n FROM v GROUP BY feature, flag),
+dr AS (SELECT sz.feature, sz.flag, sz.n, b.b, i.i FROM sz, range(1, 3001) b(b), range(0, sz.n) i(i)),
+dx AS (SELECT feature, flag, b, ('0x' || substr(md5(concat_ws(':', '42', feature, CASE WHEN flag THEN 'true' ELSE 'false' END,
+          CAST(b AS VARCHAR), CAST(i AS VARCHAR))), 1, 8))::BIGINT % n AS idx FROM dr),
+reps AS (SELECT dx.feature, dx.b, median(v.y) FILTER (WHERE dx.flag) - median(v.y) FILTER (WHERE NOT dx.flag) AS g
+         FROM dx JOIN v USING (feature, flag, idx) GROUP BY dx.feature, dx.b),
+ci AS (SELECT feature, quantile_cont(g, 0.025) AS lo, quantile_cont(g, 0.975) AS hi FROM reps GROUP BY feature)
+SELECT obs.feature, 'binary' AS feature_type, n_true, n_false,
+  round(CASE WHEN n_true >= 5 AND n_false >= 5 THEN gap END, 6) AS effectiveness_gap_true_minus_false,
+  round(lo, 6) AS gap_ci_lower, round(hi, 6) AS gap_ci_upper
+FROM obs LEFT JOIN ci USING (feature)
+"""
+
+
+@query("feature_gaps", _gaps_sql())
+def q_feature_gaps(spark, sf_dir):
+    """Binary text features: median |shift| gap (true - false) with a 3 000-draw bootstrap
+    interval (keyed MD5 draws, reproduced by the oracle)."""
+    return ES.binary_feature_gaps(_analysis_items(spark, sf_dir), list(BINARY_FEATURES), "median_abs_shift", 3000)
+
+
+@query("feature_associations")
+def q_feature_associations(spark, sf_dir):
+    """Association table: binary gaps with intervals, numeric Spearman rho and p (rows-only)."""
+    items = _analysis_items(spark, sf_dir)
+    gaps = ES.binary_feature_gaps(items, list(BINARY_FEATURES), "median_abs_shift", 3000)
+    stack = ", ".join(f"'{c}', {c}" for c in NUMERIC_FEATURES)
+    long = items.selectExpr("evidence_hash", "median_abs_shift",
+                            f"stack({len(NUMERIC_FEATURES)}, {stack}) AS (feature, value)")
+    sp = ES.spearman_with_p(long, "median_abs_shift").select(
+        "feature", F.lit("numeric").alias("feature_type"), "spearman_rho", "spearman_p_value")
+    return gaps.unionByName(sp, allowMissingColumns=True)
+
+
+@query("pattern_tests")
+def q_pattern_tests(spark, sf_dir):
+    """Each effect pattern vs the rest: Fisher exact (binary), Cohen's d and Mann-Whitney (numeric)."""
+    return ES.pattern_tests(_analysis_items(spark, sf_dir), list(BINARY_FEATURES), list(NUMERIC_FEATURES))
+
+
+def _pairs(spark, sf_dir):
+    return q_pair_alignment(spark, sf_dir)
+
+
+@query("family_gap")
+def q_family_gap(spark, sf_dir):
+    """Same- vs cross-family alignment gap with a 20 000-permutation label test and a
+    5 000-draw pair bootstrap (rows-only)."""
+    return ES.family_gap(_pairs(spark, sf_dir), fx.model_families(spark, sf_dir),
+                         ["pearson_r", "spearman_rho"], 20000, 5000)
+
+
+@query("lomo_gap", _EFFECTS + """
+, rk AS (SELECT model, evidence_hash, average_proportion_shift AS s,
+           rank() OVER (PARTITION BY model ORDER BY round(average_proportion_shift, 12))
+           + (count(*) OVER (PARTITION BY model, round(average_proportion_shift, 12)) - 1) / 2.0 AS r
+         FROM effects WHERE average_proportion_shift IS NOT NULL),
+pa AS (SELECT a.model AS model_a, b.model AS model_b, corr(a.s, b.s) AS pearson_r, corr(a.r, b.r) AS spearman_rho
+       FROM rk a JOIN rk b ON a.evidence_hash = b.evidence_hash AND a.model < b.model GROUP BY 1, 2),
+fam AS (SELECT DISTINCT model, 'f' || CAST(floor(CAST(regexp_extract(model, '(\\d+)$', 1) AS INTEGER) / 3) AS BIGINT) AS family
+        FROM trials),
+fp AS (SELECT pa.*, coalesce(fa.family = fb.family, false) AS same FROM pa
+       LEFT JOIN fam fa ON fa.model = pa.model_a LEFT JOIN fam fb ON fb.model = pa.model_b),
+long AS (SELECT model_a, model_b, same, 'pearson_r' AS metric, pearson_r AS value FROM fp
+         UNION ALL SELECT model_a, model_b, same, 'spearman_rho', spearman_rho FROM fp),
+d AS (SELECT m.model AS dropped_model, l.* FROM long l JOIN (SELECT DISTINCT model FROM fam) m
+        ON m.model <> l.model_a AND m.model <> l.model_b WHERE l.value IS NOT NULL)
+SELECT dropped_model, metric,
+  round(median(value) FILTER (WHERE same) - median(value) FILTER (WHERE NOT same), 6) AS median_gap_same_minus_cross
+FROM d GROUP BY dropped_model, metric
+""")
+def q_lomo_gap(spark, sf_dir):
+    """Family gap with each model left out in turn."""
+    return ES.leave_one_model_out(_pairs(spark, sf_dir), fx.model_families(spark, sf_dir),
+                                  ["pearson_r", "spearman_rho"])

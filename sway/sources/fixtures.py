@@ -142,3 +142,13 @@ def arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1) < "8", "pro")
          .otherwise("con").alias("side"),
         "doc_id", "text")
+
+
+def model_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model -> family: the name-prefix rule, else (fixture models m0..m8) three families of
+    three models each by model number."""
+    from sway.operators.evstats import family_of
+    m = trials(spark, sf_dir).select("model").distinct()
+    num = F.regexp_extract("model", r"(\d+)$", 1).try_cast("int")
+    return m.select("model", F.coalesce(family_of(F.col("model")),
+                                        F.concat(F.lit("f"), F.floor(num / 3).cast("string"))).alias("family"))
