@@ -140,3 +140,69 @@ def ridge_cv_from_gram(gram_rows: list[tuple[int, str, float]], features: list[s
     best = float(alphas[int(np.nanargmax(scores))])
     beta, _ = fit(tot, best)
     return best, beta
+
+
+def _standardized(folds: dict, features: list[str]) -> dict:
+    """Turn raw per-fold sums into sums of features standardised by the whole sample
+    (population sd; a constant feature keeps scale 1, as a standard scaler does)."""
+    p = len(features)
+    st = {f: _stats(r, features) for f, r in folds.items()}
+    n = sum(s[0] for s in st.values())
+    sx = sum(s[1] for s in st.values())
+    sxx = sum(s[2] for s in st.values())
+    mu = sx / n
+    sd = np.sqrt(np.maximum(np.diag(sxx) / n - mu * mu, 0.0))
+    sd = np.where(sd > 0, sd, 1.0)
+    out = {}
+    for f, (nf, fx, fxx, fxy, fy, fyy) in st.items():
+        zx = (fx - nf * mu) / sd
+        zxx = (fxx - np.outer(mu, fx) - np.outer(fx, mu) + nf * np.outer(mu, mu)) / np.outer(sd, sd)
+        zxy = (fxy - mu * fy) / sd
+        rows = {"n": nf, "sy": fy, "syy": fyy}
+        for i, a in enumerate(features):
+            rows[f"sx:{a}"] = zx[i]
+            rows[f"sxy:{a}"] = zxy[i]
+            for j in range(i, p):
+                rows[f"sxx:{a}:{features[j]}"] = zxx[i, j]
+        out[f] = rows
+    return out
+
+
+def ridge_bootstrap(items: DataFrame, features: list[str], target: str, order_col: str, n_boot: int = 250,
+                    k: int = 5, seed: str = "42", alphas=None) -> DataFrame:
+    """Coefficient stability: rows resampled with replacement per replicate, each replicate
+    standardised on its own sample and fit with k-fold ridge CV.  The replicate x fold sums
+    come from one Spark aggregate; each replicate's small solve runs in ``applyInPandas``."""
+    alphas = np.logspace(-4, 3, 80) if alphas is None else alphas
+    it = items.withColumn("idx", F.row_number().over(W.orderBy(order_col)) - 1)
+    n = it.select(F.count(F.lit(1))).scalar()
+    # replicate x slot grid, generated from the item count (a scalar subquery)
+    reps = items.sparkSession.range(1, n_boot + 1).select(F.col("id").alias("b"))
+    pos = reps.select("b", n.alias("n")).select("b", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    pos = pos.withColumn("idx", draw_index(seed, [], "b", "i", "n"))
+    q, r = F.floor(F.col("n") / k), F.col("n") % k
+    big = r * (q + 1)
+    pos = pos.withColumn("fold", F.when(F.col("i") < big, F.floor(F.col("i") / (q + 1)))
+                         .otherwise(r + F.floor((F.col("i") - big) / q)).cast("int"))
+    sample = pos.join(it.select("idx", target, *features), "idx")
+    terms = gram_terms(features, target)
+    g = sample.groupBy("b", "fold").agg(*[e.cast("double").alias(f"t{j}") for j, (_, e) in enumerate(terms)])
+    stack = ", ".join(f"'{name}', t{j}" for j, (name, _) in enumerate(terms))
+    long = g.selectExpr("b", "fold", f"stack({len(terms)}, {stack}) AS (term, value)")
+
+    def solve(pdf):
+        import pandas as pd
+        folds: dict = {}
+        for f, t, v in zip(pdf["fold"], pdf["term"], pdf["value"]):
+            folds.setdefault(int(f), {})[t] = float(v)
+        z = _standardized(folds, features)
+        rows = [(f, t, v) for f, d in z.items() for t, v in d.items()]
+        _, beta = ridge_cv_from_gram(rows, features, alphas)
+        return pd.DataFrame({"b": int(pdf["b"].iloc[0]), "feature": features, "coef": beta})
+
+    coefs = long.groupBy("b").applyInPandas(solve, "b long, feature string, coef double")
+    return coefs.groupBy("feature").agg(
+        F.median("coef").alias("coef_median"), F.percentile("coef", 0.025).alias("coef_ci_lower"),
+        F.percentile("coef", 0.975).alias("coef_ci_upper"),
+        F.avg((F.col("coef") > 0).cast("double")).alias("coef_positive_rate"),
+        F.avg((F.col("coef") < 0).cast("double")).alias("coef_negative_rate"))

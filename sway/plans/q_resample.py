@@ -75,3 +75,13 @@ def q_ridge_cv(spark, sf_dir):
                                        list(PATTERN_FEATURES), alphas)
     rows = [(f, float(b), float(abs(b)), best) for f, b in zip(PATTERN_FEATURES, beta)]
     return spark.createDataFrame(rows, "feature string, coef_standardized double, abs_coef double, alpha double")
+
+
+@query("ridge_bootstrap")
+def q_ridge_bootstrap(spark, sf_dir):
+    """Median, 95 % interval and sign rates of the ridge coefficients over 250 bootstrap
+    replicates (keyed MD5 draws; rows-only)."""
+    lab = EV.pattern_labels(EV.evidence_summary(_effects(spark, sf_dir)))
+    j = lab.join(_item_features(spark, sf_dir), "evidence_hash").select(
+        "evidence_hash", "median_abs_shift", *PATTERN_FEATURES).dropna()
+    return RS.ridge_bootstrap(j, list(PATTERN_FEATURES), "median_abs_shift", "evidence_hash", 250)
