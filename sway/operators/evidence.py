@@ -46,7 +46,9 @@ def evidence_summary(effects: DataFrame) -> DataFrame:
     return effects.groupBy("evidence_hash").agg(
         F.count(s).alias("n_models"), F.median(s).alias("median_shift"), F.avg(s).alias("mean_shift"),
         F.median(F.abs(s)).alias("median_abs_shift"), F.avg(F.abs(s)).alias("mean_abs_shift"),
-        F.when(valid > 0, sign).alias("sign_agreement_rate"), F.stddev_samp(s).alias("between_model_std"))
+        F.when(valid > 0, sign).alias("sign_agreement_rate"),
+        # rounded so that equal spreads tie exactly at the median cut-off
+        F.round(F.stddev_samp(s), 12).alias("between_model_std"))
 
 
 def pattern_labels(summary: DataFrame, min_models: int = MIN_MODELS) -> DataFrame:

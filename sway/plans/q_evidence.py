@@ -30,7 +30,7 @@ summary AS (SELECT evidence_hash, count(average_proportion_shift) AS n_models,
                 greatest(count(*) FILTER (WHERE average_proportion_shift > 0),
                          count(*) FILTER (WHERE average_proportion_shift < 0)) / count(average_proportion_shift) END
                 AS sign_agreement_rate,
-              stddev_samp(average_proportion_shift) AS between_model_std
+              round(stddev_samp(average_proportion_shift), 12) AS between_model_std
             FROM effects GROUP BY evidence_hash),
 a AS (SELECT * FROM summary WHERE n_models >= 3),
 labels AS (SELECT a.*, CASE WHEN between_model_std IS NULL THEN 'insufficient-variance-info'
