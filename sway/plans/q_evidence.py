@@ -43,8 +43,16 @@ labels AS (SELECT a.*, CASE WHEN between_model_std IS NULL THEN 'insufficient-va
 """
 
 
+def _evidence_docs(spark, sf_dir):
+    """Documents that are referenced as evidence items: a semi-join on the distinct evidence
+    ids of the trials (a small key set, broadcast by AQE), so only those texts are hashed
+    and featurised, not the whole corpus."""
+    ids = fx.trials(spark, sf_dir).select(F.col("evidence_id").alias("doc_id")).distinct()
+    return read_table(spark, sf_dir, "documents").select("doc_id", "text").join(ids, "doc_id", "left_semi")
+
+
 def _evidence(spark, sf_dir):
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = _evidence_docs(spark, sf_dir)
     return d.select(F.col("doc_id").alias("evidence_id"), F.sha2("text", 256).alias("evidence_hash"))
 
 
@@ -99,10 +107,15 @@ PATTERN_FEATURES = ("has_percent", "has_normative_language", "has_source_cue", "
 
 
 def _item_features(spark, sf_dir):
-    """Text features per evidence item (one row per distinct evidence hash)."""
-    d = read_table(spark, sf_dir, "documents").select("text").dropDuplicates(["text"])
-    f = d.select(F.sha2("text", 256).alias("evidence_hash"), *FT.text_features(F.col("text")))
-    return f.select("evidence_hash", *[F.col(c).cast("double").alias(c) for c in PATTERN_FEATURES])
+    """Text features per evidence item (one row per distinct evidence hash).
+
+    Features are computed on the referenced evidence documents only and deduplicated by
+    their hash (identical texts have identical features), never by shuffling full texts."""
+    d = _evidence_docs(spark, sf_dir)
+    f = d.select(F.sha2("text", 256).alias("evidence_hash"),
+                 *FT.text_features(F.col("text")))
+    f = f.select("evidence_hash", *[F.col(c).cast("double").alias(c) for c in PATTERN_FEATURES])
+    return f.groupBy("evidence_hash").agg(*[F.first(c).alias(c) for c in PATTERN_FEATURES])
 
 
 @query("pattern_means")
