@@ -137,3 +137,9 @@ def slugify(url: Column) -> Column:
     """Last path segment of a URL (trailing slashes dropped) without ``-debate``."""
     return F.replace(F.element_at(F.split(F.regexp_replace(url, "/+$", ""), "/"), -1),
                      F.lit("-debate"), F.lit(""))
+
+
+def with_answer(df, text_col: str = "response_text", out: str = "llm_answer"):
+    """Add the parsed answer, evaluated once per row inside a generator (a later filter on
+    it is not pushed below, which would re-run the regexes on the inlined text expression)."""
+    return df.select("*", F.inline(F.array(F.struct(answer_letter(F.col(text_col)).alias(out)))))

@@ -30,8 +30,11 @@ def decode_predictions(lines: DataFrame, prompt_lookup: DataFrame | None = None)
     ``prompt_lookup`` (model, text_hash, custom_id) recovers missing ids by
     request-text hash (first prompt line wins, see ``prompt_hash_lookup``).
     """
-    j = P.parse_prediction(F.col("value"))
-    d = lines.select("*", j.alias("j"))
+    # Parse inside a generator: filters on parsed fields (e.g. the id check below) cannot be
+    # pushed beneath it, so the JSON is decoded once per line instead of once per reference.
+    fields = ("custom_id", "llm_answer", "prompt_text", "request", "response")
+    d = lines.select("*", F.inline(F.array(P.parse_prediction(F.col("value")))))
+    d = d.select(*lines.columns, F.struct(*[F.col(c) for c in fields]).alias("j"))
     d = d.select(
         "*",
         P.custom_id_of(F.col("j")).alias("custom_id0"),

@@ -173,7 +173,7 @@ FROM o ORDER BY custom_id, l_orderkey, l_linenumber LIMIT 100
 def q_unparsed_sample(spark, sf_dir):
     """First 100 unparsed replies (the QA listing) with the total count."""
     r = fx.responses(spark, sf_dir).select("custom_id", "l_orderkey", "l_linenumber", "response_text")
-    o = r.filter(P.answer_letter(F.col("response_text")) == "Other")
+    o = P.with_answer(r).filter(F.col("llm_answer") == "Other").drop("llm_answer")
     top = o.orderBy("custom_id", "l_orderkey", "l_linenumber").limit(100)
     return top.select("*", o.select(F.count(F.lit(1))).scalar().alias("n_other"))
 
