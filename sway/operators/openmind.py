@@ -139,9 +139,9 @@ def rank_overlap(ranked: DataFrame, table: str, anchor: str = VARIANTS[0].name)
 
     One pivot (rank x variant -> model) and a comparison of columns; no
     row-level pairing of variants."""
-    names = sorted(r[0] for r in ranked.select("variant").distinct().collect())
+    wide = ranked.groupBy("rank").pivot("variant").agg(F.first("model"))
+    names = sorted(c for c in wide.columns if c != "rank")
     others = [v for v in names if v != anchor]
-    wide = ranked.groupBy("rank").pivot("variant", names).agg(F.first("model"))
     parts = []
     for o in others:
         a, b = (anchor, o) if anchor < o else (o, anchor)

@@ -129,8 +129,8 @@ def pair_agreement(cells: DataFrame, case_sets: dict[str, tuple[str, ...]]) -> D
     per case set computes every pair's ``corr`` side by side; no row-level
     pairing of models.
     """
-    models = sorted(r[0] for r in cells.select("model").distinct().collect())
-    wide = cells.groupBy("ecase", "issue").pivot("model", models).agg(F.first("pro_share"))
+    wide = cells.groupBy("ecase", "issue").pivot("model").agg(F.first("pro_share"))
+    models = sorted(c for c in wide.columns if c not in ("ecase", "issue"))
     out = None
     for name, cases in case_sets.items():
         sub = wide.filter(F.col("ecase").isin(*cases))

@@ -158,9 +158,9 @@ def q_pair_alignment(spark, sf_dir):
 
     e = _effects(spark, sf_dir).filter(F.col("average_proportion_shift").isNotNull())
     r = EV.average_rank(e, ["model"], "average_proportion_shift", "r")
-    models = sorted(x[0] for x in r.select("model").distinct().collect())
-    wide = r.groupBy("evidence_hash").pivot("model", models).agg(
+    wide = r.groupBy("evidence_hash").pivot("model").agg(
         F.first("average_proportion_shift").alias("s"), F.first("r").alias("r"))
+    models = sorted({c.rsplit("_", 1)[0] for c in wide.columns if c != "evidence_hash"})
     aggs, names = [], []
     for i, a in enumerate(models):
         for b in models[i + 1:]:
