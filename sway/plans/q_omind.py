@@ -140,3 +140,121 @@ HAVING count(DISTINCT model) = (SELECT count(DISTINCT model) FROM p)
 """)
 def q_shared_topics(spark, sf_dir):
     return om.shared_topics(_scores(spark, sf_dir)[1])
+
+
+# ---- themes (T16, A32, A53) ----
+
+from sway.operators import resample as RS  # noqa: E402
+from sway.operators.evstats import family_of  # noqa: E402
+from sway.sources import themes as TH  # noqa: E402
+
+
+def _fixture_slug(issue):
+    """Fixture issue-N stands for the study topic at position 5N (mod table size) of the theme
+    table, so the lookup covers every theme."""
+    slugs = [s for s, _ in TH.theme_pairs()]
+    n = F.regexp_extract(issue, r"(\d+)$", 1).try_cast("int")
+    return F.element_at(F.array(*[F.lit(s) for s in slugs]), (n * 5) % len(slugs) + 1)
+
+
+def _themed_scores(spark, sf_dir):
+    counts, s = _scores(spark, sf_dir)
+    s = s.withColumn("slug", _fixture_slug(F.col("issue")))
+    s = TH.with_theme(s, TH.theme_table(spark), "slug")
+    w = om.om_weights(counts)
+    s = s.join(w, ["model", "issue"], "left").withColumn("om_weight", F.coalesce("om_weight", F.lit(1.0)))
+    return s
+
+
+def _theme_sql() -> str:
+    pairs = TH.theme_pairs()
+    slugs = ", ".join("'" + s + "'" for s, _ in pairs)
+    vals = ", ".join("('" + s + "', '" + t.replace("'", "''") + "')" for s, t in pairs)
+    return _SCORES_CTE + f"""
+, th AS (SELECT * FROM (VALUES {vals}) v(slug, theme)),
+ts AS (SELECT s.*, coalesce(th.theme, 'Other') AS theme,
+         coalesce(w.om_weight, 1.0) AS om_weight
+       FROM (SELECT *, [{slugs}][(CAST(regexp_extract(issue, '(\\d+)$', 1) AS INTEGER) * 5) % {len(pairs)} + 1] AS slug
+             FROM scores) s
+       LEFT JOIN th USING (slug) LEFT JOIN omw w ON w.model = s.model AND w.issue = s.issue)
+"""
+
+
+@query("om_by_theme", _theme_sql() + """
+SELECT variant, theme, count(*) AS n_issues, round(avg(open_mindedness_score), 6) AS mean_score
+FROM ts GROUP BY variant, theme
+""")
+def q_om_by_theme(spark, sf_dir):
+    """Open-mindedness mean and count per high-level theme."""
+    s = _themed_scores(spark, sf_dir)
+    return s.groupBy("variant", "theme").agg(F.count(F.lit(1)).alias("n_issues"),
+                                             F.avg("open_mindedness_score").alias("mean_score"))
+
+
+@query("om_by_theme_model", _theme_sql() + """
+, g AS (SELECT variant, theme, model, count(*) AS n_issues, avg(open_mindedness_score) AS mean_score FROM ts
+        GROUP BY variant, theme, model),
+o AS (SELECT variant, theme, max(mean_score) AS mx FROM g GROUP BY variant, theme)
+SELECT g.variant, g.theme, g.model, g.n_issues, round(g.mean_score, 6) AS mean_score,
+  dense_rank() OVER (PARTITION BY g.variant ORDER BY o.mx DESC, g.theme) AS theme_order
+FROM g JOIN o USING (variant, theme)
+""")
+def q_om_by_theme_model(spark, sf_dir):
+    """Theme x model means with the theme order (by the largest model mean)."""
+    from pyspark.sql.window import Window as W
+    s = _themed_scores(spark, sf_dir)
+    g = s.groupBy("variant", "theme", "model").agg(F.count(F.lit(1)).alias("n_issues"),
+                                                  F.avg("open_mindedness_score").alias("mean_score"))
+    mx = F.max("mean_score").over(W.partitionBy("variant", "theme"))
+    g = g.withColumn("_mx", mx)
+    return g.withColumn("theme_order", F.dense_rank().over(
+        W.partitionBy("variant").orderBy(F.col("_mx").desc(), F.col("theme")))).drop("_mx")
+
+
+@query("theme_bootstrap", _theme_sql() + """
+, it AS (SELECT variant, theme, model, open_mindedness_score AS x, om_weight AS w,
+           row_number() OVER (PARTITION BY variant, theme, model ORDER BY issue) - 1 AS idx
+         FROM ts WHERE theme <> 'Other' AND om_weight > 0),
+g AS (SELECT variant, theme, model, count(*) AS n, sum(w * x) / sum(w) AS mean FROM it GROUP BY 1, 2, 3),
+dr AS (SELECT g.variant, g.theme, g.model, g.n, b.b, i.i FROM g, range(1, 1201) b(b), range(0, g.n) i(i)),
+dx AS (SELECT variant, theme, model, b,
+         ('0x' || substr(md5(concat_ws(':', '42', variant, theme, model, CAST(b AS VARCHAR), CAST(i AS VARCHAR))), 1, 8))::BIGINT
+           % n AS idx FROM dr),
+reps AS (SELECT dx.variant, dx.theme, dx.model, dx.b, sum(it.w * it.x) / sum(it.w) AS m
+         FROM dx JOIN it USING (variant, theme, model, idx) GROUP BY 1, 2, 3, 4),
+bd AS (SELECT variant, theme, model, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM reps
+       GROUP BY 1, 2, 3)
+SELECT g.variant, g.theme, g.model, g.n, round(g.mean, 6) AS mean,
+  round(CASE WHEN g.n = 1 THEN g.mean ELSE lo END, 6) AS issue_ci_low,
+  round(CASE WHEN g.n = 1 THEN g.mean ELSE hi END, 6) AS issue_ci_high
+FROM g LEFT JOIN bd USING (variant, theme, model)
+""")
+def q_theme_bootstrap(spark, sf_dir):
+    """Trial-weighted theme x model mean with a 1 200-draw issue bootstrap interval ('Other' left out)."""
+    s = _themed_scores(spark, sf_dir).filter(F.col("theme") != "Other")
+    return RS.bootstrap_weighted_mean_ci(s, ["variant", "theme", "model"], "open_mindedness_score", "om_weight",
+                                         "issue", 1200)
+
+
+@query("theme_dual_ci")
+def q_theme_dual_ci(spark, sf_dir):
+    """Theme x model: weighted mean with the effective-n t interval and the issue bootstrap
+    interval, plus the model family (rows-only: t quantile)."""
+    s = _themed_scores(spark, sf_dir).filter(F.col("theme") != "Other")
+    boot = RS.bootstrap_weighted_mean_ci(s, ["variant", "theme", "model"], "open_mindedness_score", "om_weight",
+                                         "issue", 1200)
+    x, w = F.col("open_mindedness_score"), F.col("om_weight")
+    g = s.groupBy("variant", "theme", "model").agg(F.sum(w).alias("sw"), F.sum(w * x).alias("swx"),
+                                                  F.sum(w * x * x).alias("swxx"), F.sum(w * w).alias("sww"))
+    mean = F.col("swx") / F.col("sw")
+    var = F.greatest(F.col("swxx") / F.col("sw") - mean * mean, F.lit(0.0))
+    neff = F.greatest(F.col("sw") * F.col("sw") / F.col("sww"), F.lit(1.0))
+    from sway.functions.stats import t_quantile_975
+    half = F.coalesce(t_quantile_975(F.greatest(neff - 1.0, F.lit(1.0))) * F.sqrt(var / neff), F.lit(0.0))
+    t = g.select("variant", "theme", "model", (mean - half).alias("trial_ci_low"), (mean + half).alias("trial_ci_high"))
+    out = boot.join(t, ["variant", "theme", "model"])
+    one = F.col("n") == 1
+    return out.select("variant", "theme", "model", family_of(F.col("model")).alias("family"), "n", "mean",
+                      F.when(one, F.col("mean")).otherwise(F.col("trial_ci_low")).alias("trial_ci_low"),
+                      F.when(one, F.col("mean")).otherwise(F.col("trial_ci_high")).alias("trial_ci_high"),
+                      "issue_ci_low", "issue_ci_high")
