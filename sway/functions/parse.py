@@ -143,3 +143,30 @@ def with_answer(df, text_col: str = "response_text", out: str = "llm_answer"):
     """Add the parsed answer, evaluated once per row inside a generator (a later filter on
     it is not pushed below, which would re-run the regexes on the inlined text expression)."""
     return df.select("*", F.inline(F.array(F.struct(answer_letter(F.col(text_col)).alias(out)))))
+
+
+def issue_slug(text: Column) -> Column:
+    """Lower-case, '&' -> 'and', spaces -> '-', '--' -> '-'."""
+    s = F.replace(F.lower(text), F.lit("&"), F.lit("and"))
+    return F.replace(F.replace(s, F.lit(" "), F.lit("-")), F.lit("--"), F.lit("-"))
+
+
+def title_case(text: Column) -> Column:
+    """Python ``str.title``: a cased letter is upper-cased when the character before it is
+    not a cased letter, lower-cased otherwise."""
+    chars = F.split(text, "")
+    cased = r"[\p{Lu}\p{Ll}\p{Lt}]"
+    return F.array_join(F.transform(chars, lambda c, i: F.when(
+        (i == 0) | ~F.get(chars, i - 1).rlike(cased), F.upper(c)).otherwise(F.lower(c))), "")
+
+
+def issue_title(slug: Column) -> Column:
+    return title_case(F.replace(slug, F.lit("-"), F.lit(" ")))
+
+
+# List-title prefix of an argument heading ("Pro 1: ", "### Con 2: ").
+TITLE_PREFIX = r"(?i)(?:\s*#+)?\s*(Pro|Con)\s+\d+:\s+"
+
+
+def strip_title_prefix(text: Column) -> Column:
+    return F.regexp_replace(text, TITLE_PREFIX, "")

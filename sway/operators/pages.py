@@ -9,6 +9,7 @@ pages table on the resolved URL instead of fetching.
 from __future__ import annotations
 
 from collections.abc import Iterator
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 
 SECTION_SCHEMA = ("page_id long, title string, heading string, n_paragraphs int, main_text_chars int, "
                   "n_links int, n_quotes int, n_footnotes int, main_text string")
+TOPIC_SCHEMA = ("page_id long, question string, pros array<string>, cons array<string>, "
+                "sources map<string,string>")
 
 
 class _PageParser(HTMLParser):
@@ -31,9 +34,33 @@ class _PageParser(HTMLParser):
         self.paragraphs: list[list[str]] = []
         self.n_links = self.n_quotes = self.n_footnotes = 0
         self.in_article = 0
+        # topic record: argument blocks and quotes inside <section class="pro|con">,
+        # numbered footnotes <li id="...-N"> inside <ol>
+        self.side_stack: list[str | None] = []
+        self.args = {"pro": [], "con": []}
+        self.footnotes: dict[int, list[str]] = {}
+        self.cur_fn: int | None = None
+
+    def _side(self):
+        for sd in reversed(self.side_stack):
+            if sd:
+                return sd
+        return None
 
     def handle_starttag(self, tag, attrs):
         self.stack.append(tag)
+        a = dict(attrs)
+        if tag == "section":
+            cls = (a.get("class") or "").split()
+            self.side_stack.append("pro" if "pro" in cls else "con" if "con" in cls else None)
+        side = self._side()
+        if side and tag in ("p", "blockquote", "h2", "h3", "h4"):
+            self.args[side].append([])
+        if tag == "li" and "ol" in self.stack:
+            m = re.search(r"-(\d+)$", a.get("id") or "")
+            self.cur_fn = int(m.group(1)) if m else None
+            if self.cur_fn is not None:
+                self.footnotes.setdefault(self.cur_fn, [])
         if tag == "article":
             self.in_article += 1
         elif tag == "p" and self.in_article:
@@ -48,6 +75,10 @@ class _PageParser(HTMLParser):
     def handle_endtag(self, tag):
         if tag == "article":
             self.in_article = max(0, self.in_article - 1)
+        if tag == "section" and self.side_stack:
+            self.side_stack.pop()
+        if tag == "li":
+            self.cur_fn = None
         while self.stack:
             if self.stack.pop() == tag:
                 break
@@ -55,6 +86,11 @@ class _PageParser(HTMLParser):
     def handle_data(self, data):
         if any(t in self.SKIP for t in self.stack):
             return
+        side = self._side()
+        if side and self.args[side]:
+            self.args[side][-1].append(data)
+        if self.cur_fn is not None:
+            self.footnotes[self.cur_fn].append(data)
         if "title" in self.stack:
             self.title.append(data)
         elif "h1" in self.stack and not self.heading:
@@ -101,3 +137,29 @@ def page_links(pages: DataFrame) -> DataFrame:
     return j.select("page_id", "href", "target_url",
                     F.coalesce("linked_page_id", "page_id").alias("target_page_id"),
                     F.col("linked_page_id").isNotNull().alias("found"))
+
+
+# List-title prefix removed from argument texts ("Pro 1: ", "### Con 2: ").
+_TITLE_PREFIX = re.compile(r"(?:\s*#+)?\s*(Pro|Con)\s+\d+:\s+", re.I)
+
+
+def _topic_batch(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in it:
+        rows = []
+        for pid, html in zip(pdf["page_id"], pdf["html"]):
+            p = _PageParser()
+            p.feed(html or "")
+            p.close()
+            norm = lambda parts: " ".join("".join(parts).split())
+            sides = {sd: [_TITLE_PREFIX.sub("", norm(x)) for x in p.args[sd]] for sd in ("pro", "con")}
+            sides = {sd: [x for x in v if x] for sd, v in sides.items()}
+            sources = {f"[{n}]": norm(p.footnotes[n]) for n in sorted(p.footnotes)}
+            question = norm(p.heading) or norm(p.title)
+            rows.append((pid, question, sides["pro"], sides["con"], sources))
+        yield pd.DataFrame(rows, columns=["page_id", "question", "pros", "cons", "sources"])
+
+
+def page_topics(pages: DataFrame) -> DataFrame:
+    """One topic record per page: question, pro and con argument texts (title prefixes
+    removed), and the footnote map ordered by number."""
+    return pages.select("page_id", "html").mapInPandas(_topic_batch, TOPIC_SCHEMA)

@@ -27,3 +27,25 @@ FROM r LEFT JOIN pages p ON p.url = r.target_url
 def q_page_links(spark, sf_dir):
     """Links of each page resolved against its URL and joined to the stored pages."""
     return PG.page_links(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@query("page_topics")
+def q_page_topics(spark, sf_dir):
+    """Topic record per page (question, pros, cons, sources) from sectioned markup, with
+    argument counts; rows-only (HTML parsed in mapInPandas)."""
+    from pyspark.sql import functions as F
+    t = PG.page_topics(read_table(spark, sf_dir, "pages").select("page_id", "html"))
+    return t.select("page_id", "question", F.size("pros").alias("n_pros"), F.size("cons").alias("n_cons"),
+                    F.size("sources").alias("n_sources"), "pros", "cons", "sources")
+
+
+@query("issue_titles")
+def q_issue_titles(spark, sf_dir):
+    """Page titles -> issue slug and display title (Python title-case rules; rows-only,
+    checked against ``str.title`` in tests/test_text.py)."""
+    from pyspark.sql import functions as F
+    from sway.functions.parse import issue_slug, issue_title
+    p = read_table(spark, sf_dir, "pages").select("page_id", "html")
+    title = F.regexp_extract("html", r"<title>([^<]*)</title>", 1)
+    return p.select("page_id", title.alias("title")).select(
+        "page_id", "title", issue_slug(F.col("title")).alias("slug")).withColumn("display_title", issue_title(F.col("slug")))

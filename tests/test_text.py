@@ -63,3 +63,26 @@ def test_quote_folding_spark(spark):
     s = "“Hi” — it’s… ok​ "
     df = spark.createDataFrame(pd.DataFrame({"t": [s]}))
     assert df.select(FT.normalize_quotes(F.col("t"))).first()[0] == '"Hi" - it\'s... ok '
+
+
+def test_issue_titles_match_python(spark, sf_dir):
+    from sway.plans.q_pages import q_issue_titles
+    rows = q_issue_titles(spark, sf_dir).collect()
+    assert rows
+    for r in rows:
+        slug = r["title"].lower().replace("&", "and").replace(" ", "-").replace("--", "-")
+        assert r["slug"] == slug
+        assert r["display_title"] == slug.replace("-", " ").title()
+
+
+def test_page_topic_record(spark):
+    from sway.operators.pages import page_topics
+    html = ('<html><head><title>T</title></head><body><h1>Should X?</h1>'
+            '<section class="pro"><h3>Pro 1: Good thing</h3><p>Because [1].</p><blockquote>"Yes" said A</blockquote></section>'
+            '<section class="con"><h3>### Con 2: Bad thing</h3></section>'
+            '<ol><li id="fn-2">Second source</li><li id="fn-1">First source</li></ol></body></html>')
+    df = spark.createDataFrame([(1, html)], "page_id long, html string")
+    r = page_topics(df).first()
+    assert r["question"] == "Should X?"
+    assert r["pros"] == ["Good thing", "Because [1].", '"Yes" said A'] and r["cons"] == ["Bad thing"]
+    assert r["sources"] == {"[1]": "First source", "[2]": "Second source"}
