@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sway.plans.oracle import with_fixtures
+from sway.session import configure
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -47,6 +48,7 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"duplicate query {name}")
 
         def built(spark: SparkSession, sf_dir: str) -> DataFrame:
+            configure(spark)  # fills unset defaults and the checkpoint folder; idempotent
             return round_doubles(fn(spark, sf_dir))
 
         built.__name__ = fn.__name__

@@ -181,8 +181,11 @@ NUMERIC_FEATURES = PATTERN_FEATURES[5:]
 
 
 def _analysis_items(spark, sf_dir):
+    """Items seen by >= 3 models with their labels and features: one row per evidence item
+    (bounded by the study design) that several statistics reuse, so its lineage is cut with
+    a reliable checkpoint in the shared checkpoint folder."""
     lab = EV.pattern_labels(EV.evidence_summary(_effects(spark, sf_dir)))
-    return lab.join(_item_features(spark, sf_dir), "evidence_hash")
+    return lab.join(_item_features(spark, sf_dir), "evidence_hash").checkpoint()
 
 
 def _gaps_sql() -> str:
@@ -249,7 +252,9 @@ def q_pattern_tests(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir):
-    return q_pair_alignment(spark, sf_dir)
+    """Model-pair alignment table (one row per model pair), reused by the permutation test,
+    the bootstrap and leave-one-out: checkpointed once."""
+    return q_pair_alignment(spark, sf_dir).checkpoint()
 
 
 @query("family_gap")
