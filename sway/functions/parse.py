@@ -110,7 +110,7 @@ def id_framing(cid: Column) -> Column:
 
 
 def id_case(cid: Column) -> Column:
-    return F.element_at(F.split(cid, "-evidence-"), 2)
+    return F.try_element_at(F.split(cid, "-evidence-"), F.lit(2))
 
 
 def id_is_valid(cid: Column) -> Column:
@@ -123,9 +123,9 @@ def request_text_hash(text: Column) -> Column:
     return F.when(F.length(norm) > 0, F.sha1(norm))
 
 
-def model_from_file(file_name: Column) -> Column:
-    """``predictions_<model>[_<n>].jsonl`` -> model."""
-    return F.regexp_extract(file_name, r"^predictions_(.*?)(?:_\d+)?\.jsonl$", 1)
+def model_from_file(path: Column) -> Column:
+    """``.../predictions_<model>[_<n>].jsonl[/...]`` -> model (file name or a folder of part files)."""
+    return F.regexp_extract(path, r"predictions_([^/]*?)(?:_\d+)?\.jsonl(?:/|$)", 1)
 
 
 def clean_text(c: Column) -> Column:

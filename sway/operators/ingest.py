@@ -20,7 +20,7 @@ def read_prediction_text(spark, path: str) -> DataFrame:
     """
     raw = spark.read.text(path).select(
         F.trim("value").alias("value"),
-        P.model_from_file(F.col("_metadata.file_name")).alias("model"))
+        P.model_from_file(F.col("_metadata.file_path")).alias("model"))
     return raw.filter((F.length("value") > 0) & ~F.col("value").startswith(LFS_PREFIX))
 
 

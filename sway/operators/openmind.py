@@ -71,7 +71,7 @@ def scores(grid: DataFrame, variants=VARIANTS) -> DataFrame:
     mag = F.abs(F.col("top.share") - F.col("base.share"))
     aggs = []
     for i, v in enumerate(variants):
-        w = F.coalesce(F.element_at(F.create_map(*[x for kv in v.weights.items()
+        w = F.coalesce(F.try_element_at(F.create_map(*[x for kv in v.weights.items()
                                                    for x in (F.lit(kv[0]), F.lit(float(kv[1])))]),
                                     F.col("ecase")), F.lit(1.0))
         counted = (flip if v.require_flip else F.lit(True)) & F.col("ecase").isNotNull()

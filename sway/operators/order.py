@@ -56,10 +56,10 @@ def last_block_candidates(prompts: DataFrame) -> DataFrame:
     """
     p = prompts.filter(F.instr("text", "Citations:") > 0)
     parts = F.split(F.col("text"), "Citations:")
-    block = F.element_at(parts, -2)
+    block = F.try_element_at(parts, F.lit(-2))
     tail = F.element_at(F.split(block, "---\n"), -1)
     paras = F.filter(F.transform(F.split(block, "---\n"), lambda x: _strip(x)), lambda x: x != "")
-    last = F.when(_strip(tail) != "", tail).otherwise(F.element_at(paras, -1))
+    last = F.when(_strip(tail) != "", tail).otherwise(F.try_element_at(paras, F.lit(-1)))
     cleaned = _strip(F.regexp_replace(last, _MARK, ""))
     p = p.select("prompt_id", "topic", F.reverse(F.split(cleaned, "\n")).alias("lines"))
     c = p.select("prompt_id", "topic", F.posexplode("lines").alias("pos", "line"))

@@ -196,3 +196,32 @@ def q_framing_audit(spark, sf_dir):
            .withColumn("question", F.lower(F.replace("issue", F.lit("-"), F.lit(" ")))))
     j = ids.filter(F.col("framing") == "pro").join(par, "question")
     return j.groupBy("custom_id", "issue").agg(F.count(F.lit(1)).alias("n_late_paraphrases"))
+
+
+@query("batch_ingest", """
+SELECT issue, issue_stance, "count", ecase, model FROM stance_counts
+""")
+def q_batch_ingest(spark, sf_dir):
+    """Reply lines written as JSONL shards ``predictions_<model>_<n>.jsonl`` (with blank,
+    large-file-pointer and malformed lines mixed in), read back line by line with the model
+    taken from the path, decoded and counted: equals ``stance_counts``."""
+    import os
+    import uuid
+
+    from sway.operators import shares
+    from sway.session import checkpoint_dir
+
+    lines = fx.prediction_lines(spark, sf_dir)
+    shard = (F.col("trial_num") % 4).cast("string")
+    d = F.concat(F.lit("predictions_"), F.col("model"), F.lit("_"), shard, F.lit(".jsonl"))
+    good = lines.select(F.col("value"), d.alias("dir"))
+    m3 = F.col("l_linenumber") % 3
+    junk = lines.filter(F.col("l_orderkey") % 97 == 0).select(
+        F.when(m3 == 0, F.lit("")).when(m3 == 1, F.lit("version https://git-lfs.github.com/spec/v1"))
+         .otherwise(F.lit('{"custom_id": "request-broken')).alias("value"), d.alias("dir"))
+    path = os.path.join(checkpoint_dir(spark), f"batch-ingest-{uuid.uuid4().hex}")
+    good.unionByName(junk).write.partitionBy("dir").text(path)
+    raw = ingest.read_prediction_text(spark, path)
+    dec = ingest.decode_predictions(raw)
+    t = ingest.enrich_trials(ingest.parsed_ids(dec), _question_map(spark, sf_dir), stance_from="framing")
+    return shares.stance_counts(t)
