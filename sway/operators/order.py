@@ -71,13 +71,12 @@ def last_block_candidates(prompts: DataFrame) -> DataFrame:
 
 
 def argument_keys(arguments: DataFrame) -> DataFrame:
-    """Blocking index: one row per (topic, side, argument, 20-char line-start key)."""
+    """Blocking index: one row per (topic, side, argument, 20-char line-start key); the
+    argument text is not carried here (it is attached only to candidate matches)."""
     cleaned = _strip(F.regexp_replace(F.col("text"), _MARK, ""))
-    a = arguments.select("topic", "side", "doc_id", cleaned.alias("clean"))
-    k = a.select("topic", "side", "doc_id", "clean", F.explode(F.split("clean", "\n")).alias("line"))
+    k = arguments.select("topic", "side", "doc_id", F.explode(F.split(cleaned, "\n")).alias("line"))
     k = k.withColumn("line", _strip(F.col("line"))).filter(F.length("line") >= KEY_LEN)
-    return k.select("topic", "side", "doc_id", "clean",
-                    F.substring("line", 1, KEY_LEN).alias("key")).distinct()
+    return k.select("topic", "side", "doc_id", F.substring("line", 1, KEY_LEN).alias("key")).distinct()
 
 
 def last_argument(prompts: DataFrame, arguments: DataFrame) -> DataFrame:
@@ -98,7 +97,8 @@ def last_argument(prompts: DataFrame, arguments: DataFrame) -> DataFrame:
         .unionByName(cand.filter(F.col("mid").isNotNull())
                      .select("prompt_id", "topic", "pos", F.lit(1).alias("kind"), F.col("mid").alias("probe")))
     probes = probes.withColumn("key", F.substring("probe", 1, KEY_LEN))
-    hits = (probes.join(keys, ["topic", "key"])
+    texts = arguments.select("doc_id", _strip(F.regexp_replace(F.col("text"), _MARK, "")).alias("clean"))
+    hits = (probes.join(keys, ["topic", "key"]).join(texts, "doc_id")
             .filter(F.instr(F.col("clean"), F.col("probe")) > 0)
             .select("prompt_id", "pos", "kind", "side").distinct())
     rank = F.struct(F.col("pos"), F.col("kind"), F.when(F.col("side") == "pro", 0).otherwise(1).alias("s"))
