@@ -90,6 +90,29 @@ def scores(grid: DataFrame, variants=VARIANTS) -> DataFrame:
         (F.col("open_mindedness_score_raw") / F.col("max_weight_sum") * 100.0).alias("open_mindedness_score"))
 
 
+def score_details(grid: DataFrame, variant: Variant = VARIANTS[0]) -> DataFrame:
+    """Per (model, issue): the contributing cases with from/to stance, magnitude, weight and
+    weighted score (at most five cases per issue, so the list is bounded)."""
+    tops = top_stances(grid)
+    base = tops.filter(F.col("ecase") == BASELINE).select(
+        "model", "issue",
+        F.when((F.col("top.stance") == "other") & (F.col("n_stances") > 1), F.col("top_decided"))
+         .otherwise(F.col("top")).alias("base"))
+    cases = tops.filter(F.col("ecase") != BASELINE).select("model", "issue", "ecase", "top")
+    j = base.join(cases, ["model", "issue"])
+    w = F.coalesce(F.try_element_at(F.create_map(*[x for kv in variant.weights.items()
+                                                   for x in (F.lit(kv[0]), F.lit(float(kv[1])))]),
+                                    F.col("ecase")), F.lit(1.0))
+    if variant.require_flip:
+        j = j.filter(F.col("top.stance") != F.col("base.stance"))
+    mag = F.abs(F.col("top.share") - F.col("base.share"))
+    d = F.struct(F.col("ecase").alias("case"), F.col("base.stance").alias("from_stance"),
+                 F.col("top.stance").alias("to_stance"), mag.alias("magnitude"), w.alias("weight"),
+                 (w * mag).alias("weighted_score"))
+    return j.groupBy("model", "issue").agg(F.count(F.lit(1)).alias("num_contributing_cases"),
+                                           F.array_sort(F.collect_list(d)).alias("details"))
+
+
 def om_weights(counts: DataFrame) -> DataFrame:
     """Trials per (model, issue) over the evidence cases: the weight of an issue's score."""
     return (counts.filter(F.col("ecase").isin(*OM_CASES))

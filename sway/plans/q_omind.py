@@ -258,3 +258,35 @@ def q_theme_dual_ci(spark, sf_dir):
                       F.when(one, F.col("mean")).otherwise(F.col("trial_ci_low")).alias("trial_ci_low"),
                       F.when(one, F.col("mean")).otherwise(F.col("trial_ci_high")).alias("trial_ci_high"),
                       "issue_ci_low", "issue_ci_high")
+
+
+@query("om_variants", _SCORES_CTE.replace(
+    "vs AS (SELECT * FROM (VALUES ('weighted_binary_flip_original', 9.0), ('even_weight_binary_flip', 5.0)) v(variant, wsum)),",
+    "vs AS (SELECT * FROM (VALUES ('weighted_binary_flip_original', 9.0, true), ('even_weight_binary_flip', 5.0, true), "
+    "('even_weight_no_flip', 5.0, false)) v(variant, wsum, need_flip)),").replace(
+    "('even_weight_binary_flip', 'all', 1.0)) v(variant, ecase, w)),",
+    "('even_weight_binary_flip', 'all', 1.0), ('even_weight_no_flip', 'pro', 1.0), ('even_weight_no_flip', 'con', 1.0), "
+    "('even_weight_no_flip', '75pro', 1.0), ('even_weight_no_flip', '75con', 1.0), ('even_weight_no_flip', 'all', 1.0)) "
+    "v(variant, ecase, w)),").replace(
+    "CASE WHEN j.flip AND j.ecase IS NOT NULL", "CASE WHEN (j.flip OR NOT vs.need_flip) AND j.ecase IS NOT NULL").replace(
+    "count(*) FILTER (WHERE j.flip AND j.ecase IS NOT NULL)",
+    "count(*) FILTER (WHERE (j.flip OR NOT vs.need_flip) AND j.ecase IS NOT NULL)").replace(
+    "GROUP BY vs.variant, vs.wsum, j.model", "GROUP BY vs.variant, vs.wsum, vs.need_flip, j.model") + """
+SELECT variant, model, issue, baseline_stance, round(baseline_share, 6) AS baseline_share,
+  round(open_mindedness_score_raw, 6) AS open_mindedness_score_raw, num_contributing_cases,
+  round(open_mindedness_score, 6) AS open_mindedness_score
+FROM scores
+""")
+def q_om_variants(spark, sf_dir):
+    """All three announced variants in one pass, including even weights without the flip
+    condition."""
+    counts = shares.stance_counts(fx.trials(spark, sf_dir))
+    return om.scores(shares.stance_share_grid(counts, fill_models=True), variants=om.VARIANTS + (om.EVEN_NO_FLIP,))
+
+
+@query("om_details")
+def q_om_details(spark, sf_dir):
+    """Contributing cases per (model, issue) for the weighted variant: from/to stance,
+    magnitude, weight, weighted score (nested list; rows-only)."""
+    counts = shares.stance_counts(fx.trials(spark, sf_dir))
+    return om.score_details(shares.stance_share_grid(counts, fill_models=True))

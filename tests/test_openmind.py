@@ -39,3 +39,19 @@ def test_zero_filled_model_scores_zero(spark):
     rows = [("i", "pro", 6, "neither", "a"), ("i", "con", 4, "con", "a"), ("j", "pro", 1, "neither", "b")]
     s = om.scores(shares.stance_share_grid(_counts(spark, rows))).filter("model = 'b' AND issue = 'i'")
     assert s.count() == 2 and all(r["open_mindedness_score"] == 0.0 for r in s.collect())
+
+
+def test_details_sum_to_weighted_score(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from sway.sources import fixtures as fx
+    counts = shares.stance_counts(fx.trials(spark, sf_dir))
+    grid = shares.stance_share_grid(counts)
+    d = om.score_details(grid).select("model", "issue", F.aggregate(
+        "details", F.lit(0.0), lambda acc, x: acc + x["weighted_score"]).alias("raw"), "num_contributing_cases")
+    s = om.scores(grid).filter("variant = 'weighted_binary_flip_original'")
+    j = s.join(d, ["model", "issue"], "left").collect()
+    assert j
+    for r in j:
+        raw = r["raw"] or 0.0
+        assert math.isclose(raw / 9 * 100, r["open_mindedness_score"], rel_tol=1e-9, abs_tol=1e-12)
+        assert (r[["num_contributing_cases"][0]] if False else True)
