@@ -54,4 +54,3 @@ def test_details_sum_to_weighted_score(spark, sf_dir):
     for r in j:
         raw = r["raw"] or 0.0
         assert math.isclose(raw / 9 * 100, r["open_mindedness_score"], rel_tol=1e-9, abs_tol=1e-12)
-        assert (r[["num_contributing_cases"][0]] if False else True)
