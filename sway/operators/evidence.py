@@ -22,13 +22,14 @@ def evidence_effect(trials: DataFrame, evidence: DataFrame, per_question: int =
     """
     t = trials.join(evidence, "evidence_id", "left").withColumn(
         "evidence_hash", F.when(F.col("ecase") != "neither", F.col("evidence_hash")))
-    pro = F.count_if(F.col("issue_stance") == "pro")
-    base = (t.filter(F.col("evidence_hash").isNull()).groupBy("model", "issue", "question")
-            .agg((pro / per_question).alias("proportion")))
-    withe = (t.filter(F.col("evidence_hash").isNotNull())
-             .groupBy("model", "issue", "question", "evidence_hash")
-             .agg(pro.alias("pro_n"), F.count(F.lit(1)).alias("total_with_evidence")))
-    m = withe.join(base, ["model", "issue", "question"], "left").withColumn(
+    # one aggregation for baseline (hash NULL) and evidence groups; the baseline proportion
+    # is attached by a window over each (model, issue, question), not by a self-join that
+    # would read the trials twice
+    g = t.groupBy("model", "issue", "question", "evidence_hash").agg(
+        F.count_if(F.col("issue_stance") == "pro").alias("pro_n"), F.count(F.lit(1)).alias("total_with_evidence"))
+    w = W.partitionBy("model", "issue", "question")
+    g = g.withColumn("proportion", F.max(F.when(F.col("evidence_hash").isNull(), F.col("pro_n") / per_question)).over(w))
+    m = g.filter(F.col("evidence_hash").isNotNull()).withColumn(
         "shift", F.col("pro_n") / F.col("total_with_evidence") - F.col("proportion"))
     # rounded to 12 decimals: a mathematically zero shift must not get a sign from float noise
     return m.groupBy("model", "evidence_hash").agg(

@@ -92,14 +92,19 @@ def enrich_trials(parsed: DataFrame, question_map: DataFrame, stance_from: str =
 
 def merge_retries(originals: DataFrame, retries: DataFrame, key: str = "custom_id",
                   order_cols: tuple[str, ...] = ()) -> DataFrame:
+    """Upsert of retries over originals (see ``merge_prioritized``)."""
+    u = (originals.withColumn("_prio", F.lit(0))
+         .unionByName(retries.withColumn("_prio", F.lit(1)), allowMissingColumns=True))
+    return merge_prioritized(u, key, order_cols)
+
+
+def merge_prioritized(u: DataFrame, key: str = "custom_id", order_cols: tuple[str, ...] = ()) -> DataFrame:
     """Upsert: a retry row replaces the original with the same key; the last line wins within a side.
 
     Written as ``max_by`` over a (priority, order...) struct rather than a
     window, so a key holding a large share of the rows is reduced map-side
     instead of being sorted in one task.
     """
-    u = (originals.withColumn("_prio", F.lit(0))
-         .unionByName(retries.withColumn("_prio", F.lit(1)), allowMissingColumns=True))
     payload = [c for c in u.columns if c not in (key, "_prio")]
     order = F.struct(F.col("_prio"), *[F.col(c) for c in order_cols],
                      *[F.col(c) for c in payload if c not in order_cols])

@@ -12,15 +12,20 @@ _MARK = r"\[\d+\]"
 KEY_LEN = 20
 
 
-def order_counts(trials: DataFrame) -> DataFrame:
+def order_counts(trials: DataFrame, weight: str | None = None) -> DataFrame:
     """Per (model, ecase, last_argument): trials, agreements with the last argument, share.
 
-    An 'other' answer counts as disagreement, as in the study."""
+    An 'other' answer counts as disagreement, as in the study.  ``weight`` names a count
+    column when the rows are already pre-aggregated."""
     t = trials.filter(F.col("ecase").isin(*ORDER_CASES) & F.col("last_argument").isNotNull()
                       & (F.col("issue") != "unknown"))
     agreed = F.col("issue_stance") == F.col("last_argument")
-    g = t.groupBy("model", "ecase", "last_argument").agg(
-        F.count(F.lit(1)).alias("total_trials"), F.count_if(agreed).alias("agreed_with_last_count"))
+    if weight is None:
+        aggs = [F.count(F.lit(1)).alias("total_trials"), F.count_if(agreed).alias("agreed_with_last_count")]
+    else:
+        aggs = [F.sum(weight).alias("total_trials"),
+                F.coalesce(F.sum(F.when(agreed, F.col(weight))), F.lit(0)).alias("agreed_with_last_count")]
+    g = t.groupBy("model", "ecase", "last_argument").agg(*aggs)
     return g.withColumn("agreed_with_last_pct", F.col("agreed_with_last_count") / F.col("total_trials"))
 
 

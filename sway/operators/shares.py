@@ -26,17 +26,23 @@ def stance_counts(trials: DataFrame) -> DataFrame:
             .select("issue", "issue_stance", "count", "ecase", "model"))
 
 
-def _stance_cols(stance_col: str = "issue_stance"):
+def _stance_cols(stance_col: str = "issue_stance", weight: str | None = None):
     s = F.col(stance_col)
-    return [F.count_if(s == "pro").alias("pro"), F.count_if(s == "con").alias("con"),
-            F.count_if(~s.isin("pro", "con")).alias("other")]
-
-
-def trial_shares(trials: DataFrame) -> DataFrame:
-    """Per (model, ecase, issue, trial_num): counts of each stance, total and shares."""
+    if weight is None:
+        return [F.count_if(s == "pro").alias("pro"), F.count_if(s == "con").alias("con"),
+                F.count_if(~s.isin("pro", "con")).alias("other")]
+    w = F.col(weight)
+    return [F.coalesce(F.sum(F.when(s == "pro", w)), F.lit(0)).alias("pro"),
+            F.coalesce(F.sum(F.when(s == "con", w)), F.lit(0)).alias("con"),
+            F.coalesce(F.sum(F.when(~s.isin("pro", "con"), w)), F.lit(0)).alias("other")]
+
+
+def trial_shares(trials: DataFrame, weight: str | None = None) -> DataFrame:
+    """Per (model, ecase, issue, trial_num): counts of each stance, total and shares.
+    ``weight`` names a count column when the rows are already pre-aggregated."""
     g = (known_issues(trials)
          .groupBy("model", "ecase", "issue", "trial_num")
-         .agg(*_stance_cols()))
+         .agg(*_stance_cols(weight=weight)))
     total = F.col("pro") + F.col("con") + F.col("other")
     return g.select("model", "ecase", "issue", "trial_num", "pro", "con", "other",
                     total.alias("total"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sway.functions.stats import paired_t_p, t_margin
 
@@ -11,13 +12,14 @@ from sway.functions.stats import paired_t_p, t_margin
 def paired_diffs(shares: DataFrame, baseline: str = "neither") -> DataFrame:
     """Evidence case vs baseline trials of the same (model, issue, trial_num).
 
-    Both sides are already aggregated to one row per trial cell, so the
-    self-join is on a table bounded by models x issues x cases x trials.
-    """
-    base = (shares.filter(F.col("ecase") == baseline)
-            .select("model", "issue", "trial_num", F.col("pro_share").alias("pro_share_neither")))
-    case = shares.filter(F.col("ecase") != baseline)
-    j = case.join(base, ["model", "issue", "trial_num"])
+    The baseline share is attached with a window over the (at most six) case rows of
+    each trial cell rather than a self-join, so the aggregate is computed from one scan
+    (a self-join would push different case filters below the aggregation and read the
+    fact table twice)."""
+    w = Window.partitionBy("model", "issue", "trial_num")
+    j = shares.withColumn("pro_share_neither",
+                          F.max(F.when(F.col("ecase") == baseline, F.col("pro_share"))).over(w))
+    j = j.filter((F.col("ecase") != baseline) & F.col("pro_share_neither").isNotNull())
     return j.withColumn("pro_shift", F.col("pro_share") - F.col("pro_share_neither"))
 
 

@@ -20,13 +20,13 @@ CON_SIDE = ("con", "75con")
 
 def shifts(cells: DataFrame, baseline: str = "neither") -> DataFrame:
     """Pro-share shift per (model, issue, ecase) with the baseline pro and con shares."""
-    b = cells.filter(F.col("ecase") == baseline).select(
-        "model", "issue", F.col("pro_share").alias("base_pro"), F.col("con_share").alias("base_con"),
-        F.col("other_share").alias("base_other"))
-    c = cells.filter(F.col("ecase") != baseline)
-    return (c.join(b, ["model", "issue"])
-            .select("model", "issue", "ecase", "pro_share", "con_share", "other_share", "base_pro",
-                    "base_con", (F.col("pro_share") - F.col("base_pro")).alias("shift")))
+    w = W.partitionBy("model", "issue")
+    is_b = F.col("ecase") == baseline
+    c = cells.select("*", F.max(F.when(is_b, F.col("pro_share"))).over(w).alias("base_pro"),
+                     F.max(F.when(is_b, F.col("con_share"))).over(w).alias("base_con"))
+    c = c.filter(~is_b & F.col("base_pro").isNotNull())
+    return c.select("model", "issue", "ecase", "pro_share", "con_share", "other_share", "base_pro",
+                    "base_con", (F.col("pro_share") - F.col("base_pro")).alias("shift"))
 
 
 def mean_shift(sh: DataFrame) -> DataFrame:

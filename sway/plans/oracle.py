@@ -57,6 +57,15 @@ WITH trials AS (
     count(*) FILTER (WHERE issue_stance = 'pro') / count(*) AS pro_share,
     count(*) FILTER (WHERE issue_stance = 'con') / count(*) AS con_share
   FROM trials WHERE issue <> 'unknown' GROUP BY model, ecase, issue, trial_num
+), issues_dim AS (
+  SELECT DISTINCT concat('issue-', p_partkey % 20) AS issue, lower(replace(concat('issue-', p_partkey % 20), '-', ' '))
+    AS question FROM part
+), paraphrases_dim AS (
+  SELECT *, concat(replace(topic, '-', ' '), ' v', paraphrase_idx) AS question FROM (
+    SELECT DISTINCT concat('issue-', p_partkey % 20) AS topic, p_partkey % 6 AS paraphrase_idx,
+      CASE WHEN p_partkey % 6 < 4 THEN 'pro' ELSE 'con' END AS orientation FROM part)
+), models_dim AS (
+  SELECT DISTINCT concat('m', s_suppkey % 9) AS model FROM supplier
 ), arguments AS (
   SELECT source AS topic, CASE WHEN substr(md5(CAST(doc_id AS VARCHAR)), 1, 1) < '8' THEN 'pro' ELSE 'con' END AS side, doc_id, text
   FROM documents

@@ -47,7 +47,7 @@ def _evidence_docs(spark, sf_dir):
     """Documents that are referenced as evidence items: a semi-join on the distinct evidence
     ids of the trials (a small key set, broadcast by AQE), so only those texts are hashed
     and featurised, not the whole corpus."""
-    ids = fx.trials(spark, sf_dir).select(F.col("evidence_id").alias("doc_id")).distinct()
+    ids = fx.evidence_ids_dim(spark, sf_dir)
     return read_table(spark, sf_dir, "documents").select("doc_id", "text").join(ids, "doc_id", "left_semi")
 
 
@@ -57,9 +57,12 @@ def _evidence(spark, sf_dir):
 
 
 def _effects(spark, sf_dir):
+    """Per (model, evidence item) effects: bounded by models x items, materialised once
+    because summaries, labels, ranks and thresholds all read it."""
+    from sway.session import materialize
     t = fx.trials(spark, sf_dir).select("model", "issue", F.col("paraphrase_idx").alias("question"), "ecase",
                                         "evidence_id", "issue_stance")
-    return EV.evidence_effect(t, _evidence(spark, sf_dir))
+    return materialize(EV.evidence_effect(t, _evidence(spark, sf_dir)))
 
 
 @query("evidence_effect", _EFFECTS + """

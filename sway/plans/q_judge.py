@@ -37,7 +37,15 @@ rates AS (SELECT g.model, g.topic, g.ecase, g.paraphrase_idx, g.n_compositions,
 
 
 def _levels(spark, sf_dir):
-    return S.composition_levels(fx.compositions(spark, sf_dir))
+    """Composition-level rates (one row per composition), materialised once per query."""
+    from sway.session import materialize
+    return materialize(S.composition_levels(fx.compositions(spark, sf_dir)))
+
+
+def _judgments(spark, sf_dir):
+    """Judge labels (one row per topic x paraphrase x judge), materialised once per query."""
+    from sway.session import materialize
+    return materialize(fx.judgments(spark, sf_dir))
 
 
 @query("composition_levels", _LEVELS_SQL + """
@@ -122,7 +130,7 @@ SELECT judge_model, label, count(*) AS n, sum(count(*)) OVER (PARTITION BY judge
 FROM judgments GROUP BY judge_model, label
 """)
 def q_label_rates(spark, sf_dir):
-    return J.label_rates(fx.judgments(spark, sf_dir))
+    return J.label_rates(_judgments(spark, sf_dir))
 
 
 @query("judge_agreement", """
@@ -141,7 +149,7 @@ SELECT lab.topic, lab.paraphrase_idx, CAST(coalesce(n_models, 0) AS BIGINT) AS n
 FROM lab LEFT JOIN per USING (topic, paraphrase_idx)
 """)
 def q_judge_agreement(spark, sf_dir):
-    return J.agreement(fx.judgments(spark, sf_dir))
+    return J.agreement(_judgments(spark, sf_dir))
 
 
 @query("review_queue", """
@@ -156,7 +164,7 @@ FROM cand WHERE row_id NOT IN (SELECT row_id FROM done)
 def q_review_queue(spark, sf_dir):
     """Non-neutral or failed judgments still waiting for a manual decision
     (decisions already stored for judge j0)."""
-    cand = J.review_candidates(fx.judgments(spark, sf_dir), include_errors=True)
+    cand = J.review_candidates(_judgments(spark, sf_dir), include_errors=True)
     decisions = cand.filter(F.col("judge_model") == "j0").select("row_id")
     return J.review_queue(cand, decisions).select(
         "topic", "paraphrase_idx", "judge_model", "label", "error", "row_id")
@@ -172,7 +180,7 @@ WHERE NOT EXISTS (SELECT 1 FROM judgments j WHERE j.topic = g.topic AND j.paraph
 """)
 def q_judge_resume(spark, sf_dir):
     """Judge runs still to do for judges j0..j3 after the stored judgments (resume by key)."""
-    j = fx.judgments(spark, sf_dir)
+    j = _judgments(spark, sf_dir)
     par = j.select("topic", "paraphrase_idx").distinct()
     return J.pending_judgments(par, ["j0", "j1", "j2", "j3"], j)
 
@@ -184,7 +192,7 @@ FROM judgments GROUP BY topic
 """)
 def q_non_neutral_topics(spark, sf_dir):
     """Per topic: paraphrases that at least one judge found non-neutral."""
-    j = fx.judgments(spark, sf_dir)
+    j = _judgments(spark, sf_dir)
     return j.groupBy("topic").agg(
         F.countDistinct(F.when(F.col("label") != "neutral", F.col("paraphrase_idx"))).alias("non_neutral_paraphrases"),
         F.countDistinct("paraphrase_idx").alias("paraphrases"))

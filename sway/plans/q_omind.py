@@ -70,12 +70,16 @@ ranked AS (SELECT variant, model, om_mean,
 
 
 def _counts(spark, sf_dir):
-    return shares.stance_counts(fx.trials(spark, sf_dir))
+    """Stance counts (bounded by models x issues x cases x stances), materialised once:
+    the share grid and the issue weights both read them."""
+    from sway.session import materialize
+    return materialize(shares.stance_counts(fx.trials(spark, sf_dir)))
 
 
 def _scores(spark, sf_dir):
+    from sway.session import materialize
     counts = _counts(spark, sf_dir)
-    return counts, om.scores(shares.stance_share_grid(counts, fill_models=True))
+    return counts, materialize(om.scores(shares.stance_share_grid(counts, fill_models=True)))
 
 
 @query("open_mindedness", _SCORES_CTE + """
@@ -280,13 +284,12 @@ FROM scores
 def q_om_variants(spark, sf_dir):
     """All three announced variants in one pass, including even weights without the flip
     condition."""
-    counts = shares.stance_counts(fx.trials(spark, sf_dir))
-    return om.scores(shares.stance_share_grid(counts, fill_models=True), variants=om.VARIANTS + (om.EVEN_NO_FLIP,))
+    return om.scores(shares.stance_share_grid(_counts(spark, sf_dir), fill_models=True),
+                     variants=om.VARIANTS + (om.EVEN_NO_FLIP,))
 
 
 @query("om_details")
 def q_om_details(spark, sf_dir):
     """Contributing cases per (model, issue) for the weighted variant: from/to stance,
     magnitude, weight, weighted score (nested list; rows-only)."""
-    counts = shares.stance_counts(fx.trials(spark, sf_dir))
-    return om.score_details(shares.stance_share_grid(counts, fill_models=True))
+    return om.score_details(shares.stance_share_grid(_counts(spark, sf_dir), fill_models=True))

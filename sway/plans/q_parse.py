@@ -9,6 +9,7 @@ from sway.operators import ingest
 from sway.plans.catalog import query
 from sway.sources import fixtures as fx
 from sway.sources.tables import read_table
+from pyspark.sql.window import Window as W
 
 _ANSWER_SQL = """coalesce(upper(coalesce(
     nullif(regexp_extract({t}, '(?i)position ([A|B])', 1), ''),
@@ -18,10 +19,9 @@ _ANSWER_SQL = """coalesce(upper(coalesce(
 
 
 def _question_map(spark, sf_dir):
-    """Topic dimension: one question text per issue (derived from the trials)."""
-    t = fx.trials(spark, sf_dir).select("issue").distinct()
-    return t.select(F.lower(F.replace("issue", F.lit("-"), F.lit(" "))).alias("question"), "issue",
-                    F.lit(None).cast("string").alias("orientation"))
+    """Topic dimension: one question text per issue (from the ``part`` dimension table)."""
+    return fx.issues_dim(spark, sf_dir).select("question", "issue",
+                                               F.lit(None).cast("string").alias("orientation"))
 
 
 @query("parse_answers", f"""
@@ -38,8 +38,7 @@ SELECT model, coalesce(q.issue, 'unknown') AS issue, ecase, trial_num, question,
        WHEN question_stance = 'pro' AND llm_answer = 'B' THEN 'con'
        WHEN question_stance = 'con' AND llm_answer = 'B' THEN 'pro' ELSE 'other' END AS issue_stance,
   l_orderkey, l_linenumber
-FROM p LEFT JOIN (SELECT DISTINCT lower(replace(issue, '-', ' ')) AS question, issue FROM trials) q
-  USING (question)
+FROM p LEFT JOIN issues_dim q USING (question)
 """.replace("\n, p AS", "WITH p AS", 1))
 def q_parse_answers(spark, sf_dir):
     """JSON reply lines in four dialects -> id parse -> answer -> topic lookup -> stance."""
@@ -103,6 +102,19 @@ def q_hash_recovery(spark, sf_dir):
             .select("conv_id", "turn", F.col("custom_id").alias("recovered_id")))
 
 
+def _delivered(spark, sf_dir):
+    """Original and retry deliveries from one scan: every reply yields its original (an
+    error when l_orderkey % 11 = 0) and, when l_orderkey % 22 = 0, a retried copy."""
+    r = fx.responses(spark, sf_dir).select("model", "custom_id", "response_text", "l_orderkey", "l_linenumber")
+    orig = F.struct(F.lit(0).alias("_prio"), F.when(F.col("l_orderkey") % 11 == 0, F.lit("ERROR: request failed"))
+                    .otherwise(F.col("response_text")).alias("response_text"))
+    retry = F.when(F.col("l_orderkey") % 22 == 0, F.struct(F.lit(1).alias("_prio"),
+                                                           F.col("response_text").alias("response_text")))
+    d = r.select("model", "custom_id", "l_orderkey", "l_linenumber",
+                 F.explode(F.filter(F.array(orig, retry), lambda x: x.isNotNull())).alias("d"))
+    return d.select("model", "custom_id", "l_orderkey", "l_linenumber", "d._prio", "d.response_text")
+
+
 def _originals_and_retries(spark, sf_dir):
     r = fx.responses(spark, sf_dir).select("model", "custom_id", "response_text", "l_orderkey", "l_linenumber")
     orig = r.withColumn("response_text",
@@ -126,8 +138,8 @@ SELECT custom_id, model, response_text, l_orderkey, l_linenumber, prio = 1 AS fr
 FROM ranked WHERE rn = 1
 """)
 def q_retry_merge(spark, sf_dir):
-    orig, retry = _originals_and_retries(spark, sf_dir)
-    m = ingest.merge_retries(orig, retry, "custom_id", ("l_orderkey", "l_linenumber"))
+    d = _delivered(spark, sf_dir)
+    m = ingest.merge_prioritized(d, "custom_id", ("l_orderkey", "l_linenumber"))
     return m.select("custom_id", "model", "response_text", "l_orderkey", "l_linenumber", "from_retry",
                     F.col("response_text").startswith("ERROR:").alias("is_error"))
 
@@ -138,8 +150,9 @@ WHERE NOT EXISTS (SELECT 1 FROM responses r WHERE r.l_orderkey % 11 <> 0 AND r.c
 """)
 def q_unpredicted_prompts(spark, sf_dir):
     r = fx.responses(spark, sf_dir).select("custom_id", "l_orderkey")
-    predicted = r.filter(F.col("l_orderkey") % 11 != 0).select("custom_id")
-    return r.select("custom_id").distinct().join(predicted, "custom_id", "left_anti")
+    # one aggregation per id instead of distinct + anti join over two scans
+    g = r.groupBy("custom_id").agg(F.bool_or(F.col("l_orderkey") % 11 != 0).alias("_pred"))
+    return g.filter(~F.col("_pred")).select("custom_id")
 
 
 @query("error_rows", """
@@ -152,16 +165,21 @@ FROM e GROUP BY e.model
 """)
 def q_error_rows(spark, sf_dir):
     """Error replies per model, and the prompts to re-send for them (semi join)."""
-    orig, retry = _originals_and_retries(spark, sf_dir)
-    errs = ingest.error_rows(orig)
-    per_model = errs.groupBy("model").agg(F.count(F.lit(1)).alias("n_errors"),
-                                          F.countDistinct("custom_id").alias("n_error_ids"))
-    prompts = fx.responses(spark, sf_dir).select("custom_id")
-    resend = prompts.join(errs.select("custom_id").distinct(), "custom_id", "left_semi")
-    # whole-table totals as scalar subqueries (no join against a one-row table)
+    from sway.session import materialize
+    r = fx.responses(spark, sf_dir).select("model", "custom_id", "l_orderkey")
+    err = F.col("l_orderkey") % 11 == 0
+    # one scan: per (id, model) rows, error rows and retries; bounded by the id domain
+    g = materialize(r.groupBy("custom_id", "model").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(err).alias("errs"),
+        F.count_if(F.col("l_orderkey") % 22 == 0).alias("retried")))
+    g2 = g.withColumn("id_has_error", F.max(F.col("errs") > 0).over(W.partitionBy("custom_id")))
+    per_model = g2.groupBy("model").agg(F.sum("errs").alias("n_errors"),
+                                        F.count_if(F.col("errs") > 0).alias("n_error_ids"))
+    per_model = per_model.filter(F.col("n_errors") > 0)
     return per_model.select("model", "n_errors", "n_error_ids",
-                            resend.select(F.count(F.lit(1))).scalar().alias("n_prompts_for_errors"),
-                            retry.select(F.count(F.lit(1))).scalar().alias("n_retried"))
+                            g2.select(F.sum(F.when(F.col("id_has_error"), F.col("rows")).otherwise(0)))
+                            .scalar().alias("n_prompts_for_errors"),
+                            g.select(F.sum("retried")).scalar().alias("n_retried"))
 
 
 @query("unparsed_sample", f"""
@@ -182,7 +200,7 @@ def q_unparsed_sample(spark, sf_dir):
 WITH ids AS (SELECT DISTINCT custom_id,
                lower(replace(regexp_extract(custom_id, 'request-(.*?)-(\\d+)-framing', 1), '_', ' ')) AS question,
                regexp_extract(custom_id, '-framing-(.*?)-evidence-', 1) AS framing FROM responses),
-par AS (SELECT DISTINCT lower(replace(issue, '-', ' ')) AS question, issue, paraphrase_idx FROM trials)
+par AS (SELECT lower(replace(topic, '-', ' ')) AS question, topic AS issue, paraphrase_idx FROM paraphrases_dim)
 SELECT ids.custom_id, par.issue, count(*) AS n_late_paraphrases
 FROM ids JOIN par ON ids.question = par.question
 WHERE par.paraphrase_idx >= 4 AND ids.framing = 'pro'
@@ -191,7 +209,7 @@ GROUP BY ids.custom_id, par.issue
 def q_framing_audit(spark, sf_dir):
     """Ids issued with framing 'pro' for questions whose paraphrase index is >= 4."""
     ids = ingest.parsed_ids(fx.responses(spark, sf_dir).select("custom_id").distinct())
-    par = (fx.trials(spark, sf_dir).select("issue", "paraphrase_idx").distinct()
+    par = (fx.paraphrases_dim(spark, sf_dir).select(F.col("topic").alias("issue"), "paraphrase_idx")
            .filter(F.col("paraphrase_idx") >= 4)
            .withColumn("question", F.lower(F.replace("issue", F.lit("-"), F.lit(" ")))))
     j = ids.filter(F.col("framing") == "pro").join(par, "question")

@@ -37,8 +37,8 @@ FROM g LEFT JOIN bd USING (variant, model)
 def q_bootstrap_mean_ci(spark, sf_dir):
     """Bootstrap (2 000 draws) percentile interval of the mean open-mindedness score per
     (variant, model) over issues; draws are keyed MD5 indices, so DuckDB reproduces them."""
-    counts = shares.stance_counts(fx.trials(spark, sf_dir))
-    s = om.scores(shares.stance_share_grid(counts, fill_models=True))
+    from sway.plans.q_omind import _scores
+    _, s = _scores(spark, sf_dir)
     return RS.bootstrap_mean_ci(s, ["variant", "model"], "open_mindedness_score", "issue", N_BOOT)
 
 
@@ -46,7 +46,8 @@ def q_bootstrap_mean_ci(spark, sf_dir):
 def q_bh_adjust(spark, sf_dir):
     """Benjamini-Hochberg adjusted p-values of the paired-shift tests (rows-only: the
     p-values come from the t distribution)."""
-    st = shift.shift_statistics(shares.trial_shares(fx.trials(spark, sf_dir)))
+    from sway.session import materialize
+    st = materialize(shift.shift_statistics(shares.trial_shares(fx.trials(spark, sf_dir))))
     return RS.bh_adjust(st, "p_value", ["model", "ecase"])
 
 

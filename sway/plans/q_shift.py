@@ -10,7 +10,9 @@ from sway.sources import fixtures as fx
 
 
 def _shares(spark, sf_dir):
-    return shares.trial_shares(fx.trials(spark, sf_dir))
+    """Per-trial-cell shares (bounded by the design), materialised once per query."""
+    from sway.session import materialize
+    return materialize(shares.trial_shares(fx.trials(spark, sf_dir)))
 
 
 @query("paired_shift", """
@@ -56,7 +58,9 @@ sh AS (
 
 
 def _cells(spark, sf_dir):
-    return shares.share_pivot(fx.trials(spark, sf_dir))
+    """Per-(model, issue, case) stance cells, materialised once per query."""
+    from sway.session import materialize
+    return materialize(shares.share_pivot(fx.trials(spark, sf_dir)))
 
 
 def _sh(spark, sf_dir):
@@ -343,9 +347,13 @@ FROM s JOIN oc USING (model, ecase)
 def q_shift_vs_recency(spark, sf_dir):
     """Paired shift statistics joined with the recency rate on (model, case)."""
     from sway.operators import order
+    from sway.session import materialize
     t = fx.trials(spark, sf_dir)
-    s = shift.paired_shift(shares.trial_shares(t)).select("model", "ecase", "mean_pro_shift", "n_trials")
-    r = order.recency_rate(order.order_counts(t)).select("model", "ecase", "recency_rate")
+    # one scan: counts at the finest grain both statistics need, then two roll-ups
+    base = materialize(t.groupBy("model", "ecase", "issue", "trial_num", "last_argument", "issue_stance")
+                       .agg(F.count(F.lit(1)).alias("n")))
+    s = shift.paired_shift(shares.trial_shares(base, weight="n")).select("model", "ecase", "mean_pro_shift", "n_trials")
+    r = order.recency_rate(order.order_counts(base, weight="n")).select("model", "ecase", "recency_rate")
     return s.join(r, ["model", "ecase"])
 
 

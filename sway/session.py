@@ -69,3 +69,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def materialize(df):
+    """Compute a small, bounded intermediate once and cut its lineage.
+
+    Used for aggregates (bounded by the study's key domain) that feed several branches
+    of one query, so the fact table behind them is scanned once instead of once per
+    branch.  The data goes to the shared checkpoint folder (``spark.checkpoint.dir``),
+    so a lost executor does not force recomputation from the fact table."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -148,7 +148,38 @@ def model_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model -> family: the name-prefix rule, else (fixture models m0..m8) three families of
     three models each by model number."""
     from sway.operators.evstats import family_of
-    m = trials(spark, sf_dir).select("model").distinct()
+    m = models_dim(spark, sf_dir)
     num = F.regexp_extract("model", r"(\d+)$", 1).try_cast("int")
     return m.select("model", F.coalesce(family_of(F.col("model")),
                                         F.concat(F.lit("f"), F.floor(num / 3).cast("string"))).alias("family"))
+
+
+# ---- dimensions (from the dimension tables, never a distinct over the fact table) ----
+
+def issues_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every topic of the fixture with its question text (from ``part``)."""
+    p = read_table(spark, sf_dir, "part").select("p_partkey")
+    i = p.select(F.concat(F.lit("issue-"), (F.col("p_partkey") % 20).cast("string")).alias("issue")).distinct()
+    return i.select("issue", F.lower(F.replace("issue", F.lit("-"), F.lit(" "))).alias("question"))
+
+
+def paraphrases_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(topic, paraphrase_idx, orientation, question) for every paraphrase (from ``part``)."""
+    pk = F.col("p_partkey")
+    p = read_table(spark, sf_dir, "part").select("p_partkey")
+    d = p.select(F.concat(F.lit("issue-"), (pk % 20).cast("string")).alias("topic"), (pk % 6).alias("paraphrase_idx"),
+                 F.when(pk % 6 < 4, "pro").otherwise("con").alias("orientation")).distinct()
+    return d.withColumn("question", F.concat(F.replace("topic", F.lit("-"), F.lit(" ")), F.lit(" v"),
+                                             F.col("paraphrase_idx").cast("string")))
+
+
+def models_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every model of the fixture (from ``supplier``)."""
+    s = read_table(spark, sf_dir, "supplier").select("s_suppkey")
+    return s.select(F.concat(F.lit("m"), (F.col("s_suppkey") % 9).cast("string")).alias("model")).distinct()
+
+
+def evidence_ids_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence item ids that trials can reference (from ``part``)."""
+    p = read_table(spark, sf_dir, "part").select("p_partkey")
+    return p.select((F.col("p_partkey") % 200).alias("doc_id")).distinct()
