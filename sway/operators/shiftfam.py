@@ -125,27 +125,25 @@ def model_disagreement(cells: DataFrame) -> DataFrame:
 def pair_agreement(cells: DataFrame, case_sets: dict[str, tuple[str, ...]]) -> DataFrame:
     """Pearson correlation of pro shares between every two models over (case, issue) cells.
 
-    Models become columns (one pivot of the cell table), then one aggregate
-    per case set computes every pair's ``corr`` side by side; no row-level
-    pairing of models.
-    """
-    wide = cells.groupBy("ecase", "issue").pivot("model").agg(F.first("pro_share"))
-    models = sorted(c for c in wide.columns if c not in ("ecase", "issue"))
-    out = None
+    Models become columns (one pivot of the cell table); the case sets are disjoint, so one
+    aggregation grouped by case set computes every pair's correlation side by side; no
+    row-level pairing of models."""
+    cs = None
     for name, cases in case_sets.items():
-        sub = wide.filter(F.col("ecase").isin(*cases))
-        aggs, names = [], []
-        for i, a in enumerate(models):
-            for b in models[i + 1:]:
-                aggs += [pearson(F.col(f"`{a}`"), F.col(f"`{b}`")), F.count(F.when(
-                    F.col(f"`{a}`").isNotNull() & F.col(f"`{b}`").isNotNull(), 1))]
-                names.append((a, b))
-        row = sub.agg(*[x.alias(f"c{k}") for k, x in enumerate(aggs)])
-        stack = ", ".join(f"'{a}', '{b}', c{2 * k}, c{2 * k + 1}" for k, (a, b) in enumerate(names))
-        part = row.selectExpr(f"'{name}' AS case_set",
-                              f"stack({len(names)}, {stack}) AS (model_a, model_b, pearson_r, n)")
-        out = part if out is None else out.unionByName(part)
-    return out
+        cs = F.when(F.col("ecase").isin(*cases), F.lit(name)) if cs is None else cs.when(
+            F.col("ecase").isin(*cases), F.lit(name))
+    c = cells.withColumn("case_set", cs).filter(F.col("case_set").isNotNull())
+    wide = c.groupBy("case_set", "ecase", "issue").pivot("model").agg(F.first("pro_share"))
+    models = sorted(x for x in wide.columns if x not in ("case_set", "ecase", "issue"))
+    aggs, names = [], []
+    for i, a in enumerate(models):
+        for b in models[i + 1:]:
+            aggs += [pearson(F.col(f"`{a}`"), F.col(f"`{b}`")), F.count(F.when(
+                F.col(f"`{a}`").isNotNull() & F.col(f"`{b}`").isNotNull(), 1))]
+            names.append((a, b))
+    row = wide.groupBy("case_set").agg(*[x.alias(f"c{k}") for k, x in enumerate(aggs)])
+    stack = ", ".join(f"'{a}', '{b}', c{2 * k}, c{2 * k + 1}" for k, (a, b) in enumerate(names))
+    return row.selectExpr("case_set", f"stack({len(names)}, {stack}) AS (model_a, model_b, pearson_r, n)")
 
 
 def low_disagreement(cells: DataFrame, thr: float = 0.1) -> DataFrame:

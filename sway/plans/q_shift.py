@@ -384,3 +384,23 @@ def q_other_shift_ttest(spark, sf_dir):
     p = paired_t_p(m, sd, n)
     return s.select("model", "mean_other_shift", "n_issues", p.alias("p_value"), (m - half).alias("ci_low"),
                     (m + half).alias("ci_high"), p_marker(p).alias("marker"))
+
+
+@query("contradiction_tracks")
+def q_contradiction_tracks(spark, sf_dir):
+    """Start (one-sided case) and end (75 % case) of the mean shift with their 95 % intervals
+    per model and track: a multi-value pivot of the shift statistics by case (rows-only: the
+    intervals use the t distribution)."""
+    st = shift.shift_statistics(_shares(spark, sf_dir))
+    vals = ("mean_pro_shift", "ci_lower", "ci_upper")
+    wide = st.groupBy("model").agg(*[F.max(F.when(F.col("ecase") == c, F.col(v))).alias(f"{v}@{c}")
+                                     for c in ("pro", "75pro", "con", "75con") for v in vals])
+    rows = []
+    for track, start, end in (("pro", "pro", "75pro"), ("con", "con", "75con")):
+        rows.append(wide.select(
+            "model", F.lit(track).alias("track"), F.col(f"`mean_pro_shift@{start}`").alias("start"),
+            F.col(f"`mean_pro_shift@{end}`").alias("end"), F.col(f"`ci_lower@{start}`").alias("start_low"),
+            F.col(f"`ci_upper@{start}`").alias("start_high"), F.col(f"`ci_lower@{end}`").alias("end_low"),
+            F.col(f"`ci_upper@{end}`").alias("end_high")))
+    out = rows[0].unionByName(rows[1])
+    return out.filter(F.col("start").isNotNull() & F.col("end").isNotNull())
