@@ -47,6 +47,11 @@ def fisher_less(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Se
                                           alternative="less"))
 
 
+@pandas_udf(DoubleType())
+def mann_whitney_p(u1: pd.Series, n1: pd.Series, n2: pd.Series, tie_sum: pd.Series) -> pd.Series:
+    return _nan_to_none(dist.mann_whitney_p(*(x.to_numpy(dtype=float, na_value=np.nan) for x in (u1, n1, n2, tie_sum))))
+
+
 @pandas_udf(DoubleType())
 def norm_two_sided_p(z: pd.Series) -> pd.Series:
     return _nan_to_none(2.0 * dist.norm_sf(np.abs(z.to_numpy(float))))

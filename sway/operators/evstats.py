@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from sway.functions.stats import fisher_two_sided, norm_two_sided_p, p_marker, t_two_sided_p
+from sway.functions.stats import fisher_two_sided, mann_whitney_p, p_marker, t_two_sided_p
 from sway.operators.evidence import average_rank
 from sway.operators.resample import draw_index
 
@@ -102,14 +102,9 @@ def pattern_tests(items: DataFrame, binary: list[str], numeric: list[str]) -> Da
     v2 = F.when(n2 > 1, (ss2 - n2 * m2 * m2) / (n2 - 1)).otherwise(0.0)
     pooled = F.sqrt(F.try_divide((n1 - 1) * v1 + (n2 - 1) * v2, (n1 + n2 - 2).cast("double")))
     is_bin = F.col("feature").isin(*binary)
-    # Mann-Whitney: U1 from the rank sum, two-sided on max(U1, U2)
+    # Mann-Whitney: U1 from the rank sum; exact or normal p chosen as the study's test does
     u1 = F.col("r1") - n1 * (n1 + 1) / 2
-    u = F.greatest(u1, n1 * n2 - u1)
-    mu = n1 * n2 / 2
-    nn = F.col("N").cast("double")
-    sigma = F.sqrt(n1 * n2 / 12 * ((nn + 1) - F.col("tie") / (nn * (nn - 1))))
-    z = F.try_divide(u - mu - 0.5, sigma)
-    mw_p = F.least(F.lit(1.0), norm_two_sided_p(z))
+    mw_p = mann_whitney_p(F.when(~is_bin, u1), n1.cast("double"), n2.cast("double"), F.col("tie").cast("double"))
     # 2x2 cells only exist for binary features (NULL elsewhere, so the UDF skips them)
     a, b = F.when(is_bin, F.col("s1")).cast("long"), F.when(is_bin, n1 - F.col("s1")).cast("long")
     c, d = F.when(is_bin, s2).cast("long"), F.when(is_bin, n2 - s2).cast("long")

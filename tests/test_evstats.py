@@ -18,7 +18,14 @@ def _mw_p(x, y):
     u = max(u1, n1 * n2 - u1)
     _, counts = np.unique(np.round(allv, 12), return_counts=True)
     n = n1 + n2
-    s = math.sqrt(n1 * n2 / 12 * ((n + 1) - (counts ** 3 - counts).sum() / (n * (n - 1))))
+    tie = (counts ** 3 - counts).sum()
+    if min(n1, n2) <= 8 and tie == 0:
+        # exact: U distribution by brute-force enumeration of rank subsets of the smaller group
+        from itertools import combinations
+        small, big = (n1, n2) if n1 <= n2 else (n2, n1)
+        us = np.array([sum(c) - small * (small + 1) / 2 for c in combinations(range(1, n + 1), small)])
+        return min(1.0, 2 * np.mean(us >= u))
+    s = math.sqrt(n1 * n2 / 12 * ((n + 1) - tie / (n * (n - 1))))
     z = (u - n1 * n2 / 2 - 0.5) / s
     return min(1.0, math.erfc(z / math.sqrt(2)))
 
