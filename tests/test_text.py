@@ -86,3 +86,17 @@ def test_page_topic_record(spark):
     assert r["question"] == "Should X?"
     assert r["pros"] == ["Good thing", "Because [1].", '"Yes" said A'] and r["cons"] == ["Bad thing"]
     assert r["sources"] == {"[1]": "First source", "[2]": "Second source"}
+
+
+def test_cumulative_citations_mode(spark):
+    from sway.functions import prompts as PR
+    rows = [("p", 1, "A cites [1]", [("[1]", "one")]), ("p", 2, "B cites [1] and [2]", [("[1]", "one"), ("[2]", "two")]),
+            ("p", 3, "C cites nothing", [])]
+    df = spark.createDataFrame(rows, "pid string, pos int, text string, "
+                                     "citations array<struct<marker:string,citation:string>>")
+    clean = [r[0] for r in df.orderBy("pos").select(PR.evidence_block(F.col("text"), F.col("citations"))).collect()]
+    assert clean[2] == "C cites nothing---\n"
+    cum = PR.cumulative_citations(df, ["pid"], "pos").orderBy("pos").select(
+        PR.evidence_block(F.col("text"), F.col("citations"))).collect()
+    assert cum[1][0] == "B cites [1] and [2]\nCitations:\n[1] one\n[1] one\n[2] two\n---\n"
+    assert cum[2][0] == "C cites nothing\nCitations:\n[1] one\n[1] one\n[2] two\n---\n"
