@@ -113,13 +113,16 @@ def model_disagreement(cells: DataFrame) -> DataFrame:
     mean_abs = F.col("sum_abs") / pairs
     mean_sq = (n * F.col("sxx") - F.col("sx") * F.col("sx")) / pairs
     ok = n >= 2
+    # the pairwise mean/variance run over all listed models, so they are undefined when any
+    # model lacks the cell (the study's rule); the range only needs two models
+    every = (n == cells.select(F.countDistinct("model")).scalar()) & (n >= 3)
     return j.select(
         *key, "n_models",
         F.when(ok, F.col("mx") - F.col("mn")).alias("max_diff"),
         F.when(ok, F.col("diff_models_max")).alias("diff_models_max"),
         F.when(ok, F.col("diff_models_min")).alias("diff_models_min"),
-        F.when(n >= 3, mean_abs).alias("average_model_diff"),
-        F.when(n >= 3, F.greatest(F.lit(0.0), mean_sq - mean_abs * mean_abs)).alias("variance_model_diff"))
+        F.when(every, mean_abs).alias("average_model_diff"),
+        F.when(every, F.greatest(F.lit(0.0), mean_sq - mean_abs * mean_abs)).alias("variance_model_diff"))
 
 
 def pair_agreement(cells: DataFrame, case_sets: dict[str, tuple[str, ...]]) -> DataFrame:

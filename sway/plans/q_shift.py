@@ -161,8 +161,10 @@ g AS (SELECT issue, ecase, issue_stance, count(*) AS n_models, max(share) - min(
 SELECT g.issue, g.ecase, g.issue_stance, g.n_models,
   round(CASE WHEN n_models >= 2 THEN rng END, 6) AS max_diff,
   CASE WHEN n_models >= 2 THEN amax END AS diff_models_max, CASE WHEN n_models >= 2 THEN amin END AS diff_models_min,
-  round(CASE WHEN n_models >= 3 THEN avg_d END, 6) AS average_model_diff,
-  round(CASE WHEN n_models >= 3 THEN var_d END, 6) AS variance_model_diff
+  round(CASE WHEN n_models >= 3 AND n_models = (SELECT count(DISTINCT model) FROM cells) THEN avg_d END, 6)
+    AS average_model_diff,
+  round(CASE WHEN n_models >= 3 AND n_models = (SELECT count(DISTINCT model) FROM cells) THEN var_d END, 6)
+    AS variance_model_diff
 FROM g LEFT JOIN pr USING (issue, ecase, issue_stance)
 """)
 def q_model_disagreement(spark, sf_dir):
