@@ -21,7 +21,7 @@ we AS (SELECT model, issue, question, evidence_hash, count(*) FILTER (WHERE issu
          count(*) AS tot FROM t WHERE evidence_hash IS NOT NULL GROUP BY model, issue, question, evidence_hash),
 m AS (SELECT we.*, pro_n / tot - b.proportion AS shift FROM we LEFT JOIN base b USING (model, issue, question)),
 effects AS (SELECT model, evidence_hash, round(sum(shift * tot) / sum(tot), 12) AS average_proportion_shift,
-              sum(tot) AS n_trials FROM m GROUP BY model, evidence_hash),
+              CAST(sum(tot) AS BIGINT) AS n_trials FROM m GROUP BY model, evidence_hash),
 summary AS (SELECT evidence_hash, count(average_proportion_shift) AS n_models,
               median(average_proportion_shift) AS median_shift, avg(average_proportion_shift) AS mean_shift,
               median(abs(average_proportion_shift)) AS median_abs_shift,

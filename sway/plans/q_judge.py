@@ -125,7 +125,7 @@ def q_judge_parse(spark, sf_dir):
 
 
 @query("label_rates", """
-SELECT judge_model, label, count(*) AS n, sum(count(*)) OVER (PARTITION BY judge_model) AS total,
+SELECT judge_model, label, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY judge_model) AS BIGINT) AS total,
   round(count(*) / sum(count(*)) OVER (PARTITION BY judge_model) * 100.0, 6) AS pct
 FROM judgments GROUP BY judge_model, label
 """)
@@ -217,7 +217,8 @@ def judge_prompt(text):
 
 
 @query("judge_prompts", """
-SELECT DISTINCT topic, paraphrase_idx, length(concat(replace(topic, '-', ' '), ' v', paraphrase_idx)) + {n} AS prompt_chars
+SELECT DISTINCT topic, paraphrase_idx,
+  CAST(length(concat(replace(topic, '-', ' '), ' v', paraphrase_idx)) + {n} AS INTEGER) AS prompt_chars
 FROM judgments
 """.replace("{n}", str(len(JUDGE_HEAD) + len(JUDGE_TAIL))))
 def q_judge_prompts(spark, sf_dir):

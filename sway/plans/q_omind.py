@@ -110,7 +110,8 @@ def q_om_model_summary(spark, sf_dir):
 
 
 @query("rank_layout", _SCORES_CTE + """
-SELECT rank, max(model) FILTER (WHERE variant = 'weighted_binary_flip_original') AS weighted_binary_flip_original,
+SELECT CAST(rank AS INTEGER) AS rank,
+  max(model) FILTER (WHERE variant = 'weighted_binary_flip_original') AS weighted_binary_flip_original,
   max(model) FILTER (WHERE variant = 'even_weight_binary_flip') AS even_weight_binary_flip
 FROM ranked GROUP BY rank
 """)
@@ -200,7 +201,7 @@ def q_om_by_theme(spark, sf_dir):
         GROUP BY variant, theme, model),
 o AS (SELECT variant, theme, max(mean_score) AS mx FROM g GROUP BY variant, theme)
 SELECT g.variant, g.theme, g.model, g.n_issues, round(g.mean_score, 6) AS mean_score,
-  dense_rank() OVER (PARTITION BY g.variant ORDER BY o.mx DESC, g.theme) AS theme_order
+  CAST(dense_rank() OVER (PARTITION BY g.variant ORDER BY o.mx DESC, g.theme) AS INTEGER) AS theme_order
 FROM g JOIN o USING (variant, theme)
 """)
 def q_om_by_theme_model(spark, sf_dir):

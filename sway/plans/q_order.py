@@ -34,7 +34,7 @@ def q_order_effects(spark, sf_dir):
 
 
 @query("recency_rate", _COUNTS_SQL + """
-, g AS (SELECT model, ecase, sum(agreed_with_last_count) AS agreed, sum(total_trials) AS n FROM oc
+, g AS (SELECT model, ecase, sum(agreed_with_last_count) AS agreed, CAST(sum(total_trials) AS BIGINT) AS n FROM oc
         GROUP BY model, ecase)
 SELECT model, ecase, n, round(agreed / n, 6) AS recency_rate,
   round(greatest(0.0, agreed / n - 1.959963984540054 * sqrt((agreed / n) * (1 - agreed / n) / n)), 6) AS ci_low,

@@ -41,7 +41,7 @@ def q_share_pivot(spark, sf_dir):
 
 
 _GRID_SQL = """
-WITH c AS (SELECT issue, ecase, issue_stance, model, sum("count") AS n
+WITH c AS (SELECT issue, ecase, issue_stance, model, CAST(sum("count") AS BIGINT) AS n
            FROM stance_counts GROUP BY issue, ecase, issue_stance, model),
 keys AS (SELECT DISTINCT issue, ecase, issue_stance FROM c),
 models AS (SELECT DISTINCT model FROM c),
@@ -61,7 +61,7 @@ def q_stance_share_grid(spark, sf_dir):
 
 
 @query("observed_share_grid", """
-WITH c AS (SELECT issue, ecase, issue_stance, model, sum("count") AS n
+WITH c AS (SELECT issue, ecase, issue_stance, model, CAST(sum("count") AS BIGINT) AS n
            FROM stance_counts GROUP BY issue, ecase, issue_stance, model),
 cells AS (SELECT DISTINCT model, issue, ecase FROM c),
 st AS (SELECT * FROM (VALUES ('con'), ('other'), ('pro')) v(issue_stance)),
@@ -78,7 +78,7 @@ def q_observed_share_grid(spark, sf_dir):
 
 
 @query("case_stack", """
-SELECT issue, issue_stance, ecase, sum("count") AS "count" FROM stance_counts
+SELECT issue, issue_stance, ecase, CAST(sum("count") AS BIGINT) AS "count" FROM stance_counts
 WHERE ecase IN ('neither', 'pro', 'con', 'all') GROUP BY issue, issue_stance, ecase
 """)
 def q_case_stack(spark, sf_dir):

@@ -122,7 +122,7 @@ def q_counter_shifts(spark, sf_dir):
 @query("top_counter_shifts", _CELLS + _COUNTER + """
 , r AS (SELECT model, issue, ecase, shift, row_number() OVER (PARTITION BY model ORDER BY abs(shift) DESC, issue, ecase)
           AS rank FROM ctr)
-SELECT model, issue, ecase, round(shift, 6) AS shift, rank FROM r WHERE rank <= 2
+SELECT model, issue, ecase, round(shift, 6) AS shift, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 2
 """)
 def q_top_counter_shifts(spark, sf_dir):
     """Two largest counter-directional shifts per model (top-k report)."""
@@ -140,7 +140,7 @@ def q_rigid_issues(spark, sf_dir):
 @query("movable_issues", _CELLS + """
 , g AS (SELECT model, issue, avg(abs(shift)) AS mean_abs_shift FROM sh GROUP BY model, issue),
 r AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY mean_abs_shift DESC, issue) AS rank FROM g)
-SELECT model, issue, round(mean_abs_shift, 6) AS mean_abs_shift, rank FROM r WHERE rank <= 5
+SELECT model, issue, round(mean_abs_shift, 6) AS mean_abs_shift, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5
 """)
 def q_movable_issues(spark, sf_dir):
     """Five issues with the largest mean absolute shift per model (top-k report)."""
@@ -201,7 +201,8 @@ def q_low_disagreement(spark, sf_dir):
 
 @query("decided_split", _CELLS + """
 SELECT issue, round((sum(pro) + sum(con)) / (sum(pro) + sum(con) + sum(other)), 6) AS decided_share,
-  round(sum(other) / (sum(pro) + sum(con) + sum(other)), 6) AS other_share, sum(pro) + sum(con) + sum(other) AS n
+  round(sum(other) / (sum(pro) + sum(con) + sum(other)), 6) AS other_share,
+  CAST(sum(pro) + sum(con) + sum(other) AS BIGINT) AS n
 FROM cells GROUP BY issue
 """)
 def q_decided_split(spark, sf_dir):
@@ -216,7 +217,7 @@ def q_decided_split(spark, sf_dir):
 l AS (SELECT model, issue, 'pro' AS track, pro_gap AS gap FROM g UNION ALL SELECT model, issue, 'con', con_gap FROM g),
 r AS (SELECT *, row_number() OVER (PARTITION BY model, track ORDER BY gap DESC, issue) AS rank FROM l
       WHERE gap IS NOT NULL)
-SELECT model, issue, track, round(gap, 6) AS gap, rank FROM r WHERE rank <= 5
+SELECT model, issue, track, round(gap, 6) AS gap, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5
 """)
 def q_one_sided_gap(spark, sf_dir):
     """Top five one-sided minus 75 % gaps per model and track (top-k report)."""
@@ -245,7 +246,8 @@ def q_undecided_issues(spark, sf_dir):
 
 
 @query("wilson_shares", _CELLS + """
-, g AS (SELECT model, ecase, sum(pro) AS pro, sum(con) AS con, sum(other) AS other FROM cells GROUP BY model, ecase),
+, g AS (SELECT model, ecase, CAST(sum(pro) AS BIGINT) AS pro, CAST(sum(con) AS BIGINT) AS con,
+          CAST(sum(other) AS BIGINT) AS other FROM cells GROUP BY model, ecase),
 w AS (SELECT *, pro + con AS dec, pro + con + other AS tot, 1.959963984540054 AS z FROM g)
 SELECT model, ecase, pro, con, other, round(pro / dec, 6) AS pro_share,
   round(((pro / dec) + z * z / (2 * dec)) / (1 + z * z / dec)

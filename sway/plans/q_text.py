@@ -61,7 +61,7 @@ def _quote_sql() -> str:
     for k, v in FT.QUOTE_MAP.items():
         expr = f"replace({expr}, chr({ord(k)}), '{v.replace(chr(39), chr(39) * 2)}')"
     return (f"WITH n AS (SELECT doc_id, {expr} AS t FROM documents) "
-            "SELECT doc_id, length(t) AS n_chars_normalised, sha1(t) AS text_sha1 FROM n")
+            "SELECT doc_id, CAST(length(t) AS INTEGER) AS n_chars_normalised, sha1(t) AS text_sha1 FROM n")
 
 
 @query("quote_normalise", _quote_sql())
