@@ -15,6 +15,10 @@ from sway.sources.tables import TABLES, table_path  # noqa: E402
 
 REG = load_all()
 
+# Spark simple type -> DuckDB type name
+DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+        "array<bigint>": "BIGINT[]", "array<string>": "VARCHAR[]"}
+
 
 @pytest.fixture(scope="module")
 def duck(sf_dir):
@@ -36,6 +40,9 @@ def test_query_matches_oracle(name, spark, sf_dir, duck):
     cols = [d[0] for d in res.description]
     orows = res.fetchall()
     assert sorted(df.columns) == sorted(cols)
+    types = dict(zip(cols, (str(d[1]) for d in res.description)))
+    for f in df.schema.fields:
+        assert DUCK.get(f.dataType.simpleString(), f.dataType.simpleString()) == types[f.name], f.name
     assert len(rows) == len(orows)
     assert digest(df.columns, rows) == digest(cols, orows)
 
