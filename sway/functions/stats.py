@@ -52,11 +52,6 @@ def mann_whitney_p(u1: pd.Series, n1: pd.Series, n2: pd.Series, tie_sum: pd.Seri
     return _nan_to_none(dist.mann_whitney_p(*(x.to_numpy(dtype=float, na_value=np.nan) for x in (u1, n1, n2, tie_sum))))
 
 
-@pandas_udf(DoubleType())
-def norm_two_sided_p(z: pd.Series) -> pd.Series:
-    return _nan_to_none(2.0 * dist.norm_sf(np.abs(z.to_numpy(float))))
-
-
 def paired_t_p(mean: Column, sd: Column, n: Column) -> Column:
     """Two-sided p of a one-sample t test on paired differences (mean, sd, n)."""
     t = F.try_divide(mean, sd / F.sqrt(n.cast("double")))

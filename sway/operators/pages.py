@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sway.functions.parse import TITLE_PREFIX
+
 SECTION_SCHEMA = ("page_id long, title string, heading string, n_paragraphs int, main_text_chars int, "
                   "n_links int, n_quotes int, n_footnotes int, main_text string")
 TOPIC_SCHEMA = ("page_id long, question string, pros array<string>, cons array<string>, "
@@ -139,8 +141,7 @@ def page_links(pages: DataFrame) -> DataFrame:
                     F.col("linked_page_id").isNotNull().alias("found"))
 
 
-# List-title prefix removed from argument texts ("Pro 1: ", "### Con 2: ").
-_TITLE_PREFIX = re.compile(r"(?:\s*#+)?\s*(Pro|Con)\s+\d+:\s+", re.I)
+_TITLE_PREFIX = re.compile(TITLE_PREFIX)
 
 
 def _topic_batch(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

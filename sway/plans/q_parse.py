@@ -115,15 +115,6 @@ def _delivered(spark, sf_dir):
     return d.select("model", "custom_id", "l_orderkey", "l_linenumber", "d._prio", "d.response_text")
 
 
-def _originals_and_retries(spark, sf_dir):
-    r = fx.responses(spark, sf_dir).select("model", "custom_id", "response_text", "l_orderkey", "l_linenumber")
-    orig = r.withColumn("response_text",
-                        F.when(F.col("l_orderkey") % 11 == 0, F.lit("ERROR: request failed"))
-                        .otherwise(F.col("response_text")))
-    retry = r.filter(F.col("l_orderkey") % 22 == 0)
-    return orig, retry
-
-
 @query("retry_merge", """
 WITH o AS (SELECT model, custom_id, l_orderkey, l_linenumber, 0 AS prio,
              CASE WHEN l_orderkey % 11 = 0 THEN 'ERROR: request failed' ELSE response_text END AS response_text

@@ -73,3 +73,15 @@ def test_model_from_file_and_slug(spark):
         assert _one(spark, P.model_from_file, path) == exp
     assert _one(spark, P.slugify, "https://www.procon.org/headlines/zoos-debate/") == "zoos"
     assert _one(spark, P.clean_text, " NaN ") == ""
+
+
+def test_title_prefix_and_two_frame_merge(spark):
+    from sway.operators import ingest
+    assert _one(spark, P.strip_title_prefix, "### Con 2: Bad idea") == "Bad idea"
+    assert _one(spark, P.strip_title_prefix, "Pro 11:  Good") == "Good"
+    orig = spark.createDataFrame([("a", "ERROR: x", 1), ("a", "ok-a", 2), ("b", "ok-b", 1)],
+                                 "custom_id string, response_text string, line long")
+    retry = spark.createDataFrame([("a", "fixed-a", 0)], "custom_id string, response_text string, line long")
+    got = {r["custom_id"]: (r["response_text"], r["from_retry"])
+           for r in ingest.merge_retries(orig, retry, "custom_id", ("line",)).collect()}
+    assert got == {"a": ("fixed-a", True), "b": ("ok-b", False)}
