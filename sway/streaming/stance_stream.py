@@ -23,11 +23,9 @@ from sway.session import checkpoint_dir
 LINE_SCHEMA = "value string"
 
 
-def write_shards(lines: DataFrame, folder: str, n_shards: int = 4) -> str:
-    """Write prediction lines as JSON text shards (one folder of part files per shard)."""
-    for k in range(n_shards):
-        (lines.filter(F.col("shard") == k).select("value")
-         .write.mode("overwrite").text(os.path.join(folder, f"shard={k}")))
+def write_shards(lines: DataFrame, folder: str) -> str:
+    """Write (value, shard) lines as JSON text shards, one folder per shard, in one pass."""
+    lines.select("value", "shard").write.mode("overwrite").partitionBy("shard").text(folder)
     return folder
 
 
