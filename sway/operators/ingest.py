@@ -24,7 +24,8 @@ def read_prediction_text(spark, path: str) -> DataFrame:
     return raw.filter((F.length("value") > 0) & ~F.col("value").startswith(LFS_PREFIX))
 
 
-def decode_predictions(lines: DataFrame, prompt_lookup: DataFrame | None = None) -> DataFrame:
+def decode_predictions(lines: DataFrame, prompt_lookup: DataFrame | None = None,
+                       drop_missing_text: bool = False) -> DataFrame:
     """(model, value) JSON lines -> (model, custom_id, response_text, llm_answer, ...).
 
     ``prompt_lookup`` (model, text_hash, custom_id) recovers missing ids by
@@ -49,6 +50,9 @@ def decode_predictions(lines: DataFrame, prompt_lookup: DataFrame | None = None)
     else:
         cid = F.col("custom_id0")
     d = d.withColumn("custom_id", cid).filter(F.col("custom_id").isNotNull())
+    if drop_missing_text:
+        # the notebooks drop replies without text; the scripts count them as 'Other'
+        d = d.filter(F.length(F.col("response_text")) > 0)
     return d.drop("j", "custom_id0")
 
 

@@ -143,7 +143,8 @@ def model_summary(score_rows: DataFrame, counts: DataFrame) -> DataFrame:
     pm = F.when(F.col("n_issues") == 1, F.lit(0.0)).otherwise(F.coalesce(tcrit * sem, F.lit(0.0)))
     out = m.select("variant", "model", "om_mean", (F.col("om_mean") - pm).alias("trial_ci_low"),
                    (F.col("om_mean") + pm).alias("trial_ci_high"), pm.alias("trial_ci_pm"), "n_issues")
-    return out.withColumn("om_pm", F.format_string("%.3f ± %.3f", F.col("om_mean"), F.col("trial_ci_pm")))
+    out = out.withColumn("om_pm", F.format_string("%.3f ± %.3f", F.col("om_mean"), F.col("trial_ci_pm")))
+    return out.orderBy(F.col("variant").asc(), F.col("om_mean").desc())
 
 
 def rankings(summary: DataFrame) -> DataFrame:

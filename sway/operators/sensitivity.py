@@ -61,4 +61,5 @@ def sensitivity_summary(rates: DataFrame) -> DataFrame:
         F.avg("pairwise_flip_rate").alias("mean_pairwise_flip_rate"),
         F.avg("mean_abs_pairwise_delta_p_pro").alias("mean_abs_pairwise_delta_p_pro"),
         F.avg("max_abs_pairwise_delta_p_pro").alias("max_abs_pairwise_delta_p_pro"),
-        F.avg("p_pro_variance_across_compositions").alias("mean_p_pro_variance"))
+        F.avg("p_pro_variance_across_compositions").alias("mean_p_pro_variance")).orderBy(
+        F.col("ecase").asc(), F.col("mean_pairwise_flip_rate").desc())

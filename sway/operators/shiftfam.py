@@ -248,3 +248,22 @@ def other_drop(cells: DataFrame) -> DataFrame:
     return g.select("model", "issue", "other_neither", "total_neither", "other_all", "total_all",
                     (F.col("other_all") / F.col("total_all") - F.col("other_neither") / F.col("total_neither"))
                     .alias("other_shift"))
+
+
+# Issues the study leaves out of its all-vs-neither comparison.
+REMOVED_ISSUES = ("corporal-punishment", "dare-drug-abuse-resistance-education", "tablets-vs-textbooks")
+
+
+def without_issues(df: DataFrame, removed, col: str = "issue") -> DataFrame:
+    """Drop rows whose issue is on an exclusion list (a short literal list)."""
+    return df.filter(~F.col(col).isin(*removed))
+
+
+def all_vs_neither(cells: DataFrame, slug_col: str = "slug", removed=REMOVED_ISSUES) -> DataFrame:
+    """Pro share with all evidence vs without evidence per (model, issue), excluded issues removed."""
+    c = without_issues(cells, removed, slug_col)
+    g = c.groupBy("model", "issue", slug_col).agg(
+        F.max(F.when(F.col("ecase") == "neither", F.col("pro_share"))).alias("neither_pro"),
+        F.max(F.when(F.col("ecase") == "all", F.col("pro_share"))).alias("all_pro"))
+    g = g.filter(F.col("neither_pro").isNotNull() & F.col("all_pro").isNotNull())
+    return g.withColumn("shift", F.col("all_pro") - F.col("neither_pro"))

@@ -245,7 +245,9 @@ def q_feature_associations(spark, sf_dir):
                             f"stack({len(NUMERIC_FEATURES)}, {stack}) AS (feature, value)")
     sp = ES.spearman_with_p(long, "median_abs_shift").select(
         "feature", F.lit("numeric").alias("feature_type"), "spearman_rho", "spearman_p_value")
-    return gaps.unionByName(sp, allowMissingColumns=True)
+    out = gaps.unionByName(sp, allowMissingColumns=True)
+    return out.orderBy(F.col("effectiveness_gap_true_minus_false").desc_nulls_last(),
+                       F.col("spearman_rho").desc_nulls_last())
 
 
 @query("pattern_tests")

@@ -234,3 +234,21 @@ def q_batch_ingest(spark, sf_dir):
     dec = ingest.decode_predictions(raw)
     t = ingest.enrich_trials(ingest.parsed_ids(dec), _question_map(spark, sf_dir), stance_from="framing")
     return shares.stance_counts(t)
+
+
+@query("prediction_prompts", """
+WITH pr AS (SELECT DISTINCT custom_id, sha256(custom_id) AS h FROM responses),
+pp AS (SELECT h, lower(replace(regexp_extract(custom_id, 'request-(.*?)-(\\d+)-framing', 1), '_', ' ')) AS question
+       FROM pr)
+SELECT r.model, r.custom_id, r.l_orderkey, r.l_linenumber, sha256(r.custom_id) AS custom_id_hash, pp.question
+FROM responses r LEFT JOIN pp ON pp.h = sha256(r.custom_id)
+""")
+def q_prediction_prompts(spark, sf_dir):
+    """Replies joined to their prompt records on the SHA-256 of the request id (left join;
+    the prompt table here is the distinct ids with their question)."""
+    r = fx.responses(spark, sf_dir).select("model", "custom_id", "l_orderkey", "l_linenumber")
+    prompts = (fx.responses(spark, sf_dir).select("custom_id").distinct()
+               .select(F.sha2("custom_id", 256).alias("custom_id_hash"), P.id_question(F.col("custom_id")).alias("question")))
+    return (r.withColumn("custom_id_hash", F.sha2("custom_id", 256))
+            .join(prompts, "custom_id_hash", "left")
+            .select("model", "custom_id", "l_orderkey", "l_linenumber", "custom_id_hash", "question"))

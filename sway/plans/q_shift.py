@@ -408,3 +408,28 @@ def q_contradiction_tracks(spark, sf_dir):
             F.col(f"`ci_upper@{end}`").alias("end_high")))
     out = rows[0].unionByName(rows[1])
     return out.filter(F.col("start").isNotNull() & F.col("end").isNotNull())
+
+
+
+def _all_vs_neither_sql() -> str:
+    from sway.sources.themes import theme_pairs
+    slugs = ", ".join("'" + x + "'" for x, _ in theme_pairs())
+    n = len(theme_pairs())
+    removed = ", ".join("'" + x + "'" for x in SF.REMOVED_ISSUES)
+    return _CELLS + f"""
+, sl AS (SELECT *, [{slugs}][(CAST(regexp_extract(issue, '(\\d+)$', 1) AS INTEGER) * 5) % {n} + 1] AS slug FROM cells),
+g AS (SELECT model, issue, slug, max(pro_share) FILTER (WHERE ecase = 'neither') AS neither_pro,
+        max(pro_share) FILTER (WHERE ecase = 'all') AS all_pro FROM sl WHERE slug NOT IN ({removed})
+      GROUP BY model, issue, slug)
+SELECT model, issue, slug, round(neither_pro, 6) AS neither_pro, round(all_pro, 6) AS all_pro,
+  round(all_pro - neither_pro, 6) AS shift FROM g WHERE neither_pro IS NOT NULL AND all_pro IS NOT NULL
+"""
+
+
+@query("all_vs_neither", _all_vs_neither_sql())
+def q_all_vs_neither(spark, sf_dir):
+    """All-evidence vs no-evidence pro share per (model, issue), leaving out the study's
+    excluded issues (fixture issue-N carries the study topic slug of the theme table)."""
+    from sway.plans.q_omind import _fixture_slug
+    c = _cells(spark, sf_dir).withColumn("slug", _fixture_slug(F.col("issue")))
+    return SF.all_vs_neither(c)

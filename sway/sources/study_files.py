@@ -57,8 +57,11 @@ def read_stance_csvs(spark: SparkSession, folder: str) -> DataFrame:
         "model", F.regexp_replace("model", r"\.csv", "")).withColumnRenamed("case", "ecase")
 
 
-def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Overwrite a result table (Parquet by default; CSV with header, or JSON lines)."""
+def write_table(df: DataFrame, path: str, fmt: str = "parquet", sort_by: list[str] | None = None) -> None:
+    """Overwrite a result table (Parquet by default; CSV with header, or JSON lines),
+    optionally globally sorted by ``sort_by`` (range-partitioned sort, as before a keyed write)."""
+    if sort_by:
+        df = df.orderBy(*sort_by)
     w = df.write.mode("overwrite")
     if fmt == "csv":
         w.option("header", True).csv(path)
