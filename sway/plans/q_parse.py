@@ -237,18 +237,28 @@ def q_batch_ingest(spark, sf_dir):
 
 
 @query("prediction_prompts", """
-WITH pr AS (SELECT DISTINCT custom_id, sha256(custom_id) AS h FROM responses),
-pp AS (SELECT h, lower(replace(regexp_extract(custom_id, 'request-(.*?)-(\\d+)-framing', 1), '_', ' ')) AS question
-       FROM pr)
+WITH pr AS (SELECT concat('request-', replace(replace(i.issue, '-', ' '), ' ', '_'), '-', t.trial, '-framing-', f.framing,
+              '-evidence-', c.ecase) AS custom_id, i.question
+            FROM issues_dim i, range(1, 8) t(trial), (VALUES ('pro'), ('con')) f(framing),
+              (VALUES ('neither'), ('pro'), ('75pro'), ('all'), ('75con'), ('con')) c(ecase)),
+pp AS (SELECT sha256(custom_id) AS h, question FROM pr)
 SELECT r.model, r.custom_id, r.l_orderkey, r.l_linenumber, sha256(r.custom_id) AS custom_id_hash, pp.question
 FROM responses r LEFT JOIN pp ON pp.h = sha256(r.custom_id)
 """)
 def q_prediction_prompts(spark, sf_dir):
     """Replies joined to their prompt records on the SHA-256 of the request id (left join;
-    the prompt table here is the distinct ids with their question)."""
+    the prompt records are the design's ids with their question, built from the issue
+    dimension)."""
     r = fx.responses(spark, sf_dir).select("model", "custom_id", "l_orderkey", "l_linenumber")
-    prompts = (fx.responses(spark, sf_dir).select("custom_id").distinct()
-               .select(F.sha2("custom_id", 256).alias("custom_id_hash"), P.id_question(F.col("custom_id")).alias("question")))
+    # prompt records of the design: issue x trial (1..7) x framing x case, from the issue dimension
+    i = fx.issues_dim(spark, sf_dir)
+    ids = i.select("issue", "question", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("t"),
+                   F.explode(F.array(F.lit("pro"), F.lit("con"))).alias("framing"))
+    ids = ids.select("*", F.explode(F.array(*[F.lit(c) for c in fx.CASES])).alias("ecase"))
+    cid = F.concat(F.lit("request-"), F.replace(F.replace("issue", F.lit("-"), F.lit(" ")), F.lit(" "), F.lit("_")),
+                   F.lit("-"), F.col("t").cast("string"), F.lit("-framing-"), F.col("framing"),
+                   F.lit("-evidence-"), F.col("ecase"))
+    prompts = ids.select(F.sha2(cid, 256).alias("custom_id_hash"), "question")
     return (r.withColumn("custom_id_hash", F.sha2("custom_id", 256))
             .join(prompts, "custom_id_hash", "left")
             .select("model", "custom_id", "l_orderkey", "l_linenumber", "custom_id_hash", "question"))
