@@ -71,7 +71,8 @@ def cue_flags(text: Column) -> list[Column]:
     flags["has_statistics"] = flags["has_number"] | flags["has_percent"] | _has(t, STATS_TERMS, True)
     flags["has_source"] = flags["has_source_cue"] | flags["has_citation_marker"]
     flags["has_strict_source"] = flags["has_citation_marker"]
-    flags["has_strict_statistics"] = (_count(t, f"(?:{PERCENT})") > 0) | _has(t, STRICT_STATS, True)
+    # same pattern as the percent counter, so both share one evaluation
+    flags["has_strict_statistics"] = (_count(t, f"({PERCENT})") > 0) | _has(t, STRICT_STATS, True)
     return [v.alias(k) for k, v in flags.items()]
 
 
@@ -79,8 +80,7 @@ def text_features(text: Column) -> list[Column]:
     """The full feature set (counts, densities, readability estimate, flags, rates)."""
     t = F.coalesce(text, F.lit(""))
     chars = F.length(t)
-    stripped = F.regexp_replace(t, r"(?U)^\s+|\s+$", "")
-    words = F.when(F.length(stripped) == 0, F.lit(0)).otherwise(F.size(F.split(stripped, r"(?U)\s+")))
+    words = _count(t, r"\S+")  # maximal non-whitespace runs = whitespace-split tokens
     w1 = F.greatest(words, F.lit(1))
     sentences = F.greatest(_count(t, r"[.!?]+"), F.lit(1))
     digits = _count(t, r"\d")
