@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from sway.operators import evidence as EV
-from sway.operators import openmind as om
 from sway.operators import resample as RS
 from sway.operators import shares, shift
 from sway.plans.catalog import query

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from sway.operators import shares
 from sway.plans.catalog import query

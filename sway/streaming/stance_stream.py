@@ -16,7 +16,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sway.functions import parse as P
 from sway.operators import ingest
 from sway.session import checkpoint_dir
 

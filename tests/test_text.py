@@ -51,7 +51,6 @@ def test_features_match_python_re(spark, sf_dir):
 
 
 def test_quote_folding():
-    import pyspark  # noqa: F401
     s = "“Hi” — it’s… ok​"
     expect = s
     for k, v in {**FT.QUOTE_MAP, **FT.QUOTE_EXPAND}.items():
