@@ -267,3 +267,23 @@ def all_vs_neither(cells: DataFrame, slug_col: str = "slug", removed=REMOVED_ISS
         F.max(F.when(F.col("ecase") == "all", F.col("pro_share"))).alias("all_pro"))
     g = g.filter(F.col("neither_pro").isNotNull() & F.col("all_pro").isNotNull())
     return g.withColumn("shift", F.col("all_pro") - F.col("neither_pro"))
+
+
+def pair_outliers(cells: DataFrame, case_sets: dict[str, tuple[str, ...]], n: int = 10) -> DataFrame:
+    """Per model pair and case set, the ``n`` (case, issue) cells where the two models' pro
+    shares differ most (a top-k report).  Models become columns of one pivot; pair
+    differences are stacked from those columns, so no join pairs the rows."""
+    cs = None
+    for name, cases in case_sets.items():
+        cs = F.when(F.col("ecase").isin(*cases), F.lit(name)) if cs is None else cs.when(
+            F.col("ecase").isin(*cases), F.lit(name))
+    c = cells.withColumn("case_set", cs).filter(F.col("case_set").isNotNull())
+    wide = c.groupBy("case_set", "ecase", "issue").pivot("model").agg(F.first("pro_share"))
+    models = sorted(x for x in wide.columns if x not in ("case_set", "ecase", "issue"))
+    pairs = [(a, b) for i, a in enumerate(models) for b in models[i + 1:]]
+    stack = ", ".join(f"'{a}', '{b}', `{a}`, `{b}`" for a, b in pairs)
+    long = wide.selectExpr("case_set", "ecase", "issue",
+                           f"stack({len(pairs)}, {stack}) AS (model_a, model_b, share_a, share_b)")
+    long = long.filter(F.col("share_a").isNotNull() & F.col("share_b").isNotNull()).withColumn(
+        "diff", F.abs(F.col("share_a") - F.col("share_b")))
+    return top_n(long, ["case_set", "model_a", "model_b"], [F.col("diff").desc(), F.col("ecase"), F.col("issue")], n)

@@ -172,12 +172,13 @@ def q_model_disagreement(spark, sf_dir):
     return SF.model_disagreement(_cells(spark, sf_dir))
 
 
-_CASE_SETS = {"baseline": ("neither",), "one_sided": ("pro", "con"), "mixed": ("75pro", "75con", "all")}
+# The study's three case sets for model-pair comparisons.
+_CASE_SETS = {"neither_all": ("neither", "all"), "mixed": ("75pro", "75con"), "one_sided": ("pro", "con")}
 
 
 @query("pair_agreement", _CELLS + """
-, sets AS (SELECT * FROM (VALUES ('baseline', 'neither'), ('one_sided', 'pro'), ('one_sided', 'con'),
-             ('mixed', '75pro'), ('mixed', '75con'), ('mixed', 'all')) v(case_set, ecase)),
+, sets AS (SELECT * FROM (VALUES ('neither_all', 'neither'), ('neither_all', 'all'), ('one_sided', 'pro'),
+             ('one_sided', 'con'), ('mixed', '75pro'), ('mixed', '75con')) v(case_set, ecase)),
 x AS (SELECT s.case_set, c.ecase, c.issue, c.model, c.pro_share FROM cells c JOIN sets s USING (ecase))
 SELECT a.case_set, a.model AS model_a, b.model AS model_b, round(corr(a.pro_share, b.pro_share), 6) AS pearson_r,
   count(*) AS n
@@ -433,3 +434,20 @@ def q_all_vs_neither(spark, sf_dir):
     from sway.plans.q_omind import _fixture_slug
     c = _cells(spark, sf_dir).withColumn("slug", _fixture_slug(F.col("issue")))
     return SF.all_vs_neither(c)
+
+
+
+@query("pair_outliers", _CELLS + """
+, sets AS (SELECT * FROM (VALUES ('neither_all', 'neither'), ('neither_all', 'all'), ('one_sided', 'pro'),
+             ('one_sided', 'con'), ('mixed', '75pro'), ('mixed', '75con')) v(case_set, ecase)),
+x AS (SELECT s.case_set, c.ecase, c.issue, c.model, c.pro_share FROM cells c JOIN sets s USING (ecase)),
+p AS (SELECT a.case_set, a.ecase, a.issue, a.model AS model_a, b.model AS model_b, a.pro_share AS share_a,
+        b.pro_share AS share_b, abs(a.pro_share - b.pro_share) AS diff
+      FROM x a JOIN x b ON a.case_set = b.case_set AND a.ecase = b.ecase AND a.issue = b.issue AND a.model < b.model),
+r AS (SELECT *, row_number() OVER (PARTITION BY case_set, model_a, model_b ORDER BY diff DESC, ecase, issue) AS rank FROM p)
+SELECT case_set, ecase, issue, model_a, model_b, round(share_a, 6) AS share_a, round(share_b, 6) AS share_b,
+  round(diff, 6) AS diff, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10
+""")
+def q_pair_outliers(spark, sf_dir):
+    """Ten cells of largest pro-share disagreement per model pair and case set (top-k report)."""
+    return SF.pair_outliers(_cells(spark, sf_dir), _CASE_SETS, 10)
