@@ -164,3 +164,79 @@ def page_topics(pages: DataFrame) -> DataFrame:
     """One topic record per page: question, pro and con argument texts (title prefixes
     removed), and the footnote map ordered by number."""
     return pages.select("page_id", "html").mapInPandas(_topic_batch, TOPIC_SCHEMA)
+
+
+QUOTE_SCHEMA = "page_id long, side string, context string, text string, footnotes array<string>"
+_FOOTREF = re.compile(r"#pcref-\d+-(\d+)")
+
+
+class _QuoteParser(HTMLParser):
+    """Blockquotes with their context (text of the element just before them when it is a
+    p/h2/h3), their paragraph texts and the footnote numbers of their reference links."""
+
+    VOID = {"br", "img", "hr", "meta", "link", "input", "wbr", "source", "area", "col"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        # frames: [tag, text parts, last closed child (tag, text), section side]
+        self.frames: list[list] = [["#root", [], None, None]]
+        self.quotes: list[dict] = []
+        self.cur: dict | None = None
+
+    def handle_starttag(self, tag, attrs):
+        a = dict(attrs)
+        side = self.frames[-1][3]
+        if tag == "section":
+            cls = (a.get("class") or "").split()
+            side = "pro" if "pro" in cls else "con" if "con" in cls else side
+        if tag == "blockquote" and self.cur is None:
+            prev = self.frames[-1][2]
+            ctx = prev[1] if prev and prev[0] in ("p", "h2", "h3") else ""
+            self.cur = {"side": side, "context": ctx, "parts": [], "notes": set(), "depth": len(self.frames)}
+        if self.cur is not None and tag == "a":
+            m = _FOOTREF.search(a.get("href") or "")
+            if m:
+                self.cur["notes"].add(m.group(1))
+        if tag in self.VOID:
+            return
+        self.frames.append([tag, [], None, side])
+
+    def handle_endtag(self, tag):
+        if tag in self.VOID or len(self.frames) == 1:
+            return
+        # close up to the matching tag (tolerates unclosed children)
+        while len(self.frames) > 1:
+            t, parts, _, _ = self.frames.pop()
+            text = " ".join("".join(parts).split())
+            if self.cur is not None and t in ("p", "ul", "ol") and len(self.frames) >= self.cur["depth"]:
+                self.cur["parts"].append(text)
+            self.frames[-1][1].append(" " + "".join(parts) + " ")
+            self.frames[-1][2] = (t, text)
+            if t == "blockquote" and self.cur is not None and len(self.frames) == self.cur["depth"]:
+                self.quotes.append(self.cur)
+                self.cur = None
+            if t == tag:
+                break
+
+    def handle_data(self, data):
+        self.frames[-1][1].append(data)
+
+
+def _quote_batch(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in it:
+        rows = []
+        for pid, html in zip(pdf["page_id"], pdf["html"]):
+            q = _QuoteParser()
+            q.feed(html or "")
+            q.close()
+            for x in q.quotes:
+                text = "\n".join(p for p in x["parts"] if p)
+                full = f"{x['context']}\n\n{text}" if x["context"] else text
+                rows.append((pid, x["side"], x["context"], full, sorted(x["notes"])))
+        yield pd.DataFrame(rows, columns=["page_id", "side", "context", "text", "footnotes"])
+
+
+def page_quotes(pages: DataFrame) -> DataFrame:
+    """One row per blockquote: enclosing side, context, quote text (context first) and the
+    footnote numbers it references."""
+    return pages.select("page_id", "html").mapInPandas(_quote_batch, QUOTE_SCHEMA)

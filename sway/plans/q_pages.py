@@ -49,3 +49,9 @@ def q_issue_titles(spark, sf_dir):
     title = F.regexp_extract("html", r"<title>([^<]*)</title>", 1)
     return p.select("page_id", title.alias("title")).select(
         "page_id", "title", issue_slug(F.col("title")).alias("slug")).withColumn("display_title", issue_title(F.col("slug")))
+
+
+@query("page_quotes")
+def q_page_quotes(spark, sf_dir):
+    """Blockquotes per page with their side, context and referenced footnotes (rows-only)."""
+    return PG.page_quotes(read_table(spark, sf_dir, "pages").select("page_id", "html"))

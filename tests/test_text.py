@@ -99,3 +99,17 @@ def test_cumulative_citations_mode(spark):
         PR.evidence_block(F.col("text"), F.col("citations"))).collect()
     assert cum[1][0] == "B cites [1] and [2]\nCitations:\n[1] one\n[1] one\n[2] two\n---\n"
     assert cum[2][0] == "C cites nothing\nCitations:\n[1] one\n[1] one\n[2] two\n---\n"
+
+
+def test_page_quotes(spark):
+    from sway.operators.pages import page_quotes
+    html = ('<html><body><section class="pro"><h2>Pro 1</h2><p>Dr. A said:</p>'
+            '<blockquote><p>First line <a href="#pcref-7-3">[3]</a></p><p>Second line</p></blockquote>'
+            '<div>x</div><blockquote><p>No context here</p></blockquote></section>'
+            '<section class="con"><h3>Opposing view</h3><blockquote><p>Con quote <a href="/s#pcref-1-12">[12]</a>'
+            '<a href="#pcref-1-2">[2]</a></p></blockquote></section></body></html>')
+    rows = page_quotes(spark.createDataFrame([(1, html)], "page_id long, html string")).collect()
+    got = [(r["side"], r["context"], r["text"], r["footnotes"]) for r in rows]
+    assert got == [("pro", "Dr. A said:", "Dr. A said:\n\nFirst line [3]\nSecond line", ["3"]),
+                   ("pro", "", "No context here", []),
+                   ("con", "Opposing view", "Opposing view\n\nCon quote [12] [2]", ["12", "2"])]
