@@ -35,6 +35,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     builder = (builder
                .config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false")
+               # remove checkpoint files of materialised intermediates once they are unreferenced
+               .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
                .config("spark.driver.memory", os.environ.get("SWAY_DRIVER_MEMORY", "16g"))
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8)))
     for k, v in _DEFAULTS.items():
