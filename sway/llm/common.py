@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 from sway.session import checkpoint_dir, configure
 from sway.sources.tables import read_table
 
-#: Rows of one Arrow batch handed to Python: texts can be long, so a batch stays small.
-ARROW_ROWS = 512
+#: Rows and bytes of one Arrow batch handed to Python: texts can be long, so a batch stays small.
+ARROW_ROWS, ARROW_BYTES = 256, 32 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Session settings of this package: the library's defaults and small Arrow batches."""
     configure(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark
 
 

@@ -7,12 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sway.llm import sharding
+from sway.llm import bpe, sharding
 from sway.llm.common import table
 
 SHARDS = 16
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text encoded and decoded again, as digests."""
+    coded = bpe.encode(table(spark, sf_dir, "documents"), decoded="decoded")
+    return coded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"),
+                        F.sha2(F.concat_ws(",", F.col("token_ids").cast("array<string>")), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents over 16 shards, law ``rows``."""
     placed = sharding.shard(table(spark, sf_dir, "documents"), shards=SHARDS)
@@ -21,6 +29,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_bpe": op4_bpe,
     "op8_sharding": op8_sharding,
 }
 
