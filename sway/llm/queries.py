@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sway.llm import bpe, chat, line_dedup, oracles, sharding, simhash
+from sway.llm import bpe, chat, line_dedup, oracles, sharding, simhash, url_filter
 from sway.llm.common import table
 
 SHARDS = 16
@@ -100,12 +100,23 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("text", 256).alias("kept_sha256"))
 
 
+URL_RULES = [url_filter.Rule("allow", "org", "/"), url_filter.Rule("block", "example.org", "/es/"),
+             url_filter.Rule("block", "example.org", "/en/1"), url_filter.Rule("allow", "com", "/fr/"),
+             url_filter.Rule("block", "com", "/de/")]
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the URL of every page."""
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": op4_bpe,
     "op5_simhash": op5_simhash,
     "op7_chat": op7_chat,
     "op8_sharding": op8_sharding,
     "op9_line_dedup": op9_line_dedup,
+    "op10_url_filter": op10_url_filter,
 }
 
 ORACLE_SQL: dict[str, str] = {
