@@ -9,12 +9,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sway.llm import bpe, chat, line_dedup, oracles, sharding, simhash, url_filter
+from sway.llm import bpe, chat, language, line_dedup, oracles, sharding, simhash, url_filter
 from sway.llm.common import table
 
 SHARDS = 16
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text, learnt from the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    held = language.held_out(F.col("doc_id"))
+    model = language.fit(docs, ~held)
+    found = language.predict(docs, model)
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded and decoded again, as digests."""
     coded = bpe.encode(table(spark, sf_dir, "documents"), decoded="decoded")
@@ -111,6 +120,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language": op2_language,
     "op4_bpe": op4_bpe,
     "op5_simhash": op5_simhash,
     "op7_chat": op7_chat,
