@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sway.llm import bpe, chat, language, line_dedup, oracles, sharding, simhash, url_filter
+from sway.llm import bpe, chat, language, line_dedup, mtree, oracles, sharding, simhash, url_filter
 from sway.llm.common import table
 
 SHARDS = 16
@@ -24,6 +24,12 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op3_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five best inner products of every fiftieth vector against all others."""
+    vector = F.transform("embedding", lambda x: 256 * x.cast("double"))
+    return mtree.top_k(table(spark, sf_dir, "embeddings"), vector, F.col("id") % 50 == 0, k=5)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded and decoded again, as digests."""
     coded = bpe.encode(table(spark, sf_dir, "documents"), decoded="decoded")
@@ -121,6 +127,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language": op2_language,
+    "op3_mtree": op3_mtree,
     "op4_bpe": op4_bpe,
     "op5_simhash": op5_simhash,
     "op7_chat": op7_chat,
@@ -130,6 +137,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_mtree": oracles.OP3,
     "op7_chat": oracles.OP7,
     "op9_line_dedup": oracles.OP9,
 }
