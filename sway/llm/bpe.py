@@ -35,7 +35,7 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 
 #: Bounds of a task's memory: words kept from earlier batches, the longest of them, words in
 #: one trie, and words of a long text handled at a time.
-KEPT_WORDS, KEPT_CHARS, TRIE_WORDS, SLICE_WORDS = 300_000, 48, 16_384, 200_000
+KEPT_WORDS, KEPT_CHARS, TRIE_WORDS, SLICE_WORDS = 1_000_000, 48, 16_384, 200_000
 
 
 def default_path() -> str:
@@ -123,32 +123,31 @@ class Encoder:
 
     def _walk(self, root: dict) -> dict[str, bytes]:
         """Ids (32-bit, packed) of every word in the trie."""
-        id_of, longest, fits, compatible = self.v.id_of, self.v.longest, self.fits, self.v.compatible
+        id_of, longest, fits, compatible = self.v.id_of.get, self.v.longest, self.fits, self.v.compatible
+        one = [bytes([b]) for b in range(256)]
         out: dict[str, bytes] = {}
-        path, last, size = bytearray(), [-1], [0]  # of the prefix at each depth: last token, its bytes
-        stack = [iter(root.items())]
+        last, size = [-1], [0]  # of the prefix at each depth: last token, its bytes
+        stack = [(iter(root.items()), b"")]  # what follows a prefix, and the prefix's last bytes
         while stack:
-            byte, node = next(stack[-1], (None, None))
-            if byte is None:
-                stack.pop()
-                if path:
-                    path.pop()
-                    last.pop()
-                    size.pop()
-            elif byte == self.END:
-                ids, at = [], len(path)
-                while at:
-                    ids.append(last[at])
-                    at -= size[at]
-                out[node] = np.array(ids[::-1], np.int32).tobytes()
-            else:
-                path.append(byte)
-                depth = len(path)
-                for n in range(min(depth, longest), 0, -1):
-                    token = id_of.get(bytes(path[depth - n:]))
+            nodes, tail = stack[-1]
+            for byte, node in nodes:
+                if byte < 0:
+                    ids, at = [], len(last) - 1
+                    while at:
+                        ids.append(last[at])
+                        at -= size[at]
+                    out[node] = np.array(ids[::-1], np.int32).tobytes()
+                    continue
+                end = tail + one[byte]
+                n = len(end)
+                if n > longest:
+                    end, n = end[1:], longest
+                depth = len(last)
+                for at in range(n):
+                    token = id_of(end[at:])
                     if token is None:
                         continue
-                    before = last[depth - n]
+                    before = last[depth - n + at]
                     if before < 0:
                         break
                     key = before << 32 | token
@@ -158,8 +157,13 @@ class Encoder:
                     if fit:
                         break
                 last.append(token)
-                size.append(n)
-                stack.append(iter(node.items()))
+                size.append(n - at)
+                stack.append((iter(node.items()), end))
+                break
+            else:
+                stack.pop()
+                last.pop()
+                size.pop()
         return out
 
     def learn(self, words: set[str]) -> dict[str, bytes]:
