@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sway.llm import bpe, chat, language, line_dedup, mtree, oracles, sharding, simhash, url_filter
+from sway.llm import bpe, chat, fingerprints, language, line_dedup, mtree, oracles, sharding, simhash, url_filter
 from sway.llm.common import table
 
 SHARDS = 16
@@ -44,6 +44,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    found = fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def _conversation_log(rows: DataFrame) -> DataFrame:
     """The log a chat service would have kept of each row: its begin and two streamed deltas.
 
@@ -130,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mtree": op3_mtree,
     "op4_bpe": op4_bpe,
     "op5_simhash": op5_simhash,
+    "op6_fingerprints": op6_fingerprints,
     "op7_chat": op7_chat,
     "op8_sharding": op8_sharding,
     "op9_line_dedup": op9_line_dedup,
