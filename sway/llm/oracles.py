@@ -42,3 +42,53 @@ s AS (
 SELECT query_id, rank::INTEGER AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
+
+
+def _level(name: str, above: str, keys: list[str], weight: str) -> str:
+    """One level of the budget tree: shares of each node's budget among its children."""
+    same = " AND ".join(f"n.{k} IS NOT DISTINCT FROM p.{k}" for k in keys[:-1]) or "TRUE"
+    parent = ", ".join(keys[:-1]) or "1"
+    return f"""
+{name}_c AS (
+  SELECT n.*, p.budget AS given, {weight} AS weight
+  FROM (SELECT {", ".join(keys)}, sum(2.0::DOUBLE * tokens) AS most FROM docs GROUP BY {", ".join(keys)}) n JOIN {above} p ON {same}
+  WHERE most > 0),
+{name}_r AS (
+  SELECT *, row_number() OVER w AS turn,
+    greatest(given - coalesce(sum(most) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0)
+    / (sum(weight) OVER (PARTITION BY {parent}) - coalesce(sum(weight) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS rate
+  FROM {name}_c WINDOW w AS (PARTITION BY {parent} ORDER BY most / weight, {", ".join(k + " NULLS FIRST" for k in keys)})),
+{name} AS (
+  SELECT {", ".join(keys)}, least(most, coalesce(final * weight, most)) AS budget
+  FROM (SELECT *, arg_min(rate, turn) FILTER (WHERE most > rate * weight) OVER (PARTITION BY {parent}) AS final FROM {name}_r))"""
+
+
+_DOMAIN_WEIGHT = "CASE domain WHEN 'web' THEN 4.0 WHEN 'group0' THEN 2.0 WHEN 'group1' THEN 2.0 WHEN 'group2' THEN 1.0 ELSE 1.0 END::DOUBLE"
+_LANG_WEIGHT = "CASE lang WHEN 'en' THEN 4.0 WHEN 'de' THEN 2.0 WHEN 'fr' THEN 2.0 WHEN 'es' THEN 1.0 ELSE 1.0 END::DOUBLE"
+_PLACE = "('0x' || substr(md5('11:' || e::BIGINT || ':' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT"
+
+OP1 = rf"""
+WITH docs AS (
+  SELECT doc_id, lang, source,
+    CASE WHEN source = 'src0' THEN 'web' WHEN regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1) = '' THEN 'other'
+         ELSE 'group' || (regexp_extract(source, '([0-9]{{1,9}})$', 1)::BIGINT % 3) END AS domain,
+    length(regexp_replace(regexp_replace(coalesce(text, ''), '[^ 	
+]+', 'x', 'g'), '[ 	
+]+', '', 'g')) AS tokens
+  FROM documents),
+root AS (SELECT sum(tokens)::DOUBLE AS budget FROM docs),
+{_level("d", "root", ["domain"], _DOMAIN_WEIGHT)},
+{_level("l", "d", ["domain", "lang"], _LANG_WEIGHT)},
+{_level("s", "l", ["domain", "lang", "source"], "1.0::DOUBLE")},
+leaves AS (
+  SELECT t.*, coalesce(floor(s.budget + 1e-6), 0)::BIGINT AS budget, coalesce(floor(s.budget + 1e-6), 0)::BIGINT // greatest(t.tokens, 1) AS e
+  FROM (SELECT domain, lang, source, sum(tokens)::BIGINT AS tokens FROM docs GROUP BY ALL) t
+  LEFT JOIN s ON t.domain IS NOT DISTINCT FROM s.domain AND t.lang IS NOT DISTINCT FROM s.lang AND t.source IS NOT DISTINCT FROM s.source),
+placed AS (
+  SELECT docs.*, e, leaves.budget - e * leaves.tokens AS left_over, {_PLACE} AS place FROM docs JOIN leaves
+  ON docs.domain IS NOT DISTINCT FROM leaves.domain AND docs.lang IS NOT DISTINCT FROM leaves.lang AND docs.source IS NOT DISTINCT FROM leaves.source),
+taken AS (
+  SELECT *, e + CASE WHEN left_over > 0 AND coalesce(sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY place, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < left_over
+                     THEN 1 ELSE 0 END AS n FROM placed)
+SELECT doc_id, domain, lang, source, tokens::BIGINT AS tokens, unnest(range(n::BIGINT))::INTEGER AS epoch FROM taken WHERE n > 0
+"""

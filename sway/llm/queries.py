@@ -6,15 +6,33 @@ import hashlib
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sway.llm import bpe, chat, fingerprints, language, line_dedup, mtree, oracles, sharding, simhash, url_filter
+from sway.llm import bpe, chat, fingerprints, language, line_dedup, mixing, mtree, oracles, sharding, simhash, url_filter
 from sway.llm.common import table
 
 SHARDS = 16
 
 
+#: Weights of the mixture; sources weigh the same within a language.
+MIX_WEIGHTS = {"domain": {"web": 4.0, "group0": 2.0, "group1": 2.0, "group2": 1.0}, "lang": {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 1.0}}
+MIX_EPOCHS, MIX_SEED = 2, 11
+
+
+def mix_domain() -> Column:
+    """Domain of a document: web for the large crawl src0, a group of three by number for the others."""
+    number = F.regexp_extract(F.coalesce("source", F.lit("")), "([0-9]{1,9})$", 1)
+    return (F.when(F.col("source") == "src0", "web").when(number == "", "other")
+            .otherwise(F.concat(F.lit("group"), F.pmod(F.nullif(number, F.lit("")).cast("long"), F.lit(3)).cast("string"))))
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many tokens as the documents have, mixed to the weights, two epochs at most."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), mix_domain(), MIX_WEIGHTS, 1.0, MIX_EPOCHS, MIX_SEED)
+    return mixed.select("row.doc_id", "domain", "row.lang", "row.source", "tokens", "epoch")
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every whole text, learnt from the documents that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -132,6 +150,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op2_language": op2_language,
     "op3_mtree": op3_mtree,
     "op4_bpe": op4_bpe,
@@ -144,6 +163,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_mixing": oracles.OP1,
     "op3_mtree": oracles.OP3,
     "op7_chat": oracles.OP7,
     "op9_line_dedup": oracles.OP9,
