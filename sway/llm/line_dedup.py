@@ -223,7 +223,8 @@ class LineIndex:
                 yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(dropped, pa.int64())], names=schema.names)
 
         joined = docs.select(F.col(key).alias("__key"), *[F.col(c).alias(f"__keep{i}") for i, c in enumerate(keep)], F.col(text).alias("__text"))
-        joined = joined.join(drops, F.col("__key").eqNullSafe(F.col("__id")), "left")
+        # The drops grow with the documents: never broadcast, and the texts need no sort.
+        joined = joined.join(drops.hint("shuffle_hash"), F.col("__key").eqNullSafe(F.col("__id")), "left")
         return joined.select(*[f"__keep{i}" for i in range(len(keep))], "__text", "keys").mapInArrow(run, schema)
 
 
