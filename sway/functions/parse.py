@@ -18,6 +18,9 @@ ANSWER_PATTERNS = (
     r"(?i)^\s*([A|B])\s*$",
 )
 
+# Fixed value: the shape of a packed request id.
+ID_HEAD = r"request-(.*?)-(\d+)-framing"
+
 # Reply schema: the union of the four reply dialects.  A reply that is a
 # plain string leaves ``response`` NULL here and is read as text instead.
 PREDICTION_SCHEMA = (
@@ -51,10 +54,10 @@ def response_text(value: Column, j: Column) -> Column:
     """Reply text from a plain string or one of the nested reply dialects, else ''."""
     r = j["response"]
     nested = F.coalesce(
-        r["content"][0]["text"],
-        r["candidates"][0]["content"]["parts"][0]["text"],
-        r["choices"][0]["message"]["content"],
-        r["body"]["choices"][0]["message"]["content"],
+        F.get(r["content"], 0)["text"],
+        F.get(F.get(r["candidates"], 0)["content"]["parts"], 0)["text"],
+        F.get(r["choices"], 0)["message"]["content"],
+        F.get(r["body"]["choices"], 0)["message"]["content"],
         F.lit(""))
     return F.when(r.isNotNull(), nested).otherwise(
         F.coalesce(F.get_json_object(value, "$.response"), F.lit("")))
@@ -63,10 +66,12 @@ def response_text(value: Column, j: Column) -> Column:
 def request_text(j: Column, contents_first: bool = True) -> Column:
     """Prompt text from the request payload; path precedence follows the caller."""
     req = j["request"]
-    contents = req["contents"][0]["parts"][0]["text"]
-    messages = req["messages"][0]["content"]
+    contents = F.get(F.get(req["contents"], 0)["parts"], 0)["text"]
+    content = F.get(req["messages"], 0)["content"]
+    # A list of content parts arrives as its JSON text: its first part's text counts.
+    messages = F.when(content.startswith("["), F.coalesce(F.get_json_object(content, "$[0].text"), content)).otherwise(content)
     first, second = (contents, messages) if contents_first else (messages, contents)
-    return F.coalesce(first, second, F.lit(""))
+    return F.coalesce(_nz(first), _nz(second), j["prompt_text"], F.lit(""))
 
 
 def answer_letter(text: Column, preserve_case: bool = False) -> Column:
@@ -97,12 +102,12 @@ def issue_stance(question_stance: Column, answer: Column) -> Column:
 
 
 def id_question(cid: Column) -> Column:
-    return F.lower(F.replace(F.regexp_extract(cid, r"request-(.*?)-(\d+)-framing", 1),
+    return F.lower(F.replace(F.regexp_extract(cid, ID_HEAD, 1),
                              F.lit("_"), F.lit(" ")))
 
 
 def id_trial(cid: Column) -> Column:
-    return F.regexp_extract(cid, r"request-(.*?)-(\d+)-framing", 2).try_cast("int")
+    return F.regexp_extract(cid, ID_HEAD, 2).try_cast("int")
 
 
 def id_framing(cid: Column) -> Column:
@@ -114,7 +119,7 @@ def id_case(cid: Column) -> Column:
 
 
 def id_is_valid(cid: Column) -> Column:
-    return cid.rlike(r"request-(.*?)-(\d+)-framing") & F.instr(cid, "-evidence-").__gt__(0)
+    return cid.rlike(ID_HEAD) & F.instr(cid, "-evidence-").__gt__(0)
 
 
 def request_text_hash(text: Column) -> Column:

@@ -4,32 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from sway.functions.stats import pearson
+from sway.operators.ranks import average_rank
+from sway.session import materialize
 
-TRIALS_PER_QUESTION = 15  # the study divides baseline pro counts by this constant
 MIN_MODELS = 3
 
 
-def evidence_effect(trials: DataFrame, evidence: DataFrame, per_question: int = TRIALS_PER_QUESTION) -> DataFrame:
+def evidence_effect(trials: DataFrame, evidence: DataFrame) -> DataFrame:
     """Count-weighted mean pro-proportion shift per (model, evidence item).
 
-    ``trials``: (model, issue, question, ecase, evidence_id, issue_stance);
-    baseline rows (ecase 'neither') carry no evidence.  ``evidence``:
-    (evidence_id, evidence_hash).  A NULL shift (no baseline for the
-    question) stays in the weight denominator, as in the study.
+    ``trials``: (model, issue, question, evidence_ids, issue_stance); a trial counts once for each
+    of its evidence items, a trial without any is baseline.  ``evidence``: (evidence_id,
+    evidence_hash).  The baseline proportion is over the trials a question really has.  A NULL
+    shift (no baseline for the question) stays in the weight denominator, as in the study.
     """
-    t = trials.join(evidence, "evidence_id", "left").withColumn(
-        "evidence_hash", F.when(F.col("ecase") != "neither", F.col("evidence_hash")))
-    # one aggregation for baseline (hash NULL) and evidence groups; the baseline proportion
-    # is attached by a window over each (model, issue, question), not by a self-join that
-    # would read the trials twice
-    g = t.groupBy("model", "issue", "question", "evidence_hash").agg(
-        F.count_if(F.col("issue_stance") == "pro").alias("pro_n"), F.count(F.lit(1)).alias("total_with_evidence"))
-    w = W.partitionBy("model", "issue", "question")
-    g = g.withColumn("proportion", F.max(F.when(F.col("evidence_hash").isNull(), F.col("pro_n") / per_question)).over(w))
-    m = g.filter(F.col("evidence_hash").isNotNull()).withColumn(
+    t = trials.select("model", "issue", "question", "issue_stance", F.explode_outer("evidence_ids").alias("evidence_id"))
+    # counted per id before the join: the many baseline rows are a few when they meet the items
+    t = t.groupBy("model", "issue", "question", "evidence_id").agg(
+        F.count_if(F.col("issue_stance") == "pro").alias("pro_n"), F.count(F.lit(1)).alias("n"))
+    t = t.join(evidence, "evidence_id", "left")
+    g = materialize(t.groupBy("model", "issue", "question", "evidence_hash").agg(
+        F.sum("pro_n").alias("pro_n"), F.sum("n").alias("total_with_evidence")))
+    # one row per (model, issue, question)
+    base = (g.filter(F.col("evidence_hash").isNull())
+            .select("model", "issue", "question", (F.col("pro_n") / F.col("total_with_evidence")).alias("proportion")))
+    m = g.filter(F.col("evidence_hash").isNotNull()).join(base, ["model", "issue", "question"], "left").withColumn(
         "shift", F.col("pro_n") / F.col("total_with_evidence") - F.col("proportion"))
     # rounded to 12 decimals: a mathematically zero shift must not get a sign from float noise
     return m.groupBy("model", "evidence_hash").agg(
@@ -68,17 +69,6 @@ def pattern_labels(summary: DataFrame, min_models: int = MIN_MODELS) -> DataFram
     return a.withColumn("evidence_effect_pattern", label)
 
 
-def average_rank(df: DataFrame, part: list[str], value: str, out: str, digits: int = 12) -> DataFrame:
-    """Average (mid) rank of ``value`` within ``part``, ties share the mean rank.
-
-    Values are compared after rounding to ``digits`` decimals so that equal
-    quantities reached through different summation orders still tie."""
-    key = F.round(F.col(value), digits)
-    w = W.partitionBy(*part).orderBy(key)
-    ties = W.partitionBy(*part, key)
-    return df.withColumn(out, F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2.0)
-
-
 def spearman_by_feature(long: DataFrame, target: str) -> DataFrame:
     """Spearman rho of each feature with ``target``: Pearson correlation of average ranks.
 

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from sway.functions.stats import fisher_two_sided, mann_whitney_p, p_marker, t_two_sided_p
-from sway.operators.evidence import average_rank
-from sway.operators.resample import draw_index
+from sway.operators.ranks import average_rank, numbered
+from sway.session import materialize
 
 # Model family prefixes of the study.
 FAMILY_PREFIXES = ("llama", "grok", "gpt", "claude", "gemini")
@@ -27,19 +27,35 @@ def family_of(model: Column) -> Column:
     return out
 
 
-def _with_index(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    return df.withColumn("idx", F.row_number().over(W.partitionBy(*keys).orderBy(order)) - 1)
+PRIME = 2147483647
+
+
+def salted(sizes: DataFrame, seed: str, keys: list[str]) -> DataFrame:
+    """Add a number of a group's own for ``mixed_index``."""
+    text = F.concat_ws(":", F.lit(seed), *[F.col(k).cast("string") for k in keys])
+    return sizes.withColumn("salt", F.conv(F.substring(F.md5(text.cast("binary")), 1, 7), 16, 10).cast("long"))
+
+
+def mixed_index(draws: DataFrame) -> DataFrame:
+    """Add the drawn index (0 to n - 1) of slot ``i`` of replicate ``b``: whole-number mixing below 2^62
+    with the group's salt, far cheaper than a digest per slot and the same in any engine."""
+    t = F.col("_t")
+    d = draws.withColumn("_t", (F.col("salt") + F.col("b") * 48271 + F.col("i") * 69621) % PRIME)
+    d = d.withColumn("_t", (t * t + F.col("salt")) % PRIME)
+    d = d.withColumn("_t", (t * t + F.col("b")) % PRIME)
+    return d.withColumn("idx", t % F.col("n")).drop("salt", "_t")
 
 
 def resampled_median_gap(values: DataFrame, keys: list[str], group: str, value: str, order: str,
                          n_boot: int, seed: str = "42") -> DataFrame:
     """Bootstrap of median(group=True) - median(group=False) per ``keys``: each side is
     resampled with replacement to its own size; returns (keys, b, gap)."""
-    v = _with_index(values, keys + [group], order)
-    sizes = v.groupBy(*keys, group).agg(F.count(F.lit(1)).alias("n"))
-    draws = (sizes.select(*keys, group, "n", F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("b"))
-             .select(*keys, group, "n", "b", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")))
-    draws = draws.withColumn("idx", draw_index(seed, keys + [group], "b", "i", "n"))
+    v = materialize(numbered(values, keys + [group], order))
+    sizes = salted(v.groupBy(*keys, group).agg(F.count(F.lit(1)).alias("n")), seed, keys + [group])
+    # each item is one slot of every replicate: arrays of n_boot, spread like the items
+    draws = (v.select(*keys, group, F.col("idx").alias("i")).join(sizes, [*keys, group])
+             .select(*keys, group, "n", "salt", "i", F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("b")))
+    draws = mixed_index(draws)
     reps = (draws.join(v.select(*keys, group, "idx", F.col(value).alias("x")), [*keys, group, "idx"])
             .groupBy(*keys, "b").agg(F.median(F.when(F.col(group), F.col("x"))).alias("mt"),
                                      F.median(F.when(~F.col(group), F.col("x"))).alias("mf")))

@@ -93,7 +93,10 @@ def enrich_trials(parsed: DataFrame, question_map: DataFrame, stance_from: str =
              .drop("_issue", "_orient"))
 
 
-def merge_retries(originals: DataFrame, retries: DataFrame, key: str = "custom_id",
+REPLY_KEY = ("model", "custom_id")  # a request id says nothing of the model it was sent to
+
+
+def merge_retries(originals: DataFrame, retries: DataFrame, key: tuple[str, ...] = REPLY_KEY,
                   order_cols: tuple[str, ...] = ()) -> DataFrame:
     """Upsert of retries over originals (see ``merge_prioritized``)."""
     u = (originals.withColumn("_prio", F.lit(0))
@@ -101,20 +104,28 @@ def merge_retries(originals: DataFrame, retries: DataFrame, key: str = "custom_i
     return merge_prioritized(u, key, order_cols)
 
 
-def merge_prioritized(u: DataFrame, key: str = "custom_id", order_cols: tuple[str, ...] = ()) -> DataFrame:
+def merge_prioritized(u: DataFrame, key: tuple[str, ...] = REPLY_KEY, order_cols: tuple[str, ...] = ()) -> DataFrame:
     """Upsert: a retry row replaces the original with the same key; the last line wins within a side.
 
     Written as ``max_by`` over a (priority, order...) struct rather than a
     window, so a key holding a large share of the rows is reduced map-side
     instead of being sorted in one task.
     """
-    payload = [c for c in u.columns if c not in (key, "_prio")]
+    payload = [c for c in u.columns if c not in (*key, "_prio")]
     order = F.struct(F.col("_prio"), *[F.col(c) for c in order_cols],
                      *[F.col(c) for c in payload if c not in order_cols])
-    best = u.groupBy(key).agg(F.max_by(F.struct(*[F.col(c) for c in payload + ["_prio"]]), order).alias("_b"))
-    return best.select(key, *[F.col("_b")[c].alias(c) for c in payload],
+    best = u.groupBy(*key).agg(F.max_by(F.struct(*[F.col(c) for c in payload + ["_prio"]]), order).alias("_b"))
+    return best.select(*key, *[F.col("_b")[c].alias(c) for c in payload],
                        (F.col("_b._prio") == 1).alias("from_retry"))
 
 
+def prompt_text_lookup(prompts: DataFrame) -> DataFrame:
+    """(model, custom_id, text, line_no) -> the text of each (model, custom_id), last line wins;
+    ids without a text are left out."""
+    last = prompts.filter(F.col("custom_id").isNotNull()).groupBy("model", "custom_id").agg(
+        F.max_by("text", "line_no").alias("text"))
+    return last.filter(F.length("text") > 0)
+
+
 def error_rows(predictions: DataFrame, text_col: str = "response_text") -> DataFrame:
     return predictions.filter(F.col(text_col).startswith("ERROR:"))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sway.functions.anchors import SHORTEST, anchors
 from sway.functions.stats import binom_p_half
+from sway.session import materialize
 
 ORDER_CASES = ("all", "75/25", "75pro", "75con", "con", "pro")
 _MARK = r"\[\d+\]"
-KEY_LEN = 20
 
 
 def order_counts(trials: DataFrame, weight: str | None = None) -> DataFrame:
@@ -75,37 +76,28 @@ def last_block_candidates(prompts: DataFrame) -> DataFrame:
                     F.when(n >= 50, F.expr("substring(line, floor(length(line) / 2) + 1, 50)")).alias("mid"))
 
 
-def argument_keys(arguments: DataFrame) -> DataFrame:
-    """Blocking index: one row per (topic, side, argument, 20-char line-start key); the
-    argument text is not carried here (it is attached only to candidate matches)."""
-    cleaned = _strip(F.regexp_replace(F.col("text"), _MARK, ""))
-    k = arguments.select("topic", "side", "doc_id", F.explode(F.split(cleaned, "\n")).alias("line"))
-    k = k.withColumn("line", _strip(F.col("line"))).filter(F.length("line") >= KEY_LEN)
-    return k.select("topic", "side", "doc_id", F.substring("line", 1, KEY_LEN).alias("key")).distinct()
-
-
 def last_argument(prompts: DataFrame, arguments: DataFrame) -> DataFrame:
     """Side (pro/con) of the last argument in each prompt, or no row when not found.
 
-    Candidate lines are matched bottom-up; for each, the 50-character prefix
-    is looked up in the topic's pro arguments, then con, then the middle
-    50-character slice likewise; the first hit decides.  The containment
-    test is blocked on (topic, 20-character line-start key) and verified
-    with ``instr`` so the join never pairs every candidate with every
-    argument of a topic.  A prefix is found wherever it starts a line of an
-    argument (prompts copy arguments verbatim, so the source argument always
-    qualifies).
+    Candidate lines are matched bottom-up; for each, the 50-character prefix is looked up
+    anywhere in the topic's pro arguments, then con, then the middle 50-character slice
+    likewise; the first hit decides.  Each distinct probe is searched once: candidates come from an
+    equality join on (topic, anchor), which loses no containing argument, and are verified
+    with ``instr``.
     """
     cand = last_block_candidates(prompts)
-    keys = argument_keys(arguments)
-    probes = cand.select("prompt_id", "topic", "pos", F.lit(0).alias("kind"), F.col("prefix").alias("probe")) \
-        .unionByName(cand.filter(F.col("mid").isNotNull())
-                     .select("prompt_id", "topic", "pos", F.lit(1).alias("kind"), F.col("mid").alias("probe")))
-    probes = probes.withColumn("key", F.substring("probe", 1, KEY_LEN))
-    texts = arguments.select("doc_id", _strip(F.regexp_replace(F.col("text"), _MARK, "")).alias("clean"))
-    hits = (probes.join(keys, ["topic", "key"]).join(texts, "doc_id")
-            .filter(F.instr(F.col("clean"), F.col("probe")) > 0)
-            .select("prompt_id", "pos", "kind", "side").distinct())
-    rank = F.struct(F.col("pos"), F.col("kind"), F.when(F.col("side") == "pro", 0).otherwise(1).alias("s"))
-    best = hits.groupBy("prompt_id").agg(F.min(F.struct(rank.alias("r"), F.col("side"))).alias("b"))
+    probes = cand.select("prompt_id", "topic", "pos", F.inline(F.array(
+        F.struct(F.lit(0).alias("kind"), F.col("prefix").alias("probe")),
+        F.struct(F.lit(1).alias("kind"), F.col("mid").alias("probe")))))
+    probes = materialize(probes.filter(F.col("probe").isNotNull()))
+    # the first window of a probe has exactly one anchor
+    wanted = probes.select("topic", "probe").distinct().withColumn(
+        "anchor", F.element_at(anchors(F.substring("probe", 1, SHORTEST)), 1))
+    clean = _strip(F.regexp_replace(F.col("text"), _MARK, ""))
+    texts = arguments.select("topic", "side", "doc_id", clean.alias("clean"))
+    index = texts.select("topic", "doc_id", F.explode(anchors(F.col("clean"))).alias("anchor"))
+    pairs = index.join(wanted, ["topic", "anchor"]).select("doc_id", "probe")
+    found = (texts.join(pairs, "doc_id").filter(F.instr(F.col("clean"), F.col("probe")) > 0)
+             .groupBy("topic", "probe").agg(F.max("side").alias("side")))  # 'pro' sorts after 'con'
+    best = probes.join(found, ["topic", "probe"]).groupBy("prompt_id").agg(F.min(F.struct("pos", "kind", "side")).alias("b"))
     return best.select("prompt_id", F.col("b.side").alias("last_argument"))

@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from sway.operators.ranks import numbered
+from sway.session import materialize
+
 
 def draw_index(seed: str, key_cols: list[str], b: str, i: str, n: str):
     h = F.md5(F.concat_ws(":", F.lit(seed), *[F.col(c).cast("string") for c in key_cols],
@@ -57,20 +60,17 @@ def bh_adjust(df: DataFrame, p: str, order_cols: list[str]) -> DataFrame:
 def standardize(df: DataFrame, cols: list[str]) -> DataFrame:
     """Scale columns by the population mean and sd of the whole table.
 
-    Used on the per-item table (one row per evidence item, bounded by the
-    study design), so whole-table window aggregates compute all moments in
-    one pass over it."""
-    whole = W.partitionBy()
-    out = [F.coalesce(F.try_divide(F.col(c) - F.avg(c).over(whole), F.stddev_pop(c).over(whole)),
-                      F.lit(0.0)).alias(c) for c in cols]
+    All moments come from one aggregate row, read as a scalar subquery."""
+    moments = df.select(F.struct(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in cols])).scalar()
+    out = [F.coalesce(F.try_divide(F.col(c) - moments[c]["m"], moments[c]["s"]), F.lit(0.0)).alias(c) for c in cols]
     return df.select(*[x for x in df.columns if x not in cols], *out)
 
 
 def kfold_index(df: DataFrame, order_col: str, k: int = 5) -> DataFrame:
-    """Contiguous, unshuffled k-fold split over rows ordered by ``order_col`` (first n % k
-    folds one larger).  The table is one row per evidence item, bounded by design."""
-    d = df.withColumn("_pos", F.row_number().over(W.orderBy(order_col)) - 1).withColumn(
-        "_n", F.count(F.lit(1)).over(W.partitionBy()))
+    """Contiguous, unshuffled k-fold split over rows ordered by ``order_col``, a hex hash (first
+    n % k folds one larger)."""
+    n = df.select(F.count(F.lit(1))).scalar()
+    d = numbered(df, [], order_col, "_pos").withColumn("_n", n)
     q, r = F.floor(F.col("_n") / k), F.col("_n") % k
     big = r * (q + 1)
     fold = F.when(F.col("_pos") < big, F.floor(F.col("_pos") / (q + 1))).otherwise(
@@ -174,11 +174,10 @@ def ridge_bootstrap(items: DataFrame, features: list[str], target: str, order_co
     standardised on its own sample and fit with k-fold ridge CV.  The replicate x fold sums
     come from one Spark aggregate; each replicate's small solve runs in ``applyInPandas``."""
     alphas = np.logspace(-4, 3, 80) if alphas is None else alphas
-    it = items.withColumn("idx", F.row_number().over(W.orderBy(order_col)) - 1)
+    it = materialize(numbered(items, [], order_col))
     n = it.select(F.count(F.lit(1))).scalar()
-    # replicate x slot grid, generated from the item count (a scalar subquery)
-    reps = items.sparkSession.range(1, n_boot + 1).select(F.col("id").alias("b"))
-    pos = reps.select("b", n.alias("n")).select("b", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    # each item is one slot of every replicate: arrays of n_boot, spread like the items
+    pos = it.select(n.alias("n"), F.col("idx").alias("i"), F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("b"))
     pos = pos.withColumn("idx", draw_index(seed, [], "b", "i", "n"))
     q, r = F.floor(F.col("n") / k), F.col("n") % k
     big = r * (q + 1)

@@ -12,7 +12,7 @@ WITH trials AS (
   SELECT concat('m', l_suppkey % 9) AS model, concat('issue-', l_partkey % 20) AS issue,
     CASE l_orderkey % 6 WHEN 0 THEN 'neither' WHEN 1 THEN 'pro' WHEN 2 THEN '75pro'
          WHEN 3 THEN 'all' WHEN 4 THEN '75con' ELSE 'con' END AS ecase,
-    l_linenumber AS trial_num, l_partkey % 6 AS paraphrase_idx, l_partkey % 200 AS evidence_id,
+    l_linenumber AS trial_num, l_partkey % 6 AS paraphrase_idx, l_partkey,
     CASE WHEN l_partkey % 6 < 4 THEN 'pro' ELSE 'con' END AS question_stance,
     CASE WHEN l_quantity > 47 THEN 'other'
          WHEN l_quantity <= CASE l_orderkey % 6 WHEN 0 THEN 25 WHEN 1 THEN 40 WHEN 2 THEN 33

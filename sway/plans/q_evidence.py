@@ -12,10 +12,13 @@ from sway.sources.tables import read_table
 
 _EFFECTS = """
 WITH ev AS (SELECT doc_id AS evidence_id, sha256(text) AS evidence_hash FROM documents),
-t AS (SELECT tr.model, tr.issue, tr.paraphrase_idx AS question, tr.ecase, tr.issue_stance,
-        CASE WHEN tr.ecase <> 'neither' THEN ev.evidence_hash END AS evidence_hash
-      FROM trials tr LEFT JOIN ev ON ev.evidence_id = tr.evidence_id),
-base AS (SELECT model, issue, question, count(*) FILTER (WHERE issue_stance = 'pro') / 15 AS proportion
+nd AS (SELECT max(doc_id) + 1 AS n FROM documents),
+te AS (SELECT model, issue, paraphrase_idx AS question, issue_stance, unnest(
+         CASE WHEN ecase = 'neither' THEN [NULL]
+              WHEN trial_num % 2 = 0 THEN [(l_partkey * 7 + l_orderkey) % n, (l_partkey + l_orderkey * 13) % n]
+              ELSE [(l_partkey * 7 + l_orderkey) % n] END) AS evidence_id FROM trials, nd),
+t AS (SELECT te.*, ev.evidence_hash FROM te LEFT JOIN ev ON ev.evidence_id = te.evidence_id),
+base AS (SELECT model, issue, question, count(*) FILTER (WHERE issue_stance = 'pro') / count(*) AS proportion
          FROM t WHERE evidence_hash IS NULL GROUP BY model, issue, question),
 we AS (SELECT model, issue, question, evidence_hash, count(*) FILTER (WHERE issue_stance = 'pro') AS pro_n,
          count(*) AS tot FROM t WHERE evidence_hash IS NOT NULL GROUP BY model, issue, question, evidence_hash),
@@ -44,11 +47,8 @@ labels AS (SELECT a.*, CASE WHEN between_model_std IS NULL THEN 'insufficient-va
 
 
 def _evidence_docs(spark, sf_dir):
-    """Documents that are referenced as evidence items: a semi-join on the distinct evidence
-    ids of the trials (a small key set, broadcast by AQE), so only those texts are hashed
-    and featurised, not the whole corpus."""
-    ids = fx.evidence_ids_dim(spark, sf_dir)
-    return read_table(spark, sf_dir, "documents").select("doc_id", "text").join(ids, "doc_id", "left_semi")
+    """Every document is an evidence item."""
+    return read_table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def _evidence(spark, sf_dir):
@@ -60,8 +60,8 @@ def _effects(spark, sf_dir):
     """Per (model, evidence item) effects: bounded by models x items, materialised once
     because summaries, labels, ranks and thresholds all read it."""
     from sway.session import materialize
-    t = fx.trials(spark, sf_dir).select("model", "issue", F.col("paraphrase_idx").alias("question"), "ecase",
-                                        "evidence_id", "issue_stance")
+    t = fx.evidence_trials(spark, sf_dir).select("model", "issue", F.col("paraphrase_idx").alias("question"),
+                                                 "evidence_ids", "issue_stance")
     return materialize(EV.evidence_effect(t, _evidence(spark, sf_dir)))
 
 
@@ -118,7 +118,7 @@ def _item_features(spark, sf_dir):
     f = d.select(F.sha2("text", 256).alias("evidence_hash"),
                  *FT.text_features(F.col("text")))
     f = f.select("evidence_hash", *[F.col(c).cast("double").alias(c) for c in PATTERN_FEATURES])
-    return f.groupBy("evidence_hash").agg(*[F.first(c).alias(c) for c in PATTERN_FEATURES])
+    return f.groupBy("evidence_hash").agg(*[F.max(c).alias(c) for c in PATTERN_FEATURES])
 
 
 @query("pattern_means")
@@ -158,9 +158,10 @@ def q_pair_alignment(spark, sf_dir):
     every model pair, computed column-wise after one pivot of items x models.  Ranks are
     taken per model over its items (every model covers every item here)."""
     from sway.functions.stats import pearson
+    from sway.operators.ranks import average_rank
 
     e = _effects(spark, sf_dir).filter(F.col("average_proportion_shift").isNotNull())
-    r = EV.average_rank(e, ["model"], "average_proportion_shift", "r")
+    r = average_rank(e, ["model"], "average_proportion_shift", "r")
     wide = r.groupBy("evidence_hash").pivot("model").agg(
         F.first("average_proportion_shift").alias("s"), F.first("r").alias("r"))
     models = sorted({c.rsplit("_", 1)[0] for c in wide.columns if c != "evidence_hash"})
@@ -216,8 +217,10 @@ v AS (SELECT l.*, row_number() OVER (PARTITION BY l.feature, l.flag ORDER BY l.e
       FROM long l JOIN ok USING (feature)),
 sz AS (SELECT feature, flag, count(*) AS n FROM v GROUP BY feature, flag),
 dr AS (SELECT sz.feature, sz.flag, sz.n, b.b, i.i FROM sz, range(1, 3001) b(b), range(0, sz.n) i(i)),
-dx AS (SELECT feature, flag, b, ('0x' || substr(md5(concat_ws(':', '42', feature, CASE WHEN flag THEN 'true' ELSE 'false' END,
-          CAST(b AS VARCHAR), CAST(i AS VARCHAR))), 1, 8))::BIGINT % n AS idx FROM dr),
+d0 AS (SELECT *, ('0x' || substr(md5(concat_ws(':', '42', feature, CASE WHEN flag THEN 'true' ELSE 'false' END)), 1, 7))::BIGINT AS salt FROM dr),
+d1 AS (SELECT *, (salt + b * 48271 + i * 69621) % 2147483647 AS t1 FROM d0),
+d2 AS (SELECT *, (t1 * t1 + salt) % 2147483647 AS t2 FROM d1),
+dx AS (SELECT feature, flag, b, ((t2 * t2 + b) % 2147483647) % n AS idx FROM d2),
 reps AS (SELECT dx.feature, dx.b, median(v.y) FILTER (WHERE dx.flag) - median(v.y) FILTER (WHERE NOT dx.flag) AS g
          FROM dx JOIN v USING (feature, flag, idx) GROUP BY dx.feature, dx.b),
 ci AS (SELECT feature, quantile_cont(g, 0.025) AS lo, quantile_cont(g, 0.975) AS hi FROM reps GROUP BY feature)
@@ -231,7 +234,7 @@ FROM obs LEFT JOIN ci USING (feature)
 @query("feature_gaps", _gaps_sql())
 def q_feature_gaps(spark, sf_dir):
     """Binary text features: median |shift| gap (true - false) with a 3 000-draw bootstrap
-    interval (keyed MD5 draws, reproduced by the oracle)."""
+    interval (keyed draws, reproduced by the oracle)."""
     return ES.binary_feature_gaps(_analysis_items(spark, sf_dir), list(BINARY_FEATURES), "median_abs_shift", 3000)
 
 

@@ -46,22 +46,28 @@ def q_recency_rate(spark, sf_dir):
 
 
 def order_prompts(spark, sf_dir):
-    """One prompt per document: the previous document, then this one, as the last argument."""
+    """One prompt per document, its text as the last argument: every fourth as it is, the others with
+    the opening of the text cut off (the probe then starts inside a line), with another opening to
+    each line (only the middle slice is left), and reversed (nothing matches)."""
     d = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    prev = d.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("prev_text"))
-    p = d.join(prev, "doc_id", "left")
-    text = F.concat(F.lit("Question: "), F.col("source"), F.lit("\n\n"), F.coalesce("prev_text", F.lit("")),
-                    F.lit("\nCitations: [1] a\n---\n"), F.col("text"), F.lit("\nCitations: [2] b\n---\n"))
-    return p.select(F.col("doc_id").alias("prompt_id"), F.col("source").alias("topic"), text.alias("text"))
+    t, kind = F.col("text"), F.col("doc_id") % 4
+    shown = (F.when(kind == 1, F.substring(t, F.lit(8), F.length(t)))
+             .when(kind == 2, F.concat(F.lit("Another opening: "), F.replace(t, F.lit("\n"), F.lit("\nAnother opening: "))))
+             .when(kind == 3, F.reverse(t)).otherwise(t))
+    text = F.concat(F.lit("Question: "), F.col("source"), F.lit("\n\nAn earlier argument on "), F.col("source"),
+                    F.lit("\nCitations: [1] a\n---\n"), shown, F.lit("\nCitations: [2] b\n---\n"))
+    return d.select(F.col("doc_id").alias("prompt_id"), F.col("source").alias("topic"), text.alias("text"))
 
 
 @query("last_argument", """
-WITH d AS (SELECT doc_id, source, text FROM documents),
-p AS (SELECT d.doc_id AS prompt_id, d.source AS topic,
-        concat('Question: ', d.source, chr(10) || chr(10), coalesce(pv.text, ''),
-               chr(10) || 'Citations: [1] a' || chr(10) || '---' || chr(10), d.text,
+WITH p AS (SELECT doc_id AS prompt_id, source AS topic,
+        concat('Question: ', source, chr(10) || chr(10) || 'An earlier argument on ', source,
+               chr(10) || 'Citations: [1] a' || chr(10) || '---' || chr(10),
+               CASE doc_id % 4 WHEN 1 THEN substr(text, 8)
+                    WHEN 2 THEN 'Another opening: ' || replace(text, chr(10), chr(10) || 'Another opening: ')
+                    WHEN 3 THEN reverse(text) ELSE text END,
                chr(10) || 'Citations: [2] b' || chr(10) || '---' || chr(10)) AS text
-      FROM d LEFT JOIN d pv ON pv.doc_id + 1 = d.doc_id),
+      FROM documents),
 b AS (SELECT prompt_id, topic, string_split(text, 'Citations:')[-2] AS block FROM p
       WHERE contains(text, 'Citations:')),
 l AS (SELECT prompt_id, topic,
@@ -90,6 +96,6 @@ ranked AS (SELECT prompt_id, side, row_number() OVER (PARTITION BY prompt_id
 SELECT prompt_id, side AS last_argument FROM ranked WHERE rn = 1
 """)
 def q_last_argument(spark, sf_dir):
-    """Side of the last argument shown in each prompt (blocked containment join);
+    """Side of the last argument shown in each prompt (anchor join, verified);
     the oracle searches every argument of the topic by brute force."""
     return order.last_argument(order_prompts(spark, sf_dir), fx.arguments(spark, sf_dir))

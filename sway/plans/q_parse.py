@@ -122,55 +122,73 @@ WITH o AS (SELECT model, custom_id, l_orderkey, l_linenumber, 0 AS prio,
 rt AS (SELECT model, custom_id, l_orderkey, l_linenumber, 1 AS prio, response_text FROM responses
        WHERE l_orderkey % 22 = 0),
 u AS (SELECT * FROM o UNION ALL SELECT * FROM rt),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY custom_id ORDER BY prio DESC, l_orderkey DESC,
-             l_linenumber DESC, model DESC, response_text DESC) AS rn FROM u)
+ranked AS (SELECT *, row_number() OVER (PARTITION BY model, custom_id ORDER BY prio DESC, l_orderkey DESC,
+             l_linenumber DESC, response_text DESC) AS rn FROM u)
 SELECT custom_id, model, response_text, l_orderkey, l_linenumber, prio = 1 AS from_retry,
        starts_with(response_text, 'ERROR:') AS is_error
 FROM ranked WHERE rn = 1
 """)
 def q_retry_merge(spark, sf_dir):
     d = _delivered(spark, sf_dir)
-    m = ingest.merge_prioritized(d, "custom_id", ("l_orderkey", "l_linenumber"))
+    m = ingest.merge_prioritized(d, order_cols=("l_orderkey", "l_linenumber"))
     return m.select("custom_id", "model", "response_text", "l_orderkey", "l_linenumber", "from_retry",
                     F.col("response_text").startswith("ERROR:").alias("is_error"))
 
 
 @query("unpredicted_prompts", """
-SELECT DISTINCT custom_id FROM responses p
-WHERE NOT EXISTS (SELECT 1 FROM responses r WHERE r.l_orderkey % 11 <> 0 AND r.custom_id = p.custom_id)
+SELECT DISTINCT model, custom_id FROM responses p
+WHERE NOT EXISTS (SELECT 1 FROM responses r WHERE r.l_orderkey % 11 <> 0 AND r.model = p.model AND r.custom_id = p.custom_id)
 """)
 def q_unpredicted_prompts(spark, sf_dir):
-    r = fx.responses(spark, sf_dir).select("custom_id", "l_orderkey")
-    # one aggregation per id instead of distinct + anti join over two scans
-    g = r.groupBy("custom_id").agg(F.bool_or(F.col("l_orderkey") % 11 != 0).alias("_pred"))
-    return g.filter(~F.col("_pred")).select("custom_id")
+    r = fx.responses(spark, sf_dir).select("model", "custom_id", "l_orderkey")
+    # one aggregation per request instead of distinct + anti join over two scans
+    g = r.groupBy(*ingest.REPLY_KEY).agg(F.bool_or(F.col("l_orderkey") % 11 != 0).alias("_pred"))
+    return g.filter(~F.col("_pred")).select("model", "custom_id")
 
 
 @query("error_rows", """
-WITH e AS (SELECT model, custom_id FROM responses WHERE l_orderkey % 11 = 0),
-ids AS (SELECT DISTINCT custom_id FROM e)
-SELECT e.model, count(*) AS n_errors, count(DISTINCT e.custom_id) AS n_error_ids,
-  (SELECT count(*) FROM responses p WHERE p.custom_id IN (SELECT custom_id FROM ids)) AS n_prompts_for_errors,
-  (SELECT count(*) FROM responses WHERE l_orderkey % 22 = 0) AS n_retried
-FROM e GROUP BY e.model
+WITH ids AS (SELECT DISTINCT model, custom_id FROM responses WHERE l_orderkey % 11 = 0)
+SELECT r.model, count(*) FILTER (WHERE l_orderkey % 11 = 0) AS n_errors, count(DISTINCT ids.custom_id) AS n_error_ids,
+  count(*) FILTER (WHERE ids.custom_id IS NOT NULL) AS n_prompts_for_errors, count(*) FILTER (WHERE l_orderkey % 22 = 0) AS n_retried
+FROM responses r LEFT JOIN ids ON ids.model = r.model AND ids.custom_id = r.custom_id GROUP BY r.model
 """)
 def q_error_rows(spark, sf_dir):
-    """Error replies per model, and the prompts to re-send for them (semi join)."""
-    from sway.session import materialize
-    r = fx.responses(spark, sf_dir).select("model", "custom_id", "l_orderkey")
+    """Per model: error replies, requests with one, their deliveries, and retries."""
+    d = fx.responses(spark, sf_dir).select("model", "custom_id", "l_orderkey")
     err = F.col("l_orderkey") % 11 == 0
-    # one scan: per (id, model) rows, error rows and retries; bounded by the id domain
-    g = materialize(r.groupBy("custom_id", "model").agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if(err).alias("errs"),
-        F.count_if(F.col("l_orderkey") % 22 == 0).alias("retried")))
-    g2 = g.withColumn("id_has_error", F.max(F.col("errs") > 0).over(W.partitionBy("custom_id")))
-    per_model = g2.groupBy("model").agg(F.sum("errs").alias("n_errors"),
-                                        F.count_if(F.col("errs") > 0).alias("n_error_ids"))
-    per_model = per_model.filter(F.col("n_errors") > 0)
-    return per_model.select("model", "n_errors", "n_error_ids",
-                            g2.select(F.sum(F.when(F.col("id_has_error"), F.col("rows")).otherwise(0)))
-                            .scalar().alias("n_prompts_for_errors"),
-                            g.select(F.sum("retried")).scalar().alias("n_retried"))
+    g = d.groupBy(*ingest.REPLY_KEY).agg(F.count(F.lit(1)).alias("rows"), F.count_if(err).alias("errs"),
+                                         F.count_if(F.col("l_orderkey") % 22 == 0).alias("retried"))
+    return g.groupBy("model").agg(
+        F.sum("errs").alias("n_errors"), F.count_if(F.col("errs") > 0).alias("n_error_ids"),
+        F.coalesce(F.sum(F.when(F.col("errs") > 0, F.col("rows"))), F.lit(0)).alias("n_prompts_for_errors"),
+        F.sum("retried").alias("n_retried"))
+
+
+@query("resend_prompts", """
+SELECT DISTINCT model, custom_id, lower(replace(regexp_extract(custom_id, 'request-(.*?)-(\\d+)-framing', 1), '_', ' ')) AS question
+FROM responses WHERE l_orderkey % 11 = 0
+""")
+def q_resend_prompts(spark, sf_dir):
+    """The requests to send again: those with an error reply, once each."""
+    r = fx.responses(spark, sf_dir).select(
+        "model", "custom_id", F.when(F.col("l_orderkey") % 11 == 0, F.lit("ERROR: request failed"))
+        .otherwise(F.col("response_text")).alias("response_text"))
+    again = ingest.error_rows(r).select(*ingest.REPLY_KEY).distinct()
+    return again.withColumn("question", P.id_question(F.col("custom_id")))
+
+
+@query("prompt_texts", """
+WITH u AS (SELECT concat('m', conv_id % 9) AS model, concat('conv-', conv_id) AS custom_id, turn, text FROM conversations WHERE role = 'user')
+SELECT model, custom_id, sha256(arg_max_null(text, turn)) AS text_sha256 FROM u GROUP BY model, custom_id
+HAVING length(arg_max_null(text, turn)) > 0
+""")
+def q_prompt_texts(spark, sf_dir):
+    """Prompt text of each request, the last line wins."""
+    c = read_table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    prompts = c.select(F.concat(F.lit("m"), (F.col("conv_id") % 9).cast("string")).alias("model"),
+                       F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("custom_id"),
+                       "text", F.col("turn").alias("line_no"))
+    return ingest.prompt_text_lookup(prompts).select("model", "custom_id", F.sha2("text", 256).alias("text_sha256"))
 
 
 @query("unparsed_sample", f"""
@@ -239,7 +257,7 @@ def q_batch_ingest(spark, sf_dir):
 @query("prediction_prompts", """
 WITH pr AS (SELECT concat('request-', replace(replace(i.issue, '-', ' '), ' ', '_'), '-', t.trial, '-framing-', f.framing,
               '-evidence-', c.ecase) AS custom_id, i.question
-            FROM issues_dim i, range(1, 8) t(trial), (VALUES ('pro'), ('con')) f(framing),
+            FROM issues_dim i, range(1, 16) t(trial), (VALUES ('pro'), ('con')) f(framing),
               (VALUES ('neither'), ('pro'), ('75pro'), ('all'), ('75con'), ('con')) c(ecase)),
 pp AS (SELECT sha256(custom_id) AS h, question FROM pr)
 SELECT r.model, r.custom_id, r.l_orderkey, r.l_linenumber, sha256(r.custom_id) AS custom_id_hash, pp.question
@@ -250,9 +268,9 @@ def q_prediction_prompts(spark, sf_dir):
     the prompt records are the design's ids with their question, built from the issue
     dimension)."""
     r = fx.responses(spark, sf_dir).select("model", "custom_id", "l_orderkey", "l_linenumber")
-    # prompt records of the design: issue x trial (1..7) x framing x case, from the issue dimension
+    # prompt records of the design: issue x trial x framing x case, from the issue dimension
     i = fx.issues_dim(spark, sf_dir)
-    ids = i.select("issue", "question", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("t"),
+    ids = i.select("issue", "question", F.explode(F.sequence(F.lit(1), F.lit(fx.TRIALS))).alias("t"),
                    F.explode(F.array(F.lit("pro"), F.lit("con"))).alias("framing"))
     ids = ids.select("*", F.explode(F.array(*[F.lit(c) for c in fx.CASES])).alias("ecase"))
     cid = F.concat(F.lit("request-"), F.replace(F.replace("issue", F.lit("-"), F.lit(" ")), F.lit(" "), F.lit("_")),

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -48,24 +50,46 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply defaults that are still unset and make sure a checkpoint folder exists."""
+    """Apply defaults that are still unset, make sure a checkpoint folder exists, ship the package."""
     for k, v in _DEFAULTS.items():
         if spark.conf.get(k, None) is None:
             spark.conf.set(k, v)
     checkpoint_dir(spark)
+    ship(spark)
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so that Python workers can
+    import it wherever they run."""
+    package = Path(__file__).resolve().parent
+    app = spark.sparkContext.applicationId
+    if app in _shipped or not package.is_dir():
+        return
+    _shipped.add(app)
+    target = os.path.join(tempfile.mkdtemp(prefix="sway-package-"), "sway_package.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, str(f.relative_to(package.parent)))
+    spark.sparkContext.addPyFile(target)  # served by the driver, which copies it
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Read from the session; only when it is unset (local runs, tests) a
-    scratch folder is created and registered.
+    Read from the session; only when it is unset on a local master (tests) a
+    scratch folder is created and registered.  On a cluster it must be set: a folder of
+    the driver's own disk would be invisible to the executors.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir() or ""
     if not d:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="sway-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if not spark.sparkContext.getCheckpointDir():

@@ -15,6 +15,7 @@ from sway.sources.tables import read_table
 
 CASES = ("neither", "pro", "75pro", "all", "75con", "con")
 EVIDENCE_CASES = ("pro", "75pro", "all", "75con", "con")
+TRIALS = 15  # trials of a question and case in the study's design
 STANCES = ("con", "other", "pro")
 
 
@@ -42,7 +43,6 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
         _case_of(ok).alias("ecase"),
         F.col("l_linenumber").alias("trial_num"),
         (pk % 6).alias("paraphrase_idx"),
-        (pk % 200).alias("evidence_id"),
         F.when(pk % 6 < 4, "pro").otherwise("con").alias("question_stance"),
         F.when(F.col("l_quantity") > 47, "other")
          .when(F.col("l_quantity") <= _pro_threshold(ok), "pro")
@@ -53,6 +53,17 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def evidence_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trials with the ids of the documents shown as evidence: none in the baseline, else one, and a
+    second one in trials of even number.  All documents serve as evidence."""
+    n = read_table(spark, sf_dir, "documents").select(F.max("doc_id") + 1).scalar()
+    ok, pk = F.col("l_orderkey"), F.col("l_partkey")
+    first, second = pk * 7 + ok, pk + ok * 13
+    ids = (F.when(F.col("ecase") == "neither", F.array().cast("array<bigint>"))
+           .when(F.col("trial_num") % 2 == 0, F.array(first % n, second % n)).otherwise(F.array(first % n)))
+    return trials(spark, sf_dir).withColumn("evidence_ids", ids)
+
+
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = trials(spark, sf_dir)
     return t.withColumn(
@@ -177,9 +188,3 @@ def models_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every model of the fixture (from ``supplier``)."""
     s = read_table(spark, sf_dir, "supplier").select("s_suppkey")
     return s.select(F.concat(F.lit("m"), (F.col("s_suppkey") % 9).cast("string")).alias("model")).distinct()
-
-
-def evidence_ids_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evidence item ids that trials can reference (from ``part``)."""
-    p = read_table(spark, sf_dir, "part").select("p_partkey")
-    return p.select((F.col("p_partkey") % 200).alias("doc_id")).distinct()

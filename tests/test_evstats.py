@@ -62,3 +62,20 @@ def test_family_gap_observed_and_bounds(spark, sf_dir):
         assert math.isclose(g.loc[m, "median_gap_same_minus_cross"], exp, rel_tol=1e-9, abs_tol=1e-12)
         assert 0.0 <= g.loc[m, "label_permutation_p_value"] <= 1.0
         assert g.loc[m, "pair_bootstrap_ci_lower"] <= g.loc[m, "pair_bootstrap_ci_upper"]
+
+
+def test_average_rank_and_numbering_match_pandas(spark):
+    from sway.operators.ranks import average_rank, numbered
+
+    rng = np.random.default_rng(0)
+    p = pd.DataFrame({"g": rng.integers(0, 3, 4000), "v": np.round(rng.normal(0, 1, 4000), 2)})
+    p["h"] = [f"{x:08x}" for x in rng.permutation(4000) * 1000003]
+    p.loc[::97, "v"] = 7.0
+    got = average_rank(spark.createDataFrame(p), ["g"], "v", "r").toPandas().set_index("h")
+    want = p.assign(r=p.groupby("g")["v"].rank()).set_index("h")
+    assert (got["r"].sort_index() == want["r"].sort_index()).all()
+    got = numbered(spark.createDataFrame(p), ["g"], "h").toPandas().set_index("h")
+    want = p.assign(idx=p.groupby("g")["h"].rank().astype(int) - 1).set_index("h")
+    assert (got["idx"].sort_index() == want["idx"].sort_index()).all()
+    nulls = spark.createDataFrame([(1, None), (1, 2.0)], "g int, v double")
+    assert sorted(average_rank(nulls, ["g"], "v", "r").select("r").collect(), key=str) == [(1.0,), (None,)]

@@ -79,9 +79,27 @@ def test_title_prefix_and_two_frame_merge(spark):
     from sway.operators import ingest
     assert _one(spark, P.strip_title_prefix, "### Con 2: Bad idea") == "Bad idea"
     assert _one(spark, P.strip_title_prefix, "Pro 11:  Good") == "Good"
-    orig = spark.createDataFrame([("a", "ERROR: x", 1), ("a", "ok-a", 2), ("b", "ok-b", 1)],
-                                 "custom_id string, response_text string, line long")
-    retry = spark.createDataFrame([("a", "fixed-a", 0)], "custom_id string, response_text string, line long")
-    got = {r["custom_id"]: (r["response_text"], r["from_retry"])
-           for r in ingest.merge_retries(orig, retry, "custom_id", ("line",)).collect()}
-    assert got == {"a": ("fixed-a", True), "b": ("ok-b", False)}
+    orig = spark.createDataFrame([("m", "a", "ERROR: x", 1), ("m", "a", "ok-a", 2), ("m", "b", "ok-b", 1), ("n", "a", "other", 1)],
+                                 "model string, custom_id string, response_text string, line long")
+    retry = spark.createDataFrame([("m", "a", "fixed-a", 0)], orig.schema)
+    got = {(r["model"], r["custom_id"]): (r["response_text"], r["from_retry"])
+           for r in ingest.merge_retries(orig, retry, order_cols=("line",)).collect()}
+    assert got == {("m", "a"): ("fixed-a", True), ("m", "b"): ("ok-b", False), ("n", "a"): ("other", False)}
+
+
+def test_malformed_replies_do_not_fail(spark):
+    """Empty arrays and odd shapes give an empty text, as in the study."""
+    lines = ['{"custom_id": "c", "response": {"choices": []}}', '{"custom_id": "c", "response": {"content": []}}',
+             '{"custom_id": "c", "response": {"candidates": [{"content": {"parts": []}}]}}', '{"custom_id": "c", "response": {"body": {"choices": []}}}',
+             '{"custom_id": "c", "request": {"contents": []}}', '{"custom_id": "c", "request": {"messages": []}}', '{"custom_id": "c"']
+    df = spark.createDataFrame([(x,) for x in lines], "value string").select("value", P.parse_prediction(F.col("value")).alias("j"))
+    got = df.select(P.response_text(F.col("value"), F.col("j")), P.request_text(F.col("j"))).collect()
+    assert [tuple(r) for r in got] == [("", "")] * len(lines)
+
+
+def test_request_text_of_lists_and_prompt_text(spark):
+    lines = [{"request": {"messages": [{"content": [{"type": "text", "text": "from a list"}]}]}}, {"prompt_text": "kept apart"},
+             {"request": {"messages": [{"content": "[A] or [B]"}]}}, {"request": {"messages": [{"content": ""}]}, "prompt_text": "p"}]
+    df = spark.createDataFrame([(json.dumps(x),) for x in lines], "value string")
+    got = [r[0] for r in df.select(P.request_text(P.parse_prediction(F.col("value")))).collect()]
+    assert got == ["from a list", "kept apart", "[A] or [B]", "p"]
