@@ -19,17 +19,24 @@ def parse_judge_reply(raw: Column) -> Column:
     """
     cleaned = F.trim(F.replace(F.replace(F.trim(raw), F.lit("```json"), F.lit("")), F.lit("```"), F.lit("")))
     is_obj = F.json_object_keys(cleaned).isNotNull()
-    j = F.from_json(cleaned, "label string, confidence double, rationale string")
+    j = F.from_json(cleaned, "label string, confidence string, rationale string")
     jl = F.lower(F.trim(F.coalesce(j["label"], F.lit(""))))
     json_label = F.when(jl.isin("neutral", "leans_pro", "leans_con"), jl).otherwise("unknown")
     low = F.lower(cleaned)
     kw_label = (F.when(F.instr(low, "leans_pro") > 0, "leans_pro")
                 .when(F.instr(low, "leans_con") > 0, "leans_con")
                 .when(low.rlike(r"(?U)\bneutral\b"), "neutral").otherwise("unknown"))
-    conf = F.when(is_obj, F.coalesce(j["confidence"], F.lit(0.0))).otherwise(F.lit(0.0))
+    # a number, also quoted; a flag counts as 1 or 0; anything else fails the reply, whose label is then
+    # searched by keyword as well
+    said = F.nullif(F.trim(j["confidence"]), F.lit(""))
+    number = F.when(said == "true", 1.0).when(said == "false", 0.0).otherwise(said.try_cast("double"))
+    broken = is_obj & said.isNotNull() & number.isNull()
+    conf = F.when(is_obj, F.coalesce(number, F.lit(0.0))).otherwise(F.lit(0.0))
     conf = F.greatest(F.lit(0.0), F.least(F.lit(1.0), conf))
-    rationale = F.when(is_obj, F.coalesce(j["rationale"], F.lit(""))).otherwise(F.substring(cleaned, 1, 300))
-    label = F.when(raw.isNull(), "unknown").when(is_obj, json_label).otherwise(kw_label)
+    rationale = F.when(is_obj & ~F.coalesce(broken, F.lit(False)), F.coalesce(j["rationale"], F.lit(""))).otherwise(F.substring(cleaned, 1, 300))
+    label = F.when(raw.isNull(), "unknown").when(
+        F.coalesce(broken, F.lit(False)), F.when(kw_label != "unknown", kw_label).otherwise(json_label)).when(
+        is_obj, json_label).otherwise(kw_label)
     return F.struct(label.alias("label"), F.when(raw.isNull(), 0.0).otherwise(conf).alias("confidence"),
                     F.when(raw.isNull(), "Non-string output.").otherwise(rationale).alias("rationale"))
 
@@ -45,7 +52,7 @@ def label_rates(j: DataFrame) -> DataFrame:
 def agreement(j: DataFrame) -> DataFrame:
     """Per (topic, paraphrase_idx): judges, distinct labels, all-agree, majority %, label list."""
     first = j.groupBy("topic", "paraphrase_idx", "judge_model").agg(
-        F.first("label", ignorenulls=True).alias("label"))
+        F.min("label").alias("label"))
     counts = first.filter(F.col("label").isNotNull() & (F.col("label") != "")).groupBy(
         "topic", "paraphrase_idx", "label").agg(F.count(F.lit(1)).alias("c"))
     per = counts.groupBy("topic", "paraphrase_idx").agg(

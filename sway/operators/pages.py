@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 import re
 from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -35,6 +36,7 @@ class _PageParser(HTMLParser):
         self.title, self.heading = [], []
         self.paragraphs: list[list[str]] = []
         self.n_links = self.n_quotes = self.n_footnotes = 0
+        self.links: list[str] = []
         self.in_article = 0
         # topic record: argument blocks and quotes inside <section class="pro|con">,
         # numbered footnotes <li id="...-N"> inside <ol>
@@ -69,6 +71,8 @@ class _PageParser(HTMLParser):
             self.paragraphs.append([])
         elif tag == "a":
             self.n_links += 1
+            if a.get("href") is not None:
+                self.links.append(a["href"])
         elif tag == "blockquote":
             self.n_quotes += 1
         elif tag == "li" and "ol" in self.stack:
@@ -120,21 +124,34 @@ def page_sections(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "html").mapInPandas(_parse_batch, SECTION_SCHEMA)
 
 
-def resolve(base: F.Column, href: F.Column) -> F.Column:
-    """Absolute, root-relative (against scheme://host) or document-relative link target."""
-    host = F.regexp_extract(base, r"^(https?://[^/?#]+)", 1)
-    basedir = F.regexp_extract(base, r"^(https?://[^?#]*/)", 1)
-    return (F.when(href.rlike(r"^https?://"), href)
-            .when(href.startswith("/"), F.concat(host, href))
-            .otherwise(F.concat(basedir, href)))
+LINK_SCHEMA = "page_id long, href string, target_url string"
+
+
+def _link_batch(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in it:
+        rows = []
+        for pid, url, html in zip(pdf["page_id"], pdf["url"], pdf["html"]):
+            p = _PageParser()
+            p.feed(html or "")
+            p.close()
+            rows += [(pid, href, resolve(url or "", href)) for href in p.links]
+        yield pd.DataFrame(rows, columns=["page_id", "href", "target_url"])
+
+
+def resolve(base: str, href: str) -> str:
+    """Link target by the rules of URL references; what can't be resolved stays as it is."""
+    try:
+        return urljoin(base, href)
+    except ValueError:
+        return href
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """Links of each page resolved and joined to the stored page they point to (fallback: itself)."""
-    links = pages.select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), 1))
-                         .alias("href"))
-    links = links.withColumn("target_url", resolve(F.col("url"), F.col("href")))
-    targets = pages.select(F.col("url").alias("target_url"), F.col("page_id").alias("linked_page_id"))
+    """Links of each page resolved and joined to the stored page they point to (fallback: itself).
+
+    Of pages stored under the same URL the one with the smallest id is the target."""
+    links = pages.select("page_id", "url", "html").mapInPandas(_link_batch, LINK_SCHEMA)
+    targets = pages.groupBy(F.col("url").alias("target_url")).agg(F.min("page_id").alias("linked_page_id"))
     j = links.join(targets, "target_url", "left")
     return j.select("page_id", "href", "target_url",
                     F.coalesce("linked_page_id", "page_id").alias("target_page_id"),

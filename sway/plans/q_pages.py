@@ -22,7 +22,7 @@ r AS (SELECT page_id, href,
              ELSE regexp_extract(url, '^(https?://[^?#]*/)', 1) || href END AS target_url FROM l)
 SELECT r.page_id, r.href, r.target_url, coalesce(p.page_id, r.page_id) AS target_page_id,
   p.page_id IS NOT NULL AS found
-FROM r LEFT JOIN pages p ON p.url = r.target_url
+FROM r LEFT JOIN (SELECT url, min(page_id) AS page_id FROM pages GROUP BY url) p ON p.url = r.target_url
 """)
 def q_page_links(spark, sf_dir):
     """Links of each page resolved against its URL and joined to the stored pages."""

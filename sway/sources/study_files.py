@@ -8,8 +8,11 @@ columns; outputs are written with the DataFrame writer.
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TOPIC_SCHEMA = ("question string, pros array<string>, cons array<string>, sources map<string,string>, "
                 "paraphrases array<struct<question:string,orientation:string>>")
@@ -17,20 +20,24 @@ COUNTS_SCHEMA = "issue string, issue_stance string, count long, case string, mod
 
 
 def read_topics(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per topic file (``*.json``); ``slug`` = lower-cased file stem.
-
-    When two files carry the same question the later file name wins."""
+    """One row per topic file (``*.json``), whatever its question; ``slug`` = lower-cased file stem."""
     t = (spark.read.schema(TOPIC_SCHEMA).option("multiLine", True).option("pathGlobFilter", "*.json")
          .json(folder).withColumn("file_name", F.col("_metadata.file_name")))
     t = t.withColumn("slug", F.lower(F.regexp_replace("file_name", r"\.json$", "")))
-    best = t.groupBy("question").agg(F.max("file_name").alias("file_name"))
-    return t.join(best, ["question", "file_name"]).drop("file_name")
+    return t
+
+
+def question_map(topics: DataFrame) -> DataFrame:
+    """(question_key, slug, orientation) of every paraphrase; of files with the same one the last name wins."""
+    p = paraphrases(topics).filter(F.col("question_key").isNotNull())
+    best = p.groupBy("question_key").agg(F.max(F.struct("file_name", "paraphrase_idx", "slug", "orientation")).alias("b"))
+    return best.select("question_key", "b.slug", F.coalesce("b.orientation", F.lit("")).alias("orientation"))
 
 
 def paraphrases(topics: DataFrame) -> DataFrame:
     """(slug, paraphrase_idx, question, orientation), plus the lower/strip lookup key."""
-    p = topics.select("slug", F.posexplode("paraphrases").alias("paraphrase_idx", "p"))
-    return p.select("slug", "paraphrase_idx", F.col("p.question").alias("question"),
+    p = topics.select("slug", "file_name", F.posexplode("paraphrases").alias("paraphrase_idx", "p"))
+    return p.select("slug", "file_name", "paraphrase_idx", F.col("p.question").alias("question"),
                     F.lower(F.trim(F.col("p.orientation"))).alias("orientation"),
                     F.lower(F.trim(F.col("p.question"))).alias("question_key"))
 
@@ -51,9 +58,26 @@ def thin_topics(topics: DataFrame, min_args: int = 3) -> DataFrame:
 
 
 def read_stance_csvs(spark: SparkSession, folder: str) -> DataFrame:
-    """Result CSVs with (issue, issue_stance, count, case, model); the model name loses ``.csv``."""
-    d = spark.read.option("header", True).schema(COUNTS_SCHEMA).csv(folder)
-    return d.filter(F.col("issue").isNotNull() & F.col("count").isNotNull()).withColumn(
+    """Result CSVs of a folder that carry (issue, issue_stance, count, case, model), in any column order
+    and beside other columns; other CSVs are left out.  The model name loses ``.csv``.
+
+    Files are grouped by their header line (one short line per file reaches the driver)."""
+    lines = spark.read.text(folder).select("value", F.col("_metadata.file_path").alias("path"),
+                                           F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"))
+    heads = lines.groupBy("path").agg(F.min_by("value", F.struct("at", "n")).alias("head")).collect()
+    groups: dict[str, list[str]] = {}
+    for r in heads:
+        groups.setdefault(r["head"], []).append(r["path"])
+    out = spark.createDataFrame([], COUNTS_SCHEMA)
+    names = out.columns
+    for head, paths in sorted(groups.items()):
+        columns = [c.strip() for c in next(csv.reader([head.lstrip("\ufeff")]))]
+        if not set(names) <= set(columns):
+            continue
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+        d = spark.read.option("header", True).schema(schema).csv(paths)
+        out = out.unionByName(d.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in out.schema]))
+    return out.filter(F.col("issue").isNotNull() & F.col("count").isNotNull()).withColumn(
         "model", F.regexp_replace("model", r"\.csv", "")).withColumnRenamed("case", "ecase")
 
 

@@ -32,3 +32,29 @@ def test_stance_csv_reader(spark):
         f.write("issue,issue_stance,count,case,model\nzoos,pro,3,neither,gpt-4o.csv\n")
     r = SFI.read_stance_csvs(spark, d).first()
     assert r["model"] == "gpt-4o" and r["count"] == 3 and r["ecase"] == "neither"
+
+
+def test_topics_with_one_question_all_stay(spark, tmp_path):
+    for name, q, para in [("a", "Same?", "Is X good?"), ("b", "Same?", " is x GOOD? "), ("c", None, "Is Y bad?")]:
+        (tmp_path / f"{name}.json").write_text(json.dumps({"question": q, "pros": [], "cons": [], "paraphrases": [{"question": para, "orientation": name}]}))
+    t = SFI.read_topics(spark, str(tmp_path))
+    assert sorted(r["slug"] for r in t.collect()) == ["a", "b", "c"]
+    assert {(r["question_key"], r["slug"], r["orientation"]) for r in SFI.question_map(t).collect()} == {("is x good?", "b", "b"), ("is y bad?", "c", "c")}
+
+
+def test_stance_csvs_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("issue,issue_stance,count,case,model\nzoos,pro,3,neither,gpt-4o.csv\n")
+    (tmp_path / "b.csv").write_text("model,extra,case,count,issue_stance,issue\nm2,x,pro,4,con,zoos\n")
+    (tmp_path / "c.csv").write_text("model,topic,ecase,n,share\ngrok-3,zoos,pro,20,0.5\n")
+    got = sorted(tuple(r) for r in SFI.read_stance_csvs(spark, str(tmp_path)).select("issue", "issue_stance", "count", "ecase", "model").collect())
+    assert got == [("zoos", "con", 4, "pro", "m2"), ("zoos", "pro", 3, "neither", "gpt-4o")]
+
+
+def test_judge_confidence(spark):
+    from sway.operators.judge import parse_judge_reply
+    cases = {'{"label": "neutral", "confidence": "0.9"}': ("neutral", 0.9), '{"label": "neutral", "confidence": 2}': ("neutral", 1.0),
+             '{"label": "neutral"}': ("neutral", 0.0), '{"label": "neutral", "confidence": "high, leans_pro"}': ("leans_pro", 0.0),
+             '{"label": "leans_con", "confidence": null}': ("leans_con", 0.0)}
+    df = spark.createDataFrame([(k,) for k in cases], "raw string")
+    for r in df.select("raw", parse_judge_reply(df["raw"]).alias("j")).collect():
+        assert (r["j"]["label"], r["j"]["confidence"]) == cases[r["raw"]], r["raw"]
