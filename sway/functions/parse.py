@@ -158,11 +158,12 @@ def issue_slug(text: Column) -> Column:
 
 def title_case(text: Column) -> Column:
     """Python ``str.title``: a cased letter is upper-cased when the character before it is
-    not a cased letter, lower-cased otherwise."""
+    not a cased letter, lower-cased otherwise (a letter whose upper case is two keeps the second low)."""
+    title = lambda c: F.concat(F.substring(F.upper(c), 1, 1), F.lower(F.substring(F.upper(c), 2, 2)))
     chars = F.split(text, "")
     cased = r"[\p{Lu}\p{Ll}\p{Lt}]"
     return F.array_join(F.transform(chars, lambda c, i: F.when(
-        (i == 0) | ~F.get(chars, i - 1).rlike(cased), F.upper(c)).otherwise(F.lower(c))), "")
+        (i == 0) | ~F.get(chars, i - 1).rlike(cased), title(c)).otherwise(F.lower(c))), "")
 
 
 def issue_title(slug: Column) -> Column:

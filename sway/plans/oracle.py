@@ -14,7 +14,10 @@ WITH trials AS (
          WHEN 3 THEN 'all' WHEN 4 THEN '75con' ELSE 'con' END AS ecase,
     l_linenumber AS trial_num, l_partkey % 6 AS paraphrase_idx, l_partkey,
     CASE WHEN l_partkey % 6 < 4 THEN 'pro' ELSE 'con' END AS question_stance,
-    CASE WHEN l_quantity > 47 THEN 'other'
+    CASE WHEN l_partkey % 20 = 19 THEN 'pro' WHEN l_partkey % 20 = 18 AND l_quantity > 20 THEN 'other'
+         WHEN l_partkey % 20 = 17 AND l_orderkey % 6 = 1 THEN 'pro' WHEN l_partkey % 20 = 17 AND l_orderkey % 6 = 5 THEN 'con'
+         WHEN l_partkey % 20 = 17 AND l_orderkey % 6 = 0 THEN CASE WHEN l_quantity <= 25 THEN 'pro' ELSE 'con' END
+         WHEN l_quantity > 47 THEN 'other'
          WHEN l_quantity <= CASE l_orderkey % 6 WHEN 0 THEN 25 WHEN 1 THEN 40 WHEN 2 THEN 33
                                  WHEN 3 THEN 26 WHEN 4 THEN 16 ELSE 8 END THEN 'pro'
          ELSE 'con' END AS issue_stance,
@@ -67,7 +70,7 @@ WITH trials AS (
 ), models_dim AS (
   SELECT DISTINCT concat('m', s_suppkey % 9) AS model FROM supplier
 ), arguments AS (
-  SELECT source AS topic, CASE WHEN substr(md5(CAST(doc_id AS VARCHAR)), 1, 1) < '8' THEN 'pro' ELSE 'con' END AS side, doc_id, text
+  SELECT source AS topic, CASE WHEN substr(md5(CAST(doc_id AS VARCHAR)), 1, 1) < '8' OR source = 'src3' THEN 'pro' ELSE 'con' END AS side, doc_id, text
   FROM documents
 )
 """
@@ -79,3 +82,50 @@ def with_fixtures(sql: str) -> str:
     if body[:4].upper() == "WITH":
         return FIXTURE_CTES.rstrip() + ",\n" + body[4:].lstrip()
     return FIXTURE_CTES + body
+
+
+# ---- distribution functions as SQL expressions ----
+
+def t_p_sql(t: str, v: str) -> str:
+    """Two-sided p of Student's t with ``v`` degrees of freedom: with x = sqrt(v) tan(u) the density is
+    proportional to cos(u)^(v - 1), integrated by Simpson's rule."""
+    u = f"atan(abs({t}) / sqrt({v}))"
+    scale = f"exp(lgamma(({v} + 1) / 2.0) - lgamma({v} / 2.0)) / sqrt(pi())"
+    return (f"(1 - 2 * {scale} * {u} / 6000 * list_sum(list_transform(range(0, 2001), lambda i: "
+            f"(CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * pow(cos({u} * i / 2000), {v} - 1))))")
+
+
+def t_quantile_ctes(source: str) -> str:
+    """CTE ``tq`` (v, q): the 97.5 % point of Student's t for each v of the query ``source``."""
+    return f"""
+t_df AS ({source}),
+tg AS (SELECT v, i, i * pi() / 40000 AS u, exp(lgamma((v + 1) / 2.0) - lgamma(v / 2.0)) / sqrt(pi()) * pow(cos(i * pi() / 40000), v - 1) AS y
+       FROM t_df, range(0, 20000) r(i)),
+tc AS (SELECT v, i, u, sum(a) OVER (PARTITION BY v ORDER BY i) AS c FROM (
+         SELECT *, coalesce(y + lag(y) OVER (PARTITION BY v ORDER BY i), 0) / 2 * pi() / 40000 AS a FROM tg)),
+tq AS (SELECT v, sqrt(v) * tan(max_by(u, i) + (0.475 - max_by(c, i)) / (min_above - max_by(c, i)) * pi() / 40000) AS q
+       FROM (SELECT *, min(c) FILTER (WHERE c > 0.475) OVER (PARTITION BY v) AS min_above FROM tc) WHERE c <= 0.475 GROUP BY v, min_above)"""
+
+
+def paired_t_sql(m: str, sd: str, n: str) -> str:
+    """p of the one-sample t test on paired differences, NULL for n < 2 or when all are 0."""
+    t = f"({m} / ({sd} / sqrt({n})))"
+    return (f"CASE WHEN {n} > 1 AND {sd} = 0 THEN CASE WHEN {m} = 0 THEN NULL ELSE 0 END "
+            f"WHEN {n} > 1 THEN {t_p_sql(t, f'({n} - 1)')} END")
+
+
+def binomial_half_sql(k: str, n: str) -> str:
+    """Exact two-sided p of k of n against one half."""
+    return (f"least(1, 2 * list_sum(list_transform(range(0, least({k}, {n} - {k})::BIGINT + 1), lambda i: "
+            f"exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) - {n} * ln(2.0)))))")
+
+
+def hypergeometric_less_sql(a: str, b: str, c: str, d: str) -> str:
+    """One-sided Fisher p: at most ``a`` in the first cell given the margins."""
+    choose = lambda n, k: f"lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - ({k}) + 1)"
+    return (f"least(1, list_sum(list_transform(range(greatest(0, {a} - {d})::BIGINT, {a}::BIGINT + 1), lambda i: "
+            f"exp({choose(f'({a} + {c})', 'i')} + {choose(f'({b} + {d})', f'({a} + {b} - i)')} - ({choose(f'({a} + {b} + {c} + {d})', f'({a} + {b})')})))))")
+
+
+def marker_sql(p: str) -> str:
+    return f"CASE WHEN {p} IS NULL THEN '' WHEN {p} < 0.001 THEN '***' WHEN {p} < 0.01 THEN '**' WHEN {p} < 0.05 THEN '*' ELSE 'ns' END"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sway.operators import openmind as om
 from sway.operators import shares
 from sway.plans.catalog import query
+from sway.plans.oracle import t_quantile_ctes
 from sway.sources import fixtures as fx
 
 _SCORES_CTE = """
@@ -101,10 +102,15 @@ def q_om_moments(spark, sf_dir):
     return om.weighted_moments(s, counts)
 
 
-@query("om_model_summary")
+@query("om_model_summary", _SCORES_CTE + f"""
+, {t_quantile_ctes("SELECT DISTINCT greatest(n_eff - 1, 1) AS v FROM moments").strip()},
+o AS (SELECT *, CASE WHEN n_issues = 1 THEN 0 ELSE coalesce(q * sqrt(var_w / n_eff), 0) END AS pm
+      FROM moments LEFT JOIN tq ON tq.v = greatest(n_eff - 1, 1))
+SELECT variant, model, round(om_mean, 6) AS om_mean, round(om_mean - pm, 6) AS trial_ci_low, round(om_mean + pm, 6) AS trial_ci_high,
+  round(pm, 6) AS trial_ci_pm, n_issues, printf('%.3f ± %.3f', om_mean, pm) AS om_pm FROM o
+""")
 def q_om_model_summary(spark, sf_dir):
-    """Weighted mean and effective-n t interval (t quantile: rows-only check;
-    means are covered by ``om_moments``)."""
+    """Weighted mean and effective-n t interval."""
     counts, s = _scores(spark, sf_dir)
     return om.model_summary(s, counts)
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sway.operators import order
 from sway.plans.catalog import query
+from sway.plans.oracle import binomial_half_sql
 from sway.sources import fixtures as fx
 from sway.sources.tables import read_table
 
@@ -27,9 +28,13 @@ def q_order_counts(spark, sf_dir):
     return order.order_counts(fx.trials(spark, sf_dir))
 
 
-@query("order_effects")
+@query("order_effects", _COUNTS_SQL + f"""
+SELECT model, ecase, last_argument, total_trials, agreed_with_last_count,
+  round(agreed_with_last_count / total_trials, 6) AS agreed_with_last_pct,
+  round({binomial_half_sql("agreed_with_last_count", "total_trials")}, 6) AS p_value_vs_50pct FROM oc
+""")
 def q_order_effects(spark, sf_dir):
-    """Counts (oracled in ``order_counts``) plus the exact binomial p (unit-tested)."""
+    """Counts plus the exact binomial p."""
     return order.order_effects(fx.trials(spark, sf_dir))
 
 
@@ -84,7 +89,7 @@ c AS (SELECT prompt_id, topic, pos, regexp_replace(line, '^\\s+|\\s+$', '', 'g')
 cand AS (SELECT prompt_id, topic, pos, substr(line, 1, 50) AS prefix,
            CASE WHEN length(line) >= 50 THEN substr(line, CAST(floor(length(line) / 2) AS BIGINT) + 1, 50) END AS mid
          FROM c WHERE length(line) >= 20),
-args AS (SELECT source AS topic, CASE WHEN substr(md5(CAST(doc_id AS VARCHAR)), 1, 1) < '8' THEN 'pro' ELSE 'con' END AS side,
+args AS (SELECT source AS topic, CASE WHEN substr(md5(CAST(doc_id AS VARCHAR)), 1, 1) < '8' OR source = 'src3' THEN 'pro' ELSE 'con' END AS side,
            regexp_replace(regexp_replace(text, '\\[\\d+\\]', '', 'g'), '^\\s+|\\s+$', '', 'g') AS clean
          FROM documents),
 probes AS (SELECT prompt_id, topic, pos, 0 AS kind, prefix AS probe FROM cand

@@ -39,10 +39,15 @@ def q_page_topics(spark, sf_dir):
                     F.size("sources").alias("n_sources"), "pros", "cons", "sources")
 
 
-@query("issue_titles")
+@query("issue_titles", r"""
+WITH t AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages),
+s AS (SELECT *, replace(replace(replace(lower(title), '&', 'and'), ' ', '-'), '--', '-') AS slug FROM t),
+c AS (SELECT *, string_split(replace(slug, '-', ' '), '') AS cs FROM s)
+SELECT page_id, title, slug, array_to_string(list_transform(cs, lambda c, i:
+  CASE WHEN i = 1 OR NOT regexp_matches(cs[i - 1], '[\p{Lu}\p{Ll}\p{Lt}]') THEN CASE c WHEN 'ß' THEN 'Ss' ELSE upper(c) END ELSE lower(c) END), '') AS display_title FROM c
+""")
 def q_issue_titles(spark, sf_dir):
-    """Page titles -> issue slug and display title (Python title-case rules; rows-only,
-    checked against ``str.title`` in tests/test_text.py)."""
+    """Page titles -> issue slug and display title (Python title-case rules)."""
     from pyspark.sql import functions as F
     from sway.functions.parse import issue_slug, issue_title
     p = read_table(spark, sf_dir, "pages").select("page_id", "html")

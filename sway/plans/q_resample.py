@@ -10,6 +10,7 @@ from sway.operators import shares, shift
 from sway.plans.catalog import query
 from sway.plans.q_evidence import PATTERN_FEATURES, _effects, _item_features
 from sway.plans.q_omind import _SCORES_CTE
+from sway.plans.q_shift import _TEST_COLUMNS, SHIFT_TESTS
 from sway.sources import fixtures as fx
 
 N_BOOT = 2000
@@ -40,10 +41,12 @@ def q_bootstrap_mean_ci(spark, sf_dir):
     return RS.bootstrap_mean_ci(s, ["variant", "model"], "open_mindedness_score", "issue", N_BOOT)
 
 
-@query("bh_adjust")
+@query("bh_adjust", SHIFT_TESTS + f"""
+, r AS (SELECT *, row_number() OVER (ORDER BY p_value, model, ecase) AS rk, count(*) OVER () AS total FROM tests WHERE p_value IS NOT NULL)
+SELECT {_TEST_COLUMNS}, round(least(1, min(p_value * total / rk) OVER (ORDER BY rk DESC)), 6) AS p_adjusted FROM r
+""")
 def q_bh_adjust(spark, sf_dir):
-    """Benjamini-Hochberg adjusted p-values of the paired-shift tests (rows-only: the
-    p-values come from the t distribution)."""
+    """Benjamini-Hochberg adjusted p-values of the paired-shift tests."""
     from sway.session import materialize
     st = materialize(shift.shift_statistics(shares.trial_shares(fx.trials(spark, sf_dir))))
     return RS.bh_adjust(st, "p_value", ["model", "ecase"])

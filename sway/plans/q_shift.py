@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sway.operators import shares, shift
 from sway.plans.catalog import query
+from sway.plans.oracle import hypergeometric_less_sql, marker_sql, paired_t_sql, t_quantile_ctes
 from sway.sources import fixtures as fx
 
 
@@ -29,10 +30,24 @@ def q_paired_shift(spark, sf_dir):
     return shift.paired_shift(_shares(spark, sf_dir))
 
 
-@query("shift_statistics")
+SHIFT_TESTS = f"""
+WITH d AS (
+  SELECT c.model, c.ecase, c.pro_share - b.pro_share AS x
+  FROM trial_shares c JOIN trial_shares b ON c.model = b.model AND c.issue = b.issue AND c.trial_num = b.trial_num
+  WHERE c.ecase <> 'neither' AND b.ecase = 'neither'),
+st AS (SELECT model, ecase, avg(x) AS m, stddev_samp(x) AS sd, count(*) AS n FROM d GROUP BY model, ecase),
+{t_quantile_ctes("SELECT DISTINCT (n - 1)::DOUBLE AS v FROM st WHERE n > 1")},
+tests AS (SELECT model, ecase, m AS mean_pro_shift, {paired_t_sql("m", "sd", "n")} AS p_value,
+            m - coalesce(q * sd / sqrt(n), 0) AS ci_lower, m + coalesce(q * sd / sqrt(n), 0) AS ci_upper, n AS n_trials
+          FROM st LEFT JOIN tq ON tq.v = st.n - 1)
+"""
+_TEST_COLUMNS = """model, ecase, round(mean_pro_shift, 6) AS mean_pro_shift, round(p_value, 6) AS p_value,
+  round(ci_lower, 6) AS ci_lower, round(ci_upper, 6) AS ci_upper, n_trials"""
+
+
+@query("shift_statistics", SHIFT_TESTS + f"SELECT {_TEST_COLUMNS} FROM tests")
 def q_shift_statistics(spark, sf_dir):
-    """Paired t p-value and t interval need the t distribution: rows-only check,
-    values unit-tested against the published summary."""
+    """Paired t p-value and t interval of the shift."""
     return shift.shift_statistics(_shares(spark, sf_dir))
 
 
@@ -302,10 +317,18 @@ def q_other_drop(spark, sf_dir):
     return SF.other_drop(_cells(spark, sf_dir))
 
 
-@query("fisher_drop")
+@query("fisher_drop", _CELLS + f"""
+, g AS (SELECT model, issue, max(other) FILTER (WHERE ecase = 'neither') AS other_neither,
+          max(total) FILTER (WHERE ecase = 'neither') AS total_neither,
+          max(other) FILTER (WHERE ecase = 'all') AS other_all, max(total) FILTER (WHERE ecase = 'all') AS total_all
+        FROM cells GROUP BY model, issue)
+SELECT model, issue, other_neither, total_neither, other_all, total_all,
+  round(other_all / total_all - other_neither / total_neither, 6) AS other_shift,
+  round({hypergeometric_less_sql("other_all", "(total_all - other_all)", "other_neither", "(total_neither - other_neither)")}, 6) AS p_value
+FROM g WHERE total_neither IS NOT NULL AND total_all IS NOT NULL
+""")
 def q_fisher_drop(spark, sf_dir):
-    """One-sided Fisher test that 'other' drops from baseline to all-evidence, per
-    (model, issue) (rows-only: needs the hypergeometric tail)."""
+    """One-sided Fisher test that 'other' drops from baseline to all-evidence, per (model, issue)."""
     from sway.functions.stats import fisher_less
     d = SF.other_drop(_cells(spark, sf_dir))
     a, b = F.col("other_all"), F.col("total_all") - F.col("other_all")
@@ -327,9 +350,12 @@ def q_balanced_baseline(spark, sf_dir):
     return g.filter("_all").drop("_all")
 
 
-@query("nonsignificant_shifts")
+@query("nonsignificant_shifts", SHIFT_TESTS + f"""
+SELECT {_TEST_COLUMNS}, p_value < 0.05 AS significant, {marker_sql("p_value")} AS sig FROM tests
+WHERE p_value >= 0.05 OR p_value IS NULL
+""")
 def q_nonsignificant_shifts(spark, sf_dir):
-    """Shift tests with p >= 0.05, with star markers (rows-only: t distribution)."""
+    """Shift tests with p >= 0.05, with star markers."""
     from sway.functions.stats import p_marker
     st = shift.shift_statistics(_shares(spark, sf_dir))
     st = st.withColumn("significant", F.col("p_value") < 0.05).withColumn("sig", p_marker(F.col("p_value")))
@@ -378,10 +404,18 @@ def q_other_shift_summary(spark, sf_dir):
                                   F.count(F.lit(1)).alias("n_issues"))
 
 
-@query("other_shift_ttest")
+@query("other_shift_ttest", _CELLS + f"""
+, p AS (SELECT a.model, a.other_share - n.other_share AS d FROM cells a JOIN cells n
+        ON a.model = n.model AND a.issue = n.issue AND a.ecase = 'all' AND n.ecase = 'neither'),
+st AS (SELECT model, avg(d) AS m, stddev_samp(d) AS sd, count(*) AS n FROM p GROUP BY model),
+{t_quantile_ctes("SELECT DISTINCT (n - 1)::DOUBLE AS v FROM st WHERE n > 1")},
+o AS (SELECT *, {paired_t_sql("m", "sd", "n")} AS p_value, coalesce(q * sd / sqrt(n), 0) AS half FROM st LEFT JOIN tq ON tq.v = st.n - 1)
+SELECT model, round(m, 6) AS mean_other_shift, n AS n_issues, round(p_value, 6) AS p_value, round(m - half, 6) AS ci_low,
+  round(m + half, 6) AS ci_high, {marker_sql("p_value")} AS marker FROM o
+""")
 def q_other_shift_ttest(spark, sf_dir):
     """Paired t test over issues of the 'other' share, all vs neither, with the 95 % interval
-    and marker (rows-only; mean/sd/n oracled in ``other_shift_summary``)."""
+    and marker."""
     from sway.functions.stats import p_marker, paired_t_p, t_margin
     s = q_other_shift_summary(spark, sf_dir)
     m, sd, n = F.col("mean_other_shift"), F.col("sd_other_shift"), F.col("n_issues")
@@ -391,11 +425,15 @@ def q_other_shift_ttest(spark, sf_dir):
                     (m + half).alias("ci_high"), p_marker(p).alias("marker"))
 
 
-@query("contradiction_tracks")
+@query("contradiction_tracks", SHIFT_TESTS + """
+SELECT a.model, t.track, round(a.mean_pro_shift, 6) AS "start", round(b.mean_pro_shift, 6) AS "end",
+  round(a.ci_lower, 6) AS start_low, round(a.ci_upper, 6) AS start_high, round(b.ci_lower, 6) AS end_low, round(b.ci_upper, 6) AS end_high
+FROM (VALUES ('pro', 'pro', '75pro'), ('con', 'con', '75con')) t(track, s, e)
+JOIN tests a ON a.ecase = t.s JOIN tests b ON b.ecase = t.e AND b.model = a.model
+""")
 def q_contradiction_tracks(spark, sf_dir):
     """Start (one-sided case) and end (75 % case) of the mean shift with their 95 % intervals
-    per model and track: a multi-value pivot of the shift statistics by case (rows-only: the
-    intervals use the t distribution)."""
+    per model and track: a multi-value pivot of the shift statistics by case."""
     st = shift.shift_statistics(_shares(spark, sf_dir))
     vals = ("mean_pro_shift", "ci_lower", "ci_upper")
     wide = st.groupBy("model").agg(*[F.max(F.when(F.col("ecase") == c, F.col(v))).alias(f"{v}@{c}")

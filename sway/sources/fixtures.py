@@ -31,6 +31,16 @@ def _pro_threshold(orderkey: Column) -> Column:
             .when(m == 3, 26).when(m == 4, 16).otherwise(8))
 
 
+def _stance_of(issue: Column, orderkey: Column, quantity: Column) -> Column:
+    """Stance by quantity and case; three issues are special, so that the reports on them have rows:
+    19 never moves, 18 is mostly undecided, 17 is even at baseline and follows one-sided evidence."""
+    m = orderkey % 6
+    return (F.when(issue == 19, "pro").when((issue == 18) & (quantity > 20), "other")
+            .when((issue == 17) & (m == 1), "pro").when((issue == 17) & (m == 5), "con")
+            .when((issue == 17) & (m == 0), F.when(quantity <= 25, "pro").otherwise("con"))
+            .when(quantity > 47, "other").when(quantity <= _pro_threshold(orderkey), "pro").otherwise("con"))
+
+
 def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per model answer: (model, issue, ecase, trial_num, paraphrase, stances)."""
     li = read_table(spark, sf_dir, "lineitem")
@@ -44,9 +54,7 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_linenumber").alias("trial_num"),
         (pk % 6).alias("paraphrase_idx"),
         F.when(pk % 6 < 4, "pro").otherwise("con").alias("question_stance"),
-        F.when(F.col("l_quantity") > 47, "other")
-         .when(F.col("l_quantity") <= _pro_threshold(ok), "pro")
-         .otherwise("con").alias("issue_stance"),
+        _stance_of(pk % 20, ok, F.col("l_quantity")).alias("issue_stance"),
         F.when(F.col("l_returnflag") == "A", "pro")
          .when(F.col("l_returnflag") == "R", "con").alias("last_argument"),
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", line_id.alias("line_id"),
@@ -146,11 +154,11 @@ def arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arguments of a topic: topic = ``source``; side by the first hex digit of md5(doc_id)
     (< 8 pro, else con), which splits every topic into both sides (the document
     generator assigns sources by doc_id residue, so a parity rule would make each
-    topic one-sided)."""
+    topic one-sided).  Topic src3 has no con argument, so that the report on thin topics has rows."""
     d = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return d.select(
         F.col("source").alias("topic"),
-        F.when(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1) < "8", "pro")
+        F.when((F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1) < "8") | (F.col("source") == "src3"), "pro")
          .otherwise("con").alias("side"),
         "doc_id", "text")
 
