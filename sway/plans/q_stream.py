@@ -10,17 +10,22 @@ from sway.sources import fixtures as fx
 from sway.streaming.stance_stream import run_stance_stream
 
 
+def delivered_lines(spark, sf_dir):
+    """(value, shard): reply lines with their model and a request id of their own (its trial number is
+    made of the row's keys), as one model's requests have."""
+    lines = fx.prediction_lines(spark, sf_dir)
+    trial = F.concat(*[F.lpad(F.col(c).cast("long").cast("string"), n, "0") for c, n in (
+        ("l_orderkey", 12), ("l_linenumber", 2), ("l_partkey", 12), ("l_suppkey", 10), ("l_quantity", 4))])
+    value = F.regexp_replace(F.col("value"), F.lit("-[0-9]+-framing-"), F.concat(F.lit("-"), trial, F.lit("-framing-")))
+    value = F.concat(F.lit('{"model":"'), F.col("model"), F.lit('",'), F.substring(value, F.lit(2), F.length(value)))
+    return lines.select(value.alias("value"), (F.col("trial_num") % 4).alias("shard"))
+
+
 @query("stream_stance_counts", """
 SELECT issue, issue_stance, "count", ecase, model FROM stance_counts
 """)
 def q_stream_stance_counts(spark, sf_dir):
-    """Prediction lines (with their model and a line id) are written as four JSON shards,
-    ingested with ``availableNow``; the result equals the batch ``stance_counts``."""
-    lines = fx.prediction_lines(spark, sf_dir)
-    line_id = F.col("line_id")
-    # add the line id and model to each JSON object
-    value = F.concat(F.lit('{"line_id":"'), line_id, F.lit('","model":"'), F.col("model"), F.lit('",'),
-                     F.expr("substring(value, 2)"))
-    shards = lines.select(value.alias("value"), (F.col("trial_num") % 4).alias("shard"))
-    return run_stance_stream(spark, shards, _question_map(spark, sf_dir)).select(
+    """Prediction lines are written as four JSON shards, ingested with ``availableNow`` and counted once
+    per (model, request id); the result equals the batch ``stance_counts``."""
+    return run_stance_stream(spark, delivered_lines(spark, sf_dir), _question_map(spark, sf_dir)).select(
         "issue", "issue_stance", "count", "ecase", "model")

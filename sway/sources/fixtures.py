@@ -45,8 +45,6 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per model answer: (model, issue, ecase, trial_num, paraphrase, stances)."""
     li = read_table(spark, sf_dir, "lineitem")
     ok, pk = F.col("l_orderkey"), F.col("l_partkey")
-    # identity of a source row (only used where a delivery id is needed; pruned elsewhere)
-    line_id = F.sha1(F.concat_ws("|", *[F.col(c).cast("string") for c in li.columns]))
     return li.select(
         F.concat(F.lit("m"), (F.col("l_suppkey") % 9).cast("string")).alias("model"),
         F.concat(F.lit("issue-"), (pk % 20).cast("string")).alias("issue"),
@@ -57,7 +55,7 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
         _stance_of(pk % 20, ok, F.col("l_quantity")).alias("issue_stance"),
         F.when(F.col("l_returnflag") == "A", "pro")
          .when(F.col("l_returnflag") == "R", "con").alias("last_argument"),
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", line_id.alias("line_id"),
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
     )
 
 
@@ -146,7 +144,7 @@ def prediction_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.struct(F.array(F.struct(F.struct(txt.alias("content")).alias("message")))
                      .alias("choices")).alias("response"))))
     )
-    return r.select("model", "l_orderkey", "l_linenumber", "line_id", "trial_num", "question_stance",
+    return r.select("model", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "trial_num", "question_stance",
                     "issue", "ecase", line.alias("value"))
 
 

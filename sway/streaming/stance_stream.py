@@ -1,11 +1,11 @@
 """Incremental ingest of prediction shards into stance counts (Structured Streaming).
 
-New JSONL shards dropped into a folder are parsed with the same column
-expressions as the batch path, re-delivered lines are dropped by line id
-within an ingest-time watermark (bounded dedup state), and stance counts
-are maintained as a complete aggregate written by ``foreachBatch`` to a
-table in the shared checkpoint folder.  The checkpoint makes the job
-resume where it stopped after a failure (already-read shards are skipped).
+New JSONL shards dropped into a folder are parsed with the same column expressions as the
+batch path.  A reply counts once however often and however late it is delivered again: the
+state keeps every (model, request id) seen, with no time limit, so it grows with the
+requests (RocksDB keeps it on disk).  Stance counts are a complete aggregate; each
+micro-batch writes them to a folder of its own, and readers take the newest finished one, so a
+failure in between loses nothing.  The checkpoint makes the job resume where it stopped.
 """
 
 from __future__ import annotations
@@ -29,30 +29,38 @@ def write_shards(lines: DataFrame, folder: str) -> str:
 
 
 def stance_stream(spark: SparkSession, inbox: str, question_map: DataFrame, out_path: str,
-                  ckpt: str, watermark: str = "1 hour"):
-    """Start the streaming job; returns the StreamingQuery (trigger availableNow)."""
-    raw = (spark.readStream.schema(LINE_SCHEMA).option("recursiveFileLookup", "true").text(inbox)
+                  ckpt: str, files_per_trigger: int = 1000):
+    """Start the streaming job; returns the StreamingQuery (trigger availableNow, at most
+    ``files_per_trigger`` shards in a micro-batch)."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    raw = (spark.readStream.schema(LINE_SCHEMA).option("recursiveFileLookup", "true")
+           .option("maxFilesPerTrigger", files_per_trigger).text(inbox)
            .select(F.trim("value").alias("value"))
            .filter((F.length("value") > 0) & ~F.col("value").startswith(ingest.LFS_PREFIX)))
-    j = F.from_json(F.col("value"), "line_id string, model string")
-    raw = raw.select("value", j["line_id"].alias("line_id"), j["model"].alias("model"))
+    raw = raw.select("value", F.get_json_object("value", "$.model").alias("model"))
     dec = ingest.decode_predictions(raw)
     parsed = ingest.parsed_ids(dec)
     trials = ingest.enrich_trials(parsed, question_map, stance_from="framing")
-    deduped = (trials.withColumn("ingest_ts", F.current_timestamp())
-               .withWatermark("ingest_ts", watermark)
-               .dropDuplicatesWithinWatermark(["line_id"]))
+    deduped = trials.dropDuplicates(list(ingest.REPLY_KEY))
     counts = (deduped.filter(F.col("issue") != "unknown")
               .groupBy("issue", "issue_stance", "ecase", "model").agg(F.count(F.lit(1)).alias("count")))
 
     def upsert(batch: DataFrame, epoch: int) -> None:
-        # complete mode: each batch carries the whole (bounded) aggregate
-        batch.write.mode("overwrite").parquet(out_path)
+        # complete mode: each batch carries the whole (bounded) aggregate; a repeated epoch writes the same
+        batch.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch:09d}")
 
     return (counts.writeStream.outputMode("complete").foreachBatch(upsert)
             .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
 
 
+def latest_counts(spark: SparkSession, out_path: str) -> DataFrame:
+    """The counts of the newest micro-batch that was written to its end."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out_path}/epoch=*/_SUCCESS")
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
+    return spark.read.parquet(max(str(f.getPath().getParent()) for f in found))
+
+
 def run_stance_stream(spark: SparkSession, lines: DataFrame, question_map: DataFrame) -> DataFrame:
     """Write shards, drain them through the stream, return the resulting counts table."""
     base = os.path.join(checkpoint_dir(spark), f"stance-stream-{uuid.uuid4().hex}")
@@ -60,4 +68,4 @@ def run_stance_stream(spark: SparkSession, lines: DataFrame, question_map: DataF
     write_shards(lines, inbox)
     q = stance_stream(spark, inbox, question_map, out, ckpt)
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return latest_counts(spark, out)

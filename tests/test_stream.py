@@ -9,14 +9,12 @@ from sway.operators import shares
 from sway.plans.q_parse import _question_map
 from sway.session import checkpoint_dir
 from sway.sources import fixtures as fx
-from sway.streaming.stance_stream import stance_stream, write_shards
+from sway.plans.q_stream import delivered_lines
+from sway.streaming.stance_stream import latest_counts, stance_stream, write_shards
 
 
 def _shard_lines(spark, sf_dir):
-    lines = fx.prediction_lines(spark, sf_dir)
-    value = F.concat(F.lit('{"line_id":"'), F.col("line_id"), F.lit('","model":"'), F.col("model"), F.lit('",'),
-                     F.expr("substring(value, 2)"))
-    return lines.select(value.alias("value"), (F.col("trial_num") % 4).alias("shard"))
+    return delivered_lines(spark, sf_dir)
 
 
 def test_restart_picks_up_new_shards_only(spark, sf_dir):
@@ -27,15 +25,20 @@ def test_restart_picks_up_new_shards_only(spark, sf_dir):
     # first run: shards 0 and 1 only
     write_shards(lines.filter(F.col("shard") < 2), inbox)
     stance_stream(spark, inbox, qm, out, ckpt).awaitTermination()
-    first = spark.read.parquet(out).agg(F.sum("count")).first()[0]
+    first = latest_counts(spark, out).agg(F.sum("count")).first()[0]
     # shards 2 and 3 arrive; the restarted job reads them and ends with the full counts
     for k in (2, 3):
         lines.filter(F.col("shard") == k).select("value").write.mode("overwrite").text(
             os.path.join(inbox, f"shard={k}"))
     stance_stream(spark, inbox, qm, out, ckpt).awaitTermination()
-    got = spark.read.parquet(out)
+    got = latest_counts(spark, out)
     exp = shares.stance_counts(fx.trials(spark, sf_dir))
     assert 0 < first < got.agg(F.sum("count")).first()[0]
     key = ["issue", "issue_stance", "ecase", "model", "count"]
     assert got.select(*key).exceptAll(exp.select(*key)).count() == 0
     assert exp.select(*key).exceptAll(got.select(*key)).count() == 0
+    # a whole shard is delivered again, in a later run: nothing is counted twice
+    lines.filter(F.col("shard") == 1).select("value").write.text(os.path.join(inbox, "again"))
+    stance_stream(spark, inbox, qm, out, ckpt, files_per_trigger=1).awaitTermination()
+    again = latest_counts(spark, out).select(*key)
+    assert again.exceptAll(exp.select(*key)).count() == 0 and again.count() == exp.count()
