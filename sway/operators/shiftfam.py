@@ -40,9 +40,10 @@ def bucket_of(base_pro, base_con):
 
 
 def bucket_shift(sh: DataFrame) -> DataFrame:
+    # rounded to 12 decimals, so that the order of a sum can't turn a later rounding of a tie
     return (sh.withColumn("bucket", bucket_of(F.col("base_pro"), F.col("base_con")))
             .groupBy("model", "bucket", "ecase")
-            .agg(F.avg("shift").alias("mean_shift"), F.count(F.lit(1)).alias("n_issues")))
+            .agg(F.round(F.avg("shift"), 12).alias("mean_shift"), F.count(F.lit(1)).alias("n_issues")))
 
 
 def contradiction_effect(sh: DataFrame) -> DataFrame:

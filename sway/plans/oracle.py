@@ -96,15 +96,18 @@ def t_p_sql(t: str, v: str) -> str:
 
 
 def t_quantile_ctes(source: str) -> str:
-    """CTE ``tq`` (v, q): the 97.5 % point of Student's t for each v of the query ``source``."""
+    """CTE ``tq`` (v, q): the 97.5 % point of Student's t for each v of the query ``source``.
+
+    The density in u (see ``t_p_sql``) is summed by trapezoids with their end correction; from the last
+    grid point below the level a second-order step reaches it."""
     return f"""
 t_df AS ({source}),
 tg AS (SELECT v, i, i * pi() / 40000 AS u, exp(lgamma((v + 1) / 2.0) - lgamma(v / 2.0)) / sqrt(pi()) * pow(cos(i * pi() / 40000), v - 1) AS y
        FROM t_df, range(0, 20000) r(i)),
-tc AS (SELECT v, i, u, sum(a) OVER (PARTITION BY v ORDER BY i) AS c FROM (
+tc AS (SELECT v, i, u, y, sum(a) OVER (PARTITION BY v ORDER BY i) + pow(pi() / 40000, 2) / 12 * (v - 1) * y * tan(u) AS c FROM (
          SELECT *, coalesce(y + lag(y) OVER (PARTITION BY v ORDER BY i), 0) / 2 * pi() / 40000 AS a FROM tg)),
-tq AS (SELECT v, sqrt(v) * tan(max_by(u, i) + (0.475 - max_by(c, i)) / (min_above - max_by(c, i)) * pi() / 40000) AS q
-       FROM (SELECT *, min(c) FILTER (WHERE c > 0.475) OVER (PARTITION BY v) AS min_above FROM tc) WHERE c <= 0.475 GROUP BY v, min_above)"""
+tq AS (SELECT v, sqrt(v) * tan(u0 + d + d * d / 2 * (v - 1) * tan(u0)) AS q
+       FROM (SELECT v, max_by(u, i) AS u0, (0.475 - max_by(c, i)) / max_by(y, i) AS d FROM tc WHERE c <= 0.475 GROUP BY v))"""
 
 
 def paired_t_sql(m: str, sd: str, n: str) -> str:

@@ -101,7 +101,7 @@ def q_mean_shift(spark, sf_dir):
 
 @query("bucket_shift", _CELLS + """
 SELECT model, CASE WHEN base_pro > 0.75 THEN 'Positive (pro > 0.75)' WHEN base_con > 0.75
-  THEN 'Negative (con > 0.75)' ELSE 'Middle' END AS bucket, ecase, round(avg(shift), 6) AS mean_shift,
+  THEN 'Negative (con > 0.75)' ELSE 'Middle' END AS bucket, ecase, round(round(avg(shift), 12), 6) AS mean_shift,
   count(*) AS n_issues FROM sh GROUP BY 1, 2, 3
 """)
 def q_bucket_shift(spark, sf_dir):

@@ -12,7 +12,7 @@ from sway.__main__ import main
 def test_list_and_run(spark, sf_dir, capsys):
     assert main(["list"]) == 0
     out = capsys.readouterr().out
-    assert "paired_shift\toracle" in out and "shift_statistics\trows-only" in out
+    assert "paired_shift\toracle" in out and "page_sections\trows-only" in out
     d = tempfile.mkdtemp(prefix="sway-cli-")
     assert main(["run", "paired_shift", "page_topics", "--sf", sf_dir, "--out", d, "--format", "csv"]) == 0
     t = pd.concat(pd.read_csv(p) for p in glob.glob(os.path.join(d, "paired_shift", "*.csv")))
