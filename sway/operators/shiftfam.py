@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from sway.functions.stats import binom_p_half
+
 from sway.functions.stats import pearson, wilson
 
 PRO_SIDE = ("pro", "75pro")
@@ -150,6 +152,29 @@ def pair_agreement(cells: DataFrame, case_sets: dict[str, tuple[str, ...]]) -> D
     return row.selectExpr("case_set", f"stack({len(names)}, {stack}) AS (model_a, model_b, pearson_r, n)")
 
 
+def top_disagreement(disagreement: DataFrame, k: int = 25) -> DataFrame:
+    """Issues among the ``k`` baseline rows (issue, stance) of largest range across models, with that range."""
+    b = disagreement.filter((F.col("ecase") == "neither") & F.col("max_diff").isNotNull())
+    top = b.select("issue", "issue_stance", F.round("max_diff", 12).alias("max_diff")).orderBy(
+        F.desc("max_diff"), "issue", "issue_stance").limit(k)
+    return top.groupBy("issue").agg(F.max("max_diff").alias("max_diff"), F.count(F.lit(1)).alias("n_rows"))
+
+
+def issue_split(cells: DataFrame, models: list[str], ecase: str = "neither") -> DataFrame:
+    """Issues in report order: those that all of ``models`` answered first, each group by name."""
+    have = F.size(F.array_intersect(F.collect_set(F.when(F.col("ecase") == ecase, F.col("model"))), F.array(*[F.lit(m) for m in models])))
+    g = cells.groupBy("issue").agg((have == len(models)).alias("has_all"))
+    # one row per issue
+    return g.withColumn("position", F.row_number().over(W.orderBy(F.desc("has_all"), "issue")))
+
+
+def decided_summary(split: DataFrame) -> DataFrame:
+    """Mean, median, maximum and minimum over issues of the decided and the other share."""
+    long = split.selectExpr("stack(2, 'decided', decided_share, 'other', other_share) AS (share, value)")
+    return long.groupBy("share").agg(F.avg("value").alias("mean"), F.median("value").alias("median"),
+                                     F.max("value").alias("max"), F.min("value").alias("min"))
+
+
 def low_disagreement(cells: DataFrame, thr: float = 0.1) -> DataFrame:
     b = cells.filter(F.col("ecase") == "neither")
     g = b.groupBy("issue").agg((F.max("pro_share") - F.min("pro_share")).alias("max_pairwise_diff"),
@@ -218,7 +243,8 @@ def baseline_pro_gt_con(cells: DataFrame) -> DataFrame:
     return b.groupBy("model").agg(F.count(F.lit(1)).alias("n_issues"),
                                   F.count_if(F.col("pro_share") > F.col("con_share")).alias("n_pro_gt_con"),
                                   F.avg((F.col("pro_share") > F.col("con_share")).cast("double"))
-                                  .alias("pro_gt_con_pct"))
+                                  .alias("pro_gt_con_pct")).withColumn(
+        "p_value", binom_p_half(F.col("n_pro_gt_con"), F.col("n_issues")))
 
 
 def dispersion_categories(cells: DataFrame) -> DataFrame:

@@ -273,7 +273,7 @@ def q_family_gap(spark, sf_dir):
                          ["pearson_r", "spearman_rho"], 20000, 5000)
 
 
-@query("lomo_gap", _EFFECTS + """
+_LOMO = _EFFECTS + """
 , rk AS (SELECT model, evidence_hash, average_proportion_shift AS s,
            rank() OVER (PARTITION BY model ORDER BY round(average_proportion_shift, 12))
            + (count(*) OVER (PARTITION BY model, round(average_proportion_shift, 12)) - 1) / 2.0 AS r
@@ -288,6 +288,10 @@ long AS (SELECT model_a, model_b, same, 'pearson_r' AS metric, pearson_r AS valu
          UNION ALL SELECT model_a, model_b, same, 'spearman_rho', spearman_rho FROM fp),
 d AS (SELECT m.model AS dropped_model, l.* FROM long l JOIN (SELECT DISTINCT model FROM fam) m
         ON m.model <> l.model_a AND m.model <> l.model_b WHERE l.value IS NOT NULL)
+"""
+
+
+@query("lomo_gap", _LOMO + """
 SELECT dropped_model, metric,
   round(median(value) FILTER (WHERE same) - median(value) FILTER (WHERE NOT same), 6) AS median_gap_same_minus_cross
 FROM d GROUP BY dropped_model, metric
@@ -296,3 +300,17 @@ def q_lomo_gap(spark, sf_dir):
     """Family gap with each model left out in turn."""
     return ES.leave_one_model_out(_pairs(spark, sf_dir), fx.model_families(spark, sf_dir),
                                   ["pearson_r", "spearman_rho"])
+
+
+@query("lomo_summary", _LOMO + """
+, g AS (SELECT dropped_model, metric, median(value) FILTER (WHERE same) - median(value) FILTER (WHERE NOT same) AS gap
+        FROM d GROUP BY dropped_model, metric)
+SELECT metric, count(gap) AS n_models, round(median(gap), 6) AS median_gap, round(min(gap), 6) AS min_gap, round(max(gap), 6) AS max_gap
+FROM g GROUP BY metric
+""")
+def q_lomo_summary(spark, sf_dir):
+    """Median and range of the family gap over the left-out models."""
+    g = q_lomo_gap(spark, sf_dir)
+    x = F.col("median_gap_same_minus_cross")
+    return g.groupBy("metric").agg(F.count(x).alias("n_models"), F.median(x).alias("median_gap"),
+                                   F.min(x).alias("min_gap"), F.max(x).alias("max_gap"))

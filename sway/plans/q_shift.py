@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sway.operators import shares, shift
 from sway.plans.catalog import query
-from sway.plans.oracle import hypergeometric_less_sql, marker_sql, paired_t_sql, t_quantile_ctes
+from sway.plans.oracle import binomial_half_sql, hypergeometric_less_sql, marker_sql, paired_t_sql, t_quantile_ctes
 from sway.sources import fixtures as fx
 
 
@@ -225,6 +225,39 @@ def q_decided_split(spark, sf_dir):
     return SF.decided_split(_cells(spark, sf_dir))
 
 
+@query("decided_summary", _CELLS + """
+, d AS (SELECT (sum(pro) + sum(con)) / (sum(pro) + sum(con) + sum(other)) AS decided, sum(other) / (sum(pro) + sum(con) + sum(other)) AS other
+        FROM cells GROUP BY issue),
+l AS (SELECT 'decided' AS share, decided AS value FROM d UNION ALL SELECT 'other', other FROM d)
+SELECT share, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(max(value), 6) AS max, round(min(value), 6) AS min
+FROM l GROUP BY share
+""")
+def q_decided_summary(spark, sf_dir):
+    return SF.decided_summary(SF.decided_split(_cells(spark, sf_dir)))
+
+
+@query("top_disagreement", _CELLS + """
+, long AS (SELECT model, issue, 'con' AS issue_stance, con_share AS share FROM cells WHERE ecase = 'neither'
+           UNION ALL SELECT model, issue, 'other', other_share FROM cells WHERE ecase = 'neither'
+           UNION ALL SELECT model, issue, 'pro', pro_share FROM cells WHERE ecase = 'neither'),
+g AS (SELECT issue, issue_stance, round(max(share) - min(share), 12) AS rng FROM long GROUP BY 1, 2 HAVING count(*) >= 2),
+t AS (SELECT * FROM g ORDER BY rng DESC, issue, issue_stance LIMIT 25)
+SELECT issue, round(max(rng), 6) AS max_diff, count(*) AS n_rows FROM t GROUP BY issue
+""")
+def q_top_disagreement(spark, sf_dir):
+    """Issues of the 25 largest baseline ranges across models."""
+    return SF.top_disagreement(SF.model_disagreement(_cells(spark, sf_dir)))
+
+
+@query("issue_split", _CELLS + """
+, h AS (SELECT issue, count(DISTINCT model) FILTER (WHERE ecase = 'neither' AND model IN ('m0', 'm1', 'm2', 'm3')) = 4 AS has_all FROM cells GROUP BY issue)
+SELECT issue, has_all, CAST(row_number() OVER (ORDER BY has_all DESC, issue) AS INTEGER) AS position FROM h
+""")
+def q_issue_split(spark, sf_dir):
+    """Issues that all of four models answered at baseline come first."""
+    return SF.issue_split(_cells(spark, sf_dir), ["m0", "m1", "m2", "m3"])
+
+
 @query("one_sided_gap", _CELLS + """
 , g AS (SELECT model, issue,
           max(pro_share) FILTER (WHERE ecase = 'pro') - max(pro_share) FILTER (WHERE ecase = '75pro') AS pro_gap,
@@ -282,9 +315,9 @@ def q_wilson_shares(spark, sf_dir):
 
 
 @query("baseline_pro_gt_con", _CELLS + """
-SELECT model, count(*) AS n_issues, count(*) FILTER (WHERE pro_share > con_share) AS n_pro_gt_con,
-  round(avg(CASE WHEN pro_share > con_share THEN 1.0 ELSE 0.0 END), 6) AS pro_gt_con_pct
-FROM cells WHERE ecase = 'neither' GROUP BY model
+, g AS (SELECT model, count(*) AS n, count(*) FILTER (WHERE pro_share > con_share) AS k FROM cells WHERE ecase = 'neither' GROUP BY model)
+SELECT model, n AS n_issues, k AS n_pro_gt_con, round(k / n, 6) AS pro_gt_con_pct, round(""" + binomial_half_sql("k", "n") + """, 6) AS p_value
+FROM g
 """)
 def q_baseline_pro_gt_con(spark, sf_dir):
     return SF.baseline_pro_gt_con(_cells(spark, sf_dir))
