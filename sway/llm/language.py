@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sway.llm.common import prepare
+from sway.llm.common import prepare, shared_table
 
 BITS, DIM, ORDERS = 16, 16, (1, 2, 3, 4)
 #: Labelled rows in the sample (about, and never over twice as many), the share of them set aside
@@ -129,7 +129,7 @@ def fit(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang",
         rows: int = TRAIN_ROWS, seed: int = 3) -> Model:
     """Fit on about ``rows`` of the rows that are ``usable`` and have a text and a language, as many per language.
 
-    The sample is picked by a hash of the key; its size is bounded, so the driver trains on it.
+    The sample is picked by a hash of the key; its size is bounded, so one task trains on it.
     The number of languages is that of the label's values, a few hundred at most."""
     prepare(docs.sparkSession)
     known = docs.where(usable & F.col(lang).isNotNull() & F.col(text).isNotNull())
@@ -150,19 +150,31 @@ def fit(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang",
                 batch.column(1), batch.column(2), pa.array([p[0].astype(np.int32) for p in pairs], pa.list_(pa.int32())),
                 pa.array([p[1].astype(np.int32) for p in pairs], pa.list_(pa.int32()))], names=["lang", "order", "buckets", "counts"])
 
-    found = (picked.select("text", "lang", "order")
-             .mapInArrow(count, "lang string, order long, buckets array<int>, counts array<int>").toArrow().sort_by([("order", "ascending"), ("lang", "ascending")]))
-    code = {n: i for i, n in enumerate(languages)}
-    data = [(b.values.to_numpy().astype(np.int64), c.values.to_numpy().astype(np.float32), code[n.as_py()])
-            for n, b, c in zip(found["lang"], found["buckets"], found["counts"], strict=True) if len(b)]
-    if not data:
+    sample = shared_table(picked.select("text", "lang", "order").mapInArrow(
+        count, "lang string, order long, buckets array<int>, counts array<int>"), "sample")
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, data = {n: i for i, n in enumerate(languages)}, []
+        for batch in batches:
+            data += [(b.values.to_numpy().copy(), c.values.to_numpy().astype(np.float32), code[n.as_py()])
+                     for n, b, c in zip(batch.column(0), batch.column(2), batch.column(3), strict=True) if len(b)]
+        if not data:
+            return
+        step = max(2, round(1 / ASIDE))
+        enough = len(data) > 2 * step
+        scores = train([r for i, r in enumerate(data) if i % step] if enough else data, len(languages), seed=seed)
+        aside = data[::step] if enough else data
+        logits = np.array([(c / c.sum()) @ scores[b] for b, c, _ in aside])
+        temperature, threshold = calibrate(logits, np.array([r[2] for r in aside]), REJECT)
+        yield pa.RecordBatch.from_pydict({"scores": [scores.astype(np.float32).tobytes()], "temperature": [temperature], "threshold": [threshold]})
+
+    # The bounded sample trains in one task; the driver gets the model only.
+    learnt = (sample.repartition(1).sortWithinPartitions("order", "lang")
+              .mapInArrow(learn, "scores binary, temperature double, threshold double").collect())
+    if not learnt:
         return Model([], np.zeros((1, 0)), 1.0, 0.0)
-    step = max(2, round(1 / ASIDE))
-    aside = data[::step] if len(data) > 2 * step else data
-    scores = train([r for i, r in enumerate(data) if i % step] if len(data) > 2 * step else data, len(languages), seed=seed)
-    logits = np.array([(c / c.sum()) @ scores[b] for b, c, _ in aside])
-    temperature, threshold = calibrate(logits, np.array([r[2] for r in aside]), REJECT)
-    return Model(languages, scores, temperature, threshold)
+    scores = np.frombuffer(learnt[0]["scores"], np.float32).reshape(1 << BITS, len(languages))
+    return Model(languages, scores, learnt[0]["temperature"], learnt[0]["threshold"])
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
