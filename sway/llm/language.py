@@ -5,9 +5,9 @@ hashed to a row of an embedding table; the average of all rows goes through a li
 softmax.  Table and layer are trained by stochastic gradient descent in numpy on a bounded
 sample of labelled rows, whose subword counts the tasks take from whole texts.
 
-A part of the sample is set aside to calibrate: a temperature makes the scores probabilities,
+More labelled rows are set aside to calibrate: a temperature makes the scores probabilities,
 and the rejection threshold is set so that at most a given share of the set-aside rows falls
-below it.  Texts without a letter are always rejected.
+below it, but always above an even score.  Texts without a letter are always rejected.
 """
 
 from __future__ import annotations
@@ -26,9 +26,13 @@ from pyspark.sql import types as T
 from sway.llm.common import prepare, shared_table
 
 BITS, DIM, ORDERS = 16, 16, (1, 2, 3, 4)
-#: Labelled rows in the sample (about, and never over twice as many), the share of them set aside
-#: for calibration, and the share of these that may be rejected.
+#: Labelled rows to train on (about, and never over twice as many), the largest share of a language's
+#: labelled rows set aside for calibration, and the share of these that may be rejected.
 TRAIN_ROWS, ASIDE, REJECT = 3000, 0.25, 0.001
+#: Labelled rows set aside (about, and never over twice as many): the share to reject is several of them.
+ASIDE_ROWS = round(8 / REJECT)
+#: Relative distance of the threshold from an even score, at least.
+ABOVE_EVEN = 1e-6
 UNKNOWN = "und"
 
 
@@ -115,66 +119,107 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, epochs:
 def calibrate(logits: np.ndarray, labels: np.ndarray, reject: float) -> tuple[float, float]:
     """Temperature of least log loss, and a threshold that at most ``reject`` of the rows are below.
 
-    With few rows that is below all of them: half the smallest score."""
+    Between two ranks it is interpolated, below the first one from the even score, which is the
+    least there can be.  It is always above that, so texts that say nothing go even if more
+    than ``reject`` of the rows do; with one language every score is even and 1, and none go."""
     best = (np.inf, 1.0)
     for t in np.geomspace(0.05, 20, 120):
         p = softmax(logits / t)[np.arange(len(labels)), labels]
         best = min(best, (float(-np.log(np.maximum(p, 1e-12)).mean()), float(t)))
-    top = np.sort(softmax(logits / best[1]).max(axis=1))
-    at = int(reject * len(top))
-    return best[1], float(top[at] if at else top[0] / 2)
+    even = 1 / logits.shape[1]
+    top = np.concatenate([[even], np.sort(softmax(logits / best[1]).max(axis=1))])
+    at = int(reject * len(labels))
+    bar = top[at] + (reject * len(labels) - at) * (top[min(at + 1, len(labels))] - top[at])
+    return best[1], float(max(bar, even * (1 + ABOVE_EVEN))) if even < 1 else 1.0
+
+
+def shares(sizes: dict[str, int], rows: int, aside: int) -> dict[str, tuple[float, float]]:
+    """Per language the shares of its labelled rows to train on and to set aside.
+
+    To train on are as many rows per language; set aside are ``aside`` rows in all if there are
+    enough, as many per language as its rows allow.  A language of few rows sets none aside."""
+    each = -(-rows // len(sizes))
+    few = round(2 / ASIDE)
+    # Where the rows don't suffice for both, the share set aside is ASIDE.
+    train = {n: c if c <= few else min(each, c - int(ASIDE * c)) for n, c in sizes.items()}
+    out, left = {}, aside
+    for i, (n, c) in enumerate(sorted(sizes.items(), key=lambda x: (x[1] - train[x[0]], x[0]))):
+        mine = min(c - train[n], -(-left // (len(sizes) - i)))
+        left -= mine
+        out[n] = (train[n] / c, mine / c)
+    return out
 
 
 def fit(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang", key: str = "doc_id",
-        rows: int = TRAIN_ROWS, seed: int = 3) -> Model:
-    """Fit on about ``rows`` of the rows that are ``usable`` and have a text and a language, as many per language.
+        rows: int = TRAIN_ROWS, seed: int = 3, aside: int = ASIDE_ROWS) -> Model:
+    """Fit on about ``rows`` of the rows that are ``usable`` and have a text and a language, as many per
+    language, and calibrate on about ``aside`` others.
 
-    The sample is picked by a hash of the key; its size is bounded, so one task trains on it.
+    The rows are picked by a hash of key and text; their number is bounded, so one task trains on them.
     The number of languages is that of the label's values, a few hundred at most."""
-    prepare(docs.sparkSession)
+    spark = prepare(docs.sparkSession)
     known = docs.where(usable & F.col(lang).isNotNull() & F.col(text).isNotNull())
     sizes = {r["lang"]: r["count"] for r in known.select(F.col(lang).alias("lang")).groupBy("lang").count().collect()}
     if not sizes:
         return Model([], np.zeros((1, 0)), 1.0, 0.0)
     languages, grain = sorted(sizes), 1 << 30
-    each = -(-rows // len(languages))
-    bars = F.create_map(*chain.from_iterable((F.lit(n), F.lit(int(min(1.0, each / c) * grain))) for n, c in sizes.items()))
-    mark = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(grain))
-    picked = (known.select(F.col(text).alias("text"), F.col(lang).alias("lang"), mark.alias("mark"), F.xxhash64(key, F.lit(seed + 1)).alias("order"))
-              .where(F.col("mark") < F.element_at(bars, F.col("lang"))).limit(2 * rows))
+    code = {n: i for i, n in enumerate(languages)}
+    parts = shares(sizes, rows, aside)
+    bar = lambda share: F.element_at(F.create_map(*chain.from_iterable((F.lit(n), F.lit(round(share(*x) * grain))) for n, x in parts.items())), F.col("lang"))
+    mark = F.pmod(F.xxhash64(key, text, F.lit(seed)), F.lit(grain))
+    picked = (known.select(F.col(text).alias("text"), F.col(lang).alias("lang"), mark.alias("mark"), F.xxhash64(key, text, F.lit(seed + 1)).alias("order"))
+              .where(F.col("mark") < bar(lambda t, a: t + a)).withColumn("aside", F.col("mark") >= bar(lambda t, a: t)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pairs = [np.unique(subwords(t), return_counts=True) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([
-                batch.column(1), batch.column(2), pa.array([p[0].astype(np.int32) for p in pairs], pa.list_(pa.int32())),
-                pa.array([p[1].astype(np.int32) for p in pairs], pa.list_(pa.int32()))], names=["lang", "order", "buckets", "counts"])
+                *batch.columns[1:], pa.array([p[0].astype(np.int32) for p in pairs], pa.list_(pa.int32())),
+                pa.array([p[1].astype(np.int32) for p in pairs], pa.list_(pa.int32()))], names=["lang", "order", "aside", "buckets", "counts"])
+
+    # Only keys and texts that repeat very often reach the limits.
+    counted = [picked.where(which).select("text", "lang", "order", "aside").mapInArrow(
+        count, "lang string, order long, aside boolean, buckets array<int>, counts array<int>").limit(2 * most)
+        for which, most in (("not aside", rows), ("aside", aside))]
+    sample = shared_table(counted[0].unionByName(counted[1]), "sample")
 
-    sample = shared_table(picked.select("text", "lang", "order").mapInArrow(
-        count, "lang string, order long, buckets array<int>, counts array<int>"), "sample")
+    def counts_of(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray, int]]:
+        return [(b.values.to_numpy().copy(), c.values.to_numpy().astype(np.float32), code[n.as_py()])
+                for n, b, c in zip(batch["lang"], batch["buckets"], batch["counts"], strict=True) if len(b)]
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, data = {n: i for i, n in enumerate(languages)}, []
-        for batch in batches:
-            data += [(b.values.to_numpy().copy(), c.values.to_numpy().astype(np.float32), code[n.as_py()])
-                     for n, b, c in zip(batch.column(0), batch.column(2), batch.column(3), strict=True) if len(b)]
-        if not data:
-            return
-        step = max(2, round(1 / ASIDE))
-        enough = len(data) > 2 * step
-        scores = train([r for i, r in enumerate(data) if i % step] if enough else data, len(languages), seed=seed)
-        aside = data[::step] if enough else data
-        logits = np.array([(c / c.sum()) @ scores[b] for b, c, _ in aside])
-        temperature, threshold = calibrate(logits, np.array([r[2] for r in aside]), REJECT)
-        yield pa.RecordBatch.from_pydict({"scores": [scores.astype(np.float32).tobytes()], "temperature": [temperature], "threshold": [threshold]})
+        data = [r for batch in batches for r in counts_of(batch)]
+        if data:
+            yield pa.RecordBatch.from_pydict({"scores": [train(data, len(languages), seed=seed).astype(np.float32).tobytes()]})
+
+    def learnt(of: DataFrame) -> list:
+        return of.repartition(1).sortWithinPartitions("order", "lang").mapInArrow(learn, "scores binary").collect()
 
     # The bounded sample trains in one task; the driver gets the model only.
-    learnt = (sample.repartition(1).sortWithinPartitions("order", "lang")
-              .mapInArrow(learn, "scores binary, temperature double, threshold double").collect())
-    if not learnt:
+    found = learnt(sample.where("not aside")) or learnt(sample)
+    if not found:
         return Model([], np.zeros((1, 0)), 1.0, 0.0)
-    scores = np.frombuffer(learnt[0]["scores"], np.float32).reshape(1 << BITS, len(languages))
-    return Model(languages, scores, learnt[0]["temperature"], learnt[0]["threshold"])
+    scores = np.frombuffer(found[0]["scores"], np.float32).reshape(1 << BITS, len(languages))
+    sent = spark.sparkContext.broadcast(scores)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = counts_of(batch)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([r[2] for r in data], pa.int32()), pa.array([(c / c.sum()) @ sent.value[b] for b, c, _ in data], pa.list_(pa.float64()))], names=["label", "logits"])
+
+    def bars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data = [(n.as_py(), x.values.to_numpy()) for batch in batches for n, x in zip(batch["label"], batch["logits"], strict=True)]
+        if data:
+            temperature, threshold = calibrate(np.array([x for _, x in data]), np.array([n for n, _ in data]), REJECT)
+            yield pa.RecordBatch.from_pydict({"temperature": [temperature], "threshold": [threshold]})
+
+    def calibrated(of: DataFrame) -> list:
+        scored = of.mapInArrow(score, "label int, logits array<double>").repartition(1).sortWithinPartitions("label", "logits")
+        return scored.mapInArrow(bars, "temperature double, threshold double").collect()
+
+    bar_of = (calibrated(sample.where("aside")) or calibrated(sample))[0]
+    return Model(languages, scores, bar_of["temperature"], bar_of["threshold"])
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:

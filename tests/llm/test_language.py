@@ -84,3 +84,34 @@ def test_threshold_rejects_at_most_its_share():
     p = language.softmax(logits / t)
     assert (p.max(axis=1) < bar).mean() <= .01
     assert abs(p.max(axis=1).mean() - (p.argmax(axis=1) == labels).mean()) < .03
+
+
+def test_even_scores_go_at_any_number_of_rows():
+    for classes in (2, 4):
+        for n in (1, 100, 750):
+            labels = np.arange(n) % classes
+            logits = 3 * np.eye(classes)[labels]
+            logits[n // 2:n // 2 + (n > 10)] = 0  # a labelled text that says nothing
+            _, bar = language.calibrate(logits, labels, language.REJECT)
+            assert 1 / classes < bar <= language.softmax(logits).max()
+    assert language.calibrate(np.zeros((5, 1)), np.zeros(5, int), language.REJECT)[1] == 1.0
+
+
+def test_shares():
+    s = language.shares({"a": 10 ** 6, "b": 600, "c": 5}, 3000, 8000)
+    assert s["c"] == (1.0, 0.0) and s["b"] == (.75, .25)
+    assert round(s["a"][0] * 10 ** 6) == 1000 and round(s["a"][1] * 10 ** 6) == 7850
+
+
+def test_production_defaults_reject(docs):
+    """With two languages, labelled one-word texts of letters that no other text has are rejected, and nothing else is."""
+    rng = random.Random(2)
+    words = {"xx": ["bala", "koru", "miti", "zelda"], "yy": ["schtrum", "vorgel", "dachtig", "wurf"]}
+    made = [(i, chr(0x4E00 + i) + "." if i % 500 == 7 else " ".join(rng.choice(words[k]) for _ in range(rng.randrange(8, 14))), k)
+            for i in range(17000) for k in [("xx", "yy")[i // 500 % 2]]]
+    df = docs(made)
+    model = language.fit(df, ~language.held_out(F.col("doc_id")))
+    assert model.threshold > .5
+    gone = [r["doc_id"] for r in language.predict(df, model).where("rejected").collect()]
+    assert 17 <= len(gone) <= 34 and all(d % 500 == 7 for d in gone)
+    assert language.predict(docs([(1, "Ωμέγα")]), model).collect()[0]["rejected"]
