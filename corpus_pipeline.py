@@ -32,18 +32,19 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest id of each SimHash component.
-
-    Rows that repeat an id and a text count once; rows without an id are kept, as none can be named."""
-    found = shared_table(simhash.near_duplicates(docs, words=4, radius=4), "near")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    """Keep one row of each SimHash component: the smallest id, nulls last, ties by a hash of the row."""
+    hashed = [c for c, kind in docs.dtypes if "map<" not in kind]  # Spark hashes no maps
+    marked = docs.withColumn("__row_hash", F.xxhash64(*hashed, *[F.col(c).isNull() for c in hashed]))
+    found = simhash.rooted_rows(marked, words=4, radius=4, keep=("__row_hash",))
+    counted = found.groupBy("root", "doc_id", "__row_hash").count()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__row_hash", "count")).alias("first")
+    kept = shared_table(counted.groupBy("root").agg(first).select(
+        F.col("first.doc_id").alias("__id"), F.col("first.__row_hash").alias("__first"), F.col("first.count").alias("__copies")), "near")
     # The list grows with the documents: never broadcast.
-    kept = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if repeated:
-        named = F.col("doc_id").isNotNull()
-        kept = kept.where(~named).unionByName(kept.where(named).dropDuplicates(["doc_id", "text"]))
-    return kept
+    rows = marked.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row_hash") == F.col("__first")), "left_semi")
+    if kept.where("__copies > 1").limit(1).count():
+        rows = rows.dropDuplicates(["doc_id", "__row_hash"])
+    return rows.select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

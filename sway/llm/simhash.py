@@ -53,17 +53,17 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4) -> DataFrame:
-    """(doc_id, fp) of every row; fp holds the 64 bits as a signed long."""
+def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, ``keep`` columns, fp) of every row; fp holds the 64 bits as a signed long."""
     prepare(df.sparkSession)
-    schema = T.StructType([T.StructField("doc_id", df.schema[key].dataType), T.StructField("fp", T.LongType())])
+    schema = T.StructType([T.StructField("doc_id", df.schema[key].dataType), *(T.StructField(c, df.schema[c].dataType) for c in keep), T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=schema.names)
+            fps = np.array([fingerprint(t, words) for t in batch.column(batch.num_columns - 1).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps.view(np.int64))], names=schema.names)
 
-    return df.select(F.col(key), F.col(text)).mapInArrow(run, schema)
+    return df.select(F.col(key), *keep, F.col(text)).mapInArrow(run, schema)
 
 
 def quarter_counts(fps: np.ndarray) -> np.ndarray:
@@ -165,11 +165,19 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     smallest key reachable, itself included.  Null and wordless texts have fingerprint 0 and
     are linked like any other; rows that repeat a key keep a row each; null keys are never a
     component's id (null if there is no other); other columns are not read."""
-    found = shared_table(fingerprints(df, key, text, words), "fingerprints")
+    return rooted_rows(df, key, text, words, radius).select("doc_id", "fp", "component_id")
+
+
+def rooted_rows(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, radius: int = 4,
+                keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, ``keep`` columns, fp, root, component_id) of every row, as ``near_duplicates``.
+
+    root is a fingerprint that names the component, whether or not it has an id."""
+    found = shared_table(fingerprints(df, key, text, words, keep), "fingerprints")
     classes = shared_table(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     roots = components(link_forest(classes.select("fp"), radius))
     rooted = (classes.join(roots, classes["fp"] == roots["node"], "left")
               .select("fp", "first", F.coalesce("root", "fp").alias("root")))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = shared_table(rooted.join(smallest, "root").select("fp", "component_id"), "named")
-    return found.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = shared_table(rooted.join(smallest, "root").select("fp", "root", "component_id"), "named")
+    return found.join(named, "fp").select("doc_id", *keep, "fp", "root", "component_id")

@@ -71,3 +71,14 @@ def test_stages_keep_columns_and_survive_odd_tables(docs, spark):
         assert corpus_pipeline.encode(spark, df, "").count() == df.count()
     near = corpus_pipeline.dedup_near(spark, odd, "")
     assert sorted(r["doc_id"] or 0 for r in near.collect()) == [0, 1, 2]
+
+
+def test_near_dedup_keeps_one_row_of_each_group(docs, spark):
+    """Repeated and null ids: no group loses all its rows, none keeps two."""
+    rng = random.Random(4)
+    a, b, c, d = (" ".join(f"w{rng.randrange(9999)}" for _ in range(80)) for _ in range(4))
+    rows = [(5, a), (6, a), (3, b), (5, b),  # 5 is first of a, but not of b
+            (7, c), (7, "  " + c), (7, c), (None, c), (None, c),  # one id, near and equal texts
+            (None, d), (None, d), (None, d.upper())]
+    out = corpus_pipeline.dedup_near(spark, docs([(i, t, "en", "src1") for i, t in rows]), "").collect()
+    assert Counter((r["doc_id"], r["text"].strip().lower()) for r in out) == Counter([(5, a), (3, b), (7, c), (None, d)])
