@@ -13,6 +13,9 @@ bucket of the order, and only the bucket that holds the bar is ranked.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,16 +54,20 @@ def budgets(leaves: DataFrame, weights: dict[str, dict[str, float]], total: floa
     """(domain, lang, source, tokens, budget) of each leaf (domain, lang, source, tokens).
 
     ``weights`` has a weight for names of each level (1 where it has none, names are looked up per
-    level).  ``budget`` is the leaf's tokens to take; their sum is ``total``, or all that the
-    epochs allow if that is less."""
+    level); a weight of 0 leaves out all below the name.  ``budget`` is the leaf's tokens to take;
+    their sum is ``total``, or all that the epochs allow in what is not left out if that is less."""
+    if wrong := [(level, n, w) for level in LEVELS for n, w in weights.get(level, {}).items() if not 0 <= w < float("inf")]:
+        raise ValueError(f"weights must be finite and not negative: {wrong}")
+
     def weight(level: str) -> Column:
-        listed = [(n, w) for n, w in weights.get(level, {}).items() if w > 0]
         chosen = F.lit(1.0)
-        for n, w in listed:
+        for n, w in weights.get(level, {}).items():
             chosen = F.when(F.col(level) == n, F.lit(float(w))).otherwise(chosen)
         return chosen
 
-    most = leaves.groupBy(*LEVELS).agg(F.sum("tokens").cast("double").alias("tokens")).withColumn("most", F.col("tokens") * epochs)
+    mixed = reduce(and_, [weight(level) > 0 for level in LEVELS])
+    most = (leaves.groupBy(*LEVELS).agg(F.sum("tokens").cast("double").alias("tokens"))
+            .withColumn("most", F.when(mixed, F.col("tokens") * epochs).otherwise(0.0)))
     nodes = [most.groupBy(*LEVELS[:1]).agg(F.sum("most").alias("most")), most.groupBy(*LEVELS[:2]).agg(F.sum("most").alias("most")), most.select(*LEVELS, "most")]
     above = None
     for depth, level in enumerate(LEVELS):
@@ -113,7 +120,8 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, float]], t
         seed: int = 11, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The mixed documents, one row per document and epoch it is taken in.
 
-    The budget is ``total_share`` of all tokens, and no leaf reads more than ``epochs`` of its own.
+    The budget is ``total_share`` of all tokens, and no leaf reads more than ``epochs`` of its own;
+    what has a weight of 0 is left out, and a negative or infinite weight is an error.
     Returns all columns of ``docs`` in a struct ``row``, domain, tokens and epoch (from 0).  Null
     languages, sources and domains are leaves of their own; documents without a token cost nothing
     and come along in each whole epoch and below the bar; rows that repeat a key share their place,

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from sway.llm import mixing
@@ -100,3 +101,19 @@ def test_repeated_keys_are_taken_together(docs):
     rows = made() + [(3, "w w", "en", "a1")] * 4
     taken = Counter((r["row"]["doc_id"], r["epoch"]) for r in run(docs(rows), .5, 1).where("row.doc_id = 3 and row.source = 'a1'").collect())
     assert all(n in (4, 5) for n in taken.values())
+
+
+def test_weight_zero_leaves_out(docs, spark):
+    weights = {"domain": {"y": 0}, "lang": {"de": 0.0}, "source": {"s1": 0, "s2": 3.0}}
+    leaves = [("x", "en", "s1", 100), ("x", "en", "s2", 100), ("x", "en", "s3", 100), ("x", "de", "s4", 100), ("y", "en", "s5", 100), ("z", None, None, 100)]
+    table = spark.createDataFrame(leaves, "domain string, lang string, source string, tokens long")
+    got = {r["source"]: r["budget"] for r in mixing.budgets(table, weights, 300.0, 2).collect()}
+    assert got == {"s1": 0, "s2": 112, "s3": 37, "s4": 0, "s5": 0, None: 150}
+    got = {r["source"]: r["budget"] for r in mixing.budgets(table, weights, 600.0, 2).collect()}
+    assert got == {"s1": 0, "s2": 200, "s3": 200, "s4": 0, "s5": 0, None: 200}
+    df = docs([(i, "a b c", "en", s) for i, s in enumerate(["s1", "s2", "s3"] * 5)] + [(99, "", "en", "s1")])
+    out = mixing.mix(df, F.lit("x"), weights).collect()
+    assert {r["row"]["source"] for r in out} == {"s2", "s3"}
+    for wrong in (-1, float("nan"), float("inf")):
+        with pytest.raises(ValueError):
+            mixing.budgets(table, {"source": {"s1": wrong}}, 1.0, 1)
