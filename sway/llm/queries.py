@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sway.llm import bpe, chat, fingerprints, language, line_dedup, mixing, mtree, oracles, sharding, simhash, url_filter, whitening
+from sway.llm import bpe, chat, fingerprints, language, line_dedup, mixing, mtree, oracles, quality_rules, sharding, simhash, url_filter, whitening
 from sway.llm.common import table
 
 SHARDS = 16
@@ -154,6 +154,12 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every document, and whether the risk-controlled rules of its language keep it."""
+    judged = quality_rules.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_language": op2_language,
@@ -166,6 +172,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_url_filter": op10_url_filter,
     "op11_whitening": op11_whitening,
+    "op13_quality": op13_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
