@@ -73,8 +73,10 @@ WITH docs AS (
     CASE WHEN source = 'src0' THEN 'web' WHEN regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1) = '' THEN 'other'
          ELSE 'group' || (regexp_extract(source, '([0-9]{{1,9}})$', 1)::BIGINT % 3) END AS domain,
     length(regexp_replace(regexp_replace(coalesce(text, ''), '[^ 	
-]+', 'x', 'g'), '[ 	
-]+', '', 'g')) AS tokens
+
+]+', 'x', 'g'), '[ 	
+
+]+', '', 'g')) AS tokens
   FROM documents),
 root AS (SELECT sum(tokens)::DOUBLE AS budget FROM docs),
 {_level("d", "root", ["domain"], _DOMAIN_WEIGHT)},
@@ -92,3 +94,57 @@ taken AS (
                      THEN 1 ELSE 0 END AS n FROM placed)
 SELECT doc_id, domain, lang, source, tokens::BIGINT AS tokens, unnest(range(n::BIGINT))::INTEGER AS epoch FROM taken WHERE n > 0
 """
+
+OP12 = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM range(256) r(i))),
+kinds AS (
+  SELECT c.conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_concat([4294967295]::BIGINT[], list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+      lambda x: ord(x)::BIGINT)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 20 AS kind
+  FROM conversations c, crc),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM kinds WHERE kind <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text), copy) AS pos,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS again FROM damaged),
+faults AS (
+  SELECT *, role[1] AS initial, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY pos) AS before,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN again > 1 THEN 'duplicate'
+         WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault FROM placed),
+adds(s, t, cost, letters) AS (VALUES (0, 0, 0, ''), (0, 2, 3, 'I'), (0, 3, 6, 'II'), (1, 1, 0, ''), (1, 2, 3, 'I'), (1, 3, 6, 'II'), (2, 2, 0, ''), (2, 3, 3, 'I'), (3, 3, 0, ''), (3, 2, 3, 'I')),
+moves(letter, initial, s, t, cost) AS (
+  VALUES ('K', 's', 0, 1, 0), ('K', 'u', 0, 2, 0), ('K', 'u', 1, 2, 0), ('K', 'a', 2, 3, 0), ('K', 'u', 3, 2, 0),
+         ('R', '', 0, 2, 3), ('R', '', 1, 2, 3), ('R', '', 2, 3, 3), ('R', '', 3, 2, 3), ('D', '', 0, 0, 4), ('D', '', 1, 1, 4), ('D', '', 2, 2, 4), ('D', '', 3, 3, 4)),
+paths AS (
+  SELECT c.conv_id, 0::BIGINT AS i, a.t AS s, {'cost': a.cost::BIGINT, 'audit': a.letters,
+    'lines': CASE a.letters WHEN '' THEN []::VARCHAR[] WHEN 'I' THEN ['user:'] ELSE ['user:', 'assistant:'] END} AS best
+  FROM (SELECT DISTINCT conv_id FROM conversations) c, adds a WHERE a.s = 0
+  UNION ALL
+  SELECT conv_id, i, s, min(best) FROM (
+    SELECT p.conv_id, p.i + 1 AS i, a.t AS s, {
+      'cost': p.best.cost + m.cost + CASE WHEN f.fault = 'truncated' AND m.letter <> 'D' THEN 3 ELSE 0 END + a.cost,
+      'audit': p.best.audit || m.letter || a.letters,
+      'lines': list_concat(list_concat(p.best.lines, CASE m.letter WHEN 'D' THEN []::VARCHAR[] WHEN 'K' THEN [f.role || ':' || f.text]
+          ELSE [CASE m.t WHEN 2 THEN 'user' ELSE 'assistant' END || ':' || f.text] END),
+        CASE WHEN a.letters = '' THEN []::VARCHAR[] WHEN a.letters = 'II' THEN ['user:', 'assistant:'] WHEN a.t = 2 THEN ['user:'] ELSE ['assistant:'] END)} AS best
+    FROM paths p JOIN faults f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.pos = p.i + 1
+    JOIN moves m ON m.s = p.s AND (m.initial = '' OR m.initial = f.initial) AND (m.letter = 'D' OR f.fault NOT IN ('blank', 'duplicate'))
+    JOIN adds a ON a.s = m.t)
+  GROUP BY conv_id, i, s),
+counts AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+    count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+    count(*) FILTER (WHERE before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faults GROUP BY conv_id)
+SELECT p.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, min(best).cost::BIGINT AS cost, min(best).audit AS audit,
+  sha256(array_to_string(min(best).lines, chr(10))) AS repaired_sha256
+FROM paths p LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM p.conv_id
+WHERE p.i = coalesce(n, 0) AND p.s IN (0, 3) GROUP BY ALL
+"""

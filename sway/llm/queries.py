@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sway.llm import bpe, chat, fingerprints, language, line_dedup, mixing, mtree, oracles, quality_rules, sharding, simhash, url_filter, whitening
+from sway.llm import bpe, chat, fingerprints, language, line_dedup, mixing, mtree, oracles, quality_rules, repair, sharding, simhash, url_filter, whitening
 from sway.llm.common import table
 
 SHARDS = 16
@@ -154,6 +154,69 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def _damaged(rows: DataFrame) -> DataFrame:
+    """The rows after the damage that the checksum of ``conv_id:turn`` deals out, with copy (1 for a repetition)."""
+    named = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
+    kind = F.pmod(F.crc32(F.concat(named[0], F.lit(":"), named[1]).cast("binary")), F.lit(20))
+    role, text = F.coalesce("role", F.lit(" ")), F.coalesce("text", F.lit(" "))
+    hurt = rows.withColumn("kind", kind).where("kind <> 0")
+    return hurt.select("conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(role).alias("role"),
+                       F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+                       F.explode(F.when(F.col("kind") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"))
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation after damage: its faults, and the cheapest repair as audit and digest; gaps beyond a long are null."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    edits = repair.repair(_damaged(rows))
+    fields = [pa.field(n, pa.string() if n in ("conv", "audit", "repaired_sha256") else pa.int64()) for n in
+              ("conv", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")]
+
+    def digest() -> Callable[[tuple | None], list[tuple]]:
+        at: dict = {}
+
+        def close() -> list[tuple]:
+            if not at:
+                return []
+            gaps = at["last"] - at["first"] + 1 - at["turns"] if at["turns"] else 0
+            done = [(at["conv"], gaps if gaps < 1 << 63 else None, at["blank"], at["duplicate"], at["truncated"], at["illegal"], at["cost"],
+                     "".join(at["audit"]), at["hash"].hexdigest())]
+            at.clear()
+            return done
+
+        def step(row: tuple | None) -> list[tuple]:
+            if row is None:
+                return close()
+            conv, edit, cost, fault, turn, was, role, text = row
+            out = close() if at and at["conv"] != conv else []
+            if not at:
+                at.update(conv=conv, first=None, last=None, turns=0, blank=0, duplicate=0, truncated=0, illegal=0, cost=0, audit=[], hash=hashlib.sha256(), was=None, lines=0)
+            at["audit"].append(edit)
+            at["cost"] += cost
+            if fault:
+                at[fault] += 1
+            if was is not None:
+                at["illegal"] += at["was"] is not None and (at["was"] + was[:1]) not in ("su", "ua", "au")
+                at["was"] = was[:1]
+            if turn is not None and turn != at["last"]:
+                at["first"] = turn if at["first"] is None else at["first"]
+                at["last"], at["turns"] = turn, at["turns"] + 1
+            if role is not None:
+                at["hash"].update(("\n" * (at["lines"] > 0) + f"{role}:{text}").encode())
+                at["lines"] += 1
+            return out
+
+        return step
+
+    ordered = edits.repartition("conv").sortWithinPartitions("conv", "block", "step").select("conv", "edit", "cost", "fault", "turn", "was_role", "role", "text")
+    found = ordered.mapInArrow(lambda batches: chat.stream(fields, digest())(batches),
+                               "conv string, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, repaired_sha256 string")
+    every = rows.select("conv_id").distinct().withColumn("conv", F.when(F.col("conv_id").isNull(), "").otherwise(F.concat(F.lit("="), F.col("conv_id").cast("string"))))
+    counts = [F.coalesce(c, F.when(F.col("audit").isNull(), 0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.join(found, "conv", "left").select(
+        "conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of every document, and whether the risk-controlled rules of its language keep it."""
     judged = quality_rules.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -172,6 +235,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_url_filter": op10_url_filter,
     "op11_whitening": op11_whitening,
+    "op12_repair": op12_repair,
     "op13_quality": op13_quality,
 }
 
@@ -180,4 +244,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_mtree": oracles.OP3,
     "op7_chat": oracles.OP7,
     "op9_line_dedup": oracles.OP9,
+    "op12_repair": oracles.OP12,
 }
