@@ -1,18 +1,22 @@
 """Statistics over evidence items: feature associations, pattern tests, family gaps.
 
 All inputs are item-level (one row per evidence item) or pair-level (one
-row per model pair) tables; resampling draws are keyed MD5 indices over
-those, so the fan-out is replicates x items, never replicates x trials.
+row per model pair) tables.  A resampled median costs a row per replicate: its position
+comes from keyed splits of the resample's counts, never from a table of replicates x items.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 from pyspark.sql.window import Window as W
 
+from sway.functions.splits import position_of_rank
 from sway.functions.stats import fisher_two_sided, mann_whitney_p, p_marker, t_two_sided_p
-from sway.operators.ranks import average_rank, numbered
+from sway.operators.ranks import average_rank, values_at
 from sway.session import materialize
 
 # Model family prefixes of the study.
@@ -27,38 +31,36 @@ def family_of(model: Column) -> Column:
     return out
 
 
-PRIME = 2147483647
-
-
 def salted(sizes: DataFrame, seed: str, keys: list[str]) -> DataFrame:
-    """Add a number of a group's own for ``mixed_index``."""
+    """Add a number of a group's own for the keyed draws."""
     text = F.concat_ws(":", F.lit(seed), *[F.col(k).cast("string") for k in keys])
     return sizes.withColumn("salt", F.conv(F.substring(F.md5(text.cast("binary")), 1, 7), 16, 10).cast("long"))
 
 
-def mixed_index(draws: DataFrame) -> DataFrame:
-    """Add the drawn index (0 to n - 1) of slot ``i`` of replicate ``b``: whole-number mixing below 2^62
-    with the group's salt, far cheaper than a digest per slot and the same in any engine."""
-    t = F.col("_t")
-    d = draws.withColumn("_t", (F.col("salt") + F.col("b") * 48271 + F.col("i") * 69621) % PRIME)
-    d = d.withColumn("_t", (t * t + F.col("salt")) % PRIME)
-    d = d.withColumn("_t", (t * t + F.col("b")) % PRIME)
-    return d.withColumn("idx", t % F.col("n")).drop("salt", "_t")
+@F.pandas_udf(ArrayType(LongType()))
+def middle_positions(n: pd.Series, salt: pd.Series, b: pd.Series) -> pd.Series:
+    """Positions (from 0, of the sorted items) of both middle draws of replicate ``b``; those of the items for b = 0."""
+    size = n.to_numpy(np.int64)
+    ranks = [(size + 1) // 2, size // 2 + 1]
+    drawn = [position_of_rank(size, r, salt.to_numpy(np.int64), b.to_numpy(np.int64)) for r in ranks]
+    plain = b.to_numpy() == 0
+    pair = np.stack([np.where(plain, r - 1, d) for r, d in zip(ranks, drawn)], axis=1)
+    return pd.Series(list(pair))
+
 
+def resampled_median_gap(values: DataFrame, keys: list[str], group: str, value: str, n_boot: int, seed: str = "42") -> DataFrame:
+    """Bootstrap of median(group=True) - median(group=False) per ``keys``: each side is resampled with replacement
+    to its own size; returns (keys, b, gap), with the gap of the values themselves at b = 0.
 
-def resampled_median_gap(values: DataFrame, keys: list[str], group: str, value: str, order: str,
-                         n_boot: int, seed: str = "42") -> DataFrame:
-    """Bootstrap of median(group=True) - median(group=False) per ``keys``: each side is
-    resampled with replacement to its own size; returns (keys, b, gap)."""
-    v = materialize(numbered(values, keys + [group], order))
+    A replicate's median needs the draws of the two middle ranks only, which hierarchical splitting finds without
+    making the others (``functions.splits``): a row per replicate, whatever the number of items."""
+    v = materialize(values.select(*keys, group, value))
     sizes = salted(v.groupBy(*keys, group).agg(F.count(F.lit(1)).alias("n")), seed, keys + [group])
-    # each item is one slot of every replicate: arrays of n_boot, spread like the items
-    draws = (v.select(*keys, group, F.col("idx").alias("i")).join(sizes, [*keys, group])
-             .select(*keys, group, "n", "salt", "i", F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("b")))
-    draws = mixed_index(draws)
-    reps = (draws.join(v.select(*keys, group, "idx", F.col(value).alias("x")), [*keys, group, "idx"])
-            .groupBy(*keys, "b").agg(F.median(F.when(F.col(group), F.col("x"))).alias("mt"),
-                                     F.median(F.when(~F.col(group), F.col("x"))).alias("mf")))
+    draws = sizes.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_boot))).alias("b")).repartition(*keys, group, "b")
+    draws = draws.withColumn("_at", middle_positions("n", "salt", "b")).select(*keys, group, "b", F.explode("_at").alias("_pos"))
+    found = values_at(v, keys + [group], value, draws, "_pos", "_x")
+    side = lambda flag: F.avg(F.when(flag, F.col("_x")))
+    reps = found.groupBy(*keys, "b").agg(side(F.col(group)).alias("mt"), side(~F.col(group)).alias("mf"))
     return reps.select(*keys, "b", (F.col("mt") - F.col("mf")).alias("gap"))
 
 
@@ -67,21 +69,18 @@ def binary_feature_gaps(items: DataFrame, features: list[str], target: str, n_bo
     """Per binary feature: n_true, n_false, median gap of ``target`` (true - false) and its
     bootstrap 95 % interval; NULL statistics when a side has fewer than ``min_side`` items."""
     stack = ", ".join(f"'{f}', CAST({f} AS BOOLEAN)" for f in features)
-    long = items.selectExpr("evidence_hash", target, f"stack({len(features)}, {stack}) AS (feature, flag)")
+    long = items.selectExpr(target, f"stack({len(features)}, {stack}) AS (feature, flag)")
     long = long.filter(F.col(target).isNotNull() & F.col("flag").isNotNull())
-    obs = long.groupBy("feature").agg(
-        F.count_if(F.col("flag")).alias("n_true"), F.count_if(~F.col("flag")).alias("n_false"),
-        (F.median(F.when(F.col("flag"), F.col(target))) - F.median(F.when(~F.col("flag"), F.col(target))))
-        .alias("gap"))
+    obs = materialize(long.groupBy("feature").agg(F.count_if(F.col("flag")).alias("n_true"), F.count_if(~F.col("flag")).alias("n_false")))
     ok = obs.filter((F.col("n_true") >= min_side) & (F.col("n_false") >= min_side)).select("feature")
-    boot = resampled_median_gap(long.join(ok, "feature", "left_semi"), ["feature"], "flag", target,
-                                "evidence_hash", n_boot)
-    ci = boot.groupBy("feature").agg(F.percentile("gap", 0.025).alias("lo"), F.percentile("gap", 0.975).alias("hi"))
-    j = obs.join(ci, "feature", "left")
-    good = (F.col("n_true") >= min_side) & (F.col("n_false") >= min_side)
-    return j.select("feature", F.lit("binary").alias("feature_type"), "n_true", "n_false",
-                    F.when(good, F.col("gap")).alias("effectiveness_gap_true_minus_false"),
-                    F.col("lo").alias("gap_ci_lower"), F.col("hi").alias("gap_ci_upper"))
+    boot = resampled_median_gap(long.join(ok, "feature", "left_semi"), ["feature"], "flag", target, n_boot)
+    resampled = F.when(F.col("b") > 0, F.col("gap"))
+    ci = boot.groupBy("feature").agg(F.max(F.when(F.col("b") == 0, F.col("gap"))).alias("gap"),
+                                     F.percentile(resampled, 0.025).alias("lo"), F.percentile(resampled, 0.975).alias("hi"))
+    return obs.join(ci, "feature", "left").select(
+        "feature", F.lit("binary").alias("feature_type"), "n_true", "n_false",
+        F.col("gap").alias("effectiveness_gap_true_minus_false"),
+        F.col("lo").alias("gap_ci_lower"), F.col("hi").alias("gap_ci_upper"))
 
 
 def spearman_with_p(long: DataFrame, target: str) -> DataFrame:
@@ -175,8 +174,7 @@ def family_gap(pairs: DataFrame, families: DataFrame, metrics: list[str], n_perm
     pv = pg.join(obs.select("metric", "gap"), "metric").groupBy("metric").agg(
         F.avg(F.when(F.col("pgap").isNotNull(), (F.abs("pgap") >= F.abs("gap")).cast("double")))
         .alias("label_permutation_p_value"))
-    boot = resampled_median_gap(long.withColumn("k", F.concat_ws("|", "model_a", "model_b")),
-                                ["metric"], "same_family", "value", "k", n_boot, seed)
+    boot = resampled_median_gap(long, ["metric"], "same_family", "value", n_boot, seed).filter("b > 0")
     ci = boot.groupBy("metric").agg(F.percentile("gap", 0.025).alias("pair_bootstrap_ci_lower"),
                                     F.percentile("gap", 0.975).alias("pair_bootstrap_ci_upper"))
     return (obs.join(pv, "metric", "left").join(ci, "metric", "left")

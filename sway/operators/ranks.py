@@ -32,12 +32,34 @@ def average_rank(df: DataFrame, part: list[str], value: str, out: str, digits: i
     through different summation orders still tie.  Buckets are cut at approximate quantiles, so
     equal values share one."""
     d = df.withColumn("_v", F.round(F.col(value), digits) + F.lit(0.0))
+    ranks = _placed(d.filter(F.col("_v").isNotNull()), part).select(*part, "_v", (F.col("_first") + (F.col("_c") + 1) / 2.0).alias(out))
+    return d.join(ranks, [*part, "_v"], "left").select(*df.columns, out)
+
+
+def _placed(d: DataFrame, part: list[str]) -> DataFrame:
+    """(part, _v, _c, _b, _before, _first): each distinct value, its number of rows, its bucket, and how many rows come
+    before the bucket and before the value.  Counts are taken per value first, so a value that fills a group is one row."""
     cuts = d.groupBy(*part).agg(F.percentile_approx("_v", [i / QUANTILES for i in range(1, QUANTILES)]).alias("_cuts"))
-    sizes = (d.filter(F.col("_v").isNotNull()).groupBy(*part, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    sizes = (d.groupBy(*part, "_v").agg(F.count(F.lit(1)).alias("_c"))
              .join(cuts, part).withColumn("_b", F.size(F.filter("_cuts", lambda x: x < F.col("_v")))).drop("_cuts"))
     buckets = sizes.groupBy(*part, "_b").agg(F.sum("_c").alias("_n"))
     upto = W.unboundedPreceding, -1
     buckets = buckets.withColumn("_before", F.coalesce(F.sum("_n").over(W.partitionBy(*part).orderBy("_b").rowsBetween(*upto)), F.lit(0)))
     inside = F.coalesce(F.sum("_c").over(W.partitionBy(*part, "_b").orderBy("_v").rowsBetween(*upto)), F.lit(0))
-    ranks = sizes.join(buckets.drop("_n"), [*part, "_b"]).select(*part, "_v", (F.col("_before") + inside + (F.col("_c") + 1) / 2.0).alias(out))
-    return d.join(ranks, [*part, "_v"], "left").select(*df.columns, out)
+    return sizes.join(buckets.drop("_n"), [*part, "_b"]).withColumn("_first", F.col("_before") + inside)
+
+
+def values_at(df: DataFrame, part: list[str], value: str, wanted: DataFrame, at: str, out: str) -> DataFrame:
+    """Add to ``wanted`` (part, ``at``, others) the value at position ``at`` (from 0) of its sorted group.
+
+    Neither the values nor the wanted positions of a group meet in one task: both go to the group's buckets of
+    values, and a pass in order of positions carries each value on to the positions that it covers."""
+    placed = _placed(df.select(*part, F.col(value).alias("_v")).filter(F.col("_v").isNotNull()), part)
+    starts = placed.groupBy(*part).agg(F.sort_array(F.collect_set(F.struct("_before", "_b"))).alias("_starts"))  # QUANTILES at most
+    found = F.filter("_starts", lambda s: s["_before"] <= F.col(at))
+    asked = wanted.join(starts, part).withColumn("_b", F.element_at(found, -1)["_b"]).drop("_starts")
+    others = [c for c in wanted.columns if c not in (*part, at)]
+    rows = placed.select(*part, "_b", F.col("_first").alias(at), F.lit(0).alias("_ask"), F.col("_v"), *[F.lit(None).cast(wanted.schema[c].dataType).alias(c) for c in others])
+    both = rows.unionByName(asked.withColumns({"_ask": F.lit(1), "_v": F.lit(None).cast(rows.schema["_v"].dataType)}))
+    carried = F.last("_v", ignorenulls=True).over(W.partitionBy(*part, "_b").orderBy(at, "_ask"))
+    return both.withColumn(out, carried).filter("_ask = 1").select(*wanted.columns, out)

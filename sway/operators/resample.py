@@ -1,21 +1,25 @@
 """Resampling and regression on aggregated tables (bootstrap, BH, ridge via Gram sums).
 
-Bootstrap draws are generated in Spark: every (group, replicate, slot) row
-gets an item index from a keyed MD5 of its coordinates (reproducible and
-engine-independent, unlike ``rand()``), joins the numbered items of its
-group and is averaged per replicate.  Inputs are aggregated to one value
-per item first, so the fan-out is B x items, not B x trials.
+Bootstraps of group means draw in Spark: every (group, replicate, slot) row of
+a report (its groups are issues, a bounded number) gets an item index from a keyed MD5 of its
+coordinates (reproducible and engine-independent, unlike ``rand()``).  The ridge
+bootstrap over evidence items never makes its draws as rows: tasks count the draws of
+their own items by keyed splits and add weighted sums.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from sway.functions import splits
 from sway.operators.ranks import numbered
-from sway.session import materialize
 
 
 def draw_index(seed: str, key_cols: list[str], b: str, i: str, n: str):
@@ -168,38 +172,119 @@ def _standardized(folds: dict, features: list[str]) -> dict:
     return out
 
 
+def _term_matrix(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The summands of ``gram_terms`` of every item, a row per item."""
+    p = x.shape[1]
+    crosses = [x[:, i] * x[:, j] for i in range(p) for j in range(i, p)]
+    return np.column_stack([np.ones(len(x)), *x.T, *crosses, *(x * y[:, None]).T, y, y * y])
+
+
+def fold_sizes(n: int, k: int) -> np.ndarray:
+    """Draws of each fold (the first n % k folds have one more)."""
+    return np.array([n // k + (f < n % k) for f in range(k)], np.int64)
+
+
+def bucket_draws(sizes: np.ndarray, bucket: int, draws: np.ndarray, salt: int) -> np.ndarray:
+    """Of each resample's ``draws``, those that fall into one bucket of items, by splits down the tree of buckets.
+
+    Each split is keyed by (salt, resample, node), so tasks that hold different buckets agree without talking."""
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    low, high, node, left = 0, len(sizes), 1, draws.copy()
+    resample = np.arange(len(draws))
+    while high - low > 1:
+        middle = (low + high) // 2
+        part, whole = upto[middle] - upto[low], upto[high] - upto[low]
+        if part in (0, whole):
+            goes = left if part else np.zeros_like(left)
+        else:
+            goes = splits.binomial(splits.uniform(salt, resample, node), left, part / whole)
+        if bucket < middle:
+            left, high, node = goes, middle, 2 * node
+        else:
+            left, low, node = left - goes, middle, 2 * node + 1
+    return left
+
+
+def item_counts(sizes: np.ndarray, bucket: int, draws: np.ndarray, salt: int) -> np.ndarray:
+    """How often each resample draws each item of a bucket (resamples x items)."""
+    items, counts = int(sizes[bucket]), bucket_draws(sizes, bucket, draws, salt)
+    resample = np.repeat(np.arange(len(counts)), counts)
+    slot = np.arange(len(resample)) - np.repeat(np.cumsum(counts) - counts, counts)
+    picked = np.floor(splits.uniform((salt * 31 + bucket + 1) % splits.PRIME, resample, slot) * items).astype(np.int64)
+    return np.bincount(resample * items + picked, minlength=len(counts) * items).reshape(len(counts), items)
+
+
+#: Items of a bucket on average, and resamples x items counted at a time.
+BUCKET_ITEMS, COUNTED = 2048, 1 << 22
+
+
+def weighted_gram(items: DataFrame, features: list[str], target: str, order_col: str, n_boot: int, k: int, seed: int) -> DataFrame:
+    """(part, b, fold, sums): the Gram sums of every replicate and fold, weighted by how often it draws each item.
+
+    One scan: items lie in buckets by the prefix of their hash (at most 16^4 of them; their sizes go to every task), each
+    task works out how many draws of every resample fall into its buckets, deals them to the items and adds the
+    weighted sums, so no item is exploded or joined.  A fold of a replicate is a resample of its own."""
+    spark = items.sparkSession
+    n = items.count()
+    digits = min(4, max(1, round(math.log(max(n / BUCKET_ITEMS, 1), 16))))
+    bucketed = items.withColumn("_bucket", F.conv(F.substring(order_col, 1, digits), 16, 10).cast("int"))
+    sizes = np.zeros(16 ** digits, np.int64)
+    for r in bucketed.groupBy("_bucket").count().collect():
+        sizes[r["_bucket"]] = r["count"]
+    draws = np.tile(fold_sizes(n, k), n_boot)
+    shared = spark.sparkContext.broadcast(sizes)
+    columns = ["_bucket", target, *features]
+
+    def run(batches):
+        total, first, held = 0.0, None, []
+
+        def add(bucket, rows):
+            xy = np.concatenate(rows)
+            terms = _term_matrix(xy[:, 1:], xy[:, 0])
+            counts = item_counts(shared.value, bucket, draws, seed)
+            step = max(1, COUNTED // max(1, len(xy)))
+            return np.concatenate([counts[i:i + step].astype(float) @ terms for i in range(0, len(counts), step)])
+
+        at = None
+        for batch in batches:
+            frame = batch.to_pandas()
+            values = frame[columns[1:]].to_numpy(float)
+            for bucket in frame["_bucket"].unique():  # in order: the partition is sorted
+                if at is not None and bucket != at:
+                    total, held = total + add(at, held), []
+                at = int(bucket)
+                first = at if first is None else first
+                held.append(values[(frame["_bucket"] == bucket).to_numpy()])
+        if at is not None:
+            total = total + add(at, held)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.full(len(total), first, np.int32)), pa.array(np.arange(len(total), dtype=np.int64) // k + 1),
+                pa.array((np.arange(len(total)) % k).astype(np.int32)), pa.array(list(total), pa.list_(pa.float64()))], names=["part", "b", "fold", "sums"])
+
+    dealt = bucketed.select(*columns, order_col).repartition("_bucket").sortWithinPartitions("_bucket", order_col).select(*columns)
+    return dealt.mapInArrow(run, "part int, b long, fold int, sums array<double>")
+
+
 def ridge_bootstrap(items: DataFrame, features: list[str], target: str, order_col: str, n_boot: int = 250,
-                    k: int = 5, seed: str = "42", alphas=None) -> DataFrame:
+                    k: int = 5, seed: int = 42, alphas=None) -> DataFrame:
     """Coefficient stability: rows resampled with replacement per replicate, each replicate
-    standardised on its own sample and fit with k-fold ridge CV.  The replicate x fold sums
-    come from one Spark aggregate; each replicate's small solve runs in ``applyInPandas``."""
+    standardised on its own sample and fit with k-fold ridge CV.  ``order_col`` is a hex hash of the
+    item.  The replicate x fold sums come from one scan (``weighted_gram``); each replicate's small solve runs in
+    ``applyInPandas``."""
     alphas = np.logspace(-4, 3, 80) if alphas is None else alphas
-    it = materialize(numbered(items, [], order_col))
-    n = it.select(F.count(F.lit(1))).scalar()
-    # each item is one slot of every replicate: arrays of n_boot, spread like the items
-    pos = it.select(n.alias("n"), F.col("idx").alias("i"), F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("b"))
-    pos = pos.withColumn("idx", draw_index(seed, [], "b", "i", "n"))
-    q, r = F.floor(F.col("n") / k), F.col("n") % k
-    big = r * (q + 1)
-    pos = pos.withColumn("fold", F.when(F.col("i") < big, F.floor(F.col("i") / (q + 1)))
-                         .otherwise(r + F.floor((F.col("i") - big) / q)).cast("int"))
-    sample = pos.join(it.select("idx", target, *features), "idx")
-    terms = gram_terms(features, target)
-    g = sample.groupBy("b", "fold").agg(*[e.cast("double").alias(f"t{j}") for j, (_, e) in enumerate(terms)])
-    stack = ", ".join(f"'{name}', t{j}" for j, (name, _) in enumerate(terms))
-    long = g.selectExpr("b", "fold", f"stack({len(terms)}, {stack}) AS (term, value)")
+    names = [name for name, _ in gram_terms(features, target)]
+    sums = weighted_gram(items, features, target, order_col, n_boot, k, seed)
 
     def solve(pdf):
-        import pandas as pd
         folds: dict = {}
-        for f, t, v in zip(pdf["fold"], pdf["term"], pdf["value"]):
-            folds.setdefault(int(f), {})[t] = float(v)
-        z = _standardized(folds, features)
+        for f, values in pdf.sort_values(["fold", "part"])[["fold", "sums"]].itertuples(index=False):
+            folds[f] = folds.get(f, 0.0) + np.asarray(values)
+        z = _standardized({f: dict(zip(names, v)) for f, v in folds.items()}, features)
         rows = [(f, t, v) for f, d in z.items() for t, v in d.items()]
         _, beta = ridge_cv_from_gram(rows, features, alphas)
         return pd.DataFrame({"b": int(pdf["b"].iloc[0]), "feature": features, "coef": beta})
 
-    coefs = long.groupBy("b").applyInPandas(solve, "b long, feature string, coef double")
+    coefs = sums.groupBy("b").applyInPandas(solve, "b long, feature string, coef double")
     return coefs.groupBy("feature").agg(
         F.median("coef").alias("coef_median"), F.percentile("coef", 0.025).alias("coef_ci_lower"),
         F.percentile("coef", 0.975).alias("coef_ci_upper"),

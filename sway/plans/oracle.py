@@ -77,8 +77,10 @@ WITH trials AS (
 
 
 def with_fixtures(sql: str) -> str:
-    """Prefix ``sql`` with the fixture CTEs; a leading ``WITH`` in ``sql`` is merged."""
+    """Prefix ``sql`` with the fixture CTEs; a leading ``WITH`` (or ``WITH RECURSIVE``) in ``sql`` is merged."""
     body = sql.strip()
+    if body[:14].upper() == "WITH RECURSIVE":
+        return FIXTURE_CTES.rstrip().replace("WITH", "WITH RECURSIVE", 1) + ",\n" + body[14:].lstrip()
     if body[:4].upper() == "WITH":
         return FIXTURE_CTES.rstrip() + ",\n" + body[4:].lstrip()
     return FIXTURE_CTES + body
@@ -130,5 +132,34 @@ def hypergeometric_less_sql(a: str, b: str, c: str, d: str) -> str:
             f"exp({choose(f'({a} + {c})', 'i')} + {choose(f'({b} + {d})', f'({a} + {b} - i)')} - ({choose(f'({a} + {b} + {c} + {d})', f'({a} + {b})')})))))")
 
 
+def fisher_two_sided_sql(a: str, b: str, c: str, d: str) -> str:
+    """Two-sided Fisher p: all cells at most as likely as the observed one."""
+    choose = lambda n, k: f"lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - ({k}) + 1)"
+    log_at = lambda i: f"({choose(f'({a} + {c})', i)} + {choose(f'({b} + {d})', f'({a} + {b} - {i})')})"
+    total = choose(f"({a} + {b} + {c} + {d})", f"({a} + {b})")
+    return (f"least(1, list_sum(list_transform(range(greatest(0, {a} - {d})::BIGINT, least({a} + {b}, {a} + {c})::BIGINT + 1), "
+            f"lambda i: CASE WHEN {log_at('i')} <= {log_at(a)} + ln(1 + 1e-7) THEN exp({log_at('i')} - ({total})) ELSE 0 END)))")
+
+
+def normal_two_sided_sql(top: str, sd: str) -> str:
+    """min(1, 2 P(Z > top / sd)), the density integrated by Simpson's rule; 1 for sd = 0 and a negative top."""
+    z = f"({top} / {sd})"
+    area = (f"0.01 / 3 * list_sum(list_transform(range(0, 1001), lambda i: (CASE WHEN i = 0 OR i = 1000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) "
+            f"* exp(-pow({z} + i * 0.01, 2) / 2) / sqrt(2 * pi())))")
+    return f"CASE WHEN {sd} = 0 THEN CASE WHEN {top} < 0 THEN 1 WHEN {top} > 0 THEN 0 END WHEN {z} <= 0 THEN 1 ELSE least(1, 2 * {area}) END"
+
+
+def mann_whitney_exact_sql(u: str, m: str, n: str) -> str:
+    """min(1, 2 P(U >= u)) without ties, m <= n: orderings by dynamic programming over the product of
+    (1 - q^(n+i)) / (1 - q^i), up to U = m n - u."""
+    top = f"({m} * {n} - round({u}))::BIGINT"
+    one = f"list_transform(range(0, {top} + 1), lambda j: CASE WHEN j = 0 THEN 1.0::DOUBLE ELSE 0 END)"
+    less = f"list_transform(range(0, {top} + 1), lambda j: a[j + 1] - CASE WHEN j >= {n} + e[1] THEN a[j + 1 - ({n} + e[1])::BIGINT] ELSE 0 END)"
+    runs = f"list_transform(range(0, {top} + 1), lambda j: list_sum(list_transform(range(0, j // e[1]::BIGINT + 1), lambda t: c[(j - t * e[1])::BIGINT + 1])))"
+    step = f"list_transform([{less}], lambda c: {runs})[1]"
+    counts = f"list_reduce(list_concat([{one}], list_transform(range(1, ({m})::BIGINT + 1), lambda i: [i::DOUBLE])), lambda a, e: {step})"
+    return f"least(1, 2 * list_sum({counts}) / exp(lgamma({m} + {n} + 1) - lgamma({m} + 1) - lgamma({n} + 1)))"
+
+
 def marker_sql(p: str) -> str:
     return f"CASE WHEN {p} IS NULL THEN '' WHEN {p} < 0.001 THEN '***' WHEN {p} < 0.01 THEN '**' WHEN {p} < 0.05 THEN '*' ELSE 'ns' END"

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sway.functions import features as FT
+from sway.functions.splits import positions_ctes
 from sway.operators import evidence as EV
 from sway.plans.catalog import query
+from sway.plans.oracle import fisher_two_sided_sql, mann_whitney_exact_sql, normal_two_sided_sql, t_p_sql
+from sway.plans.q_text import feature_ctes
 from sway.sources import fixtures as fx
 from sway.sources.tables import read_table
 
@@ -108,6 +111,24 @@ PATTERN_FEATURES = ("has_percent", "has_normative_language", "has_source_cue", "
                     "normative_cue_count_per_100_words", "stats_cue_count_per_100_words",
                     "citation_count_per_100_words")
 
+# The items that the analyses share: labels joined to the features of their texts.
+_ITEMS = _EFFECTS + f""", docs AS (SELECT DISTINCT sha256(text) AS evidence_hash, text FROM documents WHERE text IS NOT NULL),
+{feature_ctes("docs", "evidence_hash")},
+it AS MATERIALIZED (SELECT labels.evidence_hash, labels.median_abs_shift, labels.evidence_effect_pattern, {", ".join("tf." + c for c in PATTERN_FEATURES)}
+  FROM labels JOIN tf USING (evidence_hash))
+"""
+_AS_DOUBLE = ", ".join(f"{c}::DOUBLE AS {c}" for c in PATTERN_FEATURES)
+
+
+def _long_sql(features) -> str:
+    return " UNION ALL ".join(f"SELECT evidence_hash, evidence_effect_pattern, median_abs_shift AS y, '{c}' AS feature, {c}::DOUBLE AS value FROM it" for c in features)
+
+
+def _ranked(value: str, keys: str) -> str:
+    """Average ranks within ``keys``, as a window expression."""
+    rounded = f"round({value}, 12) + 0.0"
+    return f"rank() OVER (PARTITION BY {keys} ORDER BY {rounded}) + (count(*) OVER (PARTITION BY {keys}, {rounded}) - 1) / 2.0"
+
 
 def _item_features(spark, sf_dir):
     """Text features per evidence item (one row per distinct evidence hash).
@@ -121,20 +142,26 @@ def _item_features(spark, sf_dir):
     return f.groupBy("evidence_hash").agg(*[F.max(c).alias(c) for c in PATTERN_FEATURES])
 
 
-@query("pattern_means")
+@query("pattern_means", _ITEMS + "SELECT evidence_effect_pattern, count(*) AS n_items, "
+       + ", ".join(f"round(avg({c}::DOUBLE), 6) AS {c}" for c in PATTERN_FEATURES) + " FROM it GROUP BY evidence_effect_pattern")
 def q_pattern_means(spark, sf_dir):
-    """Mean of each feature per pattern with the group size (rows-only: features use
-    Unicode-aware regex counters, checked by brute force in tests/test_text.py)."""
+    """Mean of each feature per pattern with the group size."""
     lab = EV.pattern_labels(EV.evidence_summary(_effects(spark, sf_dir)))
     j = lab.join(_item_features(spark, sf_dir), "evidence_hash")
     return j.groupBy("evidence_effect_pattern").agg(
         F.count(F.lit(1)).alias("n_items"), *[F.avg(c).alias(c) for c in PATTERN_FEATURES])
 
 
-@query("spearman_features")
+_SPEARMAN = f"""
+, lf AS (SELECT feature, {_ranked("value", "feature")} AS rv, {_ranked("y", "feature")} AS rt FROM (FEATURES)),
+sp AS (SELECT feature, CASE WHEN stddev_pop(rv) > 0 AND stddev_pop(rt) > 0 THEN corr(rv, rt) END AS rho, count(*) AS n FROM lf GROUP BY feature)
+"""
+
+
+@query("spearman_features", _ITEMS + _SPEARMAN.replace("FEATURES", _long_sql(PATTERN_FEATURES)) + "SELECT feature, round(rho, 6) AS spearman_rho, n FROM sp")
 def q_spearman_features(spark, sf_dir):
     """Spearman rho between each feature and the median absolute shift over items seen by
-    at least three models (ranks by window; rows-only)."""
+    at least three models (average ranks)."""
     lab = EV.pattern_labels(EV.evidence_summary(_effects(spark, sf_dir)))
     j = lab.join(_item_features(spark, sf_dir), "evidence_hash")
     stack = ", ".join(f"'{c}', {c}" for c in PATTERN_FEATURES)
@@ -193,54 +220,41 @@ def _analysis_items(spark, sf_dir):
 
 
 def _gaps_sql() -> str:
-    from sway.plans.q_text import _duck_flag
-    flag_cols = {
-        "has_percent": _duck_flag(FT.PERCENT, False),
-        "has_normative_language": _duck_flag(FT.NORMATIVE, True),
-        "has_source_cue": _duck_flag(FT.SOURCE_CUES, True),
-        "has_strict_source": _duck_flag(FT.CITATION_MARKER, False),
-        "has_strict_statistics": "(regexp_matches(t, '" + FT.PERCENT + "') OR " + _duck_flag(FT.STRICT_STATS, True) + ")",
-    }
-    flags = ", ".join(f"{v} AS {k}" for k, v in flag_cols.items())
-    unions = " UNION ALL ".join(f"SELECT evidence_hash, median_abs_shift AS y, '{k}' AS feature, {k} AS flag FROM it"
-                                for k in flag_cols)
-    return _EFFECTS + f"""
-, docs AS (SELECT DISTINCT text FROM documents),
-ft AS (SELECT sha256(text) AS evidence_hash, {flags} FROM (SELECT text, coalesce(text, '') AS t FROM docs)),
-it AS (SELECT labels.evidence_hash, labels.median_abs_shift, ft.* EXCLUDE (evidence_hash) FROM labels
-       JOIN ft USING (evidence_hash)),
-long AS ({unions}),
+    unions = " UNION ALL ".join(f"SELECT evidence_hash, median_abs_shift AS y, '{k}' AS feature, {k} AS flag FROM it" for k in BINARY_FEATURES)
+    return _ITEMS.replace("WITH", "WITH RECURSIVE", 1) + f"""
+, long AS ({unions}),
 obs AS (SELECT feature, count(*) FILTER (WHERE flag) AS n_true, count(*) FILTER (WHERE NOT flag) AS n_false,
           median(y) FILTER (WHERE flag) - median(y) FILTER (WHERE NOT flag) AS gap FROM long GROUP BY feature),
 ok AS (SELECT feature FROM obs WHERE n_true >= 5 AND n_false >= 5),
-v AS (SELECT l.*, row_number() OVER (PARTITION BY l.feature, l.flag ORDER BY l.evidence_hash) - 1 AS idx
+v AS (SELECT l.feature, l.flag, l.y, row_number() OVER (PARTITION BY l.feature, l.flag ORDER BY l.y) - 1 AS idx
       FROM long l JOIN ok USING (feature)),
-sz AS (SELECT feature, flag, count(*) AS n FROM v GROUP BY feature, flag),
-dr AS (SELECT sz.feature, sz.flag, sz.n, b.b, i.i FROM sz, range(1, 3001) b(b), range(0, sz.n) i(i)),
-d0 AS (SELECT *, ('0x' || substr(md5(concat_ws(':', '42', feature, CASE WHEN flag THEN 'true' ELSE 'false' END)), 1, 7))::BIGINT AS salt FROM dr),
-d1 AS (SELECT *, (salt + b * 48271 + i * 69621) % 2147483647 AS t1 FROM d0),
-d2 AS (SELECT *, (t1 * t1 + salt) % 2147483647 AS t2 FROM d1),
-dx AS (SELECT feature, flag, b, ((t2 * t2 + b) % 2147483647) % n AS idx FROM d2),
-reps AS (SELECT dx.feature, dx.b, median(v.y) FILTER (WHERE dx.flag) - median(v.y) FILTER (WHERE NOT dx.flag) AS g
-         FROM dx JOIN v USING (feature, flag, idx) GROUP BY dx.feature, dx.b),
-ci AS (SELECT feature, quantile_cont(g, 0.025) AS lo, quantile_cont(g, 0.975) AS hi FROM reps GROUP BY feature)
-SELECT obs.feature, 'binary' AS feature_type, n_true, n_false,
+sz AS (SELECT feature, flag, count(*) AS n,
+         ('0x' || substr(md5(concat_ws(':', '42', feature, CASE WHEN flag THEN 'true' ELSE 'false' END)), 1, 7))::BIGINT AS salt FROM v GROUP BY feature, flag),
+{positions_ctes("sz", ["feature", "flag"], 3000)},
+reps AS (SELECT dx.feature, dx.b, avg(v.y) FILTER (WHERE dx.flag) - avg(v.y) FILTER (WHERE NOT dx.flag) AS g
+         FROM drawn dx JOIN v ON v.feature = dx.feature AND v.flag = dx.flag AND v.idx = dx.i GROUP BY dx.feature, dx.b),
+ci AS (SELECT feature, quantile_cont(g, 0.025) AS lo, quantile_cont(g, 0.975) AS hi FROM reps GROUP BY feature),
+gaps AS (SELECT obs.feature, 'binary' AS feature_type, n_true, n_false,
   round(CASE WHEN n_true >= 5 AND n_false >= 5 THEN gap END, 6) AS effectiveness_gap_true_minus_false,
   round(lo, 6) AS gap_ci_lower, round(hi, 6) AS gap_ci_upper
-FROM obs LEFT JOIN ci USING (feature)
+FROM obs LEFT JOIN ci USING (feature))
 """
 
 
-@query("feature_gaps", _gaps_sql())
+@query("feature_gaps", _gaps_sql() + "SELECT * FROM gaps")
 def q_feature_gaps(spark, sf_dir):
     """Binary text features: median |shift| gap (true - false) with a 3 000-draw bootstrap
     interval (keyed draws, reproduced by the oracle)."""
     return ES.binary_feature_gaps(_analysis_items(spark, sf_dir), list(BINARY_FEATURES), "median_abs_shift", 3000)
 
 
-@query("feature_associations")
+@query("feature_associations", _gaps_sql() + _SPEARMAN.replace("FEATURES", _long_sql(NUMERIC_FEATURES)) + f"""
+SELECT *, NULL::DOUBLE AS spearman_rho, NULL::DOUBLE AS spearman_p_value FROM gaps
+UNION ALL SELECT feature, 'numeric', NULL, NULL, NULL, NULL, NULL, round(rho, 6),
+  round(CASE WHEN n > 2 AND rho IS NOT NULL THEN CASE WHEN abs(rho) >= 1 THEN 0 ELSE {t_p_sql("(rho * sqrt((n - 2) / (1 - rho * rho)))", "(n - 2)")} END END, 6) FROM sp
+""")
 def q_feature_associations(spark, sf_dir):
-    """Association table: binary gaps with intervals, numeric Spearman rho and p (rows-only)."""
+    """Association table: binary gaps with intervals, numeric Spearman rho and p."""
     items = _analysis_items(spark, sf_dir)
     gaps = ES.binary_feature_gaps(items, list(BINARY_FEATURES), "median_abs_shift", 3000)
     stack = ", ".join(f"'{c}', {c}" for c in NUMERIC_FEATURES)
@@ -253,7 +267,27 @@ def q_feature_associations(spark, sf_dir):
                        F.col("spearman_rho").desc_nulls_last())
 
 
-@query("pattern_tests")
+def _pattern_tests_sql() -> str:
+    cells = {"a": "s1", "b": "(n1 - s1)", "c": "(S - s1)", "d": "(n2 - (S - s1))"}
+    binary = ", ".join(f"'{c}'" for c in BINARY_FEATURES)
+    return _ITEMS + f""", lf AS (SELECT *, {_ranked("value", "feature")} AS rk FROM ({_long_sql(PATTERN_FEATURES)})),
+tot AS (SELECT feature, count(*) AS N, sum(value) AS S, sum(value * value) AS SS FROM lf GROUP BY feature),
+ties AS (SELECT feature, sum(t * t * t - t) AS tie FROM (SELECT feature, count(*)::DOUBLE AS t FROM lf GROUP BY feature, round(value, 12)) GROUP BY feature),
+per AS (SELECT feature, evidence_effect_pattern AS pattern, count(*) AS n1, sum(value) AS s1, sum(value * value) AS ss1, sum(rk) AS r1 FROM lf GROUP BY ALL),
+joined AS (SELECT *, N - n1 AS n2, s1 / n1 AS m1, CASE WHEN N > n1 THEN (S - s1) / (N - n1) END AS m2, r1 - n1 * (n1 + 1) / 2 AS u1, feature IN ({binary}) AS bin
+      FROM per JOIN tot USING (feature) JOIN ties USING (feature)),
+spread AS (SELECT *, CASE WHEN n1 > 1 THEN (ss1 - n1 * m1 * m1) / (n1 - 1) ELSE 0 END AS v1,
+        CASE WHEN n2 > 1 THEN (SS - ss1 - n2 * m2 * m2) / (n2 - 1) ELSE 0 END AS v2, greatest(u1, n1 * n2 - u1) AS u FROM joined),
+tests AS (SELECT *, CASE WHEN n1 + n2 > 2 THEN sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) END AS pooled,
+        CASE WHEN bin THEN {fisher_two_sided_sql(*cells.values())}
+             WHEN n1 > 0 AND n2 > 0 AND least(n1, n2) <= 8 AND tie = 0 THEN {mann_whitney_exact_sql("u", "least(n1, n2)", "greatest(n1, n2)")}
+             WHEN n1 > 0 AND n2 > 0 THEN {normal_two_sided_sql("(u - n1 * n2 / 2 - 0.5)", "sqrt(greatest(n1 * n2 / 12 * (N + 1 - tie / (N * (N - 1))), 0))")} END AS p FROM spread)
+SELECT pattern, feature, CASE WHEN bin THEN 'binary' ELSE 'numeric' END AS feature_type, round(m1, 6) AS mean_in, round(m2, 6) AS mean_out,
+  round(m1 - m2, 6) AS effect_size_diff, round(CASE WHEN NOT bin AND pooled > 0 THEN (m1 - m2) / pooled END, 6) AS cohens_d, round(p, 6) AS p_value,
+  CASE WHEN p IS NULL THEN '' WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE '' END AS sig FROM tests"""
+
+
+@query("pattern_tests", _pattern_tests_sql())
 def q_pattern_tests(spark, sf_dir):
     """Each effect pattern vs the rest: Fisher exact (binary), Cohen's d and Mann-Whitney (numeric)."""
     return ES.pattern_tests(_analysis_items(spark, sf_dir), list(BINARY_FEATURES), list(NUMERIC_FEATURES))
@@ -265,10 +299,9 @@ def _pairs(spark, sf_dir):
     return q_pair_alignment(spark, sf_dir).checkpoint()
 
 
-@query("family_gap")
 def q_family_gap(spark, sf_dir):
     """Same- vs cross-family alignment gap with a 20 000-permutation label test and a
-    5 000-draw pair bootstrap (rows-only)."""
+    5 000-draw pair bootstrap."""
     return ES.family_gap(_pairs(spark, sf_dir), fx.model_families(spark, sf_dir),
                          ["pearson_r", "spearman_rho"], 20000, 5000)
 
@@ -291,6 +324,28 @@ d AS (SELECT m.model AS dropped_model, l.* FROM long l JOIN (SELECT DISTINCT mod
 """
 
 
+query("family_gap", _LOMO.replace("WITH", "WITH RECURSIVE", 1) + f"""
+, pos AS (SELECT *, row_number() OVER (ORDER BY model) AS pos FROM fam),
+sh AS (SELECT perm, model, row_number() OVER (PARTITION BY perm ORDER BY md5(concat_ws(':', '42', perm, model)), model) AS pos
+       FROM fam, range(1, 20001) r(perm)),
+pf AS (SELECT sh.perm, sh.model, pos.family FROM sh JOIN pos USING (pos)),
+obs AS (SELECT metric, median(value) FILTER (WHERE same) AS ms, median(value) FILTER (WHERE NOT same) AS mc FROM long WHERE value IS NOT NULL GROUP BY metric),
+pg AS (SELECT l.metric, fa.perm, median(value) FILTER (WHERE fa.family = fb.family) - median(value) FILTER (WHERE fa.family <> fb.family) AS pgap
+       FROM long l JOIN pf fa ON fa.model = l.model_a JOIN pf fb ON fb.model = l.model_b AND fb.perm = fa.perm WHERE value IS NOT NULL GROUP BY ALL),
+pv AS (SELECT metric, avg(CASE WHEN pgap IS NOT NULL THEN CASE WHEN abs(pgap) >= abs(ms - mc) THEN 1.0 ELSE 0.0 END END) AS p FROM pg JOIN obs USING (metric) GROUP BY metric),
+vs AS (SELECT metric, same AS flag, value AS y, row_number() OVER (PARTITION BY metric, same ORDER BY value) - 1 AS idx FROM long WHERE value IS NOT NULL),
+sz AS (SELECT metric, flag, count(*) AS n,
+         ('0x' || substr(md5(concat_ws(':', '42', metric, CASE WHEN flag THEN 'true' ELSE 'false' END)), 1, 7))::BIGINT AS salt FROM vs GROUP BY metric, flag),
+{positions_ctes("sz", ["metric", "flag"], 5000)},
+reps AS (SELECT x.metric, x.b, avg(vs.y) FILTER (WHERE x.flag) - avg(vs.y) FILTER (WHERE NOT x.flag) AS g
+         FROM drawn x JOIN vs ON vs.metric = x.metric AND vs.flag = x.flag AND vs.idx = x.i GROUP BY x.metric, x.b),
+ci AS (SELECT metric, quantile_cont(g, 0.025) AS lo, quantile_cont(g, 0.975) AS hi FROM reps GROUP BY metric)
+SELECT metric, round(ms, 6) AS median_same_family, round(mc, 6) AS median_cross_family, round(ms - mc, 6) AS median_gap_same_minus_cross,
+  round(p, 6) AS label_permutation_p_value, round(lo, 6) AS pair_bootstrap_ci_lower, round(hi, 6) AS pair_bootstrap_ci_upper
+FROM obs LEFT JOIN pv USING (metric) LEFT JOIN ci USING (metric)
+""")(q_family_gap)
+
+
 @query("lomo_gap", _LOMO + """
 SELECT dropped_model, metric,
   round(median(value) FILTER (WHERE same) - median(value) FILTER (WHERE NOT same), 6) AS median_gap_same_minus_cross

@@ -8,7 +8,7 @@ from sway.operators import evidence as EV
 from sway.operators import resample as RS
 from sway.operators import shares, shift
 from sway.plans.catalog import query
-from sway.plans.q_evidence import PATTERN_FEATURES, _effects, _item_features
+from sway.plans.q_evidence import _ITEMS, PATTERN_FEATURES, _effects, _item_features
 from sway.plans.q_omind import _SCORES_CTE
 from sway.plans.q_shift import _TEST_COLUMNS, SHIFT_TESTS
 from sway.sources import fixtures as fx
@@ -60,10 +60,22 @@ def _ridge_table(spark, sf_dir):
     return RS.kfold_index(z, "evidence_hash", 5)
 
 
-@query("ridge_gram")
+def _gram_sql() -> str:
+    z = ", ".join(f"coalesce(({c}::DOUBLE - avg({c}::DOUBLE) OVER ()) / nullif(stddev_pop({c}::DOUBLE) OVER (), 0), 0) AS {c}" for c in PATTERN_FEATURES)
+    fs = PATTERN_FEATURES
+    sums = [("n", "count(*)"), *[(f"sx:{a}", f"sum({a})") for a in fs],
+            *[(f"sxx:{a}:{b}", f"sum({a} * {b})") for i, a in enumerate(fs) for b in fs[i:]],
+            *[(f"sxy:{a}", f"sum({a} * median_abs_shift)") for a in fs], ("sy", "sum(median_abs_shift)"), ("syy", "sum(median_abs_shift * median_abs_shift)")]
+    cells = ", ".join(f"{{'term': '{t}', 'value': ({e})::DOUBLE}}" for t, e in sums)
+    return _ITEMS + f""", zs AS (SELECT evidence_hash, median_abs_shift, {z}, row_number() OVER (ORDER BY evidence_hash) - 1 AS pos, count(*) OVER () AS n FROM it),
+fs AS (SELECT *, CASE WHEN pos < (n % 5) * (n // 5 + 1) THEN pos // (n // 5 + 1) ELSE n % 5 + (pos - (n % 5) * (n // 5 + 1)) // (n // 5) END AS fold FROM zs)
+SELECT fold, c.term, round(c.value, 6) AS value FROM (SELECT fold::INTEGER AS fold, unnest([{cells}]) AS c FROM fs GROUP BY fold)"""
+
+
+@query("ridge_gram", _gram_sql())
 def q_ridge_gram(spark, sf_dir):
     """Per-fold sufficient statistics (n, sums, cross-products) of the standardised
-    12-feature ridge model, one Spark aggregate (rows-only: features use Unicode regex)."""
+    12-feature ridge model, one Spark aggregate."""
     return RS.fold_gram(_ridge_table(spark, sf_dir), list(PATTERN_FEATURES), "median_abs_shift")
 
 
@@ -82,7 +94,7 @@ def q_ridge_cv(spark, sf_dir):
 @query("ridge_bootstrap")
 def q_ridge_bootstrap(spark, sf_dir):
     """Median, 95 % interval and sign rates of the ridge coefficients over 250 bootstrap
-    replicates (keyed MD5 draws; rows-only)."""
+    replicates (keyed splits; rows-only, brute force in tests/test_ridge.py)."""
     lab = EV.pattern_labels(EV.evidence_summary(_effects(spark, sf_dir)))
     j = lab.join(_item_features(spark, sf_dir), "evidence_hash").select(
         "evidence_hash", "median_abs_shift", *PATTERN_FEATURES).dropna()

@@ -14,15 +14,6 @@ def _docs(spark, sf_dir):
     return read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
 
 
-@query("text_features")
-def q_text_features(spark, sf_dir):
-    """All 37 lexical/readability features per evidence text (documents).  Rows-only
-    here: the case-sensitive Unicode-boundary counters are checked against Python's
-    ``re`` on the sf0.001 documents in tests/test_text.py."""
-    d = _docs(spark, sf_dir)
-    return d.select("doc_id", *FT.text_features(F.col("text")))
-
-
 def _duck_flag(alts: str, bounded: bool) -> str:
     if bounded:
         pat = "(?i)(^|[^\\p{L}\\p{N}_])(?:" + alts + ")([^\\p{L}\\p{N}_]|$)"
@@ -31,6 +22,45 @@ def _duck_flag(alts: str, bounded: bool) -> str:
     return "regexp_matches(t, '" + pat.replace("'", "''") + "')"
 
 
+# Letters beyond ASCII, which the oracle's word boundaries don't know: each is read as an x.
+_LETTERS = r"[\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{2C1}\x{300}-\x{1FFF}\x{2C00}-\x{2DFF}\x{3005}-\x{D7FF}]"
+# White space as Unicode has it.
+_SPACE = r"\t-\r \x{85}\p{Z}"
+
+
+def feature_ctes(source: str, key: str) -> str:
+    """CTE ``tf``: ``key`` and every text feature of the relation ``source`` (key, text)."""
+    count = lambda of, pattern: f"len(regexp_extract_all({of}, '{pattern}'))::INTEGER"
+    flags = ", ".join(f"{_duck_flag(alts, bounded)} AS {name}" for name, (alts, bounded) in FT.FLAGS.items())
+    return rf"""
+tf_text AS (SELECT {key}, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '{_LETTERS}', 'x', 'g') AS w FROM {source}),
+tf_counts AS (SELECT {key}, length(t)::INTEGER AS char_count, {count('t', f'[^{_SPACE}]+')} AS word_count,
+  greatest({count('t', '[.!?]+')}, 1) AS sentence_count, {count('t', r'[\p{Nd}]')} AS digit_count,
+  length(regexp_replace(t, '[{_SPACE}]+', '', 'g')) AS solid, greatest({count('lower(t)', '[aeiouy]+')}, 1) AS syllable_count_est,
+  {flags}, contains(t, '?') AS has_question_mark, regexp_matches(t, '["'']') AS has_quote_mark, {_duck_flag(FT.STATS_TERMS, True)} AS stats_hit,
+  {_duck_flag(FT.STRICT_STATS, True)} AS strict_hit, {count('t', FT.PERCENT)} AS percent_count,
+  {count('w', rf'\b({FT.SOURCE_CUES})\b')} AS source_cue_count, {count('w', rf'\b({FT.NORMATIVE})\b')} AS normative_cue_count,
+  {count('w', rf'\b(?:{FT.STATS_TERMS})\b')} AS stats_term_count, {count('t', r'\[[\p{Nd}]+\]')} AS citation_count FROM tf_text),
+tf AS (SELECT * EXCLUDE (solid, stats_hit, strict_hit), has_number OR has_percent OR stats_hit AS has_statistics, has_source_cue OR has_citation_marker AS has_source,
+  has_citation_marker AS has_strict_source, percent_count > 0 OR strict_hit AS has_strict_statistics, digit_count / greatest(char_count, 1) AS number_density,
+  solid / greatest(word_count, 1) AS avg_word_length, word_count / sentence_count AS avg_sentence_length_words,
+  0.39 * (word_count / sentence_count) + 11.8 * (syllable_count_est / greatest(word_count, 1)) - 15.59 AS flesch_kincaid_grade_est,
+  100 * percent_count / greatest(word_count, 1) AS percent_count_per_100_words, 100 * source_cue_count / greatest(word_count, 1) AS source_cue_count_per_100_words,
+  100 * normative_cue_count / greatest(word_count, 1) AS normative_cue_count_per_100_words, 100 * citation_count / greatest(word_count, 1) AS citation_count_per_100_words,
+  100 * (digit_count + stats_term_count) / greatest(word_count, 1) AS stats_cue_count_per_100_words FROM tf_counts)"""
+
+
+_RATES = ("number_density", "avg_word_length", "avg_sentence_length_words", "flesch_kincaid_grade_est", "percent_count_per_100_words",
+          "source_cue_count_per_100_words", "normative_cue_count_per_100_words", "citation_count_per_100_words", "stats_cue_count_per_100_words")
+
+
+@query("text_features", f"WITH {feature_ctes('documents', 'doc_id')} SELECT * REPLACE ({', '.join(f'round({c}, 6) AS {c}' for c in _RATES)}) FROM tf")
+def q_text_features(spark, sf_dir):
+    """All 37 lexical/readability features per evidence text (documents)."""
+    d = _docs(spark, sf_dir)
+    return d.select("doc_id", *FT.text_features(F.col("text")))
+
+
 def _cue_sql() -> str:
     cols = [f"{_duck_flag(a, b)} AS {k}" for k, (a, b) in FT.FLAGS.items()]
     return (

@@ -73,3 +73,53 @@ def test_raw_sums_standardised():
     for f in exp:
         for t in exp[f]:
             assert np.isclose(z[f][t], exp[f][t], rtol=1e-9, atol=1e-9), (f, t)
+
+
+def _hashed(n, seed):
+    rng = np.random.default_rng(seed)
+    X = rng.normal(loc=2, scale=[1, 3, 0.5], size=(n, 3))
+    y = X @ np.array([0.5, -0.1, 0.0]) + rng.normal(scale=0.3, size=n)
+    keys = sorted(f"{int(k):016x}" for k in rng.integers(0, 1 << 62, n))
+    return X, y, keys
+
+
+def test_bucket_draws_add_up():
+    """Every draw of a resample falls into one bucket, and buckets are hit in proportion to their items."""
+    sizes = np.array([5, 0, 900, 20, 75, 0, 0, 1000], np.int64)
+    draws = np.full(4000, 700)
+    got = np.stack([RS.bucket_draws(sizes, i, draws, 42) for i in range(len(sizes))])
+    assert (got.sum(axis=0) == 700).all() and (got[[1, 5, 6]] == 0).all()
+    assert np.allclose(got.mean(axis=1), 700 * sizes / 2000, atol=0.8)
+    counts = RS.item_counts(sizes, 4, draws, 42)
+    assert (counts.sum(axis=1) == got[4]).all() and np.allclose(counts.mean(axis=0), 0.35, atol=0.05)
+
+
+def test_ridge_bootstrap_equals_fits_on_explicit_resamples(spark):
+    n, k, n_boot, salt = 3000, 5, 6, 7
+    X, y, keys = _hashed(n, 3)
+    feats = ["a", "b", "c"]
+    df = spark.createDataFrame([(h, float(t), *map(float, x)) for h, t, x in zip(keys, y, X)], "h string, y double, a double, b double, c double")
+    alphas = np.logspace(-4, 3, 20)
+    got = RS.ridge_bootstrap(df.repartition(7), feats, "y", "h", n_boot, k, salt, alphas).toPandas().set_index("feature")
+
+    buckets = np.array([int(h[0], 16) for h in keys])  # one digit: 3000 / 2048 is nearer to 16 than to 1
+    sizes = np.bincount(buckets, minlength=16)
+    draws = np.tile(RS.fold_sizes(n, k), n_boot)
+    counts = np.concatenate([RS.item_counts(sizes, b, draws, salt) for b in range(16)], axis=1)  # items in hash order
+    assert (counts.sum(axis=1) == draws).all()
+    betas = []
+    for b in range(n_boot):
+        rows = np.concatenate([np.repeat(np.arange(n), counts[b * k + f]) for f in range(k)])  # fold after fold
+        Z = (X[rows] - X[rows].mean(0)) / X[rows].std(0)
+        betas.append(_direct(Z, y[rows], alphas, k)[1])
+    betas = np.array(betas)
+    for i, f in enumerate(feats):
+        assert np.isclose(got.loc[f, "coef_median"], np.median(betas[:, i]), rtol=1e-8)
+        assert np.isclose(got.loc[f, "coef_ci_lower"], np.percentile(betas[:, i], 2.5), rtol=1e-8, atol=1e-12)
+
+
+def test_ridge_bootstrap_plan_has_no_replicate_rows(spark):
+    X, y, keys = _hashed(50, 4)
+    df = spark.createDataFrame([(h, float(t), *map(float, x)) for h, t, x in zip(keys, y, X)], "h string, y double, a double, b double, c double")
+    plan = RS.weighted_gram(df, ["a", "b", "c"], "y", "h", 250, 5, 1)._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "Join" not in plan
