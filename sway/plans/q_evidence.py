@@ -11,7 +11,7 @@ from sway.plans.catalog import query
 from sway.plans.oracle import fisher_two_sided_sql, mann_whitney_exact_sql, normal_two_sided_sql, t_p_sql
 from sway.plans.q_text import feature_ctes
 from sway.sources import fixtures as fx
-from sway.sources.tables import read_table
+from sway.sources.tables import read_table, spread
 
 _EFFECTS = """
 WITH ev AS (SELECT doc_id AS evidence_id, sha256(text) AS evidence_hash FROM documents),
@@ -135,7 +135,7 @@ def _item_features(spark, sf_dir):
 
     Features are computed on the referenced evidence documents only and deduplicated by
     their hash (identical texts have identical features), never by shuffling full texts."""
-    d = _evidence_docs(spark, sf_dir)
+    d = spread(_evidence_docs(spark, sf_dir), "doc_id")
     f = d.select(F.sha2("text", 256).alias("evidence_hash"),
                  *FT.text_features(F.col("text")))
     f = f.select("evidence_hash", *[F.col(c).cast("double").alias(c) for c in PATTERN_FEATURES])
@@ -162,8 +162,7 @@ sp AS (SELECT feature, CASE WHEN stddev_pop(rv) > 0 AND stddev_pop(rt) > 0 THEN
 def q_spearman_features(spark, sf_dir):
     """Spearman rho between each feature and the median absolute shift over items seen by
     at least three models (average ranks)."""
-    lab = EV.pattern_labels(EV.evidence_summary(_effects(spark, sf_dir)))
-    j = lab.join(_item_features(spark, sf_dir), "evidence_hash")
+    j = _analysis_items(spark, sf_dir)
     stack = ", ".join(f"'{c}', {c}" for c in PATTERN_FEATURES)
     long = j.selectExpr("evidence_hash", "median_abs_shift",
                         f"stack({len(PATTERN_FEATURES)}, {stack}) AS (feature, value)")

@@ -51,28 +51,31 @@ def q_recency_rate(spark, sf_dir):
 
 
 def order_prompts(spark, sf_dir):
-    """One prompt per document, its text as the last argument: every fourth as it is, the others with
-    the opening of the text cut off (the probe then starts inside a line), with another opening to
-    each line (only the middle slice is left), and reversed (nothing matches)."""
+    """One prompt per document: the whole text of the document before it (by id) as an earlier argument, its own
+    text as the last one, every fourth as it is, the others with the opening of the text cut off (the probe then
+    starts inside a line), with another opening to each line (only the middle slice is left), and reversed
+    (only the earlier argument would match, which doesn't count)."""
     d = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    before = d.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("earlier"))
+    d = d.join(before, "doc_id", "left")
     t, kind = F.col("text"), F.col("doc_id") % 4
     shown = (F.when(kind == 1, F.substring(t, F.lit(8), F.length(t)))
              .when(kind == 2, F.concat(F.lit("Another opening: "), F.replace(t, F.lit("\n"), F.lit("\nAnother opening: "))))
              .when(kind == 3, F.reverse(t)).otherwise(t))
-    text = F.concat(F.lit("Question: "), F.col("source"), F.lit("\n\nAn earlier argument on "), F.col("source"),
+    text = F.concat(F.lit("Question: "), F.col("source"), F.lit("\n\n"), F.coalesce("earlier", F.lit("")),
                     F.lit("\nCitations: [1] a\n---\n"), shown, F.lit("\nCitations: [2] b\n---\n"))
     return d.select(F.col("doc_id").alias("prompt_id"), F.col("source").alias("topic"), text.alias("text"))
 
 
 @query("last_argument", """
-WITH p AS (SELECT doc_id AS prompt_id, source AS topic,
-        concat('Question: ', source, chr(10) || chr(10) || 'An earlier argument on ', source,
+WITH p AS (SELECT d.doc_id AS prompt_id, d.source AS topic,
+        concat('Question: ', d.source, chr(10) || chr(10), coalesce(e.text, ''),
                chr(10) || 'Citations: [1] a' || chr(10) || '---' || chr(10),
-               CASE doc_id % 4 WHEN 1 THEN substr(text, 8)
-                    WHEN 2 THEN 'Another opening: ' || replace(text, chr(10), chr(10) || 'Another opening: ')
-                    WHEN 3 THEN reverse(text) ELSE text END,
+               CASE d.doc_id % 4 WHEN 1 THEN substr(d.text, 8)
+                    WHEN 2 THEN 'Another opening: ' || replace(d.text, chr(10), chr(10) || 'Another opening: ')
+                    WHEN 3 THEN reverse(d.text) ELSE d.text END,
                chr(10) || 'Citations: [2] b' || chr(10) || '---' || chr(10)) AS text
-      FROM documents),
+      FROM documents d LEFT JOIN documents e ON e.doc_id + 1 = d.doc_id),
 b AS (SELECT prompt_id, topic, string_split(text, 'Citations:')[-2] AS block FROM p
       WHERE contains(text, 'Citations:')),
 l AS (SELECT prompt_id, topic,

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 
-from sway.operators import evidence as EV
 from sway.operators import resample as RS
 from sway.operators import shares, shift
 from sway.plans.catalog import query
-from sway.plans.q_evidence import _ITEMS, PATTERN_FEATURES, _effects, _item_features
+from sway.plans.q_evidence import _ITEMS, PATTERN_FEATURES, _analysis_items
 from sway.plans.q_omind import _SCORES_CTE
 from sway.plans.q_shift import _TEST_COLUMNS, SHIFT_TESTS
 from sway.sources import fixtures as fx
@@ -53,9 +52,7 @@ def q_bh_adjust(spark, sf_dir):
 
 
 def _ridge_table(spark, sf_dir):
-    lab = EV.pattern_labels(EV.evidence_summary(_effects(spark, sf_dir)))
-    j = lab.join(_item_features(spark, sf_dir), "evidence_hash").select(
-        "evidence_hash", "median_abs_shift", *PATTERN_FEATURES).dropna()
+    j = _analysis_items(spark, sf_dir).select("evidence_hash", "median_abs_shift", *PATTERN_FEATURES).dropna()
     z = RS.standardize(j, list(PATTERN_FEATURES))
     return RS.kfold_index(z, "evidence_hash", 5)
 
@@ -95,7 +92,5 @@ def q_ridge_cv(spark, sf_dir):
 def q_ridge_bootstrap(spark, sf_dir):
     """Median, 95 % interval and sign rates of the ridge coefficients over 250 bootstrap
     replicates (keyed splits; rows-only, brute force in tests/test_ridge.py)."""
-    lab = EV.pattern_labels(EV.evidence_summary(_effects(spark, sf_dir)))
-    j = lab.join(_item_features(spark, sf_dir), "evidence_hash").select(
-        "evidence_hash", "median_abs_shift", *PATTERN_FEATURES).dropna()
+    j = _analysis_items(spark, sf_dir).select("evidence_hash", "median_abs_shift", *PATTERN_FEATURES).dropna()
     return RS.ridge_bootstrap(j, list(PATTERN_FEATURES), "median_abs_shift", "evidence_hash", 250)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sway.functions import features as FT
 from sway.functions.parse import slugify
 from sway.plans.catalog import query
-from sway.sources.tables import read_table
+from sway.sources.tables import read_table, spread
 
 
 def _docs(spark, sf_dir):
@@ -57,7 +57,7 @@ _RATES = ("number_density", "avg_word_length", "avg_sentence_length_words", "fle
 @query("text_features", f"WITH {feature_ctes('documents', 'doc_id')} SELECT * REPLACE ({', '.join(f'round({c}, 6) AS {c}' for c in _RATES)}) FROM tf")
 def q_text_features(spark, sf_dir):
     """All 37 lexical/readability features per evidence text (documents)."""
-    d = _docs(spark, sf_dir)
+    d = spread(_docs(spark, sf_dir), "doc_id")
     return d.select("doc_id", *FT.text_features(F.col("text")))
 
 
@@ -81,7 +81,7 @@ def _cue_sql() -> str:
 @query("cue_flags", _cue_sql())
 def q_cue_flags(spark, sf_dir):
     """Case-insensitive, Unicode-word-bounded cue flags per document."""
-    return _docs(spark, sf_dir).select("doc_id", *FT.cue_flags(F.col("text")))
+    return spread(_docs(spark, sf_dir), "doc_id").select("doc_id", *FT.cue_flags(F.col("text")))
 
 
 def _quote_sql() -> str:

@@ -17,3 +17,12 @@ def table_path(sf_dir: str, name: str) -> str:
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Parquet scan; callers project the columns they need so Catalyst prunes the read."""
     return spark.read.parquet(table_path(sf_dir, name))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal rows out by ``keys`` where a scan has fewer splits than the session has cores.
+
+    A file with a single row group is read by one task, which would also run every costly expression on its
+    rows.  A scan with enough splits, as of any large table, is left as it is and not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(4 * cores, *keys) if df.rdd.getNumPartitions() < cores else df
