@@ -14,8 +14,9 @@ rules them out by the triangle inequality are not computed.
 
 A query first searches the part it would be stored in; the k-th best score found there bounds
 the second round, which visits only the parts whose ball may hold a better one.  Queries come in
-blocks, so no task gets more than a block of queries with one part's pages.  Scores are exact integers;
-floating-point distances only prune, with a margin.
+blocks, so no task gets more than a block of queries with one part's pages.  Scores are exact integers, of any size
+(where products may exceed a long they are taken in Python's integers); floating-point distances only
+prune, with a margin.  Rows are told apart by a number of their own, so rows may repeat an id.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ from sway.llm.common import prepare, shared_table
 
 #: Vectors in a part (on average), entries of a page, pivots at most, queries in a block (on average).
 PART_ROWS, PAGE, PIVOTS, QUERY_BLOCK = 4096, 64, 1024, 4096
-#: Vectors with a larger component take no part: their scores might not fit in a long.
-LARGEST = 1 << 27
+#: Larger components count as this: then any score has at most 38 digits (of up to 256 dimensions).
+LARGEST = 1 << 59
 
 PAGES = ("part long, page int, leaf boolean, centre array<long>, entries binary, to_centre binary, radii binary, refs binary")
 
@@ -48,7 +49,7 @@ class Page:
     entries: np.ndarray
     to_centre: np.ndarray
     radii: np.ndarray
-    refs: np.ndarray  # ids of vectors, or numbers of pages
+    refs: np.ndarray  # (id, row) of vectors, or numbers of pages
 
 
 def distances(x: np.ndarray, to: np.ndarray, most: float) -> np.ndarray:
@@ -93,15 +94,22 @@ def build(ids: np.ndarray, vectors: np.ndarray, centre: np.ndarray, most: float)
     return pages
 
 
+def inner_products(entries: np.ndarray, query: np.ndarray) -> list[int]:
+    """Exact inner products with a query."""
+    if len(entries) and float((np.abs(entries.astype(np.float64)) @ np.abs(query.astype(np.float64))).max()) >= 1 << 62:
+        return list(entries.astype(object) @ query.astype(object))
+    return (entries @ query).tolist()
+
+
 def search(pages: dict[int, Page], query: np.ndarray, own: int, k: int, most: float, bound: int | None = None,
-           computed: list[int] | None = None) -> list[tuple[int, int]]:
-    """The k best (score, id) of a tree, best first, ties to the smaller id, without the id ``own``.
+           computed: list[int] | None = None) -> list[tuple[int, int, int]]:
+    """The k best (score, id, row) of a tree, best first, ties to the smaller id and row, without the row ``own``.
 
     With ``bound``, scores below it are of no interest.  ``computed`` counts the inner products."""
     squares = float((query.astype(np.float64) ** 2).sum())
     margin = 1e-7 * (np.sqrt(squares + most) + 1)
     limit = lambda score: np.sqrt(max(0.0, squares + most - 2.0 * score)) + margin
-    best: list[tuple[int, int]] = []  # (score, -id), worst first
+    best: list[tuple[int, int, int]] = []  # (score, -id, -row), worst first
     far = np.inf if bound is None else limit(bound)
     root = float(query_distances(pages[0].centre[None], query, most)[0])
     turn = itertools.count()
@@ -121,10 +129,12 @@ def search(pages: dict[int, Page], query: np.ndarray, own: int, k: int, most: fl
                 if gap - radius <= far:
                     heapq.heappush(waiting, (max(0.0, gap - radius), next(turn), ref, gap))
             continue
-        scores, refs = page.entries[near] @ query, page.refs[near]
+        scores = inner_products(page.entries[near], query)
         least = best[0][0] if len(best) == k else bound
-        good = refs != own if least is None else (refs != own) & (scores >= least)
-        for item in zip(scores[good].tolist(), (-refs[good]).tolist(), strict=True):
+        for score, (vec, row) in zip(scores, page.refs[near].tolist(), strict=True):
+            if row == own or (least is not None and score < least):
+                continue
+            item = (score, -vec, -row)
             if len(best) < k:
                 heapq.heappush(best, item)
             elif item > best[0]:
@@ -133,7 +143,7 @@ def search(pages: dict[int, Page], query: np.ndarray, own: int, k: int, most: fl
             far = min(far, limit(best[0][0]))
     if computed is not None:
         computed.append(done)
-    return [(s, -i) for s, i in sorted(best, reverse=True)]
+    return [(s, -i, -r) for s, i, r in sorted(best, reverse=True)]
 
 
 def to_frame(part: int, pages: list[Page]) -> pd.DataFrame:
@@ -145,38 +155,38 @@ def from_frame(frame: pd.DataFrame) -> dict[int, Page]:
     out = {}
     for r in frame.itertuples():
         centre, refs = np.asarray(r.centre, np.int64), np.frombuffer(r.refs, np.int64)
+        refs = refs.reshape(-1, 2) if r.leaf else refs
         out[r.page] = Page(r.leaf, centre, np.frombuffer(r.entries, np.int64).reshape(len(refs), len(centre)),
                            np.frombuffer(r.to_centre), np.frombuffer(r.radii), refs)
     return out
 
 
 def clean(df: DataFrame, key: str, vector: Column) -> DataFrame:
-    """(id, vec): rows with an id whose vector has finite components within bounds, one a row.
-
-    Of rows that repeat an id the smallest vector counts."""
-    fine = F.forall(vector, lambda x: F.coalesce(F.abs(x) <= LARGEST, F.lit(False)) & ~F.isnan(x))
-    return (df.select(F.col(key).cast("long").alias("id"), vector.alias("vec")).where(F.col("id").isNotNull() & F.coalesce(fine, F.lit(False)))
-            .select("id", F.transform("vec", lambda x: F.floor(x).cast("long")).alias("vec"))
-            .groupBy("id").agg(F.min("vec").alias("vec")))
+    """(id, row, vec): rows with an id whose vector has finite components, each with a number of its own."""
+    finite = F.forall(vector, lambda x: F.coalesce((F.abs(x) < float("inf")) & ~F.isnan(x), F.lit(False)))
+    whole = lambda x: F.greatest(F.lit(-LARGEST), F.least(F.lit(LARGEST), F.floor(x).cast("long")))
+    return (df.select(F.col(key).cast("long").alias("id"), vector.alias("vec")).where(F.col("id").isNotNull() & F.coalesce(finite, F.lit(False)))
+            .select("id", F.monotonically_increasing_id().alias("row"), F.transform("vec", whole).alias("vec")))
 
 
 def top_k(df: DataFrame, vector: Column, queries: Column, k: int = 5, key: str = "vec_id") -> DataFrame:
     """(query_id, rank, vec_id, score): the k best scores of every query against all other rows.
 
     ``vector`` (an array of doubles) is floored to integers; ``queries`` is a condition on the
-    column ``id``.  Ties go to the smaller id; fewer rows give fewer ranks.  Rows without an id or
-    with a null, non-finite or huge (over 2^27) component take no part; shorter vectors
+    column ``id``.  Ties go to the smaller id; fewer rows give fewer ranks.  Scores are decimals of 38 digits.  Rows without
+    an id or with a null or non-finite component take no part; components beyond 2^59 count as that;
+    rows that repeat an id are queries and candidates of their own (also of each other); shorter vectors
     count as padded with zeros; an empty table gives no rows."""
     prepare(df.sparkSession)
     rows = shared_table(clean(df, key, vector), "vectors")
     squares = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     n, most, dims = rows.agg(F.count("*"), F.max(squares), F.max(F.size("vec"))).first()
     if not n:
-        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score decimal(38,0)")
     most, dims = float(most) * (1 + 1e-12), max(1, dims)
-    padded = rows.select("id", F.concat("vec", F.array_repeat(F.lit(0).cast("long"), F.lit(dims) - F.size("vec"))).alias("vec"))
+    padded = rows.select("id", "row", F.concat("vec", F.array_repeat(F.lit(0).cast("long"), F.lit(dims) - F.size("vec"))).alias("vec"))
     count = max(1, min(PIVOTS, n // PART_ROWS))
-    pivots = np.unique(np.array([r["vec"] for r in padded.orderBy(F.xxhash64("id"), "id").limit(count).collect()], np.int64).reshape(-1, dims), axis=0)
+    pivots = np.unique(np.array([r["vec"] for r in padded.orderBy(F.xxhash64("row"), "row").limit(count).collect()], np.int64).reshape(-1, dims), axis=0)
 
     def nearest(frames):
         for f in frames:
@@ -184,57 +194,58 @@ def top_k(df: DataFrame, vector: Column, queries: Column, k: int = 5, key: str =
             gaps = np.stack([distances(x, p, most) for p in pivots]) if len(x) else np.empty((len(pivots), 0))
             yield f.assign(pivot=gaps.argmin(axis=0).astype(np.int32), gap=gaps.min(axis=0) if len(x) else np.empty(0))
 
-    placed = shared_table(padded.mapInPandas(nearest, "id long, vec array<long>, pivot int, gap double"), "placed")
+    placed = shared_table(padded.mapInPandas(nearest, "id long, row long, vec array<long>, pivot int, gap double"), "placed")
     # One row per pivot: how many hash parts its vectors need, and their ball.
     held = {r["pivot"]: (-(-r["n"] // PART_ROWS), r["radius"]) for r in placed.groupBy("pivot").agg(F.count("*").alias("n"), F.max("gap").alias("radius")).collect()}
     cuts = F.lit([held.get(i, (0, 0.0))[0] for i in range(len(pivots))])
     part_of = lambda pivot, cut: pivot.cast("long") * (1 << 32) + cut
-    stored = placed.withColumn("part", part_of(F.col("pivot"), F.pmod(F.xxhash64("id"), F.get(cuts, F.col("pivot")))))
+    stored = placed.withColumn("part", part_of(F.col("pivot"), F.pmod(F.xxhash64("row"), F.get(cuts, F.col("pivot")))))
 
     def pages_of(frame: pd.DataFrame) -> pd.DataFrame:
         part = int(frame["part"].iloc[0])
-        return to_frame(part, build(frame["id"].to_numpy(np.int64), np.array(frame["vec"].tolist(), np.int64), pivots[part >> 32], most))
+        return to_frame(part, build(frame[["id", "row"]].to_numpy(np.int64), np.array(frame["vec"].tolist(), np.int64), pivots[part >> 32], most))
 
-    pages = shared_table(stored.select("part", "id", "vec").groupBy("part").applyInPandas(pages_of, PAGES), "pages")
-    asked = stored.where(queries).select(F.col("id").alias("query_id"), "vec", "part")
+    pages = shared_table(stored.select("part", "id", "row", "vec").groupBy("part").applyInPandas(pages_of, PAGES), "pages")
+    asked = stored.where(queries).select(F.col("id").alias("query_id"), F.col("row").alias("query_row"), "vec", "part")
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    hits = "query_id long, vec_id long, score long"
+    hits = "query_id long, query_row long, vec_id long, vec_row long, score string"
 
     def visit(pairs: DataFrame) -> DataFrame:
-        """Hits of (query_id, vec, part, bound) rows, each with one part's pages."""
-        pairs = pairs.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+        """Hits of (query_id, query_row, vec, part, bound) rows, each with one part's pages."""
+        pairs = pairs.withColumn("block", F.pmod(F.xxhash64("query_row"), F.lit(blocks)))
         wanted = (pages.join(pairs.select(F.col("part").alias("of"), F.col("block").alias("by")).distinct(), F.col("part") == F.col("of"))
                   .drop("of").withColumn("block", F.col("by") + 0).drop("by"))
 
         def run(nodes: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
             tree = from_frame(nodes) if len(nodes) and len(asked) else {}
-            out = [(q, i, s) for q, v, b in zip(asked["query_id"].tolist(), asked["vec"].tolist(), asked["bound"].tolist(), strict=True)
-                   for s, i in search(tree, np.asarray(v, np.int64), q, k, most, None if pd.isna(b) else int(b))]
-            return pd.DataFrame(out, columns=["query_id", "vec_id", "score"], dtype="int64")
+            out = [(q, own, i, r, str(s)) for q, own, v, b in zip(asked["query_id"].tolist(), asked["query_row"].tolist(), asked["vec"].tolist(), asked["bound"].tolist(), strict=True)
+                   for s, i, r in search(tree, np.asarray(v, np.int64), own, k, most, None if pd.isna(b) else int(b))]
+            frame = pd.DataFrame(out, columns=["query_id", "query_row", "vec_id", "vec_row", "score"])
+            return frame.astype({c: "int64" for c in ("query_id", "query_row", "vec_id", "vec_row")})
 
-        return (wanted.groupBy("part", "block").cogroup(pairs.select("query_id", "vec", "part", F.col("bound").cast("string").alias("bound"), "block").groupBy("part", "block"))
-                .applyInPandas(run, hits))
+        return (wanted.groupBy("part", "block").cogroup(pairs.select("query_id", "query_row", "vec", "part", F.col("bound").cast("string").alias("bound"), "block").groupBy("part", "block"))
+                .applyInPandas(run, hits).withColumn("score", F.col("score").cast("decimal(38,0)")))
 
-    first = shared_table(visit(asked.withColumn("bound", F.lit(None).cast("long"))), "first")
-    bounds = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") == k).select("query_id", F.col("least").alias("bound"))
+    first = shared_table(visit(asked.withColumn("bound", F.lit(None).cast("string"))), "first")
+    bounds = first.groupBy("query_row").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") == k).select("query_row", F.col("least").cast("string").alias("bound"))
 
     def reach(frames):
         """The pivots whose ball may hold a score of at least the bound."""
         radii = np.array([held.get(i, (0, -np.inf))[1] for i in range(len(pivots))])
         for f in frames:
             out = []
-            for q, v, part, b in zip(f["query_id"].tolist(), f["vec"].tolist(), f["part"].tolist(), f["bound"].tolist(), strict=True):
+            for q, own, v, part, b in zip(f["query_id"].tolist(), f["query_row"].tolist(), f["vec"].tolist(), f["part"].tolist(), f["bound"].tolist(), strict=True):
                 v = np.asarray(v, np.int64)
                 gaps, squares = query_distances(pivots, v, most), float((v.astype(np.float64) ** 2).sum())
                 far = np.inf if b is None or pd.isna(b) else np.sqrt(max(0.0, squares + most - 2.0 * int(b)))
-                out += [(q, v, part, b, int(p)) for p in np.flatnonzero(gaps - radii <= far + 2e-7 * (np.sqrt(squares + most) + 1))]
-            yield pd.DataFrame(out, columns=["query_id", "vec", "home", "bound", "pivot"])
+                out += [(q, own, v, part, b, int(p)) for p in np.flatnonzero(gaps - radii <= far + 2e-7 * (np.sqrt(squares + most) + 1))]
+            yield pd.DataFrame(out, columns=["query_id", "query_row", "vec", "home", "bound", "pivot"])
 
-    more = (asked.join(bounds, "query_id", "left").withColumn("bound", F.col("bound").cast("string"))
-            .mapInPandas(reach, "query_id long, vec array<long>, home long, bound string, pivot int")
+    more = (asked.join(bounds, "query_row", "left").select("query_id", "query_row", "vec", "part", "bound")
+            .mapInPandas(reach, "query_id long, query_row long, vec array<long>, home long, bound string, pivot int")
             .select("*", F.explode(F.sequence(F.lit(0), F.get(cuts, F.col("pivot")) - 1)).alias("cut"))
             .withColumn("part", part_of(F.col("pivot"), F.col("cut"))).where("part <> home"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (first.unionByName(visit(shared_table(more.select("query_id", "vec", "part", "bound"), "pairs")))
+    best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "vec_row")
+    return (first.unionByName(visit(shared_table(more.select("query_id", "query_row", "vec", "part", "bound"), "pairs")))
             .withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))

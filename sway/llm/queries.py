@@ -43,9 +43,10 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five best inner products of every fiftieth vector against all others."""
+    """Five best inner products of every fiftieth vector against all others; a score beyond a long is null."""
     vector = F.transform("embedding", lambda x: 256 * x.cast("double"))
-    return mtree.top_k(table(spark, sf_dir, "embeddings"), vector, F.col("id") % 50 == 0, k=5)
+    found = mtree.top_k(table(spark, sf_dir, "embeddings"), vector, F.col("id") % 50 == 0, k=5)
+    return found.withColumn("score", F.col("score").try_cast("long"))
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
