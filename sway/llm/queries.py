@@ -70,19 +70,30 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _conversation_log(rows: DataFrame) -> DataFrame:
-    """The log a chat service would have kept of each row: its begin and two streamed deltas.
+    """The log a chat service would have kept of each row.  By a hash of the row, a message is streamed in two deltas;
+    streamed as a wrong draft, regenerated and streamed again; posted wrong and edited twice; or streamed beside a
+    second message that is deleted again.  All lead to the row's role and text.
 
     Rows of equal conversation and turn are messages of their own, in the order of role and text."""
     same = Window.partitionBy("conv_id", "turn").orderBy(F.col("role").asc_nulls_first(), F.coalesce("text", F.lit("")))
-    text = F.coalesce("text", F.lit(""))
+    text, role = F.coalesce("text", F.lit("")), F.col("role")
     cut = (F.length(text) / 2).cast("int")
-    event = lambda part, kind, role, body: F.struct(
-        F.lit(part).alias("part"), F.lit(kind).alias("kind"), role.alias("role"), body.alias("text"))
-    events = F.array(event(0, "begin", F.col("role"), F.lit("")),
-                     event(1, "delta", F.lit(None).cast("string"), F.substring(text, F.lit(1), cut)),
-                     event(2, "delta", F.lit(None).cast("string"), F.substring(text, cut + 1, F.length(text))))
-    return (rows.withColumn("copy", F.row_number().over(same))
-            .select("conv_id", "turn", "copy", F.struct("turn", "copy").cast("string").alias("message"), F.inline(events)))
+    first, second = F.substring(text, F.lit(1), cut), F.substring(text, cut + 1, F.length(text))
+    no_role = F.lit(None).cast("string")
+
+    def log(*events: tuple[str, Column, Column], message: str = "") -> Column:
+        return F.array(*[F.struct(F.lit(part).alias("part"), F.lit(message if part > 2 else "").alias("suffix"), F.lit(kind).alias("kind"), who.alias("role"), body.alias("text"))
+                         for part, (kind, who, body) in enumerate(events)])
+
+    streamed = [("begin", role, F.lit("")), ("delta", no_role, first), ("delta", no_role, second)]
+    events = (F.when(F.col("way") == 0, log(*streamed))
+              .when(F.col("way") == 1, log(("begin", role, F.lit("Draft: ")), ("delta", no_role, F.reverse(text)), ("regenerate", no_role, F.lit("ignored")),
+                                           ("delta", no_role, first), ("delta", no_role, second)))
+              .when(F.col("way") == 2, log(("begin", role, second), ("edit", no_role, F.concat(text, F.lit(" (to be mended)"))), ("edit", no_role, text)))
+              .otherwise(log(*streamed, ("begin", F.lit("assistant"), F.lit("Sent by mistake.")), ("delta", no_role, text), ("delete", no_role, F.lit("")), message="gone")))
+    return (rows.withColumn("copy", F.row_number().over(same)).withColumn("way", F.pmod(F.xxhash64("conv_id", "turn", "copy"), F.lit(4)))
+            .select("conv_id", "turn", "copy", F.inline(events))
+            .select("conv_id", "turn", "copy", F.concat(F.struct("turn", "copy").cast("string"), F.col("suffix")).alias("message"), "part", "kind", "role", "text"))
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
