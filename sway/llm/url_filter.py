@@ -37,6 +37,8 @@ class Rule:
 #: Labelled URLs that the trees are fitted on at most (a hash picks about half as many where
 #: there are more); suffix statistics count all labelled URLs.
 TRAIN_ROWS = 40_000
+#: Share of the bound that the rarer verdict gets at least.
+LEAST_SHARE = 0.05
 #: Hash buckets of each kind of suffix, and the weight of the overall share in small ones.
 SUFFIXES, PRIOR = 1024, 20
 FEATURES = ("chars", "host_chars", "path_chars", "depth", "labels", "digits", "entropy", "params", "dashes", "top_rate", "site_rate")
@@ -127,12 +129,16 @@ def judge(pages: DataFrame, rules: list[Rule], url: str = "url", key: str = "pag
     rates = {kind: shared_table(labelled.groupBy(f"__{kind}").agg(F.count("*").alias("seen"), F.sum("label").alias("bad")), kind)
              for kind in ("top", "site")}
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="__features")
-    share = min(1.0, train_rows / 2 / seen)
-    sample = labelled if seen <= train_rows else labelled.where(
-        F.pmod(F.xxhash64("__key", "__url", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30))).limit(train_rows)
-    train = shared_table(_with_rates(sample.select("label", "__top", "__site", *[c for c in FEATURES if not c.endswith("_rate")]), rates, bad / seen)
-                         .select("label", *FEATURES), "urls")
-    model = GBTClassifier(labelCol="label", featuresCol="__features", predictionCol="__prediction",
+    # As many of each verdict as its share of the labelled URLs, but at least a LEAST_SHARE of the bound.
+    share = {label: min(1.0, max(train_rows / seen, LEAST_SHARE * train_rows / count)) for label, count in tally.items()}
+    bar = F.when(F.col("label") == 1.0, int(share[1.0] * (1 << 30))).otherwise(int(share[0.0] * (1 << 30)))
+    sample = labelled.where(F.pmod(F.xxhash64("__key", "__url", F.lit(seed)), F.lit(1 << 30)) < bar)
+    lexical = [c for c in FEATURES if not c.endswith("_rate")]
+    # Rows alike in all features are one row of that weight.
+    sample = sample.groupBy("label", "__top", "__site", *lexical).agg(F.count("*").alias("alike"))
+    train = shared_table(_with_rates(sample, rates, bad / seen).select(
+        "label", *FEATURES, F.when(F.col("label") == 1.0, F.col("alike") / share[1.0]).otherwise(F.col("alike") / share[0.0]).alias("__weight")), "urls")
+    model = GBTClassifier(labelCol="label", featuresCol="__features", predictionCol="__prediction", weightCol="__weight",
                           maxIter=trees, maxDepth=depth, seed=seed).fit(assembler.transform(train))
     scored = model.transform(assembler.transform(_with_rates(known, rates, bad / seen)))
     score = F.get(vector_to_array("probability"), 1)

@@ -56,3 +56,12 @@ def test_trees_learn_from_labelled_urls(spark):
     out = judge(spark.createDataFrame(rows, "page_id long, url string"), rules, train_rows=400).collect()
     new = [r for r in out if not truth[r["page_id"]][1]]
     assert sum(r["verdict"] == truth[r["page_id"]][0] for r in new) / len(new) > .95
+
+
+def test_rare_verdict_is_learnt(spark):
+    """Eight blocked URLs among four thousand, far beyond the bound of the sample."""
+    rows = [(i, f"http://good.seen/{'abcdefgh'[i % 8] * (2 + i % 5)}/{i % 50}") for i in range(4000)]
+    rows += [(5000 + i, f"http://bad.seen/1/2/3/4/5/6/7/8/{i}?a=1&b=2&c=3&d=4&e={i}") for i in range(8)]
+    rows += [(6000, "http://else.new/1/2/3/4/5/6/7/8/99?a=1&b=2&c=3&d=4&e=5"), (6001, "http://else.new/aaa/3")]
+    out = judge(spark.createDataFrame(rows, "page_id long, url string"), [Rule("block", "bad.seen", "/"), Rule("allow", "good.seen", "/")], train_rows=200)
+    assert {r["page_id"]: r["verdict"] for r in out.where("page_id >= 6000").collect()} == {6000: "block", 6001: "allow"}
