@@ -33,6 +33,8 @@ SPACE = " \t\n\x0b\x0c\r"
 #: filters up to which tasks get them.
 SHARD_KEYS, FILTER_BYTES = 1 << 20, 32 << 20
 SLOTS, KICKS = 4, 500
+#: Tasks that share a shard's keys where the keys go to the filters.
+LANES = 4
 
 
 def line_keys(text: str | None, min_chars: int) -> list[bytes | None]:
@@ -153,7 +155,13 @@ class LineIndex:
         refs = shared_table(refs.select("hi", "lo", "n_docs", "top_id", "was"), "refs")
         often = (F.col("n_docs") >= self.min_docs)
         known = F.col("was") >= self.min_docs
-        shards = self.shards or max(1, -(-refs.where(often).count() // SHARD_KEYS))
+        needed = max(1, -(-refs.where(often).count() // SHARD_KEYS))
+        # An index that has outgrown its shards by twice is dealt to more; all frequent keys are inserted anew.
+        grown = needed > 2 * (self.shards or needed)
+        shards = needed if grown or not self.shards else self.shards
+        if grown:
+            known = F.lit(False)
+        filters = self.filters.limit(0) if grown else self.filters
         changes = (refs.where(often | known)
                    .select(F.pmod("lo", F.lit(shards)).cast("int").alias("shard"), "hi", "lo",
                            often.cast("int").alias("now"), known.cast("int").alias("before")))
@@ -170,34 +178,64 @@ class LineIndex:
                     size *= 2
             return pd.DataFrame({"shard": [shard], "slots": [filt.slots.tobytes()]})
 
-        filters = (self.filters.groupBy("shard").cogroup(changes.groupBy("shard"))
+        filters = (filters.groupBy("shard").cogroup(changes.groupBy("shard"))
                    .applyInPandas(update, "shard int, slots binary"))
         return LineIndex(refs.where("n_docs > 0").drop("was"), shared_table(filters, "filters"), shards,
                          self.min_chars, self.min_docs)
 
-    def _sent(self) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-        """Test of keys by the filters if these are small enough for the tasks, else a test all keys pass."""
+    def _passing(self, docs: DataFrame, key: str, text: str) -> DataFrame:
+        """(doc_id, hi, lo): the distinct keys of each row that the filters hold.
+
+        Small filters go to the tasks that read the texts.  Beyond FILTER_BYTES the keys go to the filters: each
+        (shard, lane) gets its filter first and then its keys, one after the other, so a task holds one filter; lanes
+        split the keys of a line that very many documents hold."""
         size = self.filters.agg(F.sum(F.octet_length("slots"))).first()[0] or 0
-        if size > FILTER_BYTES:
-            return lambda hi, lo: np.ones(len(hi), bool)
-        sent = self.filters.sparkSession.sparkContext.broadcast({r["shard"]: r["slots"] for r in self.filters.collect()})
         shards = self.shards
+        if size <= FILTER_BYTES:
+            sent = self.filters.sparkSession.sparkContext.broadcast({r["shard"]: r["slots"] for r in self.filters.collect()})
+
+            def test(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+                found, at = np.zeros(len(hi), bool), lo.view(np.int64) % shards
+                for shard, data in sent.value.items():
+                    mine = np.flatnonzero(at == shard)
+                    if len(mine):
+                        found[mine] = CuckooFilter.read(data).holds(hi[mine], lo[mine])
+                return found
+
+            return _keys_of(docs, key, text, self.min_chars, test)
+        every = self._postings(docs, key, text)
+        lane = F.pmod(F.xxhash64("doc_id", "hi"), F.lit(LANES)).cast("int")
+        asked = every.select("doc_id", "hi", "lo", F.pmod("lo", F.lit(shards)).cast("int").alias("shard"), lane.alias("lane"), F.lit(None).cast("binary").alias("slots"))
+        blank = [F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in ("doc_id", "hi", "lo")]
+        holders = self.filters.select(*blank, "shard", F.explode(F.array(*[F.lit(i) for i in range(LANES)])).alias("lane"), "slots")
+        both = holders.unionByName(asked).repartition("shard", "lane").sortWithinPartitions("shard", "lane", F.col("slots").isNull())
 
-        def test(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
-            found, at = np.zeros(len(hi), bool), lo.view(np.int64) % shards
-            for shard, data in sent.value.items():
-                mine = np.flatnonzero(at == shard)
-                if len(mine):
-                    found[mine] = CuckooFilter(np.frombuffer(data, np.uint16).reshape(-1, SLOTS)).holds(hi[mine], lo[mine])
-            return found
-
-        return test
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, filt = None, None
+            for batch in batches:
+                place = np.stack([batch.column(3).to_numpy(), batch.column(4).to_numpy()], axis=1)
+                cuts = [0, *(np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1).tolist(), len(place)]
+                for a, b in zip(cuts, cuts[1:]):
+                    if a == b:
+                        continue
+                    if at != tuple(place[a]):
+                        at, filt = tuple(place[a]), None
+                    part = batch.slice(a, b - a)
+                    heads = np.flatnonzero(part.column(5).is_valid().to_numpy(zero_copy_only=False))
+                    if len(heads):  # the first row of a (shard, lane)
+                        filt = CuckooFilter.read(part.column(5)[int(heads[0])].as_py())
+                        part = part.slice(int(heads[-1]) + 1)
+                    if filt is not None and part.num_rows:
+                        hi, lo = (part.column(i).to_numpy().astype(np.int64).view(np.uint64) for i in (1, 2))
+                        ok = np.flatnonzero(filt.holds(hi, lo))
+                        yield part.select(["doc_id", "hi", "lo"]).take(pa.array(ok))
+
+        return both.mapInArrow(run, every.schema)
 
     def drops(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         """(doc_id, keys): the keys whose lines each document loses, for those that lose any."""
-        maybe = _keys_of(docs, key, text, self.min_chars, self._sent())
         often = self.refs.where(F.col("n_docs") >= self.min_docs)
-        return (maybe.join(often, ["hi", "lo"]).where(~F.col("doc_id").eqNullSafe(F.col("top_id")))
+        return (self._passing(docs, key, text).join(often, ["hi", "lo"]).where(~F.col("doc_id").eqNullSafe(F.col("top_id")))
                 .groupBy("doc_id").agg(F.collect_set(F.struct("hi", "lo")).alias("keys")))
 
     def rewrite(self, docs: DataFrame, key: str = "doc_id", text: str = "text",

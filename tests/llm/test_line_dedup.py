@@ -82,3 +82,24 @@ def test_cuckoo_filter_holds_what_it_got():
     assert f.holds(hi[2500:], lo[2500:]).all() and f.holds(hi[:2500], lo[:2500]).mean() < .02
     tiny = CuckooFilter(np.zeros((2, 4), np.uint16))
     assert not tiny.insert(hi[:50], lo[:50])
+
+
+def test_keys_go_to_large_filters(docs, monkeypatch):
+    """Where the filters are too large to send, they still decide which keys are joined."""
+    rows = made(2)
+    df = docs(rows)
+    index = LineIndex.empty(df.sparkSession, shards=3).insert(df)
+    small = sorted(map(tuple, index._passing(df, "doc_id", "text").collect()), key=repr)
+    monkeypatch.setattr(line_dedup, "FILTER_BYTES", -1)
+    large = sorted(map(tuple, index._passing(df.repartition(5), "doc_id", "text").collect()), key=repr)
+    assert large == small and 0 < len(large) < index._postings(df, "doc_id", "text").count()
+
+
+def test_index_outgrows_its_shards(spark, docs, monkeypatch):
+    """An index begun with few lines gets more shards and the state of one that was filled at once."""
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 2)
+    rows = made(3)
+    grown = LineIndex.empty(spark).insert(docs(rows[:12])).insert(docs(rows[12:]))
+    whole = LineIndex.empty(spark).insert(docs(rows))
+    assert grown.shards == whole.shards > 2 and state(grown) == state(whole)
+    assert tuples(grown.rewrite(docs(rows))) == brute(rows)
