@@ -43,24 +43,28 @@ def _letters() -> np.ndarray:
 
 
 def subwords(text: str | None, piece: int = 1 << 20) -> np.ndarray:
-    """Buckets of all subwords of the lower-cased text."""
-    text = text or ""
-    if len(text) > piece:  # in parts, for memory; a run of letters across a cut counts as two
-        return np.concatenate([subwords(text[i:i + piece], piece) for i in range(0, len(text), piece)])
-    points = _letters()[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
-    points = np.concatenate([[0], points, [0]]).astype(np.uint32)
+    """Buckets of all subwords of the lower-cased text: of each order those that start at its first place (a space before
+    the text), then the next.  A long text is taken in pieces of starting places that overlap, for memory."""
+    lower = (text or "").lower()
+    places = len(lower) + 2  # with a space at both ends
     found = []
-    for n in ORDERS:
-        count = len(points) - n + 1
-        if count < 1:
-            break
-        value = np.full(count, n, np.uint32)
-        for k in range(n):
-            value = value * np.uint32(0x01000193) + points[k:k + count]
-        inner = points[1:1 + count] != 0 if n > 2 else points[:count] != 0 if n == 1 else (points[:count] != 0) | (points[1:1 + count] != 0)
-        if n == 4:
-            inner = inner & (points[2:2 + count] != 0)
-        found.append(((value[inner] * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)).astype(np.int64))
+    for low in range(0, places, piece):
+        high = min(places, low + piece)
+        part = lower[max(0, low - 1):high + max(ORDERS) - 2]
+        points = _letters()[np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        ends = [0] * (low == 0), [0] * (high + max(ORDERS) - 2 > len(lower))
+        points = np.concatenate([ends[0], points, ends[1]]).astype(np.uint32)
+        for n in ORDERS:
+            count = min(high, places - n + 1) - low
+            if count < 1:
+                break
+            value = np.full(count, n, np.uint32)
+            for k in range(n):
+                value = value * np.uint32(0x01000193) + points[k:k + count]
+            inner = points[1:1 + count] != 0 if n > 2 else points[:count] != 0 if n == 1 else (points[:count] != 0) | (points[1:1 + count] != 0)
+            if n == 4:
+                inner = inner & (points[2:2 + count] != 0)
+            found.append(((value[inner] * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)).astype(np.int64))
     return np.concatenate(found) if found else np.empty(0, np.int64)
 
 
@@ -177,9 +181,10 @@ def fit(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang",
                 *batch.columns[1:], pa.array([p[0].astype(np.int32) for p in pairs], pa.list_(pa.int32())),
                 pa.array([p[1].astype(np.int32) for p in pairs], pa.list_(pa.int32()))], names=["lang", "order", "aside", "buckets", "counts"])
 
-    # Only keys and texts that repeat very often reach the limits.
+    # A key and text that repeat count once.  The number picked by hash is near the bound; the limit only makes it certain.
+    picked = picked.dropDuplicates(["order", "lang"])
     counted = [picked.where(which).select("text", "lang", "order", "aside").mapInArrow(
-        count, "lang string, order long, aside boolean, buckets array<int>, counts array<int>").limit(2 * most)
+        count, "lang string, order long, aside boolean, buckets array<int>, counts array<int>").orderBy("order", "lang").limit(2 * most)
         for which, most in (("not aside", rows), ("aside", aside))]
     sample = shared_table(counted[0].unionByName(counted[1]), "sample")
 

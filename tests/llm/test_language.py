@@ -115,3 +115,14 @@ def test_production_defaults_reject(docs):
     gone = [r["doc_id"] for r in language.predict(df, model).where("rejected").collect()]
     assert 17 <= len(gone) <= 34 and all(d % 500 == 7 for d in gone)
     assert language.predict(docs([(1, "Ωμέγα")]), model).collect()[0]["rejected"]
+
+
+def test_long_texts_are_not_cut():
+    """Pieces change nothing: not at a cut within a word, a surrogate, or a character whose lower case is longer."""
+    rng = np.random.default_rng(7)
+    text = "".join(rng.choice(list("abcdé ñ\n1\u0130\U0001f600ß"), 400))
+    whole = sorted(language.subwords(text).tolist())
+    for piece in (1, 2, 3, 7, 64, 399, 402, 403):
+        assert sorted(language.subwords(text, piece).tolist()) == whole, piece
+    long = "abcdefghij " * 100_000
+    assert np.array_equal(np.sort(language.subwords(long)), np.sort(language.subwords(long, len(long) + 2)))
