@@ -82,3 +82,14 @@ def test_near_dedup_keeps_one_row_of_each_group(docs, spark):
             (None, d), (None, d), (None, d.upper())]
     out = corpus_pipeline.dedup_near(spark, docs([(i, t, "en", "src1") for i, t in rows]), "").collect()
     assert Counter((r["doc_id"], r["text"].strip().lower()) for r in out) == Counter([(5, a), (3, b), (7, c), (None, d)])
+
+
+def test_near_dedup_leaves_clashing_columns_alone(docs):
+    """Columns with the names that the stage uses keep their values."""
+    rows = [(i, f"some words of document number {i} that nobody else has", "en", "src0") for i in range(20)] + [(50, "some words of document number 3 that nobody else has", "en", "src0")]
+    df = docs(rows, __row_hash=7, __row="r", root=5, fp=1, __id=2)
+    out = corpus_pipeline.dedup_near(df.sparkSession, df, "")
+    assert out.columns == df.columns
+    got = out.collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(20))
+    assert {(r["__row_hash"], r["__row"], r["root"], r["fp"], r["__id"]) for r in got} == {(7, "r", 5, 1, 2)}
