@@ -34,7 +34,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each SimHash component: the smallest id, nulls last, ties by a hash of the row."""
     hashed = [c for c, kind in docs.dtypes if "map<" not in kind]  # Spark hashes no maps
-    marked = docs.withColumn("__row_hash", F.xxhash64(*hashed, *[F.col(c).isNull() for c in hashed]))
+    row_hash = F.xxhash64(*hashed, *[F.col(c).isNull() for c in hashed])
+    # The row travels as one column, so its own names can't clash with those added here.
+    marked = docs.select(F.struct("*").alias("__row"), "doc_id", "text", row_hash.alias("__row_hash"))
     found = simhash.rooted_rows(marked, words=4, radius=4, keep=("__row_hash",))
     counted = found.groupBy("root", "doc_id", "__row_hash").count()
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__row_hash", "count")).alias("first")
@@ -44,7 +46,7 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = marked.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row_hash") == F.col("__first")), "left_semi")
     if kept.where("__copies > 1").limit(1).count():
         rows = rows.dropDuplicates(["doc_id", "__row_hash"])
-    return rows.select(*docs.columns)
+    return rows.select("__row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
