@@ -50,6 +50,11 @@ class Page:
     to_centre: np.ndarray
     radii: np.ndarray
     refs: np.ndarray  # (id, row) of vectors, or numbers of pages
+    largest: float = 0.0  # absolute component of a leaf
+
+    def __post_init__(self) -> None:
+        if self.leaf and self.entries.size:
+            self.largest = float(np.abs(self.entries.astype(np.float64)).max())
 
 
 def distances(x: np.ndarray, to: np.ndarray, most: float) -> np.ndarray:
@@ -94,11 +99,9 @@ def build(ids: np.ndarray, vectors: np.ndarray, centre: np.ndarray, most: float)
     return pages
 
 
-def inner_products(entries: np.ndarray, query: np.ndarray) -> list[int]:
-    """Exact inner products with a query."""
-    if len(entries) and float((np.abs(entries.astype(np.float64)) @ np.abs(query.astype(np.float64))).max()) >= 1 << 62:
-        return list(entries.astype(object) @ query.astype(object))
-    return (entries @ query).tolist()
+def inner_products(entries: np.ndarray, query: np.ndarray, fits: bool) -> np.ndarray:
+    """Exact inner products with a query: longs where they surely fit, else Python's integers."""
+    return entries @ query if fits else entries.astype(object) @ query.astype(object)
 
 
 def search(pages: dict[int, Page], query: np.ndarray, own: int, k: int, most: float, bound: int | None = None,
@@ -106,7 +109,7 @@ def search(pages: dict[int, Page], query: np.ndarray, own: int, k: int, most: fl
     """The k best (score, id, row) of a tree, best first, ties to the smaller id and row, without the row ``own``.
 
     With ``bound``, scores below it are of no interest.  ``computed`` counts the inner products."""
-    squares = float((query.astype(np.float64) ** 2).sum())
+    squares, norm = float((query.astype(np.float64) ** 2).sum()), float(np.abs(query.astype(np.float64)).sum())
     margin = 1e-7 * (np.sqrt(squares + most) + 1)
     limit = lambda score: np.sqrt(max(0.0, squares + most - 2.0 * score)) + margin
     best: list[tuple[int, int, int]] = []  # (score, -id, -row), worst first
@@ -129,12 +132,11 @@ def search(pages: dict[int, Page], query: np.ndarray, own: int, k: int, most: fl
                 if gap - radius <= far:
                     heapq.heappush(waiting, (max(0.0, gap - radius), next(turn), ref, gap))
             continue
-        scores = inner_products(page.entries[near], query)
+        scores, refs = inner_products(page.entries[near], query, page.largest * norm < 1 << 62), page.refs[near]
         least = best[0][0] if len(best) == k else bound
-        for score, (vec, row) in zip(scores, page.refs[near].tolist(), strict=True):
-            if row == own or (least is not None and score < least):
-                continue
-            item = (score, -vec, -row)
+        good = refs[:, 1] != own if least is None else (refs[:, 1] != own) & (scores >= least)
+        ids, rows = (-refs[good]).T.tolist()
+        for item in zip(scores[good].tolist(), ids, rows, strict=True):
             if len(best) < k:
                 heapq.heappush(best, item)
             elif item > best[0]:
