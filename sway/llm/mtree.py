@@ -50,11 +50,6 @@ class Page:
     to_centre: np.ndarray
     radii: np.ndarray
     refs: np.ndarray  # (id, row) of vectors, or numbers of pages
-    largest: float = 0.0  # absolute component of a leaf
-
-    def __post_init__(self) -> None:
-        if self.leaf and self.entries.size:
-            self.largest = float(np.abs(self.entries.astype(np.float64)).max())
 
 
 def distances(x: np.ndarray, to: np.ndarray, most: float) -> np.ndarray:
@@ -110,6 +105,7 @@ def search(pages: dict[int, Page], query: np.ndarray, own: int, k: int, most: fl
 
     With ``bound``, scores below it are of no interest.  ``computed`` counts the inner products."""
     squares, norm = float((query.astype(np.float64) ** 2).sum()), float(np.abs(query.astype(np.float64)).sum())
+    small = np.sqrt(most) * norm < 1 << 62  # no component exceeds the longest vector
     margin = 1e-7 * (np.sqrt(squares + most) + 1)
     limit = lambda score: np.sqrt(max(0.0, squares + most - 2.0 * score)) + margin
     best: list[tuple[int, int, int]] = []  # (score, -id, -row), worst first
@@ -132,11 +128,18 @@ def search(pages: dict[int, Page], query: np.ndarray, own: int, k: int, most: fl
                 if gap - radius <= far:
                     heapq.heappush(waiting, (max(0.0, gap - radius), next(turn), ref, gap))
             continue
-        scores, refs = inner_products(page.entries[near], query, page.largest * norm < 1 << 62), page.refs[near]
+        entries = page.entries[near]
+        scores = inner_products(entries, query, small or float(np.abs(entries.astype(np.float64)).max()) * norm < 1 << 62)
         least = best[0][0] if len(best) == k else bound
-        good = refs[:, 1] != own if least is None else (refs[:, 1] != own) & (scores >= least)
-        ids, rows = (-refs[good]).T.tolist()
-        for item in zip(scores[good].tolist(), ids, rows, strict=True):
+        if least is not None:
+            better = np.flatnonzero(scores >= least)
+            if not len(better):
+                continue
+            near, scores = near[better], scores[better]
+        for score, (vec, row) in zip(scores.tolist(), page.refs[near].tolist(), strict=True):
+            if row == own:
+                continue
+            item = (score, -vec, -row)
             if len(best) < k:
                 heapq.heappush(best, item)
             elif item > best[0]:
