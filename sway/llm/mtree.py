@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from sway.llm.common import prepare, shared_table
 
 #: Vectors in a part (on average), entries of a page, pivots at most, queries in a block (on average).
-PART_ROWS, PAGE, PIVOTS, QUERY_BLOCK = 4096, 64, 1024, 4096
+PART_ROWS, PAGE, PIVOTS, QUERY_BLOCK = 4096, 128, 1024, 4096
 #: Larger components count as this: then any score has at most 38 digits (of up to 256 dimensions).
 LARGEST = 1 << 59
 
@@ -94,9 +94,12 @@ def build(ids: np.ndarray, vectors: np.ndarray, centre: np.ndarray, most: float)
     return pages
 
 
-def inner_products(entries: np.ndarray, query: np.ndarray, fits: bool) -> np.ndarray:
-    """Exact inner products with a query: longs where they surely fit, else Python's integers."""
-    return entries @ query if fits else entries.astype(object) @ query.astype(object)
+def inner_products(entries: np.ndarray, query: np.ndarray, most: float) -> np.ndarray:
+    """Exact inner products with a query, none beyond ``most``: in doubles where these hold every whole number up to
+    it, in longs where they fit, else in Python's integers."""
+    if most < 1 << 52:
+        return (entries.astype(np.float64) @ query.astype(np.float64)).astype(np.int64)
+    return entries @ query if most < 1 << 62 else entries.astype(object) @ query.astype(object)
 
 
 def search(pages: dict[int, Page], query: np.ndarray, own: int, k: int, most: float, bound: int | None = None,
@@ -105,7 +108,7 @@ def search(pages: dict[int, Page], query: np.ndarray, own: int, k: int, most: fl
 
     With ``bound``, scores below it are of no interest.  ``computed`` counts the inner products."""
     squares, norm = float((query.astype(np.float64) ** 2).sum()), float(np.abs(query.astype(np.float64)).sum())
-    small = np.sqrt(most) * norm < 1 << 62  # no component exceeds the longest vector
+    reach = np.sqrt(most) * norm  # no component exceeds the longest vector
     margin = 1e-7 * (np.sqrt(squares + most) + 1)
     limit = lambda score: np.sqrt(max(0.0, squares + most - 2.0 * score)) + margin
     best: list[tuple[int, int, int]] = []  # (score, -id, -row), worst first
@@ -117,8 +120,8 @@ def search(pages: dict[int, Page], query: np.ndarray, own: int, k: int, most: fl
     while waiting and waiting[0][0] <= far:
         _, _, number, to_query = heapq.heappop(waiting)
         page = pages[number]
-        reach = far if page.leaf else far + page.radii
-        near = np.flatnonzero(np.abs(to_query - page.to_centre) <= reach + margin)
+        apart = far if page.leaf else far + page.radii
+        near = np.flatnonzero(np.abs(to_query - page.to_centre) <= apart + margin)
         if not len(near):
             continue
         done += len(near)
@@ -129,7 +132,8 @@ def search(pages: dict[int, Page], query: np.ndarray, own: int, k: int, most: fl
                     heapq.heappush(waiting, (max(0.0, gap - radius), next(turn), ref, gap))
             continue
         entries = page.entries[near]
-        scores = inner_products(entries, query, small or float(np.abs(entries.astype(np.float64)).max()) * norm < 1 << 62)
+        largest = reach if reach < 1 << 62 else float(np.abs(entries.astype(np.float64)).max()) * norm
+        scores = inner_products(entries, query, largest)
         least = best[0][0] if len(best) == k else bound
         if least is not None:
             better = np.flatnonzero(scores >= least)
