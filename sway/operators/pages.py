@@ -35,7 +35,7 @@ class _PageParser(HTMLParser):
         self.stack: list[str] = []
         self.title, self.heading = [], []
         self.paragraphs: list[list[str]] = []
-        self.n_links = self.n_quotes = self.n_footnotes = 0
+        self.n_links = self.n_quotes = self.n_footnotes = self.n_h1 = 0
         self.links: list[str] = []
         self.in_article = 0
         # topic record: argument blocks and quotes inside <section class="pro|con">,
@@ -65,6 +65,8 @@ class _PageParser(HTMLParser):
             self.cur_fn = int(m.group(1)) if m else None
             if self.cur_fn is not None:
                 self.footnotes.setdefault(self.cur_fn, [])
+        if tag == "h1":
+            self.n_h1 += 1
         if tag == "article":
             self.in_article += 1
         elif tag == "p" and self.in_article:
@@ -99,7 +101,7 @@ class _PageParser(HTMLParser):
             self.footnotes[self.cur_fn].append(data)
         if "title" in self.stack:
             self.title.append(data)
-        elif "h1" in self.stack and not self.heading:
+        elif "h1" in self.stack and self.n_h1 == 1:  # the first one, with what its children hold
             self.heading.append(data)
         elif self.in_article and self.paragraphs and "p" in self.stack:
             self.paragraphs[-1].append(data)

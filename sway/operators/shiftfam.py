@@ -48,6 +48,26 @@ def bucket_shift(sh: DataFrame) -> DataFrame:
             .agg(F.round(F.avg("shift"), 12).alias("mean_shift"), F.count(F.lit(1)).alias("n_issues")))
 
 
+BUCKETS = ("Positive (pro > 0.75)", "Middle", "Negative (con > 0.75)")
+
+
+def shift_summary(sh: DataFrame, models: DataFrame, cases: tuple[str, ...]) -> DataFrame:
+    """Mean shift per (model, bucket, case), with the rows of all buckets (``all``) and of all models (``overall``).
+
+    One aggregation over grouping sets; the grid of models, buckets and cases is complete, with a mean of 0
+    of no issues where there are none."""
+    b = sh.withColumn("bucket", bucket_of(F.col("base_pro"), F.col("base_con")))
+    sets = b.groupingSets([[F.col("model"), F.col("bucket"), F.col("ecase")], [F.col("model"), F.col("ecase")], [F.col("bucket"), F.col("ecase")], [F.col("ecase")]],
+                          F.col("model"), F.col("bucket"), F.col("ecase"))
+    g = sets.agg(F.round(F.avg("shift"), 12).alias("mean"), F.count(F.lit(1)).alias("n"))
+    g = g.select(F.coalesce("model", F.lit("overall")).alias("model"), F.coalesce("bucket", F.lit("all")).alias("bucket"), "ecase", "mean", "n")
+    listed = lambda values: F.explode(F.array(*[F.lit(v) for v in values]))
+    grid = models.select(F.explode(F.array("model", F.lit("overall"))).alias("model")).distinct()
+    grid = grid.select("model", listed((*BUCKETS, "all")).alias("bucket")).select("model", "bucket", listed(cases).alias("ecase"))
+    return grid.join(g, ["model", "bucket", "ecase"], "left").select(
+        "model", "bucket", "ecase", F.coalesce("mean", F.lit(0.0)).alias("mean_shift"), F.coalesce("n", F.lit(0)).cast("long").alias("n_issues"))
+
+
 def contradiction_effect(sh: DataFrame) -> DataFrame:
     """Effect of one contradictory argument: 75 % case minus the one-sided case, per track."""
     g = sh.groupBy("model", "issue").agg(

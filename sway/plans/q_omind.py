@@ -222,6 +222,23 @@ def q_om_by_theme_model(spark, sf_dir):
         W.partitionBy("variant").orderBy(F.col("_mx").desc(), F.col("theme")))).drop("_mx")
 
 
+@query("om_theme_sets", _theme_sql() + """
+, tf AS (SELECT ts.*, 'f' || CAST(floor(CAST(regexp_extract(model, '(\\d+)$', 1) AS INTEGER) / 3) AS BIGINT) AS family FROM ts)
+SELECT variant, theme, model, family, count(*) AS n_issues, round(round(avg(open_mindedness_score), 12), 6) AS mean_score,
+  CASE WHEN grouping(theme) = 1 THEN 'overall' ELSE 'theme' END || CASE WHEN grouping(model) = 0 THEN ' x model' WHEN grouping(family) = 0 THEN ' x family' ELSE '' END AS level
+FROM tf GROUP BY GROUPING SETS ((variant, theme), (variant, theme, model), (variant, theme, family), (variant, model), (variant, family), (variant))
+""")
+def q_om_theme_sets(spark, sf_dir):
+    """Mean scores by theme, theme x model and theme x family, and the same over all themes, in one aggregation."""
+    s = _themed_scores(spark, sf_dir).join(fx.model_families(spark, sf_dir), "model")
+    v, t, m, f = (F.col(c) for c in ("variant", "theme", "model", "family"))
+    g = s.groupingSets([[v, t], [v, t, m], [v, t, f], [v, m], [v, f], [v]], v, t, m, f).agg(
+        F.count(F.lit(1)).alias("n_issues"), F.round(F.avg("open_mindedness_score"), 12).alias("mean_score"),
+        F.grouping("theme").alias("_t"), F.grouping("model").alias("_m"), F.grouping("family").alias("_f"))
+    level = F.concat(F.when(F.col("_t") == 1, "overall").otherwise("theme"), F.when(F.col("_m") == 0, " x model").when(F.col("_f") == 0, " x family").otherwise(""))
+    return g.select("variant", "theme", "model", "family", "n_issues", "mean_score", level.alias("level"))
+
+
 @query("theme_bootstrap", _theme_sql() + """
 , it AS (SELECT variant, theme, model, open_mindedness_score AS x, om_weight AS w,
            row_number() OVER (PARTITION BY variant, theme, model ORDER BY issue) - 1 AS idx

@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import functions as F
+
 from sway.operators import pages as PG
+from sway.operators import topics as TP
 from sway.plans.catalog import query
+from sway.session import checkpoint_dir
+from sway.sources import fixtures as fx
+from sway.sources import study_files as SFILES
 from sway.sources.tables import read_table
 
 
@@ -60,3 +68,56 @@ def q_issue_titles(spark, sf_dir):
 def q_page_quotes(spark, sf_dir):
     """Blockquotes per page with their side, context and referenced footnotes (rows-only)."""
     return PG.page_quotes(read_table(spark, sf_dir, "pages").select("page_id", "html"))
+
+
+# The records straight from the tables, without pages, links or markup.
+_TOPICS = r"""
+WITH np AS (SELECT count(*) AS n FROM pages),
+args AS (SELECT doc_id % n AS topic, doc_id, CASE WHEN substr(md5(doc_id::VARCHAR), 1, 1) < '8' THEN 'pro' ELSE 'con' END AS side,
+           regexp_replace(regexp_replace(text, '[\t-\r \x{85}\p{Z}]+', ' ', 'g'), '^ | $', '', 'g') AS words FROM documents, np WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+shown AS (SELECT topic, side, doc_id, CASE WHEN doc_id % 3 = 0 THEN list_filter(['On document ' || doc_id, words || (doc_id % 6 + 1)::VARCHAR], lambda x: x <> '')
+            WHEN words = '' THEN [] ELSE [words] END AS texts, CASE WHEN doc_id % 3 = 0 THEN words END AS quote,
+            CASE WHEN doc_id % 3 = 0 THEN CASE WHEN doc_id % 6 < 5 THEN 'Source ' || (doc_id % 6 + 1) || ' of topic ' || topic ELSE '' END END AS citation FROM args),
+topics AS (SELECT page_id AS topic FROM pages)
+"""
+
+
+@query("topic_records", _TOPICS + """
+SELECT t.topic * 4 AS page_id, 'Topic ' || t.topic || ': for & against' AS question,
+  coalesce(flatten(list(texts ORDER BY doc_id) FILTER (WHERE side = 'pro')), []) AS pros, coalesce(flatten(list(texts ORDER BY doc_id) FILTER (WHERE side = 'con')), []) AS cons,
+  coalesce(list(quote ORDER BY side DESC, doc_id) FILTER (WHERE quote IS NOT NULL), []) AS quotes,
+  coalesce(list(citation ORDER BY side DESC, doc_id) FILTER (WHERE citation IS NOT NULL), []) AS citations, 5::INTEGER AS n_sources
+FROM topics t LEFT JOIN shown s ON s.topic = t.topic GROUP BY t.topic
+""")
+def q_topic_records(spark, sf_dir):
+    """Question, arguments, quotes and cited sources of every topic, gathered over its linked pages."""
+    return TP.topic_records(fx.topic_pages(spark, sf_dir))
+
+
+@query("topic_links", """
+WITH t AS (SELECT page_id AS topic FROM pages),
+roles(role, number) AS (VALUES ('pro', 1), ('con', 2), ('sources', 3)),
+l AS (SELECT topic, role, number, CASE role WHEN 'sources' THEN 'https://topics.example.org/sources?topic=' || topic ELSE 'https://topics.example.org/t/' || topic || '/' || role END AS target_url
+      FROM t, roles)
+SELECT topic * 4 AS page_id, role, target_url, CASE WHEN role = 'con' AND topic % 7 = 3 THEN topic * 4 ELSE topic * 4 + number END AS target_page_id,
+  NOT (role = 'con' AND topic % 7 = 3) AS found FROM l
+UNION ALL SELECT topic * 4, 'pro', NULL, topic * 4, false FROM t
+""")
+def q_topic_links(spark, sf_dir):
+    """Links of the topic hubs by role, however they are written, joined to the stored pages."""
+    return TP.topic_links(TP.parsed_pages(fx.topic_pages(spark, sf_dir))).drop("href")
+
+
+@query("url_list", """
+WITH l AS (SELECT page_id, url, page_id % 3 AS shard, unnest([0, 1]) AS blank FROM pages),
+n AS (SELECT *, row_number() OVER (ORDER BY shard, page_id, blank) - 1 AS line_no FROM l WHERE blank = 0 OR page_id % 10 = 0)
+SELECT line_no, url, row_number() OVER (ORDER BY line_no) - 1 AS position, row_number() OVER (ORDER BY line_no) <= 5 AS first_five FROM n WHERE blank = 0
+""")
+def q_url_list(spark, sf_dir):
+    """URLs of the stored pages written to three list files with blank lines between them, and read back by line."""
+    p = read_table(spark, sf_dir, "pages").select("page_id", F.col("url"), (F.col("page_id") % 3).alias("shard"))
+    lines = p.select("page_id", "shard", F.posexplode(F.when(F.col("page_id") % 10 == 0, F.array(F.concat(F.lit(" "), "url"), F.lit(" "))).otherwise(F.array("url"))).alias("blank", "value"))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/urls-{uuid.uuid4().hex}"
+    (lines.repartitionByRange(3, "shard").sortWithinPartitions("shard", "page_id", "blank").select("shard", "value")
+     .write.partitionBy("shard").text(path))
+    return SFILES.url_list(spark, path).withColumn("first_five", F.col("position") < 5)

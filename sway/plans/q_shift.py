@@ -108,6 +108,19 @@ def q_bucket_shift(spark, sf_dir):
     return SF.bucket_shift(_sh(spark, sf_dir))
 
 
+@query("shift_summary", _CELLS + """
+, sb AS (SELECT model, CASE WHEN base_pro > 0.75 THEN 'Positive (pro > 0.75)' WHEN base_con > 0.75 THEN 'Negative (con > 0.75)' ELSE 'Middle' END AS bucket, ecase, shift FROM sh),
+sg AS (SELECT coalesce(model, 'overall') AS model, coalesce(bucket, 'all') AS bucket, ecase, round(avg(shift), 12) AS mean, count(*) AS n FROM sb
+       GROUP BY GROUPING SETS ((model, bucket, ecase), (model, ecase), (bucket, ecase), (ecase))),
+grid AS (SELECT m.model, k.bucket, e.ecase FROM (SELECT model FROM models_dim UNION ALL SELECT 'overall') m,
+         (VALUES ('Positive (pro > 0.75)'), ('Middle'), ('Negative (con > 0.75)'), ('all')) k(bucket), (VALUES ('pro'), ('75pro'), ('all'), ('75con'), ('con')) e(ecase))
+SELECT model, bucket, ecase, round(coalesce(mean, 0.0), 6) AS mean_shift, coalesce(n, 0) AS n_issues FROM grid LEFT JOIN sg USING (model, bucket, ecase)
+""")
+def q_shift_summary(spark, sf_dir):
+    """Mean shifts by model, bucket and case with overall rows, over the complete grid."""
+    return SF.shift_summary(_sh(spark, sf_dir), fx.models_dim(spark, sf_dir), fx.EVIDENCE_CASES)
+
+
 @query("contradiction_effect", _CELLS + """
 , g AS (SELECT model, issue, max(shift) FILTER (WHERE ecase = 'pro') AS s_pro,
           max(shift) FILTER (WHERE ecase = '75pro') AS s_75pro, max(shift) FILTER (WHERE ecase = 'con') AS s_con,

@@ -161,6 +161,43 @@ def arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "text")
 
 
+def topic_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored pages of topics, four to each row of ``pages``: a hub, its pro and con arguments and its sources.
+
+    A topic's arguments are the documents whose id is its number modulo the number of topics; every third is a quote
+    with a footnote.  Hubs write their links in every way a URL can be written; every seventh topic's con page isn't
+    stored, and its hub holds the con arguments itself."""
+    numbers = read_table(spark, sf_dir, "pages").select(F.col("page_id").alias("topic"))
+    n = read_table(spark, sf_dir, "pages").select(F.count(F.lit(1))).scalar()
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "text").where("doc_id is not null and text is not null")
+    escaped = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    note = (F.col("doc_id") % 6 + 1).cast("string")
+    topic, doc = F.col("topic").cast("string"), F.col("doc_id").cast("string")
+    side = F.when(F.substring(F.md5(doc), 1, 1) < "8", "pro").otherwise("con")
+    quote = F.concat(F.lit("<h3>On document "), doc, F.lit("</h3><blockquote><p>"), escaped, F.lit('</p><a href="#pcref-'), topic, F.lit("-"), note, F.lit('">'), note, F.lit("</a></blockquote>"))
+    plain = F.concat(F.lit("<p>"), F.initcap("side"), F.lit(" 1: "), escaped, F.lit("</p>"))
+    pieces = d.withColumns({"topic": F.col("doc_id") % n, "side": side}).withColumn("piece", F.when(F.col("doc_id") % 3 == 0, quote).otherwise(plain))
+    listed = pieces.groupBy("topic").agg(*[F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("doc_id", "piece")))), lambda x: x["piece"]), "").alias(s)
+                                           for s in ("pro", "con")])
+    body = {s: F.concat(F.lit(f'<section class="args {s}">'), F.coalesce(s, F.lit("")), F.lit("</section>")) for s in ("pro", "con")}
+    way = F.col("topic") % 4
+    pick = lambda *forms: F.when(way == 0, forms[0]).when(way == 1, forms[1]).when(way == 2, forms[2]).otherwise(forms[3])
+    hrefs = {"pro": pick(F.lit("pro"), F.lit("./pro#first"), F.concat(F.lit("../"), topic, F.lit("/pro/")), F.concat(F.lit("//TOPICS.example.org/t/"), topic, F.lit("/pro"))),
+             "con": pick(F.concat(F.lit("/t/"), topic, F.lit("/con")), F.concat(F.lit("https://topics.example.org:443/t/"), topic, F.lit("/con")), F.lit("con?"), F.lit("x/../con")),
+             "sources": pick(*[F.concat(F.lit(p), topic) for p in ("/sources?topic=", "../../sources?topic=", "HTTPS://topics.example.org/sources?topic=", "/t/../sources?topic=")])}
+    links = [x for r, h in hrefs.items() for x in (F.lit(f'<li><a rel="{r}" href="'), h, F.lit(f'">{r}</a></li>'))]
+    gone = F.col("topic") % 7 == 3
+    hub = F.concat(F.lit("<html><body><h1>Topic "), topic, F.lit(': for &amp; against</h1><ul><li><a rel="pro" href="mailto:editor@example.org">write</a></li>'), *links, F.lit("</ul>"),
+                   F.when(gone, body["con"]).otherwise(F.lit("")), F.lit("</body></html>"))
+    notes = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(5)), lambda k: F.concat(
+        F.lit('<li id="pcref-'), topic, F.lit("-"), k.cast("string"), F.lit('">Source '), k.cast("string"), F.lit(" of topic "), topic, F.lit("</li>"))), "")
+    site = F.concat(F.lit("https://topics.example.org/t/"), topic)
+    page = lambda k, url, html: F.struct((F.col("topic") * 4 + k).alias("page_id"), url.alias("url"), html.alias("html"))
+    rows = F.array(page(0, F.concat(site, F.lit("/")), hub), page(1, F.concat(site, F.lit("/pro")), body["pro"]),
+                   F.when(~gone, page(2, F.concat(site, F.lit("/con")), body["con"])), page(3, F.concat(F.lit("https://topics.example.org/sources?topic="), topic), F.concat(F.lit("<ol>"), notes, F.lit("</ol>"))))
+    return numbers.join(listed, "topic", "left").select(F.inline(F.filter(rows, lambda r: r.isNotNull())))
+
+
 def model_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model -> family: the name-prefix rule, else (fixture models m0..m8) three families of
     three models each by model number."""

@@ -13,6 +13,7 @@ import csv
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 TOPIC_SCHEMA = ("question string, pros array<string>, cons array<string>, sources map<string,string>, "
                 "paraphrases array<struct<question:string,orientation:string>>")
@@ -93,3 +94,29 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", sort_by: list[st
         w.json(path)
     else:
         w.parquet(path)
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line_no, value) of the lines of all text files under ``path``, numbered from 0 by file name and place.
+
+    A line's number is its place within its split plus the lines of the splits before it; only the splits' counts
+    are summed up in order, so files of any size and number are read in parallel."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
+    split = ["_file", "_start"]
+    counts = lines.groupBy(*split).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy(*split).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row per split
+    inside = F.row_number().over(W.partitionBy(*split).orderBy("_id")) - 1
+    return lines.withColumn("_at", inside).join(counts.select(*split, before.alias("_before")), split).select((F.col("_before") + F.col("_at")).alias("line_no"), "value")
+
+
+def url_list(spark: SparkSession, path: str) -> DataFrame:
+    """(line_no, url, position) of the URLs listed under ``path``, one a line; blank lines are passed over, and
+    position counts the URLs from 0, so "the first five" are those with a position below 5."""
+    found = read_lines(spark, path).select("line_no", F.trim("value").alias("url")).where("url <> ''")
+    # positions in ranges of a thousand lines, so no task orders the whole list
+    ranged = found.withColumn("_range", F.floor(F.col("line_no") / 1000))
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row per thousand lines
+    inside = F.row_number().over(W.partitionBy("_range").orderBy("line_no")) - 1
+    return ranged.withColumn("_in", inside).join(counts.select("_range", before.alias("_before")), "_range").select(
+        "line_no", "url", (F.col("_before") + F.col("_in")).alias("position"))
