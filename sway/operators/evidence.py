@@ -73,6 +73,7 @@ def spearman_by_feature(long: DataFrame, target: str) -> DataFrame:
     """Spearman rho of each feature with ``target``: Pearson correlation of average ranks.
 
     ``long``: (feature, value, <target>) - one row per item and feature."""
-    r = average_rank(long, ["feature"], "value", "rv")
-    r = average_rank(r, ["feature"], target, "rt")
+    # medians of values of 12 decimals have a 13th, so ties are taken at 10
+    r = average_rank(long, ["feature"], "value", "rv", digits=10)
+    r = average_rank(r, ["feature"], target, "rt", digits=10)
     return r.groupBy("feature").agg(pearson(F.col("rv"), F.col("rt")).alias("spearman_rho"), F.count(F.lit(1)).alias("n"))

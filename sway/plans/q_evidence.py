@@ -124,9 +124,9 @@ def _long_sql(features) -> str:
     return " UNION ALL ".join(f"SELECT evidence_hash, evidence_effect_pattern, median_abs_shift AS y, '{c}' AS feature, {c}::DOUBLE AS value FROM it" for c in features)
 
 
-def _ranked(value: str, keys: str) -> str:
+def _ranked(value: str, keys: str, digits: int = 12) -> str:
     """Average ranks within ``keys``, as a window expression."""
-    rounded = f"round({value}, 12) + 0.0"
+    rounded = f"round({value}, {digits}) + 0.0"
     return f"rank() OVER (PARTITION BY {keys} ORDER BY {rounded}) + (count(*) OVER (PARTITION BY {keys}, {rounded}) - 1) / 2.0"
 
 
@@ -153,7 +153,7 @@ def q_pattern_means(spark, sf_dir):
 
 
 _SPEARMAN = f"""
-, lf AS (SELECT feature, {_ranked("value", "feature")} AS rv, {_ranked("y", "feature")} AS rt FROM (FEATURES)),
+, lf AS (SELECT feature, {_ranked("value", "feature", 10)} AS rv, {_ranked("y", "feature", 10)} AS rt FROM (FEATURES)),
 sp AS (SELECT feature, CASE WHEN stddev_pop(rv) > 0 AND stddev_pop(rt) > 0 THEN corr(rv, rt) END AS rho, count(*) AS n FROM lf GROUP BY feature)
 """
 
