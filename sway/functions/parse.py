@@ -128,9 +128,27 @@ def request_text_hash(text: Column) -> Column:
     return F.when(F.length(norm) > 0, F.sha1(norm))
 
 
-def model_from_file(path: Column) -> Column:
-    """``.../predictions_<model>[_<n>].jsonl[/...]`` -> model (file name or a folder of part files)."""
-    return F.regexp_extract(path, r"predictions_([^/]*?)(?:_\d+)?\.jsonl(?:/|$)", 1)
+def model_from_file(path: Column, kind: str = "predictions") -> Column:
+    """``.../<kind>_<model>[_<n>].jsonl[/...]`` -> model (file name or a folder of part files)."""
+    return F.regexp_extract(path, kind + r"_([^/]*?)(?:_\d+)?\.jsonl(?:/|$)", 1)
+
+
+# The union of the request lines that prompt files hold.
+PROMPT_SCHEMA = (
+    "custom_id string, prompt string, "
+    "request struct<custom_id string, labels struct<custom_id string>, "
+    "  contents array<struct<parts array<struct<text string>>>>, messages array<struct<content string>>>, "
+    "body struct<messages array<struct<content string>>>"
+)
+
+
+def parse_prompt(value: Column) -> Column:
+    """Request line of a prompt file -> struct (custom_id, text): the request's text in any of the providers' formats."""
+    j = F.from_json(value, PROMPT_SCHEMA)
+    body = F.get(j["body"]["messages"], 0)["content"]
+    asked = F.get(F.get(j["request"]["contents"], 0)["parts"], 0)["text"]
+    text = F.coalesce(_nz(asked), _nz(F.get(j["request"]["messages"], 0)["content"]), _nz(body), _nz(j["prompt"]), F.lit(""))
+    return F.struct(custom_id_of(j).alias("custom_id"), text.alias("text"))
 
 
 def clean_text(c: Column) -> Column:

@@ -38,9 +38,9 @@ def decode_predictions(lines: DataFrame, prompt_lookup: DataFrame | None = None,
     d = d.select(
         "*",
         P.custom_id_of(F.col("j")).alias("custom_id0"),
-        P.request_text_hash(P.request_text(F.col("j"), contents_first=True)).alias("req_hash"),
+        P.request_text(F.col("j"), contents_first=True).alias("request_text"),
         P.response_text(F.col("value"), F.col("j")).alias("response_text"),
-        F.col("j.llm_answer").alias("pre_answer"))
+        F.col("j.llm_answer").alias("pre_answer")).withColumn("req_hash", P.request_text_hash(F.col("request_text")))
     if prompt_lookup is not None:
         lk = prompt_lookup.select("model", F.col("text_hash").alias("req_hash"),
                                   F.col("custom_id").alias("recovered_id"))
@@ -55,6 +55,32 @@ def decode_predictions(lines: DataFrame, prompt_lookup: DataFrame | None = None,
     return d.drop("j", "custom_id0")
 
 
+def import_prompts(spark, folder: str, path: str) -> str:
+    """Prompt files ``prompts_<model>[_<n>].jsonl`` -> a Parquet table at ``path``, a folder for each model.
+
+    (model, custom_id, text, line_no): ``line_no`` orders the lines of a model by file name and place.  Lines
+    that are blank, pointers or no JSON are left out.  Returns ``path``."""
+    raw = spark.read.text(folder).select(
+        F.trim("value").alias("value"), P.model_from_file(F.col("_metadata.file_path"), "prompts").alias("model"),
+        F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+                 F.monotonically_increasing_id().alias("line")).alias("line_no"))
+    raw = raw.filter((F.length("value") > 0) & ~F.col("value").startswith(LFS_PREFIX))
+    j = raw.select("model", "line_no", F.inline(F.array(P.parse_prompt(F.col("value")))))
+    j = j.filter(F.col("custom_id").isNotNull())
+    j.select("model", "custom_id", "text", "line_no").write.partitionBy("model").parquet(path)
+    return path
+
+
+def prompts_of(spark, path: str, replies: DataFrame) -> DataFrame:
+    """The imported prompts of the models that occur in ``replies``; other models' folders aren't read.
+
+    The models (a row each) are broadcast, from which Spark prunes the folders at run time; that is safe at any
+    size of ``replies``, as they are at most as many as the table has folders."""
+    schema = "custom_id string, text string, line_no struct<file string, start long, line long>, model string"
+    models = replies.select("model").distinct()
+    return spark.read.schema(schema).parquet(path).join(F.broadcast(models), "model", "left_semi")
+
+
 def prompt_hash_lookup(prompts: DataFrame) -> DataFrame:
     """(model, custom_id, text, line_no) -> one custom_id per (model, text hash), first line wins."""
     h = prompts.select("model", "custom_id", "line_no",

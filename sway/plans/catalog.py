@@ -61,7 +61,7 @@ def query(name: str, sql: str | None = None):
 def load_all() -> dict[str, Query]:
     """Import every query module so their registrations run."""
     from sway.plans import (  # noqa: F401
-        q_evidence, q_grid, q_judge, q_omind, q_order, q_pages, q_parse, q_resample, q_shares,
+        q_evidence, q_files, q_grid, q_judge, q_omind, q_order, q_pages, q_parse, q_resample, q_shares,
         q_shift, q_stream, q_text,
     )
     return REGISTRY

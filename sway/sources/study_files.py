@@ -8,9 +8,7 @@ columns; outputs are written with the DataFrame writer.
 
 from __future__ import annotations
 
-import csv
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
@@ -58,27 +56,40 @@ def thin_topics(topics: DataFrame, min_args: int = 3) -> DataFrame:
     return long.filter(F.col("n") < min_args)
 
 
+def csv_fields(line: Column) -> Column:
+    """The fields of one CSV line: split at commas outside quotes, quotes taken off and doubled ones halved."""
+    raw = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("[^"]*+(?:""[^"]*+)*+"|[^,]*)'), 1)
+    return F.transform(raw, lambda x: F.when(x.startswith('"') & x.endswith('"') & (F.length(x) > 1), F.replace(
+        F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
+
+
+def read_by_header(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The columns of ``schema`` from all CSV files of ``folder`` that have them, each by its file's own header.
+
+    Files may order their columns in any way and hold others; files that lack one are left out.  Values that don't
+    fit the type are null.  The header of a file (its first line that isn't blank) meets the file's lines in a join
+    on the path, so any number of files is read by one scan and no header reaches the driver.  A header line
+    itself stays, as a row of its names (null where a type is not string); repeated names count once, the first.
+    Values hold no line ends."""
+    wanted = T.StructType.fromDDL(schema)
+    lines = spark.read.text(folder, pathGlobFilter="*.csv").where(F.trim("value") != "").select(
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"))
+    heads = lines.groupBy("path").agg(F.min_by("line", F.struct("start", "id")).alias("head"))
+    names = F.transform(csv_fields(F.col("head")), lambda name: F.trim(name))
+    places = heads.select("path", F.transform(F.array(*[F.lit(f.name) for f in wanted]),
+                                              lambda name: F.array_position(names, name).cast("int")).alias("places"))
+    places = places.where(~F.exists("places", lambda x: x == 0))
+    fields = lines.join(places, "path").select("places", csv_fields(F.col("line")).alias("fields"))
+    return fields.select(*[F.try_element_at("fields", F.nullif(F.col("places")[i], F.lit(0))).try_cast(f.dataType).alias(f.name)
+                           for i, f in enumerate(wanted)])
+
+
 def read_stance_csvs(spark: SparkSession, folder: str) -> DataFrame:
     """Result CSVs of a folder that carry (issue, issue_stance, count, case, model), in any column order
-    and beside other columns; other CSVs are left out.  The model name loses ``.csv``.
-
-    Files are grouped by their header line (one short line per file reaches the driver)."""
-    lines = spark.read.text(folder).select("value", F.col("_metadata.file_path").alias("path"),
-                                           F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"))
-    heads = lines.groupBy("path").agg(F.min_by("value", F.struct("at", "n")).alias("head")).collect()
-    groups: dict[str, list[str]] = {}
-    for r in heads:
-        groups.setdefault(r["head"], []).append(r["path"])
-    out = spark.createDataFrame([], COUNTS_SCHEMA)
-    names = out.columns
-    for head, paths in sorted(groups.items()):
-        columns = [c.strip() for c in next(csv.reader([head.lstrip("\ufeff")]))]
-        if not set(names) <= set(columns):
-            continue
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-        d = spark.read.option("header", True).schema(schema).csv(paths)
-        out = out.unionByName(d.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in out.schema]))
-    return out.filter(F.col("issue").isNotNull() & F.col("count").isNotNull()).withColumn(
+    and beside other columns; other CSVs are left out.  The model name loses ``.csv``; rows without a count go."""
+    out = read_by_header(spark, folder, COUNTS_SCHEMA)
+    return out.filter((F.col("issue") != "") & F.col("count").isNotNull()).withColumn(
         "model", F.regexp_replace("model", r"\.csv", "")).withColumnRenamed("case", "ecase")
 
 
@@ -89,7 +100,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", sort_by: list[st
         df = df.orderBy(*sort_by)
     w = df.write.mode("overwrite")
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        w.option("header", True).option("escape", '"').csv(path)
     elif fmt == "json":
         w.json(path)
     else:

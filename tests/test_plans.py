@@ -7,7 +7,7 @@ import pytest
 from sway.plans.catalog import load_all
 
 REG = load_all()
-EAGER = {"stream_stance_counts", "batch_ingest", "ridge_cv"}  # run jobs while building
+EAGER = {"stream_stance_counts", "stream_retry_counts", "batch_ingest", "ridge_cv", "csv_results", "sorted_results", "prompt_lookup"}  # run jobs while building
 TWO_PASSES = {"unparsed_sample"}  # total count and top-100 listing
 
 

@@ -42,3 +42,24 @@ def test_restart_picks_up_new_shards_only(spark, sf_dir):
     stance_stream(spark, inbox, qm, out, ckpt, files_per_trigger=1).awaitTermination()
     again = latest_counts(spark, out).select(*key)
     assert again.exceptAll(exp.select(*key)).count() == 0 and again.count() == exp.count()
+
+
+def test_retries_take_back_the_old_stance(spark, sf_dir, tmp_path):
+    from sway.streaming.retry_stream import current_counts, retry_stream
+    inbox, out, ckpt = (str(tmp_path / x) for x in ("inbox", "counts", "ckpt"))
+    os.mkdir(inbox)
+    qm = spark.createDataFrame([("zoos", "issue-z", None)], "question string, issue string, orientation string")
+    cid = "request-zoos-%d-framing-pro-evidence-pro"
+
+    def deliver(name, *lines):
+        with open(os.path.join(inbox, name), "w") as f:
+            f.write("\n".join('{"model":"m","attempt":%s,"place":%s,"custom_id":"%s","response":"%s"}' % line for line in lines) + "\nbroken {\n\n")
+        retry_stream(spark, inbox, qm, out, ckpt, 1).awaitTermination()
+        return {r["issue_stance"]: r["count"] for r in current_counts(spark, out).collect()}
+
+    assert deliver("a", (0, 1, cid % 1, "position A"), (0, 2, cid % 2, "ERROR: x"), ("null", "null", cid % 3, "<<B>>")) == {"pro": 1, "other": 1, "con": 1}
+    # a retry replaces the error; a second delivery of the same line and a reply before the kept one change nothing
+    assert deliver("b", (1, 2, cid % 2, "position A"), (0, 1, cid % 1, "position A"), (0, 0, cid % 1, "<<B>>")) == {"pro": 2, "con": 1}
+    # after the restart the state still knows the old stances; the best of several retries of one batch counts
+    assert deliver("c", (1, 1, cid % 1, "<<B>>"), (2, 1, cid % 1, "none"), (0, 0, cid % 3, "<<A>>"), (0, 9, cid % 2, "<<B>>")) == {"pro": 2, "other": 1}
+    assert deliver("d", (0, 1, "no id", "<<B>>")) == {"pro": 2, "other": 1}

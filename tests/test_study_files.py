@@ -4,6 +4,8 @@ import json
 import os
 import tempfile
 
+from pyspark.sql.functions import col
+
 from sway.sources import study_files as SFI
 
 
@@ -58,3 +60,30 @@ def test_judge_confidence(spark):
     df = spark.createDataFrame([(k,) for k in cases], "raw string")
     for r in df.select("raw", parse_judge_reply(df["raw"]).alias("j")).collect():
         assert (r["j"]["label"], r["j"]["confidence"]) == cases[r["raw"]], r["raw"]
+
+
+def test_csvs_by_header_edges(spark, tmp_path):
+    text = ('﻿model ,"re,mark",case,count,issue_stance,issue,count\r\n\r\nm.csv,"a ""b"", c",pro,4,con,zoos,9\r\nm2,,,x,pro,zoos,1\r\n'
+            'm3\r\n,"","con",5,"",zoos,\r\n')
+    (tmp_path / "a.csv").write_bytes(text.encode())
+    (tmp_path / "none.csv").write_text("issue,issue_stance\nzoos,pro\n")
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "notes.txt").write_text("issue,issue_stance,count,case,model\nzoos,pro,3,neither,x\n")
+    got = sorted(tuple(r) for r in SFI.read_stance_csvs(spark, str(tmp_path)).select("issue", "issue_stance", "count", "ecase", "model").collect())
+    assert got == [("zoos", "", 5, "con", ""), ("zoos", "con", 4, "pro", "m")]
+    row = spark.createDataFrame([('a,"b,""c""",,"",d"e',)], "x string").select(SFI.csv_fields(col("x")).alias("f")).first()
+    assert row["f"] == ["a", 'b,"c"', "", "", 'd"e']
+
+
+def test_prompt_folders_are_pruned(spark, tmp_path):
+    from sway.operators import ingest
+    for m in ("m1", "m2", "m3"):
+        (tmp_path / f"prompts_{m}_0.jsonl").write_text(f'{{"custom_id": "a", "prompt": "same {m}"}}\n{{"custom_id": "b", "prompt": "same {m}"}}\n\nbroken\n')
+        (tmp_path / f"prompts_{m}_1.jsonl").write_text(f'{{"custom_id": "a", "prompt": "later {m}"}}\n{{"custom_id": "c"}}\n')
+    at = ingest.import_prompts(spark, str(tmp_path), str(tmp_path / "table"))
+    spark.createDataFrame([("m2", 1), ("m2", 1), ("m4", 1), ("m1", 0)], "model string, lost int").write.parquet(str(tmp_path / "replies"))
+    wanted = spark.read.parquet(str(tmp_path / "replies")).where("lost = 1")
+    p = ingest.prompts_of(spark, at, wanted)
+    assert "dynamicpruning" in p._jdf.queryExecution().executedPlan().toString().lower()
+    assert {(r["model"], r["custom_id"]) for r in ingest.prompt_hash_lookup(p).collect()} == {("m2", "a")}  # two texts, first lines
+    assert {(r["custom_id"], r["text"]) for r in ingest.prompt_text_lookup(p).collect()} == {("a", "later m2"), ("b", "same m2")}
