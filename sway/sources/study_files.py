@@ -68,7 +68,7 @@ def read_by_header(spark: SparkSession, folder: str, schema: str) -> DataFrame:
 
     Files may order their columns in any way and hold others; files that lack one are left out.  Values that don't
     fit the type are null.  The header of a file (its first line that isn't blank) meets the file's lines in a join
-    on the path, so any number of files is read by one scan and no header reaches the driver.  A header line
+    on the path (two scans, whatever the number of files); no header reaches the driver.  A header line
     itself stays, as a row of its names (null where a type is not string); repeated names count once, the first.
     Values hold no line ends."""
     wanted = T.StructType.fromDDL(schema)
