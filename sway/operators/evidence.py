@@ -10,6 +10,8 @@ from sway.operators.ranks import average_rank
 from sway.session import materialize
 
 MIN_MODELS = 3
+#: Ids without an item that are sent to every task; more of them are joined by a shuffle.
+BROADCAST_IDS = 100_000
 
 
 def evidence_effect(trials: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -19,24 +21,36 @@ def evidence_effect(trials: DataFrame, evidence: DataFrame) -> DataFrame:
     of its evidence items, a trial without any is baseline.  ``evidence``: (evidence_id,
     evidence_hash).  The baseline proportion is over the trials a question really has.  A NULL
     shift (no baseline for the question) stays in the weight denominator, as in the study.
+
+    The effect is linear in the trials: the sum of (pro - baseline proportion) over the item's trials that have a baseline,
+    over all its trials.  So the baseline is found first, and trials are added up per (model, id) inside their map tasks;
+    what is shuffled grows with models x items, not with their questions.  Proportions are added as decimals, so no sum
+    depends on its order.
     """
-    t = trials.select("model", "issue", "question", "issue_stance", F.explode_outer("evidence_ids").alias("evidence_id"))
-    # counted per id before the join: the many baseline rows are a few when they meet the items
-    t = t.groupBy("model", "issue", "question", "evidence_id").agg(
-        F.count_if(F.col("issue_stance") == "pro").alias("pro_n"), F.count(F.lit(1)).alias("n"))
-    t = t.join(evidence, "evidence_id", "left")
-    g = materialize(t.groupBy("model", "issue", "question", "evidence_hash").agg(
-        F.sum("pro_n").alias("pro_n"), F.sum("n").alias("total_with_evidence")))
+    cell = ["model", "issue", "question"]
+    t = trials.select(*cell, (F.coalesce(F.col("issue_stance") == "pro", F.lit(False))).cast("long").alias("pro"), F.explode_outer("evidence_ids").alias("evidence_id"))
+    evidence = materialize(evidence.select("evidence_id", "evidence_hash"))
+    none = F.col("evidence_id").isNull()
+    # the trials without evidence per question, and the ids seen in the others, in one scan
+    seen = materialize(t.groupBy(F.when(none, F.struct(*cell)).alias("cell"), "evidence_id").agg(F.sum("pro").alias("pro_n"), F.count(F.lit(1)).alias("n")))
+    base = seen.filter(none).select("cell.*", "pro_n", "n")
+    # ids without an item or of items without a text are baseline too
+    blank = materialize(seen.filter(~none).select("evidence_id").join(evidence, "evidence_id", "left")
+                        .filter(F.col("evidence_hash").isNull()).groupBy("evidence_id").agg(F.count(F.lit(1)).alias("copies")))
+    blanks = blank.count()
+    if blanks:
+        found = t.filter(~none).join(F.broadcast(blank) if blanks <= BROADCAST_IDS else blank, "evidence_id")
+        base = base.unionByName(found.groupBy(*cell).agg(F.sum(F.col("pro") * F.col("copies")).alias("pro_n"), F.sum("copies").alias("n")))
     # one row per (model, issue, question)
-    base = (g.filter(F.col("evidence_hash").isNull())
-            .select("model", "issue", "question", (F.col("pro_n") / F.col("total_with_evidence")).alias("proportion")))
-    m = g.filter(F.col("evidence_hash").isNotNull()).join(base, ["model", "issue", "question"], "left").withColumn(
-        "shift", F.col("pro_n") / F.col("total_with_evidence") - F.col("proportion"))
+    base = materialize(base.groupBy(*cell).agg(F.sum("pro_n").alias("pro_n"), F.sum("n").alias("n")).select(
+        *cell, (F.col("pro_n") / F.col("n")).cast("decimal(20,18)").alias("proportion")))
+    d = t.filter(~none).join(F.broadcast(base), cell, "left").groupBy("model", "evidence_id").agg(
+        F.sum(F.when(F.col("proportion").isNotNull(), F.col("pro"))).alias("pro_n"), F.sum("proportion").alias("expected"), F.count(F.lit(1)).alias("n"))
+    d = d.join(evidence.filter(F.col("evidence_hash").isNotNull()), "evidence_id")
     # rounded to 12 decimals: a mathematically zero shift must not get a sign from float noise
-    return m.groupBy("model", "evidence_hash").agg(
-        F.round(F.sum(F.col("shift") * F.col("total_with_evidence")) / F.sum("total_with_evidence"), 12)
-        .alias("average_proportion_shift"),
-        F.sum("total_with_evidence").alias("n_trials"))
+    return d.groupBy("model", "evidence_hash").agg(
+        F.round((F.sum("pro_n") - F.sum("expected").cast("double")) / F.sum("n"), 12).alias("average_proportion_shift"),
+        F.sum("n").alias("n_trials"))
 
 
 def evidence_summary(effects: DataFrame) -> DataFrame:
