@@ -9,10 +9,8 @@ quotes with the texts of the sources that their footnotes name.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from urllib.parse import urlsplit
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +20,7 @@ from sway.session import materialize
 
 ROLES = ("pro", "con", "sources")
 DEFAULT_PORTS = {"http": ":80", "https": ":443"}
-PARSED = ("page_id long, url string, question string, links array<struct<role:string,href:string,target:string>>, "
+PARSED = ("url string, question string, links array<struct<role:string,href:string,target:string>>, "
           "args array<struct<side:string,text:string>>, quotes array<struct<side:string,text:string,notes:array<string>>>, "
           "notes map<string,string>")
 _PREFIX = re.compile(TITLE_PREFIX)
@@ -55,25 +53,23 @@ class _RoleParser(_PageParser):
             self.roles.append((a["rel"], a["href"]))
 
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _parse(url, html):
+    """One page; rows come in small batches here, where an Arrow batch would hold thousands of pages at once."""
     norm = lambda parts: " ".join("".join(parts).split())
-    for frame in batches:
-        rows = []
-        for page, url, html in zip(frame["page_id"], frame["url"], frame["html"]):
-            p, q = _RoleParser(), _QuoteParser()
-            for parser in (p, q):
-                parser.feed(html or "")
-                parser.close()
-            args = [(side, _PREFIX.sub("", norm(x))) for side in ("pro", "con") for x in p.args[side]]
-            quotes = [(x["side"], "\n".join(t for t in x["parts"] if t), sorted(x["notes"])) for x in q.quotes]
-            rows.append((page, canonical(url or ""), norm(p.heading) or norm(p.title), [(r, h, canonical(resolve(url or "", h))) for r, h in p.roles],
-                         [x for x in args if x[1]], quotes, {str(n): norm(v) for n, v in p.footnotes.items()}))
-        yield pd.DataFrame(rows, columns=["page_id", "url", "question", "links", "args", "quotes", "notes"])
+    p, q = _RoleParser(), _QuoteParser()
+    for parser in (p, q):
+        parser.feed(html or "")
+        parser.close()
+    args = [(side, _PREFIX.sub("", norm(x))) for side in ("pro", "con") for x in p.args[side]]
+    quotes = [(x["side"], "\n".join(t for t in x["parts"] if t), sorted(x["notes"])) for x in q.quotes]
+    return (canonical(url or ""), norm(p.heading) or norm(p.title), [(r, h, canonical(resolve(url or "", h))) for r, h in p.roles],
+            [x for x in args if x[1]], quotes, {str(n): norm(v) for n, v in p.footnotes.items()})
 
 
 def parsed_pages(pages: DataFrame) -> DataFrame:
     """Each page parsed once (``PARSED``)."""
-    return pages.select("page_id", "url", "html").mapInPandas(_parse, PARSED)
+    parse = F.udf(_parse, PARSED, useArrow=False)
+    return pages.select("page_id", F.inline(F.array(parse("url", "html"))))
 
 
 def topic_links(parsed: DataFrame) -> DataFrame:

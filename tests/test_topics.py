@@ -24,3 +24,8 @@ def test_records_over_links(spark):
     links = topics.topic_links(topics.parsed_pages(spark.createDataFrame(rows, "page_id long, url string, html string")))
     assert {(r["role"], r["target_page_id"], r["found"]) for r in links.collect()} == {("pro", 2, True), ("con", 1, False), ("sources", 3, True)}
     assert topics.topic_records(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_pages_are_not_parsed_in_arrow_batches(spark):
+    plan = topics.parsed_pages(spark.createDataFrame([(1, "u", "h")], "page_id long, url string, html string"))._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "InPandas" not in plan and "InArrow" not in plan
