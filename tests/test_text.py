@@ -113,3 +113,19 @@ def test_page_quotes(spark):
     assert got == [("pro", "Dr. A said:", "Dr. A said:\n\nFirst line [3]\nSecond line", ["3"]),
                    ("pro", "", "No context here", []),
                    ("con", "Opposing view", "Opposing view\n\nCon quote [12] [2]", ["12", "2"])]
+
+
+def test_rendered_evidence_moves_no_rendered_text(spark):
+    from sway.functions import prompts as PR
+    from sway.operators import grid as G
+    args = spark.createDataFrame([(1, "one", ["[1]"]), (2, "two", []), (2, "two", []), (3, None, ["[2]"])], "doc_id long, text string, m array<string>")
+    args = args.select("doc_id", "text", F.transform("m", lambda m: F.struct(m.alias("marker"), F.lit("src").alias("citation"))).alias("citations"))
+    shown = spark.createDataFrame([("t", "pro", 1, 1, "b"), ("t", "pro", 1, 2, "a"), ("t", "pro", 2, 3, "a"), ("t", "pro", 2, 1, "b")], "topic string, ecase string, draw int, doc_id long, order_key string")
+    one, three = "one\nCitations:\n[1] src\n---\n", "\nCitations:\n[2] src\n---\n"
+    out = G.rendered_evidence(shown, args)
+    assert {r["draw"]: r["evidence"] for r in out.collect()} == {1: "two---\n" * 4 + one, 2: three + one}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Citations:") < plan.index("Exchange")
+    cum = {r["draw"]: r["evidence"] for r in G.rendered_evidence(shown, args, True).collect()}
+    assert cum[2] == three + "one\nCitations:\n[2] src\n[1] src\n---\n"
+    assert spark.range(1).select(PR.evidence_items(F.lit("a [1]\nCitations:\n[1] x\n[2] y\n---\n b\t---\nrest")).alias("v")).first()["v"] == ["a [1]\nCitations:\n[1] x", "b"]
