@@ -56,3 +56,32 @@ def test_cluster_without_shared_folder_is_refused(monkeypatch):
                            sparkContext=SimpleNamespace(master="yarn", getCheckpointDir=lambda: None, setCheckpointDir=lambda d: None))
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.checkpoint_dir(fake)
+
+
+def test_passages_hold_every_probe_at_its_offset():
+    from sway.functions import anchors as A
+
+    rng = random.Random(1)
+    for alphabet in ("ab", "abcdefgh é漢🙂\n"):
+        text = "".join(rng.choice(alphabet) for _ in range(400))
+        found = A.passages(text)
+        for _ in range(300):
+            i = rng.randrange(len(text) - SHORTEST)
+            probe = text[i:i + rng.randrange(SHORTEST, 51)]
+            gram, anchor, offset = A.probe_anchor([probe])[0]
+            assert any(g == gram and a == anchor and lead >= offset and p[lead - offset:][:len(probe)] == probe for g, a, p, lead in found)
+
+
+def test_candidates_of_a_probe_do_not_grow_with_texts_that_share_a_phrase(spark):
+    """Lines that share 30 characters and then differ: each is its own candidate only."""
+    from sway.functions import anchors as A
+
+    same = "every line opens with the same "
+    rng = random.Random(2)
+    lines = [same + "".join(rng.choice("bcdfgh") for _ in range(60)) for _ in range(40)]
+    keys = [{(g, a) for g, a, _, _ in A.passages(x)} for x in lines]
+    assert sum((A.probe_anchor([x[:50]])[0][:2] in k) for x in lines for k in keys) <= 2 * len(lines)
+    args = spark.createDataFrame([("t", "pro" if i % 2 else "con", i, x) for i, x in enumerate(lines)], "topic string, side string, doc_id long, text string")
+    prompts = spark.createDataFrame([(i, "t", f"x\nCitations:\n---\n{x}\nCitations: [1]") for i, x in enumerate(lines)], "prompt_id long, topic string, text string")
+    got = {r["prompt_id"]: r["last_argument"] for r in order.last_argument(prompts, args).collect()}
+    assert got == {i: "pro" if i % 2 else "con" for i in range(40)}
