@@ -36,16 +36,30 @@ def _rank(reply: tuple) -> tuple:
     return tuple((v is not None, v.encode() if isinstance(v, str) else v or 0) for v in reply[:len(ORDER)])
 
 
+def _top(batch: pd.DataFrame) -> tuple | None:
+    """Best reply of a batch: column by column only the rows that tie so far are looked at."""
+    for c in ORDER:
+        if batch[c].notna().any():
+            batch = batch[batch[c].notna()]
+            if c != "response_text":
+                batch = batch[batch[c] == batch[c].max()]
+            else:
+                distinct = batch[c].unique()
+                batch = batch[batch[c] == max(distinct, key=str.encode)]
+    for row in batch[[*ORDER, *COUNTED]].astype(object).itertuples(index=False, name=None):
+        row = tuple(None if pd.isna(v) else v for v in row)
+        return (*(int(v) if v is not None else None for v in row[:2]), *row[2:])
+    return None
+
+
 def replace_reply(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Keep the best reply of one (model, request id); emit what its replacement changes."""
     old = tuple(state.get) if state.exists else None
     best = old
     for batch in batches:
-        columns = [batch[c].astype(object).where(batch[c].notna(), None) for c in (*ORDER, *COUNTED)]
-        for row in zip(*columns):
-            reply = (*(int(v) if v is not None else None for v in row[:2]), *row[2:])
-            if best is None or _rank(reply) > _rank(best):
-                best = reply
+        reply = _top(batch)
+        if reply is not None and (best is None or _rank(reply) > _rank(best)):
+            best = reply
     if best is None or best == old:
         return
     state.update(best)

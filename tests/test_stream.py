@@ -63,3 +63,28 @@ def test_retries_take_back_the_old_stance(spark, sf_dir, tmp_path):
     # after the restart the state still knows the old stances; the best of several retries of one batch counts
     assert deliver("c", (1, 1, cid % 1, "<<B>>"), (2, 1, cid % 1, "none"), (0, 0, cid % 3, "<<A>>"), (0, 9, cid % 2, "<<B>>")) == {"pro": 2, "other": 1}
     assert deliver("d", (0, 1, "no id", "<<B>>")) == {"pro": 2, "other": 1}
+
+
+def test_best_reply_of_a_batch_is_found_by_columns(monkeypatch):
+    import random
+
+    import pandas as pd
+
+    from sway.streaming import retry_stream as R
+
+    rng = random.Random(4)
+    rows = [(rng.choice([None, 0, 1]), rng.choice([None, 5, 7]), rng.choice([None, "a", "é", "z", "😀"]), rng.choice([None, "i"]), "pro", rng.choice(["pro", "con"])) for _ in range(600)]
+    ranked, rank = [], R._rank
+    monkeypatch.setattr(R, "_rank", lambda reply: ranked.append(reply) or rank(reply))
+
+    class State:
+        exists, get = False, None
+
+        def update(self, v):
+            self.get = v
+
+    for n in (1, 2, 7, 600):
+        state = State()
+        list(R.replace_reply(("m", "q"), iter([pd.DataFrame(rows[:n], columns=[*R.ORDER, *R.COUNTED])]), state))
+        assert tuple(state.get) == max(rows[:n], key=rank)
+    assert len(ranked) <= 8  # a batch, not a reply, is compared with the kept one
