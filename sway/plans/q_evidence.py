@@ -137,7 +137,7 @@ def _item_features(spark, sf_dir):
     their hash (identical texts have identical features), never by shuffling full texts."""
     d = spread(_evidence_docs(spark, sf_dir), "doc_id")
     f = d.select(F.sha2("text", 256).alias("evidence_hash"),
-                 *FT.text_features(F.col("text")))
+                 *FT.pattern_features(F.col("text")))
     f = f.select("evidence_hash", *[F.col(c).cast("double").alias(c) for c in PATTERN_FEATURES])
     return f.groupBy("evidence_hash").agg(*[F.max(c).alias(c) for c in PATTERN_FEATURES])
 

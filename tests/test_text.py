@@ -1,12 +1,15 @@
 """Text features against a direct Python ``re`` computation on the sf0.001 documents."""
 
 import math
+import random
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sway.functions import features as FT
+from sway.plans import q_evidence as QE
 from sway.sources.tables import read_table
 
 
@@ -129,3 +132,38 @@ def test_rendered_evidence_moves_no_rendered_text(spark):
     cum = {r["draw"]: r["evidence"] for r in G.rendered_evidence(shown, args, True).collect()}
     assert cum[2] == three + "one\nCitations:\n[2] src\n[1] src\n---\n"
     assert spark.range(1).select(PR.evidence_items(F.lit("a [1]\nCitations:\n[1] x\n[2] y\n---\n b\t---\nrest")).alias("v")).first()["v"] == ["a [1]\nCitations:\n[1] x", "b"]
+
+
+def _odd_texts() -> list[str | None]:
+    """Cues between characters that only Unicode classes and case folding tell apart."""
+    rng = random.Random(7)
+    pieces = ["percent", "PERCENT", "%", "pct.", "study", "\u017ftudy", "STUDY", "ri\u017fk ratio", "risk ratio", "Ris\u212a RATIO", "mu\u017ft", "must", "r\u0131ght", "R\u0130GHTS",
+              "rights", "findings", "meta-analysis", "p-value", "P-VALUE", "median", "rate", "do\u0131", "DO\u0130", "http\u017f://", "[12]", "[\u0661\u0662]", "(\u0967\u0968\u0969\u096a)",
+              "(1999)", "\u0665", "7", "\u00e9", "e\u0301", "\u0301", "\u0130a", "\u0131o", "ae", "AEIOU", "y", "_", "\u203f", "\u200d", "\u200c", "\u00ad", "\u201c", "\u2019", "\u00df", "\U0001d54f",
+              "\U0001f600", "\U00010400", "\u4e2d", ".", "!?", "\u3002", "-", "'", "\t", "\n", "\x0b", "\x1c", "\x1f", "\x85", "\u00a0", "\u2003", "\u3000", "\u180e", "\u2028", " ", " ", " ", "\x00"]
+    return [None, "", " ", "e", "%", *["".join(rng.choices(pieces, k=rng.randrange(1, 30))) for _ in range(3000)], *pieces]
+
+
+def test_pattern_features_equal_text_features(spark):
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(_odd_texts())], "i long, text string").repartition(5)
+    kept = [c for c in d.select(*FT.pattern_features(F.col("text"))).columns if c != "avg_sentence_length_words"]
+    want = d.select("i", *FT.text_features(F.col("text"))).select("i", *kept)
+    got = d.select("i", *FT.pattern_features(F.col("text"))).select("i", *kept)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_class_counts_of_small_pieces_and_slices(monkeypatch):
+    texts = ["a b", "", None, "e", "ee.!x. 12", " ", "e" * 50]
+    whole = FT.ascii_counts.func(pa.array(["skipped", *texts])[1:].fill_null(""))
+    monkeypatch.setattr(FT, "CLASSED", 3)
+    assert FT.ascii_counts.func(pa.array([t or "" for t in texts])).equals(whole)
+    assert [tuple(r[k] for k in ("words", "sentences", "digits", "syllables", "solid")) for r in whole.to_pylist()] == [
+        (2, 0, 0, 1, 2), (0, 0, 0, 0, 0), (0, 0, 0, 0, 0), (1, 0, 0, 1, 1), (2, 2, 2, 1, 8), (0, 0, 0, 0, 0), (1, 0, 0, 1, 50)]
+    assert len(FT.ascii_counts.func(pa.array([], pa.string()))) == 0
+
+
+def test_item_features_run_no_pattern_per_feature(spark, sf_dir):
+    """Patterns of the JVM only fold texts that aren't ASCII and count their vowels."""
+    plan = QE._item_features(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan and "percent" not in plan.replace("has_percent", "").replace("percent_count", "")
+    assert plan.count("ascii_counts(") == 1
