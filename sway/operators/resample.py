@@ -216,6 +216,8 @@ def item_counts(sizes: np.ndarray, bucket: int, draws: np.ndarray, salt: int) ->
 
 #: Items of a bucket on average, and resamples x items counted at a time.
 BUCKET_ITEMS, COUNTED = 2048, 1 << 22
+#: Tasks for each core; named, as tasks put together by their bytes would leave most cores idle in work that is all computing.
+TASKS_A_CORE = 4
 
 
 def weighted_gram(items: DataFrame, features: list[str], target: str, order_col: str, n_boot: int, k: int, seed: int) -> DataFrame:
@@ -261,7 +263,8 @@ def weighted_gram(items: DataFrame, features: list[str], target: str, order_col:
                 pa.array(np.full(len(total), first, np.int32)), pa.array(np.arange(len(total), dtype=np.int64) // k + 1),
                 pa.array((np.arange(len(total)) % k).astype(np.int32)), pa.array(list(total), pa.list_(pa.float64()))], names=["part", "b", "fold", "sums"])
 
-    dealt = bucketed.select(*columns, order_col).repartition("_bucket").sortWithinPartitions("_bucket", order_col).select(*columns)
+    tasks = min(16 ** digits, TASKS_A_CORE * spark.sparkContext.defaultParallelism)
+    dealt = bucketed.select(*columns, order_col).repartitionById(tasks, F.col("_bucket") % tasks).sortWithinPartitions("_bucket", order_col).select(*columns)
     return dealt.mapInArrow(run, "part int, b long, fold int, sums array<double>")
 
 
@@ -284,7 +287,8 @@ def ridge_bootstrap(items: DataFrame, features: list[str], target: str, order_co
         _, beta = ridge_cv_from_gram(rows, features, alphas)
         return pd.DataFrame({"b": int(pdf["b"].iloc[0]), "feature": features, "coef": beta})
 
-    coefs = sums.groupBy("b").applyInPandas(solve, "b long, feature string, coef double")
+    tasks = min(n_boot, TASKS_A_CORE * items.sparkSession.sparkContext.defaultParallelism)
+    coefs = sums.repartition(tasks, "b").groupBy("b").applyInPandas(solve, "b long, feature string, coef double")
     return coefs.groupBy("feature").agg(
         F.median("coef").alias("coef_median"), F.percentile("coef", 0.025).alias("coef_ci_lower"),
         F.percentile("coef", 0.975).alias("coef_ci_upper"),

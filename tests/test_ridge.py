@@ -123,3 +123,12 @@ def test_ridge_bootstrap_plan_has_no_replicate_rows(spark):
     df = spark.createDataFrame([(h, float(t), *map(float, x)) for h, t, x in zip(keys, y, X)], "h string, y double, a double, b double, c double")
     plan = RS.weighted_gram(df, ["a", "b", "c"], "y", "h", 250, 5, 1)._jdf.queryExecution().toString()
     assert "Generate" not in plan and "Join" not in plan
+
+
+def test_draws_are_dealt_to_tasks_however_small_the_items_are(spark):
+    X, y, keys = _hashed(3000, 4)
+    df = spark.createDataFrame([(h, float(t), *map(float, x)) for h, t, x in zip(keys, y, X)], "h string, y double, a double, b double, c double")
+    sums = RS.weighted_gram(df, ["a", "b", "c"], "y", "h", 2, 5, 1).toPandas()
+    assert sums["part"].nunique() == 4  # a task for each bucket that holds items
+    out = RS.ridge_bootstrap(df, ["a", "b", "c"], "y", "h", 4, 5, 1, np.logspace(-1, 1, 3))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Repartition") == 2
