@@ -16,7 +16,7 @@ from pyspark.sql.window import Window as W
 
 from sway.functions.splits import position_of_rank
 from sway.functions.stats import fisher_two_sided, mann_whitney_p, p_marker, t_two_sided_p
-from sway.operators.ranks import average_rank, values_at
+from sway.operators.ranks import counted_rank, values_at
 from sway.session import materialize
 
 # Model family prefixes of the study.
@@ -101,15 +101,16 @@ def pattern_tests(items: DataFrame, binary: list[str], numeric: list[str]) -> Da
     stack = ", ".join(f"'{f}', CAST({f} AS DOUBLE)" for f in feats)
     long = items.selectExpr("evidence_hash", "evidence_effect_pattern",
                             f"stack({len(feats)}, {stack}) AS (feature, value)").filter(F.col("value").isNotNull())
-    long = average_rank(long, ["feature"], "value", "rk")
-    tot = long.groupBy("feature").agg(F.count(F.lit(1)).alias("N"), F.sum("value").alias("S"),
-                                      F.sum(F.col("value") * F.col("value")).alias("SS"))
-    ties = (long.groupBy("feature", F.round("value", 12).alias("v")).agg(F.count(F.lit(1)).alias("t"))
-            .groupBy("feature").agg(F.sum(F.col("t") ** 3 - F.col("t")).alias("tie")))
-    per = long.groupBy("feature", "evidence_effect_pattern").agg(
-        F.count(F.lit(1)).alias("n1"), F.sum("value").alias("s1"),
-        F.sum(F.col("value") * F.col("value")).alias("ss1"), F.sum("rk").alias("r1"))
-    j = per.join(tot, "feature").join(ties, "feature")
+    # items of a pattern with equal values count as one row from here on
+    counted = materialize(long.groupBy("feature", "evidence_effect_pattern", (F.round("value", 12) + F.lit(0.0)).alias("v")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss")))
+    ranked = counted_rank(counted, ["feature"], "v", "n", "rk")
+    per = ranked.groupBy("feature", "evidence_effect_pattern").agg(
+        F.sum("n").alias("n1"), F.sum("s").alias("s1"), F.sum("ss").alias("ss1"), F.sum(F.col("rk") * F.col("n")).alias("r1"),
+        # t items of a value add t^3 - t, each pattern its part
+        F.sum(F.col("n").cast("double") * (F.col("_c") * F.col("_c") - 1)).alias("tie1"))
+    whole = W.partitionBy("feature")  # a row per pattern
+    j = per.withColumns({name: F.sum(c).over(whole) for name, c in (("N", "n1"), ("S", "s1"), ("SS", "ss1"), ("tie", "tie1"))})
     n1, n2 = F.col("n1"), F.col("N") - F.col("n1")
     s2, ss2 = F.col("S") - F.col("s1"), F.col("SS") - F.col("ss1")
     m1, m2 = F.col("s1") / n1, F.try_divide(s2, n2.cast("double"))

@@ -6,7 +6,7 @@ sorted together."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -36,11 +36,19 @@ def average_rank(df: DataFrame, part: list[str], value: str, out: str, digits: i
     return d.join(ranks, [*part, "_v"], "left").select(*df.columns, out)
 
 
-def _placed(d: DataFrame, part: list[str]) -> DataFrame:
+def counted_rank(df: DataFrame, part: list[str], value: str, rows: str, out: str) -> DataFrame:
+    """Average rank within ``part`` of the ``rows`` rows that each row of ``df`` stands for, and the number of
+    rows of its value (``_c``).  Values are compared as they are; none is null."""
+    placed = _placed(df.withColumnRenamed(value, "_v"), part, F.sum(rows)).select(*part, F.col("_v").alias(value), "_c", (F.col("_first") + (F.col("_c") + 1) / 2.0).alias(out))
+    return df.join(placed, [*part, value])
+
+
+def _placed(d: DataFrame, part: list[str], rows: Column | None = None) -> DataFrame:
     """(part, _v, _c, _b, _before, _first): each distinct value, its number of rows, its bucket, and how many rows come
-    before the bucket and before the value.  Counts are taken per value first, so a value that fills a group is one row."""
+    before the bucket and before the value.  Counts are taken per value first, so a value that fills a group is one row.
+    ``rows`` adds up the rows that a row stands for, where it is more than itself."""
     cuts = d.groupBy(*part).agg(F.percentile_approx("_v", [i / QUANTILES for i in range(1, QUANTILES)]).alias("_cuts"))
-    sizes = (d.groupBy(*part, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    sizes = (d.groupBy(*part, "_v").agg((F.count(F.lit(1)) if rows is None else rows).alias("_c"))
              .join(cuts, part).withColumn("_b", F.size(F.filter("_cuts", lambda x: x < F.col("_v")))).drop("_cuts"))
     buckets = sizes.groupBy(*part, "_b").agg(F.sum("_c").alias("_n"))
     upto = W.unboundedPreceding, -1

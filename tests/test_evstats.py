@@ -79,3 +79,31 @@ def test_average_rank_and_numbering_match_pandas(spark):
     assert (got["idx"].sort_index() == want["idx"].sort_index()).all()
     nulls = spark.createDataFrame([(1, None), (1, 2.0)], "g int, v double")
     assert sorted(average_rank(nulls, ["g"], "v", "r").select("r").collect(), key=str) == [(1.0,), (None,)]
+
+
+def test_pattern_tests_pass_over_the_items_once(spark):
+    rng = np.random.default_rng(3)
+    n = 400
+    items = pd.DataFrame({"evidence_hash": [f"{i:04x}" for i in range(n)], "evidence_effect_pattern": rng.choice(["a", "b", "c"], n, p=[0.6, 0.39, 0.01]),
+                          "flag": rng.random(n) < 0.3, "tied": np.round(rng.normal(0, 1, n), 1), "free": rng.normal(0, 1, n)})
+    items.loc[items.index[::50], "tied"] = -0.0
+    items.loc[5, "free"] = None
+    items.loc[7, "evidence_effect_pattern"] = "lone"
+    df = spark.createDataFrame(items.astype({"flag": float, "free": object}).where(items.notna(), None), "evidence_hash string, evidence_effect_pattern string, flag double, tied double, free double")
+    out = QE.ES.pattern_tests(df, ["flag"], ["tied", "free"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "evidence_hash" not in plan and "Generate" not in plan and "Expand" not in plan  # only counts of values
+    got = out.toPandas()
+    assert len(got) == 3 * items["evidence_effect_pattern"].nunique()
+    for _, r in got.iterrows():
+        known = items[items[r["feature"]].notna()]
+        inn = known["evidence_effect_pattern"] == r["pattern"]
+        x, y = known.loc[inn, r["feature"]].to_numpy(float), known.loc[~inn, r["feature"]].to_numpy(float)
+        assert math.isclose(r["mean_in"], x.mean(), rel_tol=1e-9, abs_tol=1e-12) and math.isclose(r["mean_out"], y.mean(), rel_tol=1e-9, abs_tol=1e-12)
+        if r["feature"] == "flag":
+            p = dist.fisher_exact([int(x.sum())], [int((1 - x).sum())], [int(y.sum())], [int((1 - y).sum())])[0]
+        else:
+            p = _mw_p(x, y) if min(len(x), len(y)) > 2 else r["p_value"]
+            v = [((z - z.mean()) ** 2).sum() for z in (x, y)]
+            assert math.isclose(r["cohens_d"], (x.mean() - y.mean()) / math.sqrt(sum(v) / (len(known) - 2)), rel_tol=1e-9)
+        assert math.isclose(r["p_value"], p, rel_tol=1e-6, abs_tol=1e-12), r
