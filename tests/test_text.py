@@ -134,6 +134,34 @@ def test_rendered_evidence_moves_no_rendered_text(spark):
     assert spark.range(1).select(PR.evidence_items(F.lit("a [1]\nCitations:\n[1] x\n[2] y\n---\n b\t---\nrest")).alias("v")).first()["v"] == ["a [1]\nCitations:\n[1] x", "b"]
 
 
+def test_citations_accumulate_in_place(spark):
+    from sway.functions import prompts as PR
+    c = lambda *names: [(f"[{n}]", n) for n in names]
+    rows = [("p", "b", c("x")), ("p", "c", None), ("p", "a", c("y", "z")), ("p", "d", c("x")), ("q", "a", [])]
+    df = spark.createDataFrame(rows, "pid string, pos string, citations array<struct<marker:string,citation:string>>")
+    want = {(r["pid"], r["pos"]): r["citations"] for r in PR.cumulative_citations(df, ["pid"], "pos").collect()}
+    held = df.groupBy("pid").agg(F.collect_list(F.struct("pos", "citations")).alias("each"))
+    got = {(r["pid"], x["pos"]): x["citations"] for r in PR.cumulative_citations(held, None, "pos", "each").collect() for x in r["each"]}
+    assert got == want and [x["marker"] for x in got["p", "d"]] == ["[y]", "[z]", "[x]", "[x]"]
+
+
+def test_draws_of_evidence_are_not_moved(spark):
+    """Ids, texts and citations move by argument; rows of draws, many times as many, stay where they were selected."""
+    import re
+
+    from sway.functions import prompts as PR
+    from sway.operators import grid as G
+    args = spark.createDataFrame([(f"t{i % 3}", "pro" if i % 2 else "con", i, f"text {i} [{i % 2}]") for i in range(24)], "topic string, side string, doc_id long, text string")
+    cited = PR.attach_citations(args, spark.createDataFrame([("[1]", "one")], "marker string, citation string"))
+    shown = G.evidence_selection(args.select("topic", "side", "doc_id"), 2, by_topic=True)
+    assert sorted(shown.collect()) == sorted(G.evidence_selection(args.select("topic", "side", "doc_id"), 2).collect())
+    for cumulative in (False, True):
+        out = G.rendered_evidence(shown, cited, cumulative)
+        plan = out._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)
+        assert any("text" in x or "rows" in x for x in moved) and not any("order_key" in x or "draw" in x or "shown" in x for x in moved), moved
+
+
 def _odd_texts() -> list[str | None]:
     """Cues between characters that only Unicode classes and case folding tell apart."""
     rng = random.Random(7)
